@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_dedup, near_dedup, packing, quality_classifier, quality_rules, token_histogram, topk_search
-from .common import table
+from .common import cut, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_histogram.suffix_sums(token_histogram.histogram(table(spark, sf_dir, "documents")))
+    return token_histogram.suffix_sums(cut(token_histogram.histogram(table(spark, sf_dir, "documents"))))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

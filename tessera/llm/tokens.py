@@ -15,7 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 
-MAX_WORDS, MAX_STEMS = 300_000, 700_000
+#: About 150 bytes an entry.
+MAX_WORDS, MAX_STEMS = 800_000, 1_200_000
+
+JOINED = 500
 
 #: Latin-1 letters as UTF-8 (U+00C0 to U+00FF without the two signs): NFC leaves them, and lower case is one to one.
 _LATIN = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
@@ -41,9 +44,10 @@ class WordEncoder:
         self.ends = np.zeros(self.whole.get_vocab_size() + 1, bool)
         for token, i in spec["model"]["vocab"].items():
             self.ends[i] = token.endswith(end)
-        bare = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
-            {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
-        self.bare = Tokenizer.from_str(json.dumps(bare))
+        split, to_bytes = {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        bare = spec | {"normalizer": None, "added_tokens": []}
+        self.bare = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": split}))  # for ASCII
+        self.bytes_ = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, to_bytes]}}))
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
@@ -51,11 +55,11 @@ class WordEncoder:
         got = self.whole.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in got]
 
-    def _stems(self, stems: list[bytes]) -> None:
+    def _stems(self, bare, stems: list[bytes]) -> None:
         """Lower-case words of letters: joined, encoded at once and cut after each word's last token."""
-        for at in range(0, len(stems), 2000):
-            some = stems[at : at + 2000]
-            ids = np.array(self.bare.encode_batch_fast([b" ".join(some).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+        for at in range(0, len(stems), JOINED):
+            some = stems[at : at + JOINED]
+            ids = np.array(bare.encode_batch_fast([b" ".join(some).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(some):  # cannot be told apart: one by one
                 self.stems.update(zip(some, self._whole(some), strict=True))
@@ -66,52 +70,64 @@ class WordEncoder:
                 start = cut
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > MAX_WORDS:
-            self.words.clear()
-        plain, odd, parts = [], [], set()
+        known, stems = self.words, self.stems
+        if len(known) + len(words) > MAX_WORDS:
+            known.clear()
+        if len(stems) + len(words) > MAX_STEMS:
+            stems.clear()
+        odd, later, new, marks = [], [], set(), set()
+        get = stems.get
         for w in words:
-            if m := _PLAIN.fullmatch(w):
-                stem = m[1].lower() if m[1].isascii() else m[1].decode().lower().encode()
-                plain.append((w, stem, m[2]))
-                parts.add(stem)
-                if m[2]:
-                    parts.add(m[2])
+            if w.isalpha():  # of bytes: ASCII letters
+                stem, mark = w.lower(), b""
+            elif w[:-1].isalpha() and w[-1] in b".,":
+                stem, mark = w[:-1].lower(), w[-1:]
+            elif m := _PLAIN.fullmatch(w):
+                stem, mark = m[1].decode().lower().encode(), m[2]
             else:
                 odd.append(w)
-        if len(self.stems) + len(parts) > MAX_STEMS:
-            self.stems.clear()
-        new = parts - self.stems.keys()
-        marks = [p for p in new if p[0] < 128 and not p[:1].isalpha()]
-        self.stems.update(zip(marks, self._whole(marks), strict=True))
-        self._stems([p for p in new if p[0] >= 128 or p[:1].isalpha()])
-        stems, known = self.stems, self.words
-        for w, stem, mark in plain:
+                continue
+            ids = get(stem)
+            end = get(mark) if mark else b""
+            if ids is not None and end is not None:
+                known[w] = ids + end
+                continue
+            later.append((w, stem, mark))
+            if ids is None:
+                new.add(stem)
+            if end is None:
+                marks.add(mark)
+        stems.update(zip(marks, self._whole(list(marks)), strict=True))
+        self._stems(self.bare, [x for x in new if x.isascii()])
+        self._stems(self.bytes_, [x for x in new if not x.isascii()])
+        for w, stem, mark in later:
             known[w] = stems[stem] + stems[mark] if mark else stems[stem]
         known.update(zip(odd, self._whole(odd), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         out: list[bytes] = []
-        group: list[list[bytes]] = []
-        n = 0
+        group: list[tuple[list[bytes], list[bytes | None]]] = []
+        n, get = 0, self.words.get
         for text in texts:
-            group.append(text.split())
-            n += len(group[-1])
+            words = text.split()
+            group.append((words, list(map(get, words))))
+            n += len(words)
             if n > 200_000:
                 self._flush(group, out)
                 group, n = [], 0
         self._flush(group, out)
         return out
 
-    def _flush(self, group: list[list[bytes]], out: list[bytes]) -> None:
-        new = set().union(*group) - self.words.keys()
+    def _flush(self, group: list[tuple[list[bytes], list[bytes | None]]], out: list[bytes]) -> None:
+        gaps = [[i for i, ids in enumerate(got) if ids is None] for _, got in group]
+        new = {words[i] for (words, _), at in zip(group, gaps, strict=True) for i in at}
         if new:
-            if len(self.words) + len(new) > MAX_WORDS:  # what the group has is then learnt anew, all of it
-                self.words.clear()
-                new = set().union(*group)
             self.learn(new)
-        get = self.words.__getitem__
-        out += [b"".join(map(get, words)) for words in group]
+        for (words, got), at in zip(group, gaps, strict=True):
+            for i in at:
+                got[i] = self.words[words[i]]
+            out.append(b"".join(got))
 
 
 class TextEncoder:
