@@ -82,7 +82,7 @@ def annotated(docs: DataFrame) -> DataFrame:
     for k in kinds:
         matches, gaps = _found(F.col("text"), k)
         d = d.withColumns({f"{k}_m": matches, f"{k}_g": gaps})
-    d = d.select("row", "doc_id", *(F.col(f"{k}_m") for k in kinds), F.expr(f"transform(word_g, g -> regexp_extract(substring(g, -40), '([^{SPACE}]++)[{SPACE}]*+$', 1))").alias("left_w"), F.expr(f"transform(word_g, g -> regexp_extract(substring(g, 1, 40), '^[{SPACE}]*+([^{SPACE}]++)', 1))").alias("right_w"), *(F.expr(_placed(f"{k}_m", f"{k}_g")).alias(f"{k}_p") for k in kinds))
+    d = d.select("row", "doc_id", *(F.col(f"{k}_m") for k in kinds), F.expr(f"transform(word_g, g -> regexp_extract(substring(g, -40), r'([^{SPACE}]++)[{SPACE}]*+$', 1))").alias("left_w"), F.expr(f"transform(word_g, g -> regexp_extract(substring(g, 1, 40), r'^[{SPACE}]*+([^{SPACE}]++)', 1))").alias("right_w"), *(F.expr(_placed(f"{k}_m", f"{k}_g")).alias(f"{k}_p") for k in kinds))
     base = [F.expr(f"transform(filter({k}_p, p -> {_passes(k).replace('m,', 'p.m,').replace('(m', '(p.m')}), p -> struct(p.start AS start, {i} AS kind, p.end AS end, p.m AS m))") for i, k in enumerate(KINDS)]
     d = d.withColumn("base", F.array_sort(F.concat(*base)))
     kind = "coalesce(get(filter(base, b -> b.start < w.end AND b.end > w.start), 0).kind, -1)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, packing, quality_classifier, quality_rules, token_histogram, topk_search
+from . import line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, token_histogram, topk_search
 from .common import cut, table
 
 
@@ -23,6 +23,10 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,9 +44,47 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_quality_rules, op4_topk_search, op6_minhash, op7_token_histogram, op8_quality_classifier, op9_line_dedup)}
+MIX_WEIGHTS = [{"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, {"en": 4, "de": 2, "fr": 2, "es": 1}, {}]
+
+
+def MIX_LEVELS() -> list:
+    return [mixing.domain_of(F.col("source")), F.col("lang"), F.col("source")]
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(table(spark, sf_dir, "documents"), MIX_LEVELS(), MIX_WEIGHTS, (3, 5), max_epochs=2, seed=7)
+    return taken.select("doc_id", F.col("g0").alias("domain"), F.col("g1").alias("lang"), F.col("g2").alias("source"), "tokens", "epoch")
+
+
+def _shared(nodes: str, parent: str, key: str, weights: dict[str, int]) -> str:
+    """SQL of one level: the budget b of siblings by weight, the full ones first."""
+    weight = "CASE " + key + "".join(f" WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END" if weights else "1"
+    over = f"PARTITION BY {parent} ORDER BY need, {key} NULLS FIRST ROWS BETWEEN"
+    return f"""SELECT *, CASE WHEN is_full THEN cap WHEN open > 0 THEN least((b - taken)::HUGEINT * w // open, cap) ELSE 0 END::BIGINT AS budget FROM (
+  SELECT *, coalesce(sum(CASE WHEN is_full THEN cap END) OVER (PARTITION BY {parent}), 0) AS taken, sum(CASE WHEN NOT is_full THEN w END) OVER (PARTITION BY {parent}) AS open FROM (
+    SELECT *, w > 0 AND cap::HUGEINT * wr <= (b - before)::HUGEINT * w AS is_full FROM (
+      SELECT *, coalesce(sum(cap) OVER ({over} UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER ({over} CURRENT ROW AND UNBOUNDED FOLLOWING) AS wr FROM (
+        SELECT *, CASE WHEN w > 0 THEN cap / w ELSE 'inf'::DOUBLE END AS need FROM (SELECT *, {weight} AS w FROM ({nodes}))))))"""
+
+
+_MIX_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, 'domain' || (coalesce(try_cast(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS INTEGER), 0) % 4) AS g0, lang AS g1, source AS g2,
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS t FROM documents
+), leaf AS (SELECT g0, g1, g2, sum(t)::BIGINT AS supply, 2 * sum(t)::BIGINT AS cap FROM d GROUP BY ALL),
+b0 AS ({_shared("SELECT g0, sum(cap) AS cap, (SELECT sum(supply) FROM leaf) * 3 // 5 AS b FROM leaf GROUP BY g0", "1", "g0", MIX_WEIGHTS[0])}),
+b1 AS ({_shared("SELECT l.g0, l.g1, sum(l.cap) AS cap, any_value(b0.budget) AS b FROM leaf l JOIN b0 USING (g0) GROUP BY l.g0, l.g1", "g0", "g1", MIX_WEIGHTS[1])}),
+b2 AS ({_shared("SELECT l.g0, l.g1, l.g2, l.supply, l.cap, b1.budget AS b FROM leaf l JOIN b1 USING (g0, g1)", "g0, g1", "g2", MIX_WEIGHTS[2])}),
+plan AS (SELECT g0, g1, g2, CASE WHEN supply > 0 THEN budget // supply ELSE 1 END AS epochs, budget - CASE WHEN supply > 0 THEN budget // supply ELSE 1 END * supply AS room FROM b2),
+placed AS (SELECT d.*, epochs, room, sum(t) OVER (PARTITION BY g0, g1, g2 ORDER BY md5('7:' || epochs || ':' || coalesce(doc_id::VARCHAR, 'null'))) AS upto FROM d JOIN plan USING (g0, g1, g2))
+SELECT doc_id, g0 AS domain, g1 AS lang, g2 AS source, t AS tokens, epoch::INTEGER AS epoch
+FROM (SELECT *, unnest(range(epochs + CASE WHEN room > 0 AND upto <= room THEN 1 ELSE 0 END)) AS epoch FROM placed)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_quality_rules, op4_topk_search, op5_pii, op6_minhash, op7_token_histogram, op8_quality_classifier, op9_line_dedup, op10_mixing)}
 
 ORACLES = {
+    "op10_mixing": _MIX_SQL,
     "op4_topk_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS z FROM embeddings
