@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, token_histogram, topk_search
+from . import line_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, token_histogram, topk_search
 from .common import cut, table
 
 
@@ -13,6 +13,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
@@ -70,7 +74,8 @@ def _shared(nodes: str, parent: str, key: str, weights: dict[str, int]) -> str:
 _MIX_SQL = rf"""
 WITH d AS (
   SELECT doc_id, 'domain' || (coalesce(try_cast(nullif(regexp_extract(source, '([0-9]{{1,9}})$', 1), '') AS INTEGER), 0) % 4) AS g0, lang AS g1, source AS g2,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS t FROM documents
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS t FROM documents
 ), leaf AS (SELECT g0, g1, g2, sum(t)::BIGINT AS supply, 2 * sum(t)::BIGINT AS cap FROM d GROUP BY ALL),
 b0 AS ({_shared("SELECT g0, sum(cap) AS cap, (SELECT sum(supply) FROM leaf) * 3 // 5 AS b FROM leaf GROUP BY g0", "1", "g0", MIX_WEIGHTS[0])}),
 b1 AS ({_shared("SELECT l.g0, l.g1, sum(l.cap) AS cap, any_value(b0.budget) AS b FROM leaf l JOIN b0 USING (g0) GROUP BY l.g0, l.g1", "g0", "g1", MIX_WEIGHTS[1])}),
@@ -81,7 +86,7 @@ SELECT doc_id, g0 AS domain, g1 AS lang, g2 AS source, t AS tokens, epoch::INTEG
 FROM (SELECT *, unnest(range(epochs + CASE WHEN room > 0 AND upto <= room THEN 1 ELSE 0 END)) AS epoch FROM placed)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_quality_rules, op4_topk_search, op5_pii, op6_minhash, op7_token_histogram, op8_quality_classifier, op9_line_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_quality_rules, op4_topk_search, op5_pii, op6_minhash, op7_token_histogram, op8_quality_classifier, op9_line_dedup, op10_mixing)}
 
 ORACLES = {
     "op10_mixing": _MIX_SQL,
