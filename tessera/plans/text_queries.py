@@ -1,0 +1,324 @@
+"""Queries over texts, pages, vectors and events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera import testgraph as t
+from tessera.operators import changes, context, memory, quality, text
+from tessera.plans.registry import query
+
+
+def _docs(spark, sf_dir):
+    return t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "lang", "source", "n_chars")
+
+
+_W = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+_TF = f"t AS (SELECT doc_id AS doc, {_W.format('text')} AS w FROM documents), p AS (SELECT doc, len(w) AS dl, unnest(w) AS term FROM t), tf AS (SELECT doc, term, count(*) AS tf, any_value(dl) AS dl FROM p GROUP BY doc, term), stats AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t WHERE len(w) > 0)"
+
+
+@query(f"WITH {_TF} SELECT n, round(avgdl, 6) AS avgdl FROM stats")
+def a13_corpus_stats(spark, sf_dir):
+    return text.corpus_stats(_docs(spark, sf_dir), text.words(F.col("text"))).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+def _okapi_sql(terms):
+    return f"""WITH {_TF}, h AS (SELECT * FROM tf WHERE term IN ({', '.join(f"'{x}'" for x in terms)})), df AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+SELECT doc, round(sum((ln(n / (1 + df)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM h JOIN df USING (term), stats GROUP BY doc HAVING sum((ln(n / (1 + df)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) >= 0.01"""
+
+
+@query(_okapi_sql(["license", "the", "work"]))
+def t11_okapi(spark, sf_dir):
+    return text.okapi(_docs(spark, sf_dir), text.words(F.col("text")), ["license", "the", "work"]).select("doc", F.round("score", 6).alias("score"))
+
+
+@query(_okapi_sql(text.expand(["user", "token", "list"])))
+def t9_okapi_with_synonyms(spark, sf_dir):
+    return text.okapi(_docs(spark, sf_dir), text.words(F.col("text")), text.expand(["user", "token", "list"])).select("doc", F.round("score", 6).alias("score"))
+
+
+def _field_sql(fields, terms):
+    parts = []
+    for f, w in fields.items():
+        parts.append(f"""SELECT doc, {w} * sum((ln(n / (1 + df)) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM (
+  SELECT h.*, count(*) OVER (PARTITION BY term) AS df, (SELECT count(*) FROM part WHERE len({_W.format(f)}) > 0) AS n, (SELECT avg(len({_W.format(f)})) FROM part WHERE len({_W.format(f)}) > 0) AS avgdl FROM (
+    SELECT doc, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT p_partkey AS doc, len({_W.format(f)}) AS dl, unnest({_W.format(f)}) AS term FROM part) WHERE term IN ({', '.join(f"'{x}'" for x in terms)}) GROUP BY doc, term) h) GROUP BY doc""")
+    return "SELECT doc, round(sum(score), 6) AS score FROM (" + " UNION ALL ".join(parts) + ") GROUP BY doc"
+
+
+_FIELDS = {"p_name": 5.0, "p_type": 3.0, "p_brand": 1.0}
+
+
+@query(_field_sql(_FIELDS, ["ring", "brass", "brand", "small"]))
+def t2_field_bm25(spark, sf_dir):
+    part = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), "p_name", "p_type", "p_brand")
+    return text.field_bm25(part, _FIELDS, ["ring", "brass", "brand", "small"]).select("doc", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {t.CTES} SELECT id, rung FROM (SELECT id, name, CASE WHEN lower(name) = 'nation_1' THEN 0 WHEN contains(lower(name), 'nation_1') THEN 1 WHEN contains(lower(qualifiedName), 'nation_1') THEN 2 WHEN contains(lower(signature), 'nation_1') THEN 3 END AS rung FROM nodes) WHERE rung IS NOT NULL ORDER BY rung, name, id LIMIT 40")
+def t1_symbol_search(spark, sf_dir):
+    return text.search_ladder(t.nodes(spark, sf_dir), "NATION_1").select("id", "rung")
+
+
+@query(f"WITH {t.CTES} SELECT * FROM (SELECT DISTINCT filePath, CASE WHEN lower(split_part(filePath, '/', -1)) = 'nation1.ts' THEN 100 WHEN starts_with(lower(split_part(filePath, '/', -1)), 'nation1.ts') THEN 80 WHEN contains(lower(filePath), 'nation1') THEN 60 END AS score FROM nodes) WHERE score IS NOT NULL ORDER BY score DESC, filePath LIMIT 20".replace("'nation1'", "'nation1.ts'"))
+def p13_find_file(spark, sf_dir):
+    return text.find_file(t.nodes(spark, sf_dir), "nation1.ts")
+
+
+_LINES = "l AS (SELECT doc_id AS doc, generate_subscripts(a, 1) AS line_no, unnest(a) AS line, a FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL))"
+
+
+@query(f"WITH {_LINES} SELECT doc, line_no::INTEGER AS line_no, line, len(regexp_extract_all(line, '[Ll]icen[cs]e'))::INTEGER AS n_matches FROM l WHERE regexp_matches(line, '[Ll]icen[cs]e')")
+def p12_grep(spark, sf_dir):
+    return text.grep(_docs(spark, sf_dir), "[Ll]icen[cs]e")
+
+
+@query(f"WITH {_LINES} SELECT doc, line_no::INTEGER AS line_no, line, 1::INTEGER AS n_matches, array_to_string(a[greatest(1, line_no - 2) : line_no - 1], chr(10)) AS before, array_to_string(a[line_no + 1 : line_no + 2], chr(10)) AS after FROM l WHERE regexp_matches(line, '^All rights')")
+def p12_grep_context(spark, sf_dir):
+    return text.grep(_docs(spark, sf_dir), "^All rights", context=2)
+
+
+@query(f"WITH {_LINES} SELECT doc, count(*) AS n FROM l WHERE NOT regexp_matches(line, '\\b(the|and)\\b') GROUP BY doc")
+def p12_grep_inverted(spark, sf_dir):
+    return text.grep(_docs(spark, sf_dir), "the|and", invert=True, whole_word=True).groupBy("doc").agg(F.count("*").alias("n"))
+
+
+@query("SELECT v.vec_id AS id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id = 7) q WHERE v.vec_id <> 7 ORDER BY score DESC, id LIMIT 10")
+def t12_cosine(spark, sf_dir):
+    v = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return text.cosine_top_k(v, 7).select("id", F.round("score", 6).alias("score"))
+
+
+_N = lambda p: f"len(regexp_extract_all(text, '{p}'))"
+_MARKS = "[{}()\\[\\]<>:;,.\"''`~!@#$%^&*+=|\\\\/?]"
+
+
+@query(f"SELECT lang, sum(CASE WHEN text IS NULL OR text = '' THEN 0 WHEN length(text) <= 4 THEN 1 WHEN {_N('[A-Za-z0-9_]+|[^[:space:]A-Za-z0-9_]')} = 0 THEN 0 ELSE greatest(1, floor({_N('[A-Za-z0-9_]+|[^[:space:]A-Za-z0-9_]')} * 1.3::DOUBLE + {_N(_MARKS)} * 0.15::DOUBLE + {_N('[^[:ascii:]]')} * 0.5::DOUBLE + 0.5)) END)::BIGINT AS tokens, sum(CASE WHEN text IS NULL THEN NULL ELSE ceil(length(text) / 4) END)::BIGINT AS quarters FROM documents GROUP BY lang")
+def k4_token_estimate(spark, sf_dir):
+    return _docs(spark, sf_dir).groupBy("lang").agg(F.sum(context.estimate_tokens(F.col("text"))).alias("tokens"), F.sum(context.quarter_tokens(F.col("text"))).alias("quarters"))
+
+
+@query()
+def k1_content_types(spark, sf_dir):
+    pages = t.table(spark, sf_dir, "pages").select(F.lit("pages").alias("tab"), F.col("html").alias("text"))
+    both = _docs(spark, sf_dir).select(F.lit("documents").alias("tab"), "text").unionAll(pages)
+    return both.groupBy("tab", context.content_type(F.col("text")).alias("content_type")).agg(F.count("*").alias("n"))
+
+
+@query()
+def k2_compression(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("text", context.content_type(F.col("text")).alias("kind"))
+    sizes = {f"{level}_tokens": F.sum(context.quarter_tokens(context.compress(F.col("text"), F.col("kind"), level))) for level in ("minimal", "moderate", "aggressive")}
+    return d.groupBy("kind").agg(F.sum(context.quarter_tokens(F.col("text"))).alias("tokens"), *(c.alias(k) for k, c in sizes.items()))
+
+
+@query("SELECT source, doc, used::BIGINT AS used FROM (SELECT source, doc_id AS doc, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 20000")
+def o5_prefix_budget(spark, sf_dir):
+    return context.within_budget(_docs(spark, sf_dir), [F.col("n_chars"), F.col("doc")], F.col("n_chars"), 20_000, ["source"]).select("source", "doc", "used")
+
+
+@query()
+def o4_greedy_pack(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("source", F.col("doc").alias("id"), F.col("n_chars").cast("double").alias("score"), F.ceil(F.col("n_chars") / 4).alias("cost"))
+    return context.greedy_pack(d, 5000, "source")
+
+
+def _events(spark, sf_dir):
+    return t.table(spark, sf_dir, "events")
+
+
+_KIND_SQL = "CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'modified' END"
+
+
+def _kind():
+    return F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").otherwise("modified")
+
+
+_SNAP = "SELECT user_id AS name, max_by(event_type || event_id, event_id) AS hash FROM events WHERE {} GROUP BY user_id"
+
+
+@query(f"WITH o AS ({_SNAP.format('day(ts) <= 3')}), n AS ({_SNAP.format('day(ts) BETWEEN 2 AND 5')}) SELECT * FROM (SELECT coalesce(o.name, n.name) AS name, CASE WHEN o.hash IS NULL THEN 'added' WHEN n.hash IS NULL THEN 'deleted' WHEN o.hash <> n.hash THEN 'modified' END AS change, o.hash AS old, n.hash AS new FROM o FULL JOIN n ON o.name = n.name) WHERE change IS NOT NULL")
+def c1_symbol_diff(spark, sf_dir):
+    def snap(cond):
+        rows = _events(spark, sf_dir).where(cond).groupBy(F.col("user_id").alias("name"))
+        return rows.agg(F.max_by(F.concat("event_type", F.col("event_id").cast("string")), "event_id").alias("hash"))
+
+    return changes.symbol_diff(snap("day(ts) <= 3"), snap("day(ts) BETWEEN 2 AND 5"))
+
+
+@query("SELECT user_id AS file, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS symbols FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id")
+def c2_changes_since(spark, sf_dir):
+    log = _events(spark, sf_dir).select(F.col("user_id").alias("file"), F.col("event_type").alias("symbol"), "ts")
+    return changes.changes_since(log, "2024-01-15 00:00:00")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, CAST(ts AS DATE) AS day, {_KIND_SQL} AS kind, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS i FROM events),
+f(user_id, day, i, state) AS (SELECT user_id, day, i, kind FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.day, e.i, CASE WHEN f.state = 'created' AND e.kind = 'deleted' THEN '' WHEN f.state = 'created' AND e.kind = 'modified' THEN 'created' WHEN f.state = 'deleted' AND e.kind = 'created' THEN 'modified' ELSE e.kind END FROM f JOIN e ON e.user_id = f.user_id AND e.day = f.day AND e.i = f.i + 1)
+SELECT user_id, CAST(CAST(day AS DATE) AS VARCHAR) AS day, max_by(state, i) AS state FROM f GROUP BY user_id, day HAVING max_by(state, i) <> ''""")
+def c6_collapse(spark, sf_dir):
+    e = _events(spark, sf_dir).select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", F.col("event_id").alias("id"), _kind().alias("kind"))
+    return changes.collapse(e, ["user_id", "day"])
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, session::BIGINT AS session, count(*) AS n, min(event_id) AS first_event FROM s GROUP BY user_id, session")
+def c3_sessions(spark, sf_dir):
+    s = changes.sessions(_events(spark, sf_dir), "user_id", "ts", 8)
+    return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("WITH c AS (SELECT user_id AS file, count(*) AS n, count(DISTINCT event_type) AS s FROM events GROUP BY user_id) SELECT file, n, round(0.6 * n / (SELECT max(n) FROM c) + 0.4 * s / (SELECT max(s) FROM c), 6) AS score FROM c")
+def a20_change_hotspots(spark, sf_dir):
+    log = _events(spark, sf_dir).select(F.col("user_id").alias("file"), F.col("event_type").alias("symbol"))
+    return changes.hotspots(log).select("file", "n", F.round("score", 6).alias("score"))
+
+
+@query("SELECT event_id AS id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 10 DAY ORDER BY ts DESC, event_id DESC LIMIT 500")
+def c4_pruned_log(spark, sf_dir):
+    log = _events(spark, sf_dir).select(F.col("event_id").alias("id"), "user_id", "ts")
+    return changes.pruned(log, "2024-01-30", 500, 10).select("id", "user_id")
+
+
+@query("WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE md5(text) END AS h FROM documents WHERE doc_id % 4 <> 0) SELECT CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.h <> b.h THEN 'stale' ELSE 'fresh' END AS status, count(*) AS n FROM a FULL JOIN b ON a.doc_id = b.doc_id GROUP BY status")
+def k8_freshness(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc", F.md5(F.col("text").cast("binary")).alias("h"))
+    later = d.where("doc % 4 <> 0").withColumn("h", F.when(F.col("doc") % 5 == 0, "x").otherwise(F.col("h")))
+    return changes.freshness(d.where("doc % 3 <> 0"), later, "doc", "h")
+
+
+@query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS sessions, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY role")
+def n1_session_facts(spark, sf_dir):
+    c = t.table(spark, sf_dir, "conversations")
+    return c.groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("sessions"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT conv_id, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, max_by(left(text, 40), turn) AS last FROM conversations GROUP BY conv_id")
+def a10_session_close_out(spark, sf_dir):
+    c = t.table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.max_by(F.substring("text", 1, 40), "turn").alias("last"))
+
+
+_MEM = "m AS (SELECT d.doc_id AS id, CASE l.quality WHEN 1 THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END AS importance, (d.doc_id % 60)::DOUBLE AS days, d.n_chars FROM documents d JOIN labels l USING (doc_id))"
+
+
+def _memories(spark, sf_dir):
+    m = t.table(spark, sf_dir, "documents").join(t.table(spark, sf_dir, "labels"), "doc_id")
+    return m.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, 0.9).otherwise(0.3).alias("importance"), (F.col("doc_id") % 60).cast("double").alias("days"), "n_chars")
+
+
+@query(f"WITH {_MEM} SELECT id, round(CASE WHEN days < 0.01 OR importance - importance * pow(0.95, days) <= 0.001 THEN importance ELSE importance * pow(0.95, days) END, 6) AS importance FROM m")
+def m3_decay(spark, sf_dir):
+    return _memories(spark, sf_dir).select("id", F.round(memory.decayed(F.col("importance"), F.col("days")), 6).alias("importance"))
+
+
+@query(f"WITH {_MEM} SELECT id, round(0.5 * (1.0 / n_chars) + 0.3 * importance + 0.2 * exp(-days / 30), 6) AS score FROM m ORDER BY score DESC, id LIMIT 50")
+def m5_recall(spark, sf_dir):
+    m = _memories(spark, sf_dir)
+    return memory.recall(m, 1.0 / F.col("n_chars"), F.col("importance"), F.col("days"), 50).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_MEM} SELECT id FROM m WHERE importance < 0.5 ORDER BY importance, id LIMIT greatest(0, (SELECT count(*) FROM m) - 370)".replace("LIMIT greatest(0, (SELECT count(*) FROM m) - 370)", "LIMIT (SELECT greatest(0, count(*) - 370) FROM m)"))
+def m4_prunable(spark, sf_dir):
+    return memory.prunable(_memories(spark, sf_dir), 370, 0.5).select("id")
+
+
+_CW = f"w AS (SELECT conv_id * 1000 + turn AS id, list_distinct({_W.format('text')}) AS w FROM conversations WHERE turn <= 1)"
+_DW = f"w AS (SELECT doc_id AS id, list_distinct({_W.format('text')}) AS w FROM documents WHERE n_chars < 600)"
+
+
+def _pairs_sql(least):
+    return f"WITH {_DW} SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM w a JOIN w b ON a.id < b.id WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= {least}"
+
+
+@query(_pairs_sql(0.8))
+def m1_duplicates(spark, sf_dir):
+    c = t.table(spark, sf_dir, "documents").where("n_chars < 600").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return memory.duplicates(c, 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {_CW}, d AS (SELECT c.conv_id AS id, w.w, [lower(c.role)] AS g FROM conversations c JOIN w ON w.id = c.conv_id * 1000 + c.turn WHERE c.turn = 0), p AS (SELECT a.id AS a, b.id AS b, 0.6 * len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) + 0.4 * len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS score FROM d a JOIN d b ON a.id < b.id) SELECT a, b, round(score, 6) AS score FROM p WHERE score >= 0.45")
+def d1_conflicts(spark, sf_dir):
+    c = t.table(spark, sf_dir, "conversations").where("turn = 0")
+    d = c.select(F.col("conv_id").alias("id"), F.lit("active").alias("status"), F.col("text").alias("title"), F.lit("").alias("description"), F.array("role").alias("tags"))
+    return memory.conflicts(d, 0.45).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query("WITH h AS (SELECT doc_id FROM labels WHERE doc_id % 2 = 0), t AS (SELECT doc_id FROM labels WHERE doc_id % 3 = 0) SELECT CASE WHEN h.doc_id IS NULL THEN 'import' WHEN t.doc_id IS NULL THEN 'export' ELSE 'both' END AS side, count(*) AS n FROM h FULL JOIN t ON h.doc_id = t.doc_id GROUP BY side")
+def b1_sync(spark, sf_dir):
+    x = t.table(spark, sf_dir, "labels")
+    return memory.sync(x.where("doc_id % 2 = 0"), x.where("doc_id % 3 = 0"), "doc_id")
+
+
+_RULE_CASES = " UNION ALL ".join("SELECT doc, line_no, '{r}' AS rule, '{s}' AS severity FROM code WHERE regexp_matches(line, '{p}')".format(r=r, s=s, p=p.replace("'", "''")) for s, r, p in quality.SECURITY_RULES)
+_CODE = f"{_LINES}, code AS (SELECT * FROM l WHERE NOT regexp_matches(trim(line, ' '), '^(//|#|[*])')), hits AS ({_RULE_CASES})"
+
+
+@query(f"WITH {_CODE} SELECT rule, severity, count(*) AS n FROM hits GROUP BY rule, severity")
+def q4_security_scan(spark, sf_dir):
+    return quality.security_hits(text.lines(_docs(spark, sf_dir))).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_CODE}, s AS (SELECT doc, greatest(0, 100 - sum(CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 15 WHEN 'medium' THEN 8 ELSE 3 END))::BIGINT AS score FROM hits GROUP BY doc) SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 35 THEN 'D' ELSE 'F' END AS grade FROM s")
+def a17_security_grade(spark, sf_dir):
+    return quality.security_grade(quality.security_hits(text.lines(_docs(spark, sf_dir))))
+
+
+_NORM = "n AS (SELECT doc_id AS doc, list_filter(list_transform(string_split(text, chr(10)), lambda x: lower(trim(x, ' '))), lambda x: NOT regexp_matches(x, '^(//|#|[*])|^[{}();]*$')) AS l FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f'WITH {_NORM}, p AS (SELECT doc, md5(array_to_string(l[i : i + 5], chr(10))) AS "window" FROM (SELECT doc, l, unnest(range(1, len(l) - 4)) AS i FROM n WHERE len(l) >= 6)) SELECT "window", count(*) AS n_places, count(DISTINCT doc) AS n_docs FROM p GROUP BY "window" HAVING count(*) >= 2')
+def q5_clones(spark, sf_dir):
+    return quality.clone_windows(_docs(spark, sf_dir))
+
+
+@query()
+def q1_complexity(spark, sf_dir):
+    pages = t.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.col("html").alias("text"))
+    return quality.health(quality.complexity(pages))
+
+
+_PATH = "regexp_extract(url, '^https?://[^/]+(/.*)$', 1)"
+_HITS = ", ".join("CASE WHEN regexp_matches(lower(path), '{p}') THEN {{'w': {w}, 'at': {i}, 'layer': '{n}'}} END".format(p=p, w=w, i=-i, n=n) for i, (n, w, p) in enumerate(quality.LAYER_SIGNALS))
+
+
+@query(f"SELECT path, coalesce(b[1].layer, 'unknown') AS layer, coalesce(floor(b[1].w * 100 / t + 0.5), 0)::INTEGER AS confidence, b[2].layer AS runner_up FROM (SELECT path, list_reverse_sort(list_filter([{_HITS}], lambda x: x IS NOT NULL)) AS b, list_sum(list_transform(list_filter([{_HITS}], lambda x: x IS NOT NULL), lambda x: x.w)) AS t FROM (SELECT {_PATH} AS path FROM pages))")
+def q9_layers(spark, sf_dir):
+    return quality.layers(t.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://[^/]+(/.*)$", 1).alias("path")))
+
+
+_LINKS = "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target FROM pages"
+
+
+def _links(spark, sf_dir):
+    return t.table(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
+
+
+@query(f"SELECT target, count(*) AS n, count(DISTINCT page_id) AS pages FROM ({_LINKS}) GROUP BY target")
+def s6_links(spark, sf_dir):
+    return _links(spark, sf_dir).groupBy("target").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
+
+
+@query(f"SELECT DISTINCT l.page_id, l.target FROM ({_LINKS}) l WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = l.target)")
+def j9_dangling_links(spark, sf_dir):
+    known = t.table(spark, sf_dir, "pages").select(F.col("url").alias("target"))
+    return _links(spark, sf_dir).join(known, "target", "left_anti").select("page_id", "target").distinct()
+
+
+@query("SELECT page_id AS doc, len(list_filter(a, lambda x: regexp_matches(trim(x, ' '), '^(//|#|[*]|<!--)')))::INTEGER AS comments, len(list_filter(a, lambda x: trim(x, ' ') = ''))::INTEGER AS blank, (len(a) - len(list_filter(a, lambda x: regexp_matches(trim(x, ' '), '^(//|#|[*]|<!--)'))) - len(list_filter(a, lambda x: trim(x, ' ') = '')))::INTEGER AS code FROM (SELECT page_id, string_split(html, chr(10)) AS a FROM pages)")
+def q6_comment_density(spark, sf_dir):
+    return quality.comment_density(t.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), F.col("html").alias("text")))
+
+
+@query(f"WITH {t.CTES} SELECT language, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(isAsync::INT), 6) AS async_ratio, round(avg(isStatic::INT), 6) AS static_ratio, round(avg(isExported::INT), 6) AS exported_ratio, round(avg(regexp_matches(filePath, '/test/')::INT), 6) AS test_ratio FROM nodes GROUP BY language")
+def a3_language_share(spark, sf_dir):
+    total = F.sum(F.count("*")).over(_everything())
+    ratio = lambda c: F.round(F.avg(c.cast("int")), 6)
+    return t.nodes(spark, sf_dir).groupBy("language").agg(
+        F.count("*").alias("n"), F.round(F.count("*") / total, 6).alias("share"), ratio(F.col("isAsync")).alias("async_ratio"), ratio(F.col("isStatic")).alias("static_ratio"),
+        ratio(F.col("isExported")).alias("exported_ratio"), ratio(F.contains("filePath", F.lit("/test/"))).alias("test_ratio"),
+    )
+
+
+def _everything():
+    from pyspark.sql import Window
+
+    return Window.partitionBy()
