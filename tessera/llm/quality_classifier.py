@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,6 +67,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % FOLDS == 0
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), "<i8")
+
+
 def _count(sample_under: int):
     """Counts by class for blocks of places, and the sampled rows' places."""
 
@@ -82,9 +91,9 @@ def _count(sample_under: int):
                     kept.append((y, u, x.astype("<i4").tobytes()))
         if sum(n):
             blocks = list(range(PLACES // _BLOCK))
-            neg, pos = ([counts[c, b * _BLOCK : (b + 1) * _BLOCK].astype("<i8").tobytes() for b in blocks] for c in (0, 1))
+            neg, pos = ([_packed(counts[c, b * _BLOCK : (b + 1) * _BLOCK]) for b in blocks] for c in (0, 1))
             yield _rows(blocks, [0] * len(blocks), [0] * len(blocks), neg, pos)
-            yield _rows([-1], [n[0]], [n[1]], [b""], [b""])
+            yield _rows([-1], [n[0]], [n[1]], [_packed(np.zeros(0, np.int64))], [_packed(np.zeros(0, np.int64))])
         if kept:
             y, u, x = zip(*kept, strict=True)
             yield _rows([-2] * len(y), y, u, x, [b""] * len(y))
@@ -103,10 +112,10 @@ def _sum_blocks(batches):
             if block == -2:
                 yield _rows([block], [n0], [n1], [a], [b])
                 continue
-            x = [np.array([n0, n1]), np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")]
+            x = [np.array([n0, n1]), _unpacked(a), _unpacked(b)]
             held[block] = [p + q for p, q in zip(held[block], x, strict=True)] if block in held else x
     for block, (n, a, b) in held.items():
-        yield _rows([block], [int(n[0])], [int(n[1])], [a.astype("<i8").tobytes()], [b.astype("<i8").tobytes()])
+        yield _rows([block], [int(n[0])], [int(n[1])], [_packed(a)], [_packed(b)])
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: np.ndarray, rounds: int = 25, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -191,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     y = y.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("int").alias("quality"))
     fine = 1_000_000
     under = min(fine, -(-max_fit * fine // max(1, y.count())))
-    train = docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("_id")).select("text", "quality", F.pmod(F.xxhash64("doc_id"), F.lit(fine)).alias("u"))
+    train = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").hint("merge")  # one way at every size: labels grow with the documents
+    train = train.join(y.hint("merge"), F.col("doc_id") == F.col("_id")).select("text", "quality", F.pmod(F.xxhash64("doc_id"), F.lit(fine)).alias("u"))
     schema = "block int, n0 long, n1 long, a binary, b binary"
     found = train.mapInArrow(_count(under), schema).repartition(F.when(F.col("block") >= -1, F.col("block")).otherwise(F.pmod("n1", F.lit(64)) - 100)).mapInArrow(_sum_blocks, schema).collect()
     counts, n, sample = np.zeros((2, PLACES)), np.zeros(2), []
@@ -201,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
         elif r.block == -1:
             n += [r.n0, r.n1]
         else:
-            counts[:, r.block * _BLOCK : (r.block + 1) * _BLOCK] += [np.frombuffer(r.a, "<i8"), np.frombuffer(r.b, "<i8")]
+            counts[:, r.block * _BLOCK : (r.block + 1) * _BLOCK] += [_unpacked(r.a), _unpacked(r.b)]
     sample.sort(key=lambda s: (s[0], s[1], s[2].tobytes()))  # the same model from the same rows, however they came
     return learn(counts, n, [(label, x) for _, label, x in sample])
 
