@@ -15,15 +15,16 @@ def components(edges: DataFrame) -> DataFrame:
     doubling, and the edges between the ends go on. Ends are local minima, so rounds are few; each is checkpointed.
     """
     edges = edges.where("a <> b")
-    live = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    live = cut(edges.select(both.alias("e")).select("e.*").distinct())
     labels = None
     while not live.isEmpty():
         point = cut(live.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
-        while True:
-            ends = point.select(F.col("node").alias("to"), F.col("to").alias("further"))
-            further = cut(point.join(ends, "to").select("node", "to", "further"))
-            point = further.select("node", F.col("further").alias("to"))
-            if further.where("to <> further").isEmpty():
+        while True:  # two steps at a time
+            step, again = (point.select(F.col("node").alias(x), F.col("to").alias(y)) for x, y in (("to", "second"), ("second", "third")))
+            further = cut(point.join(step, "to").join(again, "second").select("node", "second", "third"))
+            point = further.select("node", F.col("third").alias("to"))
+            if further.where("second <> third").isEmpty():
                 break
         if labels is None:
             labels = point.select("node", F.col("to").alias("label"))

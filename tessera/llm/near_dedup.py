@@ -218,7 +218,7 @@ def candidate_edges(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = nodes.select("digest", F.explode("bands").alias("key"))
     shared = rows.select("digest", "key", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1").select("digest", "key")
     full = shared.join(nodes.select("digest", "bits"), "digest").repartition("key").sortWithinPartitions("key", "digest")
-    return full.mapInArrow(_bucket_forest(least_estimate(percent)), _EDGES).distinct()
+    return full.mapInArrow(_bucket_forest(least_estimate(percent)), _EDGES)
 
 
 def exact_edges(docs: DataFrame, nodes: DataFrame, groups_of: DataFrame, percent: int = PERCENT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -240,10 +240,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK,
     all_rows = cut(sketches(docs))
     linkable = all_rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = cut(linkable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
-    groups_of = components(cut(candidate_edges(nodes, percent)))
-    labels = components(cut(exact_edges(docs, nodes, groups_of, percent, block, block_shingles)))
+    groups_of = components(candidate_edges(nodes, percent))
+    labels = components(exact_edges(docs, nodes, groups_of, percent, block, block_shingles))
     named = nodes.select("digest", "doc_id").join(labels, F.col("digest") == F.col("node")).select("digest", "doc_id", "label")
-    named = cut(named)
     least = cut(named.groupBy("label").agg(F.min("doc_id").alias("component_id")))
     linked = named.join(least, "label").select(F.col("digest").alias("_g"), "component_id")
     of = cut(nodes.select("digest", "doc_id").join(linked, F.col("digest") == F.col("_g"), "left").select(F.col("digest").alias("_g"), F.coalesce("component_id", "doc_id").alias("component_id")))
