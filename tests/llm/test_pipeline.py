@@ -26,3 +26,12 @@ def test_each_stage_takes_effect(spark, tmp_path):
     assert ids("near dedup") == {i for i, *_ in clean} | {300, 301}
     assert ids("mixing") <= ids("near dedup") and ids("packing") == ids("mixing") and len(ids("mixing")) > 40
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at["packing"].count()
+
+
+def test_near_dedup_links_at_four_fifths(spark):
+    words = prose(77, 104).split()
+    copy = [f"changed{i}" if i in (35, 70) else w for i, w in enumerate(words)]
+    shingles = [{tuple(w[i : i + 5]) for i in range(100)} for w in (words, copy)]
+    assert 0.8 <= len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]) < 0.85
+    df = docs(spark, [(1, " ".join(words)), (2, " ".join(copy)), (3, prose(78, 104))])
+    assert {r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()} == {1, 3}
