@@ -51,7 +51,10 @@ def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     open_ = np.ones(rows.shape, kind)
     done = np.zeros((len(queries), len(rows)), kind)
     own = query_ids[:, None] == ids[None, :]
-    k_row = min(k, len(rows))
+    by_id = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[:1]] - 1)) if len(ids) else by_id
+    per_id = (lambda x: x) if len(first) == len(ids) else (lambda x: np.maximum.reduceat(x[:, by_id], first, axis=1))  # an id's rows count once
+    k_row = min(k, len(first))
     levels = np.unique(impact)[::-1]
     possible, used = ~own, 0
     for t, level in enumerate(levels):
@@ -65,8 +68,8 @@ def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
         if t % 2 and t < len(levels) - 3:
             continue
         rest = (size @ open_.T) * kind(float(levels[t + 1]) * step + step - 1)
-        lower = np.where(own, -np.inf, done - rest)
-        least = np.partition(lower, len(rows) - k_row, axis=1)[:, len(rows) - k_row] if k_row else lower[:, :0].min(1, initial=np.inf)
+        lower = per_id(np.where(own, -np.inf, done - rest))
+        least = np.partition(lower, len(first) - k_row, axis=1)[:, len(first) - k_row] if k_row else lower[:, :0].min(1, initial=np.inf)
         possible = (done + rest >= least[:, None]) & ~own
         if possible.sum() <= few * len(queries):
             break
@@ -74,7 +77,8 @@ def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
         pass
     if len(levels) and used == len(levels) and len(rows) > k_row:  # every segment is in: done is exact
         exact = np.where(own, -np.inf, done)
-        possible = (exact >= np.partition(exact, len(rows) - k_row, axis=1)[:, len(rows) - k_row][:, None]) & ~own
+        best = per_id(exact)
+        possible = (exact >= np.partition(best, len(first) - k_row, axis=1)[:, len(first) - k_row][:, None]) & ~own
     q, r = np.nonzero(possible)
     scores = np.empty(len(q), np.int64)
     for at in range(0, len(q), 100_000):

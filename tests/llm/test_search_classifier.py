@@ -80,3 +80,15 @@ def test_dual_coordinate_descent_separates():
     y = np.array([1.0, -1.0, 1.0, -1.0])
     w, b = qc.dual_coordinate_descent(rows, values, y, 3, np.full(4, 10.0))
     assert all(y[i] * (w[rows[i]].sum() + b) >= 0.99 for i in range(4))
+
+
+def test_repeated_rows_leave_no_place_unfilled():
+    rng = np.random.default_rng(5)
+    rows, ask = rng.integers(-300, 300, (60, 12)), rng.integers(-300, 300, (1, 12))
+    best = np.argsort(-(ask @ rows.T)[0], kind="stable")
+    for copies in (2, 6):
+        ids = np.concatenate([np.arange(60), np.full(copies - 1, best[0])])
+        full = np.concatenate([rows, np.repeat(rows[best[:1]], copies - 1, axis=0)])
+        q, r, s, _ = topk_search.search_block(ids, full, np.array([1000]), ask, 5, few=0)
+        keep = topk_search._best(q, ids[r], s, 5)
+        assert ids[r[keep]].tolist() == best[:5].tolist()
