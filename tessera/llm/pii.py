@@ -1,8 +1,8 @@
 r"""Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers, and give their places. These are the seeds.
-Every other word that holds a digit or an @ is a candidate. A candidate's or a seed's lexical patterns are its shape
-(digits as 9, letters as a or A) with the word to its left, and with the word to its right. Patterns and instances
+Every other word that holds a digit or an @ is a candidate, and so is every run of digit groups. A candidate's or a seed's lexical patterns are its shape
+(digits as 9, letters as a or A; for all words with an @ the same) with the word to its left, and with the word to its right. Patterns and instances
 (the distinct strings) form a graph for each kind: a pattern's score is the smoothed share of its instances' scores, an
 instance's score is that of a noisy or over its patterns. Scores are passed back and forth a few times; seeds stay at
 1. A pattern counts only with enough distinct seeds. Instances that end with a high score, and are no seeds, become new
@@ -33,10 +33,13 @@ PATTERNS = {
 }
 #: What a text must contain for a pattern to be tried.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+_GROUP = r"[+(]*+[0-9][0-9().-]*+"
+#: Digit groups parted by single spaces, two at least.
+RUN = rf"(?<![^{SPACE}])(?:{_GROUP}\x20(?={_GROUP}[,;:!?]*+(?![^{SPACE}])))++{_GROUP}"
 WORD = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 
 ROUNDS, MIN_SEEDS, SMOOTH, ACCEPT = 3, 5, 2.0, 0.9
-#: Shortest candidate, in letters and digits, and the digits it must have.
+#: Shortest candidate, in letters and digits, and the digits it must have if it has no @.
 MIN_CORE, MIN_DIGITS = 7, 5
 
 
@@ -59,7 +62,7 @@ def _passes(kind: str) -> str:
 
 def _found(text: Column, kind: str) -> tuple[Column, Column]:
     """All matches, and the texts between them."""
-    pattern = PATTERNS.get(kind, WORD)
+    pattern = (PATTERNS | {"word": WORD, "run": RUN})[kind]
     some = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9@]" if kind == "word" else "[0-9]")
     matches = F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     gaps = F.when(some, F.split(text, pattern, -1)).otherwise(F.array(text))
@@ -78,16 +81,20 @@ def _placed(matches: str, gaps: str) -> str:
 def annotated(docs: DataFrame) -> DataFrame:
     """(row, doc_id, base, words): base spans (start, kind, end, m) by start, and words with a digit or @ (start, end, m, left, right, kind)."""
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    kinds = (*KINDS, "word")
+    kinds = (*KINDS, "word", "run")
     for k in kinds:
         matches, gaps = _found(F.col("text"), k)
         d = d.withColumns({f"{k}_m": matches, f"{k}_g": gaps})
-    d = d.select("row", "doc_id", *(F.col(f"{k}_m") for k in kinds), F.expr(f"transform(word_g, g -> regexp_extract(substring(g, -40), r'([^{SPACE}]++)[{SPACE}]*+$', 1))").alias("left_w"), F.expr(f"transform(word_g, g -> regexp_extract(substring(g, 1, 40), r'^[{SPACE}]*+([^{SPACE}]++)', 1))").alias("right_w"), *(F.expr(_placed(f"{k}_m", f"{k}_g")).alias(f"{k}_p") for k in kinds))
+    around = [
+        F.expr(f"transform({k}_g, g -> regexp_extract({part}, r'{pattern}', 1))").alias(f"{k}_{side}")
+        for k in ("word", "run") for side, part, pattern in (("left", "substring(g, -40)", f"([^{SPACE}]++)[{SPACE}]*+$"), ("right", "substring(g, 1, 40)", f"^[^{SPACE}]*+[{SPACE}]++([^{SPACE}]++)" if k == "run" else f"^[{SPACE}]*+([^{SPACE}]++)"))
+    ]
+    d = d.select("row", "doc_id", *(F.col(f"{k}_m") for k in kinds), *around, *(F.expr(_placed(f"{k}_m", f"{k}_g")).alias(f"{k}_p") for k in kinds))
     base = [F.expr(f"transform(filter({k}_p, p -> {_passes(k).replace('m,', 'p.m,').replace('(m', '(p.m')}), p -> struct(p.start AS start, {i} AS kind, p.end AS end, p.m AS m))") for i, k in enumerate(KINDS)]
     d = d.withColumn("base", F.array_sort(F.concat(*base)))
     kind = "coalesce(get(filter(base, b -> b.start < w.end AND b.end > w.start), 0).kind, -1)"
-    words = f"transform(word_p, (w, i) -> struct(w.start AS start, w.end AS end, w.m AS m, lower(get(left_w, i)) AS left, lower(get(right_w, i + 1)) AS right, {kind} AS kind))"
-    return d.select("row", "doc_id", "base", F.expr(words).alias("words"))
+    words = [f"transform({k}_p, (w, i) -> struct(w.start AS start, w.end AS end, w.m AS m, lower(get({k}_left, i)) AS left, lower(get({k}_right, i + 1)) AS right, {kind} AS kind))" for k in ("word", "run")]
+    return d.select("row", "doc_id", "base", F.concat(*map(F.expr, words)).alias("words"))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -95,11 +102,11 @@ def candidates(rows: DataFrame) -> DataFrame:
     w = rows.select("row", F.explode("words").alias("w")).select("row", "w.*")
     core = F.regexp_extract("m", "^[^A-Za-z0-9+(]*+(.*[A-Za-z0-9])", 1)
     w = w.withColumn("instance", core).withColumn("lead", F.instr(F.col("m"), F.col("instance")) - 1)
-    w = w.where((F.length("instance") >= MIN_CORE) & (F.regexp_count("instance", F.lit("[0-9]")) >= MIN_DIGITS))
+    w = w.where((F.length("instance") >= MIN_CORE) & (F.contains("instance", F.lit("@")) | (F.regexp_count("instance", F.lit("[0-9]")) >= MIN_DIGITS)))
     w = w.withColumn("start", (F.col("start") + F.col("lead")).cast("int")).withColumn("end", (F.col("start") + F.length("instance")).cast("int"))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("instance", "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]", "9")
     side = lambda c, mark: F.when(F.col(c).rlike("[a-z]"), F.concat(F.lit(mark), F.col(c)))
-    w = w.withColumn("shape", F.substring(shape, 1, 60))
+    w = w.withColumn("shape", F.when(F.contains("instance", F.lit("@")), "@").otherwise(F.substring(shape, 1, 60)))
     sides = F.filter(F.array(side("left", "<"), side("right", ">")), lambda x: x.isNotNull())
     return w.select("row", "start", "end", "instance", "kind", F.explode(F.transform(sides, lambda s: F.concat(s, F.lit(" "), F.col("shape")))).alias("pattern"))
 
@@ -128,7 +135,8 @@ def spans(docs: DataFrame, **options) -> DataFrame:
     hits = found.where("kind < 0").drop("kind").join(new, ["instance", "pattern"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("more"))
     slim = rows.select("row", "doc_id", F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"))).alias("base"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return slim.join(hits, "row", "left").withColumn("more", F.coalesce("more", none))
+    whole = F.expr("filter(more, x -> NOT exists(more, y -> y.start <= x.start AND y.end >= x.end AND y.end - y.start > x.end - x.start))")  # not a run's last group
+    return slim.join(hits.withColumn("more", whole), "row", "left").withColumn("more", F.coalesce("more", none))
 
 
 def written(spans_: Column) -> Column:

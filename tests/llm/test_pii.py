@@ -55,3 +55,16 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     assert got[100].spans == f"card:{at}:{at + 16}" and got[100].n_card == 0 and got[100].n_discovered == 1
     assert got[101].spans == "" and got[102].spans == "" and got[0].n_card == 1
     assert pii.digests(docs(spark, [])).collect() == []
+
+
+def test_spaced_numbers_and_addresses_are_found_whole(spark):
+    rng = random.Random(2)
+    spaced = lambda c: " ".join(c[i : i + 4] for i in range(0, 16, 4))
+    rows = [(i, f"{prose(i, 8)} card {spaced(valid_card(rng))} expires soon") for i in range(40)]
+    rows += [(100 + i, f"{prose(i, 8)} mail hein.{i}@mail5.example.com today please") for i in range(40)]
+    bad = next(c for c in (valid_card(rng)[:-1] + str(d) for d in range(10)) if not luhn(c))
+    rows += [(200, f"pay by card {spaced(bad)}, expires may"), (201, "please mail jos\u00e9@mail5 today again")]
+    got = {r.doc_id: r for r in pii.digests(docs(spark, rows)).collect()}
+    for i, kind, what in ((200, "card", spaced(bad)), (201, "email", "jos\u00e9@mail5")):
+        at = dict(rows)[i].index(what)
+        assert got[i].spans == f"{kind}:{at}:{at + len(what)}" and got[i].n_discovered == 1
