@@ -1,12 +1,13 @@
 r"""Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers, and give their places. These are the seeds.
-Every other word that holds a digit or an @ is a candidate, and so is every run of digit groups. A candidate's or a seed's lexical patterns are its shape
-(digits as 9, letters as a or A; for all words with an @ the same) with the word to its left, and with the word to its right. Patterns and instances
-(the distinct strings) form a graph for each kind: a pattern's score is the smoothed share of its instances' scores, an
-instance's score is that of a noisy or over its patterns. Scores are passed back and forth a few times; seeds stay at
-1. A pattern counts only with enough distinct seeds. Instances that end with a high score, and are no seeds, become new
-spans wherever one of their patterns has them.
+Every other word that holds a digit or an @ is a candidate, and so is every run of digit groups. Lexical patterns are
+induced from contexts: the word to the left, or to the right, with the shape in the slot (digits as 9, letters as a or
+A; for all words with an @ the same), and once more with a wider slot, in which runs of digits of any length are alike.
+Patterns and instances (the distinct strings) form a graph. In each round a pattern that holds enough known instances of
+a kind is trusted by their share among all its instances; a candidate's score joins its best pattern of either side by a
+noisy or. Candidates of a high score become known, so that in the next round their other contexts induce new patterns,
+until a round finds nothing new. Known instances that are no seeds become new spans wherever a trusted pattern has them.
 
 The places of a kind's matches come from the lengths of the matches and of the texts between them. The Java patterns
 are the contract's, written so that no input makes them backtrack: runs are possessive, and a match can only start at
@@ -38,7 +39,10 @@ _GROUP = r"[+(]*+[0-9][0-9().-]*+"
 RUN = rf"(?<![^{SPACE}])(?:{_GROUP}\x20(?={_GROUP}[,;:!?]*+(?![^{SPACE}])))++{_GROUP}"
 WORD = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 
-ROUNDS, MIN_SEEDS, SMOOTH, ACCEPT = 3, 5, 2.0, 0.9
+#: Known instances that a pattern needs, what is added to its instances' number, and the score that makes a candidate known.
+MIN_KNOWN, SMOOTH, ACCEPT = 5, 1.0, 0.9
+#: Matches whose ends are summed up at a time, and the longest shape that is kept as it is (others by their digest).
+BLOCK, LONG_SHAPE = 256, 60
 #: Shortest candidate, in letters and digits, and the digits it must have if it has no @.
 MIN_CORE, MIN_DIGITS = 7, 5
 
@@ -70,12 +74,18 @@ def _found(text: Column, kind: str) -> tuple[Column, Column]:
 
 
 def _placed(matches: str, gaps: str) -> str:
-    """array<struct<m, start, end>> of matches, in code points."""
-    ends = (
-        f"aggregate(zip_with(transform(slice({gaps}, 1, size({matches})), g -> length(g)), transform({matches}, m -> length(m)), (g, n) -> struct(g, n)), "
-        "struct(0 AS at, array() :: array<int> AS ends), (s, x) -> struct(s.at + x.g + x.n AS at, array_append(s.ends, s.at + x.g + x.n) AS ends), s -> s.ends)"
-    )
-    return f"zip_with({matches}, {ends}, (m, e) -> struct(m, e - length(m) AS start, e AS end))"
+    """array<struct<m, start, end>> of matches, in code points. Ends are summed up in blocks of matches, then over blocks."""
+    lengths = f"zip_with(transform(slice({gaps}, 1, size({matches})), g -> length(g)), transform({matches}, m -> length(m)), (g, n) -> g + n)"
+    blocks = f"transform(sequence(0, (size({matches}) - 1) div {BLOCK}), b -> slice({lengths}, b * {BLOCK} + 1, {BLOCK}))"
+    ends = "struct(0 AS at, array() :: array<int> AS ends)"
+    inner = f"transform({blocks}, x -> aggregate(x, {ends}, (s, n) -> struct(s.at + n AS at, array_append(s.ends, s.at + n) AS ends)))"
+    outer = f"aggregate({inner}, {ends}, (s, i) -> struct(s.at + i.at AS at, concat(s.ends, transform(i.ends, e -> e + s.at)) AS ends), s -> s.ends)"
+    return f"CASE WHEN size({matches}) = 0 THEN array() ELSE zip_with({matches}, {outer}, (m, e) -> struct(m, e - length(m) AS start, e AS end)) END"
+
+
+def _last_word(gap: str) -> str:
+    blanks = r"\t\n\u000b\f\r"
+    return f"substring_index(rtrim(translate({gap}, '{blanks}', '     ')), ' ', -1)"
 
 
 def annotated(docs: DataFrame) -> DataFrame:
@@ -85,10 +95,9 @@ def annotated(docs: DataFrame) -> DataFrame:
     for k in kinds:
         matches, gaps = _found(F.col("text"), k)
         d = d.withColumns({f"{k}_m": matches, f"{k}_g": gaps})
-    around = [
-        F.expr(f"transform({k}_g, g -> regexp_extract({part}, r'{pattern}', 1))").alias(f"{k}_{side}")
-        for k in ("word", "run") for side, part, pattern in (("left", "substring(g, -40)", f"([^{SPACE}]++)[{SPACE}]*+$"), ("right", "substring(g, 1, 40)", f"^[^{SPACE}]*+[{SPACE}]++([^{SPACE}]++)" if k == "run" else f"^[{SPACE}]*+([^{SPACE}]++)"))
-    ]
+    right = {"word": f"^[{SPACE}]*+([^{SPACE}]++)", "run": f"^[^{SPACE}]*+[{SPACE}]++([^{SPACE}]++)"}  # a run may end within a word
+    around = [F.expr(f"transform({k}_g, g -> {_last_word('g')})").alias(f"{k}_left") for k in right]
+    around += [F.expr(f"transform({k}_g, g -> regexp_extract(g, r'{p}', 1))").alias(f"{k}_right") for k, p in right.items()]
     d = d.select("row", "doc_id", *(F.col(f"{k}_m") for k in kinds), *around, *(F.expr(_placed(f"{k}_m", f"{k}_g")).alias(f"{k}_p") for k in kinds))
     base = [F.expr(f"transform(filter({k}_p, p -> {_passes(k).replace('m,', 'p.m,').replace('(m', '(p.m')}), p -> struct(p.start AS start, {i} AS kind, p.end AS end, p.m AS m))") for i, k in enumerate(KINDS)]
     d = d.withColumn("base", F.array_sort(F.concat(*base)))
@@ -98,33 +107,43 @@ def annotated(docs: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(row, start, end, instance, kind, pattern): each candidate and seed word's patterns; kind -1 for candidates."""
+    """(row, start, end, instance, kind, side, pattern): each candidate and seed word's patterns; kind -1 for candidates."""
     w = rows.select("row", F.explode("words").alias("w")).select("row", "w.*")
     core = F.regexp_extract("m", "^[^A-Za-z0-9+(]*+(.*[A-Za-z0-9])", 1)
     w = w.withColumn("instance", core).withColumn("lead", F.instr(F.col("m"), F.col("instance")) - 1)
     w = w.where((F.length("instance") >= MIN_CORE) & (F.contains("instance", F.lit("@")) | (F.regexp_count("instance", F.lit("[0-9]")) >= MIN_DIGITS)))
     w = w.withColumn("start", (F.col("start") + F.col("lead")).cast("int")).withColumn("end", (F.col("start") + F.length("instance")).cast("int"))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("instance", "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]", "9")
-    side = lambda c, mark: F.when(F.col(c).rlike("[a-z]"), F.concat(F.lit(mark), F.col(c)))
-    w = w.withColumn("shape", F.when(F.contains("instance", F.lit("@")), "@").otherwise(F.substring(shape, 1, 60)))
-    sides = F.filter(F.array(side("left", "<"), side("right", ">")), lambda x: x.isNotNull())
-    return w.select("row", "start", "end", "instance", "kind", F.explode(F.transform(sides, lambda s: F.concat(s, F.lit(" "), F.col("shape")))).alias("pattern"))
-
-
-def discover(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, smooth: float = SMOOTH, accept: float = ACCEPT) -> DataFrame:
-    """(instance, kind, pattern): unseen instances of high score, with the patterns that hold them."""
-    edges = cut(found.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")))
-    kinds = edges.where("seed >= 0").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    kinds = cut(kinds)
-    graph = cut(edges.join(kinds, "pattern").select("pattern", "kind", "instance", F.when(F.col("seed") == F.col("kind"), 1.0).when(F.col("seed") >= 0, 0.0).alias("known"), F.lit(0.0).alias("score")))
-    for _ in range(rounds):
-        scores = graph.groupBy("pattern", "kind").agg((F.sum(F.coalesce("known", "score")) / (F.count("*") + smooth)).alias("trust"))
-        scores = cut(scores)
-        links = graph.drop("score").join(scores, ["pattern", "kind"])
-        doubt = links.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("score"))
-        doubt = cut(doubt)
-        graph = cut(graph.drop("score").join(doubt, ["instance", "kind"]).select("pattern", "kind", "instance", "known", "score"))
-    return graph.where(F.col("known").isNull() & (F.col("score") >= accept)).select("instance", "kind", "pattern")
+    kept = lambda c: F.when(F.length(c) > LONG_SHAPE, F.md5(c.cast("binary"))).otherwise(c)
+    is_address = F.contains("instance", F.lit("@"))
+    w = w.withColumn("slot", F.when(is_address, "@").otherwise(kept(shape))).withColumn("wide", F.when(is_address, "@").otherwise(kept(F.concat(F.lit("~"), F.regexp_replace(shape, "9+", "9")))))
+    sides = [F.when(F.col(c).rlike("[a-z]"), F.struct(F.lit(c).alias("side"), F.concat(F.lit(mark), F.col(c), F.lit(" "), F.col(slot)).alias("pattern"))) for c, mark in (("left", "<"), ("right", ">")) for slot in ("slot", "wide")]
+    x = F.explode(F.array_distinct(F.filter(F.array(*sides), lambda x: x.isNotNull())))
+    return w.select("row", "start", "end", "instance", "kind", x.alias("x")).select("row", "start", "end", "instance", "kind", "x.side", "x.pattern")
+
+
+def discover(found: DataFrame, min_known: int = MIN_KNOWN, smooth: float = SMOOTH, accept: float = ACCEPT) -> DataFrame:
+    """(instance, kind, pattern): unseen instances that became known, with the trusted patterns that hold them."""
+    edges = cut(found.groupBy("side", "pattern", "instance").agg(F.max("kind").alias("seed")))
+    known, seeds = None, edges.select("instance", "seed").where("seed >= 0").groupBy("instance").agg(F.max("seed").alias("label"))
+    labelled = cut(edges.join(seeds, "instance", "left").select("side", "pattern", "instance", F.coalesce("label", F.lit(-1)).alias("label")))
+    while True:
+        n = labelled.groupBy("side", "pattern").agg(F.count("*").alias("n"), *(F.count_if(F.col("label") == i).alias(f"k{i}") for i in range(len(KINDS))))
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"k{i}").alias("known")) for i in range(len(KINDS)))))
+        trust = n.select("side", "pattern", "n", each.alias("x")).where(F.col("x.known") >= min_known)
+        trust = cut(trust.select("side", "pattern", "x.kind", (F.col("x.known") / (F.col("n") + smooth)).alias("trust")))
+        links = labelled.where("label < 0").join(trust, ["side", "pattern"])
+        best = links.groupBy("instance", "kind", "side").agg(F.max("trust").alias("t"))
+        scores = best.groupBy("instance", "kind").agg((1 - F.product(1 - F.col("t"))).alias("score")).where(F.col("score") >= accept)
+        new = cut(scores.groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("label")))
+        if new.isEmpty():
+            break
+        known = new if known is None else known.unionAll(new)
+        labelled = cut(labelled.join(new.withColumnRenamed("label", "_new"), "instance", "left").select("side", "pattern", "instance", F.when(F.col("label") >= 0, F.col("label")).otherwise(F.coalesce("_new", F.lit(-1))).alias("label")))
+    if known is None:
+        return edges.select("instance", F.lit(0).alias("kind"), "pattern").limit(0)
+    held = edges.select("instance", "pattern").join(known, "instance").join(trust.select("pattern", "kind"), "pattern")
+    return held.where("label = kind").select("instance", "kind", "pattern").distinct()
 
 
 def spans(docs: DataFrame, **options) -> DataFrame:
@@ -132,7 +151,7 @@ def spans(docs: DataFrame, **options) -> DataFrame:
     rows = cut(annotated(docs))
     found = candidates(rows)
     new = cut(discover(found, **options))
-    hits = found.where("kind < 0").drop("kind").join(new, ["instance", "pattern"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("more"))
+    hits = found.where("kind < 0").drop("kind", "side").join(new, ["instance", "pattern"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("more"))
     slim = rows.select("row", "doc_id", F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"))).alias("base"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     whole = F.expr("filter(more, x -> NOT exists(more, y -> y.start <= x.start AND y.end >= x.end AND y.end - y.start > x.end - x.start))")  # not a run's last group

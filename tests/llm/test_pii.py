@@ -68,3 +68,41 @@ def test_spaced_numbers_and_addresses_are_found_whole(spark):
     for i, kind, what in ((200, "card", spaced(bad)), (201, "email", "jos\u00e9@mail5")):
         at = dict(rows)[i].index(what)
         assert got[i].spans == f"{kind}:{at}:{at + len(what)}" and got[i].n_discovered == 1
+
+
+def invalid_card(rng):
+    head = valid_card(rng)[:-1]
+    return next(head + str(d) for d in range(10) if not luhn(head + str(d)))
+
+
+def test_known_instances_induce_new_patterns(spark):
+    """Two hops: unseen numbers beside seeds' words become known, and so do others beside words that only those have."""
+    rng = random.Random(3)
+    hop, far, decoy = [invalid_card(rng) for _ in range(12)], [invalid_card(rng) for _ in range(3)], [invalid_card(rng) for _ in range(20)]
+    rows = [(i, f"{prose(i, 8)} card {valid_card(rng)} expires soon") for i in range(40)]
+    rows += [(100 + i, f"{prose(100 + i, 5)} card {c} expires {prose(i, 3)} account {c} closed today") for i, c in enumerate(hop)]
+    rows += [(200 + i, f"{prose(200 + i, 5)} account {c} closed today") for i, c in enumerate(far)]
+    rows += [(300 + i, f"{prose(300 + i, 5)} parcel {c} left yesterday") for i, c in enumerate(decoy)]
+    got = {r.doc_id: r.spans for r in pii.digests(docs(spark, rows)).collect()}
+    text = dict(rows)
+    for i, c in list(enumerate(hop, 100)) + list(enumerate(far, 200)):
+        at = text[i].rindex(c)
+        assert f"card:{at}:{at + 16}" in got[i].split(",")
+    assert all(got[300 + i] == "" for i in range(20))  # precision: no pattern of a parcel is ever trusted
+
+
+def test_contexts_are_read_whole(spark):
+    rng = random.Random(4)
+    blanks, word = " " * 60, "w" * 70
+    rows = [(i, f"{prose(i, 4)} {word}x{blanks}{valid_card(rng)}{blanks}{word}y end") for i in range(40)]
+    bad, other = invalid_card(rng), invalid_card(rng)
+    rows += [(100, f"see {word}x{blanks}{bad}{blanks}{word}y end"), (101, f"see {word}z{blanks}{other}{blanks}{word}q end")]
+    got = {r.doc_id: r.spans for r in pii.digests(docs(spark, rows)).collect()}
+    at = dict(rows)[100].index(bad)
+    assert got[100] == f"card:{at}:{at + 16}" and got[101] == ""
+
+
+def test_many_matches_have_their_places(spark):
+    text = " ".join(f"a{i}@b.c" for i in range(700))
+    (r,) = pii.digests(docs(spark, [(1, text)])).collect()
+    assert r.n_email == 700 and r.base_sha256 == hashlib.sha256(base(text)[0].encode()).hexdigest()
