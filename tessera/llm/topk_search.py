@@ -1,11 +1,13 @@
 """Exact top-k inner-product search by an impact-ordered index, score at a time.
 
-Rows and queries meet in blocks. A row block is indexed by (component, impact): the posting segments of one impact hold
-the rows whose quantised component magnitude is that impact. Segments are processed by descending impact, all queries
-of the block at once. Before each impact, what the segments still to come can add to a row is bounded by the impact times
-the query's weight on the row's open components. A row stays a possible member while its upper bound reaches the k-th
-best lower bound. Processing stops only when few possible members are left (or no segment is), and those are scored
-anew, exactly, in integers.
+The index is built once. A row block's postings are the components of its quantised vectors; they are put in order of
+descending impact (magnitude, in steps), and the postings of one impact are a segment. Queries meet the blocks in blocks
+of their own. Segments are processed by descending impact, all queries of the block at once, on the rows and components
+that the segment has. Before each impact, what the segments still to come can add to a row is bounded by the impact times
+the query's weight on the row's open components. A row stays a possible member while its upper bound reaches the k-th best
+lower bound, of the block or of the whole index: a first pass over one block of rows gives every query a score that k rows
+reach, so most blocks end early. Processing stops only when few possible members are left (or no segment is), and those
+are scored anew, exactly, in integers.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, nor do rows with a null vec_id.
 Shorter vectors count as filled up with zeros. Rows that repeat a vec_id and give one score are one candidate; a query
@@ -19,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_of
+from .common import cut
+from .near_dedup import groups
 
 K, SCALE, STEP = 5, 256.0, 16
 ROW_BLOCK, QUERY_BLOCK = 2048, 1024
@@ -39,15 +42,28 @@ def quantised(vectors: list) -> np.ndarray:
     return out
 
 
-def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, step: int = STEP, few: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """All possible members of the block's top k (indices of query and row, exact scores), and the impacts processed."""
+def ordered(rows: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings (places in the block, row by row) by descending impact, the impacts, and where each one's segment ends."""
+    impact = (np.abs(rows) // step).ravel()
+    order = np.argsort(-impact, kind="stable")
+    levels, counts = np.unique(impact, return_counts=True)
+    return order, levels[::-1], np.cumsum(counts[::-1])
+
+
+def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K, step: int = STEP, few: int = 32, index=None, reached: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """All possible members of the top k that the block has (indices of query and row, exact scores), and the impacts
+    processed. reached: for each query a score that k rows of the whole index reach."""
     width = max(rows.shape[1], queries.shape[1])
-    rows, queries = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (rows, queries))
+    if rows.shape[1] < width:
+        rows, index = np.pad(rows, ((0, 0), (0, width - rows.shape[1]))), None
+    queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+    order, levels, ends = index or ordered(rows, step)
     largest = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(width, 1)
-    kind = np.float32 if largest < 2**23 else np.float64  # sums stay exact
-    impact = np.abs(rows) // step  # of each posting
-    values, weights = rows.astype(kind), queries.astype(kind)
+    kind = np.float32 if largest < 2**23 else np.float64  # sums stay exact below 2^23 and 2^53; beyond, bounds are widened
+    slack = largest * 2.0**-48 if largest >= 2**53 else 0.0
+    weights = queries.astype(kind)
     size = np.abs(weights)
+    flat, segment = rows.ravel(), np.zeros(rows.shape, kind)
     open_ = np.ones(rows.shape, kind)
     done = np.zeros((len(queries), len(rows)), kind)
     own = query_ids[:, None] == ids[None, :]
@@ -55,30 +71,34 @@ def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     first = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id[:1]] - 1)) if len(ids) else by_id
     per_id = (lambda x: x) if len(first) == len(ids) else (lambda x: np.maximum.reduceat(x[:, by_id], first, axis=1))  # an id's rows count once
     k_row = min(k, len(first))
-    levels = np.unique(impact)[::-1]
-    possible, used = ~own, 0
-    for t, level in enumerate(levels):
-        segment = impact == level
-        some = np.flatnonzero(segment.any(0))
-        done += weights[:, some] @ np.where(segment, values, 0)[:, some].T
-        open_[segment] = 0
+    floor = np.full(len(queries), -np.inf) if reached is None else reached.astype(np.float64)
+
+    def least(lower):
+        """What the k-th best row has at least, here or anywhere."""
+        here = np.partition(per_id(lower), len(first) - k_row, axis=1)[:, len(first) - k_row] if k_row == k else np.full(len(queries), -np.inf)
+        return np.maximum(here, floor)[:, None]
+
+    possible, used, start = ~own, 0, 0
+    for t, end in enumerate(ends.tolist()):
+        places = order[start:end]
+        start = end
+        r, c = np.divmod(places, width) if width else (places, places)
+        some_r, some_c = np.unique(r), np.unique(c)
+        segment[r, c] = flat[places]
+        done[:, some_r] += weights[:, some_c] @ segment[np.ix_(some_r, some_c)].T
+        segment[r, c] = 0
+        open_[r, c] = 0
         used += 1
-        if level == 0 or t + 1 == len(levels):
+        if levels[t] == 0 or t + 1 == len(levels):
             break
         if t % 2 and t < len(levels) - 3:
             continue
-        rest = (size @ open_.T) * kind(float(levels[t + 1]) * step + step - 1)
-        lower = per_id(np.where(own, -np.inf, done - rest))
-        least = np.partition(lower, len(first) - k_row, axis=1)[:, len(first) - k_row] if k_row else lower[:, :0].min(1, initial=np.inf)
-        possible = (done + rest >= least[:, None]) & ~own
+        rest = (size @ open_.T).astype(np.float64) * (float(levels[t + 1]) * step + step - 1) + slack
+        possible = (done + rest >= least(np.where(own, -np.inf, done - rest))) & ~own
         if possible.sum() <= few * len(queries):
             break
-    else:
-        pass
-    if len(levels) and used == len(levels) and len(rows) > k_row:  # every segment is in: done is exact
-        exact = np.where(own, -np.inf, done)
-        best = per_id(exact)
-        possible = (exact >= np.partition(best, len(first) - k_row, axis=1)[:, len(first) - k_row][:, None]) & ~own
+    if len(levels) and used == len(levels) and not slack:  # every segment is in: done is exact
+        possible = (done >= least(np.where(own, -np.inf, done))) & ~own
     q, r = np.nonzero(possible)
     scores = np.empty(len(q), np.int64)
     for at in range(0, len(q), 100_000):
@@ -98,44 +118,68 @@ def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndar
     return order[np.arange(len(q)) - first < k]
 
 
+def _build(batches):
+    """A row block's vectors as one record of the index."""
+    for (rb,), held in groups(batches, ["rb"], ["vec_id", "embedding"]):
+        ids, rows = np.array([i for i, _ in held], np.int64), quantised([v for _, v in held])
+        order, levels, ends = ordered(rows)
+        parts = [ids, rows, order.astype(np.uint32), levels, ends]
+        kinds = [pa.binary()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array([rb], pa.int32()), pa.array([rows.shape[1]], pa.int32()), *(pa.array([x.tobytes()], k) for x, k in zip(parts, kinds, strict=True))], _INDEX_NAMES)
+
+
+_INDEX = "rb int, width int, ids binary, vectors binary, postings binary, levels binary, ends binary"
+_INDEX_NAMES = [x.split()[0] for x in _INDEX.split(", ")]
+
+
 def _search(k: int):
-    def one(held):
-        rows = [(i, v) for is_query, i, v in held if not is_query]
-        asks = [(i, v) for is_query, i, v in held if is_query]
-        if not rows or not asks:
-            return None
-        ids, query_ids = (np.array([i for i, _ in x], np.int64) for x in (rows, asks))
-        q, r, scores, _ = search_block(ids, quantised([v for _, v in rows]), query_ids, quantised([v for _, v in asks]), k)
-        keep = _best(q, ids[r], scores, k)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (query_ids[q[keep]], ids[r[keep]], scores[keep])], ["query_id", "vec_id", "score"])
+    """A block of the index (its record comes first) and the queries that met it."""
 
     def run(batches):
-        key, held = None, []
-        for batch in batches:
-            cols = [column_of(batch, c) for c in ("rb", "qb", "is_query", "vec_id", "embedding")]
-            for rb, qb, is_query, i, v in zip(*cols, strict=True):
-                if (rb, qb) != key:
-                    if held and (out := one(held)) is not None:
-                        yield out
-                    key, held = (rb, qb), []
-                held.append((is_query, i, v))
-        if held and (out := one(held)) is not None:
-            yield out
+        for _, held in groups(batches, ["rb", "qb"], ["width", "ids", "vectors", "postings", "levels", "ends", "vec_id", "embedding", "reached"]):
+            block, asks = [h for h in held if h[1] is not None], [h for h in held if h[1] is None]
+            if not block or not asks:
+                continue
+            width, ids, vectors, postings, levels, ends = block[0][:6]
+            ids, levels, ends = (np.frombuffer(x, np.int64) for x in (ids, levels, ends))
+            rows = np.frombuffer(vectors, np.int64).reshape(len(ids), width)
+            query_ids = np.array([h[6] for h in asks], np.int64)
+            reached = np.array([-np.inf if h[8] is None else float(h[8]) for h in asks])
+            q, r, scores, _ = search_block(ids, rows, query_ids, quantised([h[7] for h in asks]), k, index=(np.frombuffer(postings, np.uint32).astype(np.int64), levels, ends), reached=reached)
+            keep = _best(q, ids[r], scores, k)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (query_ids[q[keep]], ids[r[keep]], scores[keep])], ["query_id", "vec_id", "score"])
 
     return run
 
 
+def build_index(vectors: DataFrame, row_block: int = ROW_BLOCK) -> tuple[DataFrame, int]:
+    """The index of vectors (vec_id, embedding), a record a block, and its number of blocks."""
+    n = max(1, -(-vectors.count() // row_block))
+    rows = vectors.select(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n)).cast("int").alias("rb"), "vec_id", "embedding")
+    return cut(rows.repartition("rb").sortWithinPartitions("rb").mapInArrow(_build, _INDEX)), n
+
+
+def _asked(index: DataFrame, asks: DataFrame, blocks, qbs: int, k: int) -> DataFrame:
+    """What blocks (a column of their numbers) of the index have for the queries (qb, vec_id, embedding, reached)."""
+    none = lambda t: F.lit(None).cast(t)
+    left = index.select("rb", F.explode(F.sequence(F.lit(0), F.lit(qbs - 1))).alias("qb"), *_INDEX_NAMES[1:], none("long").alias("vec_id"), none("array<double>").alias("embedding"), none("long").alias("reached"))
+    right = asks.select(F.explode(blocks).alias("rb"), "qb", *(none(t.split()[1]).alias(t.split()[0]) for t in _INDEX.split(", ")[1:]), "vec_id", "embedding", "reached")
+    return left.union(right).repartition("rb", "qb").sortWithinPartitions("rb", "qb").mapInArrow(_search(k), _FOUND)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k rows of the highest integer inner product."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks"))
     v = v.where(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
-    n_rows, n_asks = v.agg(F.count("*"), F.count_if("asks")).first()
-    rbs, qbs = max(1, -(-n_rows // row_block)), max(1, -(-n_asks // query_block))
-    rb, qb = (F.pmod(F.xxhash64("vec_id", F.lit(s)), F.lit(n)).cast("int") for s, n in ((1, rbs), (2, qbs)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = v.select(rb.alias("rb"), every(qbs).alias("qb"), F.lit(False).alias("is_query"), "vec_id", "embedding")
-    asks = v.where("asks").dropDuplicates(["vec_id", "embedding"]).select(every(rbs).alias("rb"), qb.alias("qb"), F.lit(True).alias("is_query"), "vec_id", "embedding")
-    met = rows.union(asks).repartition("rb", "qb").sortWithinPartitions("rb", "qb")
-    found = met.mapInArrow(_search(k), _FOUND).distinct()
+    index, n = build_index(v, row_block)
+    asks = v.where("asks").dropDuplicates(["vec_id", "embedding"]).select("vec_id", "embedding")
+    qbs = max(1, -(-asks.count() // query_block))
+    asks = cut(asks.select(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(qbs)).cast("int").alias("qb"), "vec_id", "embedding", F.lit(None).cast("long").alias("reached")))
+    found = cut(_asked(index.where("rb = 0"), asks, F.array(F.lit(0)), qbs, k))  # one block of rows, all queries
+    if n > 1:
+        by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        kth = found.distinct().withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("k_th"))
+        known = asks.join(kth, "vec_id", "left").select("qb", "vec_id", "embedding", F.col("k_th").alias("reached"))
+        found = found.unionAll(_asked(index.where("rb > 0"), known, F.sequence(F.lit(1), F.lit(n - 1)), qbs, k))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -92,3 +92,17 @@ def test_repeated_rows_leave_no_place_unfilled():
         q, r, s, _ = topk_search.search_block(ids, full, np.array([1000]), ask, 5, few=0)
         keep = topk_search._best(q, ids[r], s, 5)
         assert ids[r[keep]].tolist() == best[:5].tolist()
+
+
+def test_a_reached_score_ends_a_block_early():
+    """With what the whole index reaches, a block without members is left after a small share of its postings."""
+    rng = np.random.default_rng(2)
+    rows, asks = rng.integers(-40, 41, (400, 16)), rng.integers(-40, 41, (8, 16))
+    rows[:60] *= 8
+    full = asks @ rows.T
+    best = np.sort(full, axis=1)[:, -5]
+    q, r, s, used = topk_search.search_block(np.arange(60, 400), rows[60:], np.arange(1000, 1008), asks, 5, 4, few=0, reached=best)
+    want = {(i, j) for i in range(8) for j in range(340) if full[i, 60 + j] >= best[i]}
+    assert want <= set(zip(q.tolist(), r.tolist(), strict=True)) and used < len(np.unique(np.abs(rows[60:]) // 4))
+    order, levels, ends = topk_search.ordered(rows, 4)
+    assert ends[-1] == rows.size and (np.diff(levels) < 0).all() and (np.diff(np.abs(rows.ravel()[order]) // 4) <= 0).all()
