@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
 A text becomes indicators of n-grams, hashed to 2^17 places: its words and word pairs in lower case, and one to three
-in a row of its words' shapes (runs of capitals, small letters, digits and marks, and whether a word repeats one of the
+in a row of its words' shapes (runs of capitals, small letters, digits and one mark, this with its length's magnitude, and whether a word repeats one of the
 two before it). Each indicator is scaled by its class log-count ratio, counted over all labelled training rows, and the
 vector brought to length 1. A linear hinge-loss model is fitted by dual coordinate descent on a bounded sample of the
 training rows (`max_fit`, by a hash of doc_id), and its margins become probabilities by a logistic curve fitted on
@@ -39,7 +39,7 @@ _shapes: dict[bytes, int] = {}
 def _shape(word: bytes) -> int:
     got = _shapes.get(word)
     if got is None:
-        marks = [b"A" if m[1] else b"a" if m[2] else b"9" if m[3] else m[4][:3] for m in _PARTS.finditer(word[:64])]
+        marks = [b"A" if m[1] else b"a" if m[2] else b"9" if m[3] else m[5] + b"%d" % len(m[4]).bit_length() for m in _PARTS.finditer(word)]
         got = xxhash.xxh3_64_intdigest(b"".join(marks)) >> 8
         if len(_shapes) >= 200_000:
             _shapes.clear()
