@@ -16,13 +16,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, as spark.checkpoint.dir names it; where that is unset (tests, one machine) a new one."""
+    """The cluster's shared folder, as spark.checkpoint.dir names it. Where that is unset, a new one on this machine if it
+    is the only one (a local master); on a cluster, whose executors wouldn't see it, an error."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not named and sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir: executors of a local cluster have folders of their own")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return sc.getCheckpointDir()
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder through Spark's own file systems, wherever it lies."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and cut its lineage."""
     shared_folder(df.sparkSession)

@@ -164,7 +164,8 @@ def _with_bitmaps(docs: DataFrame, **options) -> tuple[DataFrame, str, str]:
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """docs with the repeated lines gone from text (and n_chars, if there, counted anew); all columns stay.
 
-    A document of which no line is left stays with an empty text.
+    A document of which no line is left stays with an empty text. Null texts stay null; rows with a null doc_id keep all
+    their lines.
     """
     joined, _, bitmap = _with_bitmaps(docs, **options)
     at, columns = joined.columns.index("text"), docs.columns

@@ -123,10 +123,11 @@ def plan(docs: DataFrame, levels: list[Column], weights: list[dict[str, int]], s
 
 def _taken(rows: DataFrame, ends: DataFrame, leaf: str, doc_id: str, seed: int, epoch: str) -> DataFrame:
     small = ends.count() <= MOST_BROADCAST
-    e = ends.select(F.col("leaf").alias("_leaf"), F.col("epochs").alias("_epochs"), F.col("last").alias("_last"))
-    joined = rows.join(F.broadcast(e) if small else e, F.col(leaf) == F.col("_leaf"))
-    partial = (F.col("_last") != "") & (place(F.col(doc_id), F.col("_epochs"), seed) <= F.col("_last"))
-    n = F.col("_epochs") + partial.cast("int")
+    e_leaf, e_epochs, e_last = fresh(rows, "e_leaf", "e_epochs", "e_last")
+    e = ends.select(F.col("leaf").alias(e_leaf), F.col("epochs").alias(e_epochs), F.col("last").alias(e_last))
+    joined = rows.join(F.broadcast(e) if small else e, F.col(leaf) == F.col(e_leaf))
+    partial = (F.col(e_last) != "") & (place(F.col(doc_id), F.col(e_epochs), seed) <= F.col(e_last))
+    n = F.col(e_epochs) + partial.cast("int")
     return joined.where(n > 0).select(*(F.col(c) for c in rows.columns), F.explode(F.sequence(F.lit(0), n - 1)).alias(epoch))
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column_of, cut
+from .common import column_of, cut, fresh
 from .graph import components
 
 WORDS, PERCENT = 5, 85
@@ -252,6 +252,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK,
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without those that have a smaller doc_id in their component."""
-    gone = near_duplicates(docs.select("doc_id", "text"), percent).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """docs without those that have a smaller doc_id in their component; all columns stay. Rows with a null doc_id, or
+    without words (null or empty text), are in no component and stay."""
+    (gone,) = fresh(docs, "gone")
+    out = near_duplicates(docs.select("doc_id", "text"), percent).where("NOT kept").select(F.col("doc_id").alias(gone))
+    return docs.join(out, docs["doc_id"] == F.col(gone), "left_anti")

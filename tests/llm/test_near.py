@@ -52,7 +52,7 @@ def test_components_equal_brute_force(spark, block, volume):
 
 
 def test_keep_one_and_empty(spark):
-    df = docs(spark, [(1, prose(1, 30)), (2, prose(1, 30)), (3, None), (4, None), (None, prose(1, 30))]).withColumn("digest", F.lit("clash"))
+    df = docs(spark, [(1, prose(1, 30)), (2, prose(1, 30)), (3, None), (4, None), (None, prose(1, 30))]).withColumns({c: F.lit("clash") for c in ("digest", "_gone", "gone")})
     got = near_dedup.keep_one(df)
     assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "4", "None"]
     assert near_dedup.near_duplicates(docs(spark, [])).collect() == []
