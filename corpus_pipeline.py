@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from tessera.llm.common import shared_folder
+from tessera.llm.common import discard, shared_folder
 from tessera.llm.queries import MIX_LEVELS, MIX_WEIGHTS
 
 
@@ -44,10 +44,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What a stage returns is written to the cluster's shared folder and read again."""
+    """All stages over documents. What a stage returns is written to the cluster's shared folder and read again; what the
+    stages before it wrote is deleted then. The last stage's input stays, as its rows may be computed from it again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            discard(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
