@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def symbol_diff(old: DataFrame, new: DataFrame, key: str = "name", value: str = "hash") -> DataFrame:
@@ -14,15 +16,50 @@ def symbol_diff(old: DataFrame, new: DataFrame, key: str = "name", value: str =
     return both.withColumn("change", change).where("change IS NOT NULL")
 
 
+KINDS = ("", "created", "modified", "deleted")
+
+
 def collapse(events: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, state): each key's events (kind, ts, id) folded to one; created then deleted leaves nothing.
 
     created+modified is created, modified+deleted is deleted, deleted+created is modified, created+deleted clears, any
-    other pair is the later one.
+    other pair is the later one. Events are dealt in ranges of key and time, so a hot key is several segments; a segment is
+    streamed once and becomes a function from the state before it to the state after, and a key's few segments are composed.
     """
-    rows = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "id", "kind"))).alias("x"))
-    fold = F.aggregate("x", F.lit(""), lambda s, e: next_state(s, e["kind"]))
-    return rows.select(*keys, fold.alias("state")).where("state <> ''")
+    rows = events.select(*keys, "ts", "id", "kind").repartitionByRange(*keys, "ts", "id").sortWithinPartitions(*keys, "ts", "id")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ends", T.MapType(T.StringType(), T.StringType()))])
+    n = len(keys)
+
+    def run(batches):
+        key, head, ends = None, None, None
+        for batch in batches:
+            cols, out = [c.to_pylist() for c in batch.columns], []
+            for row in zip(*cols, strict=True):
+                if head is None or row[:n] != key:
+                    if head is not None:
+                        out.append((*head, list(ends.items())))
+                    key, head, ends = row[:n], row[: n + 2], {k: k for k in KINDS}
+                ends = {k: followed(s, row[-1]) for k, s in ends.items()}
+            yield _segments(out, batch)
+            last = batch
+        if head is not None:
+            yield _segments([(*head, list(ends.items()))], last)
+
+    def _segments(out, batch):
+        cols = list(zip(*out, strict=True)) if out else [[]] * (n + 3)
+        types = [f.type for f in batch.schema][: n + 2] + [pa.map_(pa.string(), pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [*batch.schema.names[: n + 2], "ends"])
+
+    parts = rows.mapInArrow(run, schema).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "id", F.map_entries("ends").alias("e")))).alias("x"))
+    fold = F.aggregate("x", F.lit(""), lambda s, p: F.element_at(F.map_from_entries(p["e"]), s))
+    return parts.select(*keys, fold.alias("state")).where("state <> ''")
+
+
+def followed(state: str, kind: str) -> str:
+    """next_state of Python values."""
+    if state == "created" and kind in ("deleted", "modified"):
+        return "" if kind == "deleted" else "created"
+    return "modified" if state == "deleted" and kind == "created" else kind
 
 
 def next_state(state: Column, kind: Column) -> Column:
@@ -45,11 +82,12 @@ def sessions(events: DataFrame, user: str, ts: str, gap_hours: float) -> DataFra
     return events.withColumn("_new", fresh).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
 
 
-def hotspots(log: DataFrame, half: float = 0.6) -> DataFrame:
-    """(file, n, score): share of the largest count and of the largest number of symbols, weighted half and 1 - half."""
+def hotspots(log: DataFrame, half: float = 0.6, least: float = 0.0) -> DataFrame:
+    """(file, n, score) of at least `least`: share of the largest count and of the largest number of symbols, weighted half
+    and 1 - half."""
     counts = log.groupBy("file").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"))
     most = counts.agg(F.max("n").alias("_n"), F.max("symbols").alias("_s"))
-    return counts.join(F.broadcast(most), F.lit(True)).select("file", "n", (half * F.col("n") / F.col("_n") + (1 - half) * F.col("symbols") / F.col("_s")).alias("score"))
+    return counts.join(F.broadcast(most), F.lit(True)).select("file", "n", (half * F.col("n") / F.col("_n") + (1 - half) * F.col("symbols") / F.col("_s")).alias("score")).where(F.col("score") >= least)
 
 
 def pruned(log: DataFrame, now: str, keep: int, days: int) -> DataFrame:

@@ -2,52 +2,115 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.model import round_half_up
 
-# Fixed values of the estimate: weights of chunks, of costly ASCII marks, of other characters and of CJK ones.
+# What a chunk, a costly mark, another character and a CJK character add to the estimate; the costly marks
+# and the CJK ranges.
 CHUNK, MARK, OTHER, CJK = 1.3, 0.15, 0.5, 2.0
-CHUNKS, MARKS = "[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]", "[-{}()\\[\\]<>:;,.\"'`~!@#$%^&*+=|\\\\/?]".replace("[-{", "[{")
-NON_ASCII, CJKS = "[^\\x00-\\x7F]", "[\\u3000-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uFF00-\\uFFEF]"
+COSTLY_MARKS = r"""[{}()\[\]<>:;,."'`~!@#$%^&*+=|\\/?]"""
+CJKS = r"[\u3000-\u303F\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uFF00-\uFFEF]"
+CHUNKS, NON_ASCII = r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]", r"[^\x00-\x7F]"
 
 
 def estimate_tokens(text: Column) -> Column:
-    """Estimated tokens: weighted counts of word chunks, marks, non-ASCII and CJK characters, rounded; short texts are 1."""
+    """Estimated tokens: weighted counts of word chunks, marks, non-ASCII and CJK characters, rounded; short texts are 1.
+
+    Each kind is counted once. Most texts have no CJK character, which one look at the non-ASCII ones tells.
+    """
     n = lambda p: F.regexp_count(text, F.lit(p))
-    total = n(CHUNKS) * CHUNK + n(MARKS) * MARK + (n(NON_ASCII) - n(CJKS)) * OTHER + n(CJKS) * CJK
-    out = F.when(text.isNull() | (text == ""), 0).when(F.length(text) <= 4, 1).when(n(CHUNKS) == 0, 0)
-    return out.otherwise(F.greatest(F.lit(1), round_half_up(total))).cast("long")
+    counts = F.transform(F.array(F.struct(n(CHUNKS).alias("chunks"), n(COSTLY_MARKS).alias("marks"), F.regexp_replace(text, r"[\x00-\x7F]+", "").alias("wide"))), _weighted)
+    out = F.when(text.isNull() | (text == ""), 0).when(F.length(text) <= 4, 1)
+    return out.otherwise(F.get(counts, F.lit(0))).cast("long")
+
+
+def _weighted(c: Column) -> Column:
+    wide, cjk = F.length(c["wide"]), F.when(c["wide"] == "", 0).otherwise(F.regexp_count(c["wide"], F.lit(CJKS)))
+    total = c["chunks"] * CHUNK + c["marks"] * MARK + (wide - cjk) * OTHER + cjk * CJK
+    return F.when(c["chunks"] == 0, 0).otherwise(F.greatest(F.lit(1), round_half_up(total)))
 
 
 def quarter_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 
 
-# The first rule that holds names the type; (?m) patterns look at every line.
-CONTENT_RULES = (
-    ("diff", "^(diff --git|--- a/|[+]{3} b/|@@\\s+-[0-9]+)"),
-    ("stack_trace", "(?m)^\\s*at\\s+.+[(].+:[0-9]+:[0-9]+[)]|^\\s*File \".+\", line [0-9]+|^\\s+at .+[(].*[.]java:[0-9]+[)]|^Traceback [(]most recent call last[)]|panic:.*goroutine"),
-    ("test_output", "(?m)^(PASS|FAIL|ok|not ok|Tests:)|[0-9]+ (passing|failing|passed|failed)|^(Test Suite|RUNS?|[✓✗✘●])|(PASSED|FAILED|ERROR)\\s+\\[|^={3,}\\s*(FAILURES|ERRORS)\\s*={3,}"),
-    ("build_log", "(?m)^([Ww][Aa][Rr][Nn][Ii][Nn][Gg]|[Ee][Rr][Rr][Oo][Rr]|[Nn][Oo][Tt][Ee])\\s*:|^\\[[0-9]{2}:[0-9]{2}:[0-9]{2}\\]|^>\\s+(tsc|npm|yarn|pnpm|make|cmake|gradle|cargo|go\\s+build)|^(BUILD|COMPILE)\\s+(SUCCEEDED|FAILED)|error TS[0-9]+:"),
-    ("json_data", None),
-    ("config_file", "(?m)^\\[[A-Za-z0-9_.-]+\\]\\s*$|^[A-Za-z0-9_][A-Za-z0-9._-]*\\s*[:=]\\s*"),
-    ("markdown", "(?m)^#{1,6}\\s+.+|^[*]{3,}$|^-{3,}$"),
-    ("source_code", "(?m)^(import|export|from|require|use|using|package|module|function|class|interface|type|enum|const|let|var|def|fn|pub|func|public|private|protected|static|abstract|async)\\s|[{};]\\s*$|^\\s*(//|#|/[*]|[*]|\"\"\")"),
-)
+def _any_line(lines: Column, *tests) -> Column:
+    """Whether any line passes one of the tests."""
+    return F.exists(lines, lambda x: reduce(lambda a, b: a | b, (t(x) for t in tests)))
+
+
+def _starts(*prefixes: str):
+    return lambda x: reduce(lambda a, b: a | b, (F.startswith(x, F.lit(p)) for p in prefixes))
+
+
+def _like(pattern: str):
+    return lambda x: x.rlike(pattern)
+
+
+def _digits_before(*words: str):
+    """A number, a blank and one of the words."""
+    return _like("[0-9] (?:" + "|".join(words) + ")")
+
+
+def _word_first(*words: str):
+    return _like("^(?:" + "|".join(words) + r")\s")
+
+
+def _is_json(t: Column) -> Column:
+    first, last = F.substring(t, 1, 1), F.substring(t, -1, 1)
+    return F.concat(first, last).isin("{}", "[]") & F.try_parse_json(t).isNotNull()
+
+
+#: What a line of a type looks like. A type is the first of these of which any line (of a diff: the first one) has a sign.
+SIGNS = {
+    "diff": {"header": _starts("diff --git", "--- a/", "+++ b/"), "hunk": _like(r"^@@\s+-[0-9]")},
+    "stack_trace": {
+        "frame with line and column": _like(r"^\s*at\s+\S.*\(.*:[0-9]+:[0-9]+\)"), "frame of a .java file": _like(r"^\s+at \S.*\.java:[0-9]+\)"),
+        "frame of a quoted file": _like(r'^\s*File ".+", line [0-9]'), "heading": _starts("Traceback (most recent call last)"), "panic": _like("panic:.*goroutine"),
+    },
+    "test_output": {
+        "verdict first": _starts("PASS", "FAIL", "ok", "not ok", "Tests:", "Test Suite", "RUN"), "mark first": _starts("\u2713", "\u2717", "\u2718", "\u25cf"),
+        "count of results": _digits_before("passing", "failing", "passed", "failed"), "verdict before a bracket": _like(r"(?:PASSED|FAILED|ERROR)\s+\["),
+        "banner": _like(r"^===+\s*(?:FAILURES|ERRORS)\s*==="),
+    },
+    "build_log": {
+        "level first": _like(r"(?i)^(?:error|warning|note)\s*:"), "clock first": _like(r"^\[[0-9][0-9]:[0-9][0-9]:[0-9][0-9]\]"), "result first": _like(r"^(?:BUILD|COMPILE)\s+(?:SUCCEEDED|FAILED)"),
+        "command after a prompt": _like(r"^>\s+(?:tsc|npm|yarn|pnpm|make|cmake|gradle|cargo|go\s+build)"), "numbered compiler error": _like("error TS[0-9]+:"),
+    },
+    "json_data": None,
+    "config_file": {"section": _like(r"^\[[A-Za-z0-9_.-]+\]\s*$"), "key and value": _like(r"^[A-Za-z0-9_][A-Za-z0-9_.-]*\s*[:=]")},
+    "markdown": {"heading": _like(r"^#{1,6}\s+\S"), "rule": _like(r"^(?:\*{3,}|-{3,})$")},
+    "source_code": {
+        "takes or gives names": _word_first("import", "export", "from", "require", "use", "using", "package", "module"),
+        "declares": _word_first("function", "class", "interface", "type", "enum", "const", "let", "var", "def", "fn", "pub", "func"),
+        "modifier": _word_first("public", "private", "protected", "static", "abstract", "async"),
+        "ends a statement or block": _like(r"[{};]\s*$"), "comment": _like(r'^\s*(?://|#|/\*|\*|""")'),
+    },
+}
 
 
 def content_type(text: Column) -> Column:
-    t = F.regexp_replace(text, "^\\s+|\\s+$", "")
-    out = F.when(t.isNull() | (t == ""), "plain_text")
-    for name, pattern in CONTENT_RULES:
-        if pattern is None:
-            bracketed = (F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}"))) | (F.startswith(t, F.lit("[")) & F.endswith(t, F.lit("]")))
-            out = out.when(bracketed & F.try_parse_json(t).isNotNull(), name)
-        else:
-            out = out.when(t.rlike(pattern), name)
-    return out.otherwise("plain_text")
+    """The first of SIGNS' types that a text shows, else plain_text. The text is split once."""
+    stripped = F.transform(F.array(F.regexp_replace(text, r"^\s+|\s+$", "")), lambda t: F.struct(t.alias("t"), F.split(t, "\n", -1).alias("lines")))
+
+    def named(x: Column) -> Column:
+        out = F.when(x["t"] == "", "plain_text")
+        for name, signs in SIGNS.items():
+            if signs is None:
+                out = out.when(_is_json(x["t"]), name)
+            elif name == "diff":
+                first = F.get(x["lines"], F.lit(0))
+                out = out.when(reduce(lambda a, b: a | b, (sign(first) for sign in signs.values())), name)
+            else:
+                out = out.when(_any_line(x["lines"], *signs.values()), name)
+        return out.otherwise("plain_text")
+
+    return F.coalesce(F.get(F.transform(stripped, named), F.lit(0)), F.lit("plain_text"))
 
 
 def within_budget(items: DataFrame, order: list[Column], cost: Column, budget: int, by: list[str] | None = None) -> DataFrame:
@@ -56,33 +119,29 @@ def within_budget(items: DataFrame, order: list[Column], cost: Column, budget: i
     return items.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
 
 
-def greedy_pack(items: DataFrame, budget: int, by: str, limit: int = 1000) -> DataFrame:
-    """(by, id, cost): each group's top `limit` items by score, packed greedily: what overflows and costs over a tenth
-    of the budget is skipped, the first smaller overflow ends the group. items: by, id, score, cost."""
-    top = items.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))).where(F.col("_r") <= limit)
-    rows = top.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_r", "id", "cost"))).alias("x"))
-    fold = f"aggregate(x, struct(0L AS used, false AS over, array() :: array<struct<_r:int,id:bigint,cost:bigint>> AS y), (s, i) -> CASE WHEN s.over THEN s WHEN s.used + i.cost <= {budget} THEN struct(s.used + i.cost AS used, false AS over, array_append(s.y, i) AS y) WHEN i.cost > {budget} / 10 THEN s ELSE struct(s.used AS used, true AS over, s.y AS y) END, s -> s.y)"
-    return rows.select(by, F.explode(F.expr(fold)).alias("i")).select(by, "i.id", "i.cost")
-
-
-def _squeezed(text: Column) -> Column:
-    """Trailing blanks off, runs of empty lines as one."""
-    return F.regexp_replace(F.regexp_replace(text, "(?m)[ \\t]+$", ""), "\n{3,}", "\n\n")
-
-
-def compress(text: Column, kind: Column, level: str) -> Column:
-    """A shorter form of a text by its type: minimal only squeezes blanks; moderate also drops comments and noise lines;
-    aggressive keeps headings, signatures, errors and other key lines."""
-    t = _squeezed(text)
-    if level == "minimal":
-        return t
-    keep = lambda p: F.array_join(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(p)), "\n")
-    drop = lambda p: F.array_join(F.filter(F.split(t, "\n", -1), lambda x: ~x.rlike(p)), "\n")
-    if level == "moderate":
-        out = F.when(kind == "source_code", drop("^\\s*(//|#|[*]|/[*])|^\\s*$")).when(kind == "build_log", keep("(?i)error|warn|fail|succe"))
-        out = out.when(kind == "test_output", keep("(?i)fail|error|pass|tests:")).when(kind == "stack_trace", drop("node_modules|site-packages|internal/"))
-        return out.when(kind == "json_data", F.regexp_replace(t, "\\s+", " ")).when(kind == "config_file", drop("^\\s*[#;]|^\\s*$")).when(kind == "diff", keep("^[-+@]|^diff")).otherwise(t)
-    out = F.when(kind == "source_code", keep("^\\s*(export|import|public|private|class|interface|function|def|fn|func|type|enum|async)\\b")).when(kind == "build_log", keep("(?i)error|fail"))
-    out = out.when(kind == "test_output", keep("(?i)fail|error")).when(kind == "stack_trace", F.array_join(F.slice(F.split(t, "\n", -1), 1, 5), "\n"))
-    out = out.when(kind == "json_data", F.regexp_replace(F.regexp_replace(t, "\\s+", " "), "\"[^\"]{40,}\"", "\"...\"")).when(kind == "markdown", keep("^#{1,6}\\s"))
-    return out.when(kind == "diff", keep("^[-+@]")).when(kind == "config_file", keep("^\\[|[:=]")).otherwise(F.array_join(F.slice(F.split(t, "\n", -1), 1, 20), "\n"))
+def greedy_pack(items: DataFrame, budget: int, by: str) -> DataFrame:
+    """(by, id, cost): each group's items by descending score, packed greedily: what overflows and costs over a tenth of
+    the budget is skipped, the first smaller overflow ends the group. items: by, id, score, cost (positive).
+
+    A group is streamed in order once, in constant memory, and never held as one array.
+    """
+    ordered = items.select(by, "id", F.col("score").cast("double").alias("score"), F.col("cost").cast("long").alias("cost"))
+    schema = f"{ordered.schema[by].simpleString().replace(':', ' ', 1)}, id {ordered.schema['id'].dataType.simpleString()}, cost long"
+
+    def run(batches):
+        group, used, over, started = None, 0, False, False
+        for batch in batches:
+            keep = []
+            for i, (g, cost) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if not started or g != group:
+                    group, used, over, started = g, 0, False, True
+                if over or cost is None:
+                    continue
+                if used + cost <= budget:
+                    used += cost
+                    keep.append(i)
+                elif cost <= budget / 10:
+                    over = True
+            yield batch.take(pa.array(keep, pa.int64())).select([0, 1, 3])
+
+    return ordered.repartition(by).sortWithinPartitions(by, F.desc("score"), "id").mapInArrow(run, schema)

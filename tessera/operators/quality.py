@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values: (severity, rule, pattern) of line rules for insecure code.
 SECURITY_RULES = (
-    ("critical", "hardcoded_password", "(?i)password\\s*=\\s*['\"][^'\"]+['\"]"),
-    ("critical", "hardcoded_api_key", "(?i)(api_key|apikey|api_secret|secret_key|token)\\s*=\\s*['\"][^'\"]+['\"]"),
-    ("critical", "private_key", "-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
-    ("critical", "aws_access_key", "AKIA[0-9A-Z]{16}"),
-    ("high", "command_injection", "(exec|system|popen|subprocess[.]call|Runtime[.]exec)\\s*[(]"),
-    ("high", "xss", "innerHTML\\s*=|document[.]write\\s*[(]|dangerouslySetInnerHTML"),
-    ("high", "eval_usage", "\\beval\\s*[(]|new\\s+Function\\s*[(]"),
-    ("medium", "insecure_http", "http://[A-Za-z0-9]"),
-    ("medium", "weak_hash", "(?i)\\b(md5|sha1)\\s*[(]"),
-    ("low", "todo_security", "(?i)(todo|fixme).*(security|auth)"),
+    ("critical", "hardcoded_password", r"""(?i)password\s*=\s*['"][^'"]+['"]"""),
+    ("critical", "hardcoded_api_key", r"""(?i)(api_key|apikey|api_secret|secret_key)\s*=\s*['"][^'"]+['"]"""),
+    ("critical", "private_key", r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
+    ("critical", "aws_access_key", r"AKIA[0-9A-Z]{16}"),
+    ("high", "sql_injection", r"(query|execute|exec)\s*\([^)]*(\+|\$\{)"),
+    ("high", "sql_injection_fstring", r"""(?i)f['"].*SELECT"""),
+    ("high", "sql_injection_format", r"(?i)string\.Format.*SELECT"),
+    ("high", "command_injection", r"(exec|system|popen|subprocess\.call|Runtime\.exec)\s*\("),
+    ("high", "xss", r"innerHTML\s*=|document\.write\s*\(|dangerouslySetInnerHTML"),
+    ("high", "eval_usage", r"\beval\s*\(|new\s+Function\s*\("),
+    ("medium", "weak_crypto", r"\b(MD5|SHA1|DES|RC4)\b"),
+    ("medium", "http_not_https", r"http:\/\/(?!localhost|127\.0\.0\.1|0\.0\.0\.0)"),
+    ("medium", "hardcoded_ip", r"\b(?!127\.0\.0\.1\b)(?!0\.0\.0\.0\b)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
+    ("low", "security_todo", r"(?i)(TODO|FIXME|HACK|XXX).*(security|vuln|auth|password|encrypt)"),
+    ("low", "sensitive_log", r"(?i)console\.log.*(password|token|secret|key|credential)"),
+    ("low", "disabled_ssl", r"verify\s*=\s*False|NODE_TLS_REJECT_UNAUTHORIZED"),
 )
 SEVERITY_PENALTY = {"critical": 25, "high": 15, "medium": 8, "low": 3}
 GRADES = ((90, "A"), (75, "B"), (55, "C"), (35, "D"))
@@ -53,10 +59,11 @@ def line_metrics(line: Column) -> Column:
     t = F.trim(line)
     skip = t.rlike("^(//|#|[*])|^$")
     has = lambda p: t.rlike(p).cast("int")
-    branch = has("\\b(if|elif)\\b") + has("\\b(for|foreach|while)\\b") + has("\\bdo\\b(?!\\s*[(])")
+    word = lambda p: f"(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])"  # noqa: E731  word borders in ASCII
+    branch = has(word("if|elif")) + has(word("for|foreach|while")) + has(word("do") + "(?!\\s*[(])")
     ternary = F.regexp_count(t, F.lit("[?](?![.?=])"))
-    cc = branch + has("\\bcase\\b") + has("\\b(catch|except)\\b") + F.regexp_count(t, F.lit("&&|[|][|]|\\band\\b|\\bor\\b")) + ternary
-    flat = has("\\b(catch|except)\\b") + ternary
+    cc = branch + has(word("case")) + has(word("catch|except")) + F.regexp_count(t, F.lit("&&|[|][|]|" + word("and|or"))) + ternary
+    flat = has(word("catch|except")) + ternary
     braces = lambda c: F.regexp_count(t, F.lit(c))
     zero = lambda c: F.when(skip, 0).otherwise(c).cast("int")
     return F.struct(zero(cc).alias("cc"), zero(flat).alias("flat"), zero(branch).alias("branch"), zero(braces("[{]")).alias("open"), zero(braces("[}]")).alias("close"))
@@ -115,3 +122,76 @@ def clone_share(docs: DataFrame, size: int = 6) -> DataFrame:
     """(windows, repeated): all windows, and those that are in more than one place."""
     rows = docs.select("doc", normalized_lines(docs).alias("l")).agg(F.sum(F.greatest(F.size("l") - size + 1, F.lit(0))).alias("windows"))
     return rows.join(F.broadcast(clone_windows(docs, size).agg(F.coalesce(F.sum("n_places"), F.lit(0)).alias("repeated"))), F.lit(True))  # one row each
+
+
+# --- secrets and detectors
+
+#: Formats of secrets (severity, name, pattern): public formats of well-known services, a choice of our own. Pass your own.
+SECRETS = (
+    ("critical", "aws access key", "AKIA[0-9A-Z]{16}"), ("critical", "private key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("critical", "github token", "gh[pousr]_[A-Za-z0-9]{36}"),
+    ("critical", "gitlab token", "glpat-[A-Za-z0-9_-]{20}"), ("critical", "stripe live key", "[rs]k_live_[A-Za-z0-9]{24}"), ("critical", "google key", "AIza[A-Za-z0-9_-]{35}"),
+    ("high", "slack token", "xox[abprs]-[A-Za-z0-9-]{10,}"), ("high", "json web token", "eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}"),
+    ("high", "password in a url", "[a-z]{3,10}://[^/@: ]{1,40}:[^/@: ]{1,40}@"), ("medium", "assigned secret", "(?i)(secret|token|passw(or)?d|api[_-]?key)[\"']?[ ]*[:=][ ]*[\"'][^\"' ]{8,}[\"']"),
+)
+#: Words of a line by which a secret in it is a placeholder.
+PLACEHOLDERS = "(?i)example|your_|placeholder|change_?me|insert_|sample|dummy|fake|<your|xxxx|0000000|abcdef"
+SECRET_PENALTY = {"critical": 25, "high": 15, "medium": 8, "low": 3}
+
+
+def redacted(secret: Column) -> Column:
+    tail = F.concat(F.lit("****"), F.right(secret, F.lit(4)))
+    return F.when(F.length(secret) <= 12, tail).otherwise(F.concat(F.left(secret, F.lit(4)), tail))
+
+
+def secrets(lines: DataFrame, rules=SECRETS, most: int = 5) -> DataFrame:
+    """(doc, line_no, rule, severity, value): secrets of lines (doc, line_no, line) without placeholders, redacted; the first
+    `most` of a rule in a document. Every line is looked at once, by a cheap test of all rules together first."""
+    any_ = "|".join(f"(?:{p.removeprefix('(?i)') if not p.startswith('(?i)') else '(?i:' + p[4:] + ')'})" for _, _, p in rules)
+    some = lines.where(F.col("line").rlike(any_) & ~F.col("line").rlike(PLACEHOLDERS))
+    hits = F.flatten(F.array(*(F.transform(F.regexp_extract_all("line", F.lit(p), F.lit(0)), _named_hit(r, s)) for s, r, p in rules)))
+    found = some.select("doc", "line_no", F.posexplode(hits).alias("at", "x")).select("doc", "line_no", "at", "x.*")
+    first = F.row_number().over(Window.partitionBy("doc", "rule").orderBy("line_no", "at"))
+    return found.withColumn("_r", first).where(F.col("_r") <= most).select("doc", "line_no", "rule", "severity", redacted(F.col("hit")).alias("value"))
+
+
+def _named_hit(rule: str, severity: str):
+    return lambda h: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), h.alias("hit"))
+
+
+#: What a line of code does: (kind, form, pattern); group 1 is the method or name, group 2 the path or target.
+DETECTORS = (
+    ("route", "call", r"""\b(?:app|router|server|fastify)\.(get|post|put|delete|patch)\s*\(\s*['"]([^'"]+)['"]"""), ("route", "decorator", r"""@(?:\w+\.)?(get|post|put|delete|patch|Get|Post|Put|Delete|Patch)(?:Mapping)?\s*\(\s*['"]([^'"]+)['"]"""),
+    ("route", "flask", r"""@(app|bp|blueprint)\.route\s*\(\s*['"]([^'"]+)['"]"""), ("middleware", "use", r"\b(app|router)\.use\s*\(\s*([\w.]+)"),
+    ("api_call", "fetch", r"""\b(fetch)\s*\(\s*['"]([^'"]+)['"]"""), ("api_call", "client", r"""\b(?:axios|requests|http)\.(get|post|put|delete|patch)\s*\(\s*f?['"]([^'"]+)['"]"""),
+    ("db_query", "sql", r"\b(SELECT|INSERT INTO|UPDATE|DELETE FROM)\s+(?:.*\bFROM\s+)?([A-Za-z_][\w.]*)"), ("db_query", "model", r"\b([A-Z]\w+)\.(find|findOne|findMany|create|update|destroy|aggregate)\s*\("),
+)
+
+
+def detected(lines: DataFrame, detectors=DETECTORS) -> DataFrame:
+    """(doc, line_no, kind, form, name, target) of lines (doc, line_no, line): routes, middleware, calls and queries."""
+    one = lambda k, f, p: F.when(F.col("line").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(f).alias("form"), F.upper(F.regexp_extract("line", p, 1)).alias("name"), F.regexp_extract("line", p, 2).alias("target")))
+    found = F.filter(F.array(*(one(*d) for d in detectors)), lambda x: x.isNotNull())
+    return lines.select("doc", "line_no", F.explode(found).alias("x")).select("doc", "line_no", "x.*")
+
+
+def halstead(docs: DataFrame) -> DataFrame:
+    """(doc, operators, operands, volume, difficulty) of docs (doc, text): tokens, distinct ones, and the measures of them."""
+    ops, names = F.regexp_extract_all("text", F.lit(r"[-+*/%=<>!&|^~?:;,.(){}\[\]]"), F.lit(0)), F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*|[0-9]+"), F.lit(0))
+    rows = docs.select("doc", ops.alias("o"), names.alias("n")).select("doc", F.size("o").alias("operators"), F.size("n").alias("operands"), F.size(F.array_distinct("o")).alias("_o"), F.size(F.array_distinct("n")).alias("_n"))
+    words = F.col("_o") + F.col("_n")
+    volume = F.when(words > 0, (F.col("operators") + F.col("operands")) * F.log2(words.cast("double"))).otherwise(0.0)
+    return rows.select("doc", "operators", "operands", volume.alias("volume"), F.when(F.col("_n") > 0, F.col("_o") / 2 * F.col("operands") / F.col("_n")).otherwise(0.0).alias("difficulty"))
+
+
+def clone_groups(docs: DataFrame, size: int = 6, limit: int | None = None) -> DataFrame:
+    """(window, places, docs, lines) of repeated windows of lines, without those that begin within an earlier repeated one of
+    the same document (by `size` lines), the most repeated first."""
+    rows = docs.select("doc", normalized_lines(docs).alias("l"))
+    at = F.when(F.size("l") >= size, F.sequence(F.lit(1), F.size("l") - size + 1)).otherwise(F.array().cast("array<int>"))
+    places = rows.select("doc", "l", F.explode(at).alias("i")).select("doc", "i", F.md5(F.array_join(F.slice("l", F.col("i"), size), "\n").cast("binary")).alias("window"))
+    often = places.groupBy("window").agg(F.count("*").alias("n")).where("n >= 2").select("window")
+    repeated = places.join(often, "window")
+    kept = F.aggregate(F.array_sort(F.collect_list("i")), F.array().cast("array<int>"), lambda s, i: F.when((F.size(s) > 0) & (i < F.element_at(s, -1) + size), s).otherwise(F.concat(s, F.array(i))))
+    firsts = repeated.groupBy("window", "doc").agg(kept.alias("k"))
+    out = firsts.groupBy("window").agg(F.sum(F.size("k")).alias("places"), F.count("*").alias("docs")).where("places >= 2").withColumn("lines", F.col("places") * size).orderBy(F.desc("places"), "window")
+    return out if limit is None else out.limit(limit)

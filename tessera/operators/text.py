@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 K1, B = 1.2, 0.75
 
-# Groups of words that code search treats as synonyms of each other. Pass your own to `expand`.
+#: Groups of words that a search may take for each other. A small choice of our own; callers pass their own groups, of
+#: any number, to `expand`.
 SYNONYMS = (
-    ("save", "store", "persist", "write"), ("load", "read", "fetch", "get"), ("delete", "remove", "destroy", "drop"), ("create", "add", "new", "make"),
-    ("update", "edit", "modify", "change"), ("user", "account", "member"), ("auth", "login", "signin", "authenticate"), ("error", "exception", "failure"),
-    ("config", "settings", "options"), ("test", "spec", "check"), ("search", "find", "query", "lookup"), ("send", "dispatch", "emit"), ("list", "array", "collection"),
+    ("begin", "start", "launch"), ("finish", "end", "stop", "halt"), ("big", "large", "huge"), ("small", "little", "tiny"), ("fast", "quick", "rapid"),
+    ("count", "number", "total"), ("folder", "directory"), ("picture", "image", "photo"), ("user", "person", "customer"), ("token", "secret", "password"),
+    ("list", "sequence", "series"), ("wrong", "broken", "invalid"), ("shop", "store", "market"), ("price", "cost", "amount"),
 )
 
 
@@ -50,15 +53,28 @@ def expand(terms: list[str], groups=SYNONYMS) -> list[str]:
     return out
 
 
+def _equals(term: str):
+    return lambda x: x == term
+
+
+def term_counts(docs: DataFrame, tokens: Column, terms: list[str]) -> DataFrame:
+    """(doc, dl, tf) of each of docs: its number of tokens, and how often each of the terms is among them. Each text is
+    split once, and no token leaves its row."""
+    rows = docs.select("doc", tokens.alias("_w"))
+    counts = F.array(*(F.size(F.filter("_w", _equals(t))) for t in terms))
+    return cut(rows.select("doc", F.coalesce(F.size("_w"), F.lit(0)).alias("dl"), counts.alias("tf")))
+
+
 def okapi(docs: DataFrame, tokens: Column, terms: list[str], threshold: float = 0.01) -> DataFrame:
     """(doc, score): Okapi BM25 over the distinct terms, idf = ln(N / (1 + df)) + 1."""
-    hits = postings(docs, tokens).where(F.col("term").isin(*dict.fromkeys(terms)))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the query has terms
-    stats = corpus_stats(docs, tokens)  # one row
-    x = hits.join(F.broadcast(df), "term").join(F.broadcast(stats), F.lit(True))
-    idf = F.log(F.col("n") / (1 + F.col("df"))) + 1
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return x.groupBy("doc").agg(F.sum(part).alias("score")).where(F.col("score") >= threshold)
+    terms = list(dict.fromkeys(terms))
+    rows = term_counts(docs, tokens, terms)
+    df = F.array(*(F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(terms))))
+    stats = rows.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), df.alias("df"))  # one row
+    hits = rows.where(F.exists("tf", lambda x: x > 0)).join(F.broadcast(stats), F.lit(True))
+    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    part = F.zip_with("tf", "df", lambda tf, d: (F.log(F.col("n") / (1 + d)) + 1) * tf * (K1 + 1) / (tf + norm))
+    return hits.select("doc", F.aggregate(part, F.lit(0.0), lambda s, x: s + x).alias("score")).where(F.col("score") >= threshold)
 
 
 def field_bm25(docs: DataFrame, fields: dict[str, float], terms: list[str]) -> DataFrame:
@@ -139,20 +155,31 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
-def similar_pairs(docs: DataFrame, tokens: Column, threshold: float) -> DataFrame:
+def similar_pairs(docs: DataFrame, tokens: Column, threshold: float, classes: bool = False) -> DataFrame:
     """(a, b, similarity) of docs (doc, ...) with a < b, by a prefix filter: similar sets share one of their rarest tokens.
 
     The prefix of a set of n words in a global order holds n - ceil(threshold n) + 1 of them; pairs without a common
-    prefix word cannot reach the threshold, so the join is exact.
+    prefix word cannot reach the threshold, so the join is exact. Equal sets are one set until then. With `classes` the
+    pairs are those between the least documents of equal sets, and of each document with the least one of its own set;
+    without, equal sets are spread out to all pairs again.
     """
-    sets = docs.select("doc", F.array_distinct(tokens).alias("w")).where(F.size("w") > 0)
-    rare = sets.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    ranked = sets.select("doc", F.explode("w").alias("t")).join(rare, "t")
+    sets = docs.select("doc", F.array_sort(F.array_distinct(tokens)).alias("w")).where(F.size("w") > 0).select("doc", F.sha2(F.array_join("w", " "), 256).alias("h"), "w")
+    sets = cut(sets)
+    one = cut(sets.groupBy("h").agg(F.min("doc").alias("doc"), F.first("w").alias("w")))
+    rare = one.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    ranked = one.select("doc", F.explode("w").alias("t")).join(rare, "t")
     n = F.count("*").over(Window.partitionBy("doc"))
     at = F.row_number().over(Window.partitionBy("doc").orderBy("df", "t"))
     prefix = ranked.select("doc", "t", n.alias("n"), at.alias("at")).where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
     a, b = prefix.select(F.col("doc").alias("a"), "t", F.col("n").alias("na")), prefix.select(F.col("doc").alias("b"), "t", F.col("n").alias("nb"))
     length_ok = (F.col("na") >= F.lit(threshold) * F.col("nb")) & (F.col("nb") >= F.lit(threshold) * F.col("na"))
     pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & length_ok).select("a", "b").distinct()
-    left, right = sets.select(F.col("doc").alias("a"), F.col("w").alias("wa")), sets.select(F.col("doc").alias("b"), F.col("w").alias("wb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    left, right = one.select(F.col("doc").alias("a"), F.col("w").alias("wa")), one.select(F.col("doc").alias("b"), F.col("w").alias("wb"))
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    members = sets.select("doc", "h").join(one.select("h", F.col("doc").alias("least")), "h").select("doc", "least")
+    if classes:
+        return found.unionAll(members.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"), F.lit(1.0).alias("similarity")))
+    all_ = found.unionAll(one.select(F.col("doc").alias("a"), F.col("doc").alias("b"), F.lit(1.0).alias("similarity")))
+    x, y = (members.select(F.col("least").alias(s), F.col("doc").alias(f"{s}2")) for s in "ab")
+    spread = all_.join(x, "a").join(y, "b").where("a <> b OR a2 < b2")
+    return spread.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"), "similarity")

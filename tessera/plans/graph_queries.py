@@ -120,29 +120,29 @@ def g11_personalized_pagerank(spark, sf_dir):
 
 
 _DEGREE_RANK = f"{WITH}, d AS (SELECT id, count(*)::DOUBLE AS score FROM (SELECT sourceId AS id FROM edges UNION ALL SELECT targetId FROM edges) GROUP BY id)"
+_RANKED = _rank_sql(5, "1.0 / (SELECT count(*) FROM ids)").replace("round(score / (SELECT sum(score) FROM r5), 6)", "round(score / (SELECT sum(score) FROM r5), 9)")
 
 
-def _by_degree(spark, sf_dir):
-    return g.degrees(t.edges(spark, sf_dir)).select("id", F.col("total").cast("double").alias("score"))
+def _ranks(spark, sf_dir):
+    return g.pagerank(*_functions(spark, sf_dir), rounds=5, eps=0.0).select("id", F.round("score", 9).alias("score"))
 
 
-@query(f"{_DEGREE_RANK} SELECT id, filePath, position::INTEGER AS position FROM (SELECT n.id, n.filePath, row_number() OVER (PARTITION BY n.filePath ORDER BY d.score DESC, n.id) AS position FROM nodes n JOIN d USING (id) WHERE n.type <> 'file') WHERE position <= 10")
+@query(f"SELECT id, filePath, position::INTEGER AS position FROM (SELECT n.id, n.filePath, row_number() OVER (PARTITION BY n.filePath ORDER BY d.score DESC, n.id) AS position FROM ({WITH} SELECT * FROM nodes) n JOIN ({_RANKED}) d USING (id)) WHERE position <= 10")
 def o7_table_of_contents(spark, sf_dir):
-    return g.table_of_contents(t.nodes(spark, sf_dir), _by_degree(spark, sf_dir)).select("id", "filePath", "position")
+    return g.table_of_contents(t.nodes(spark, sf_dir), _ranks(spark, sf_dir)).select("id", "filePath", "position")
 
 
-@query(f"{_DEGREE_RANK} SELECT n.id, n.type, d.score FROM nodes n JOIN d USING (id) WHERE n.type NOT IN ('namespace', 'file') ORDER BY d.score DESC, n.id LIMIT 25")
+@query(f"SELECT n.id, n.type FROM ({WITH} SELECT * FROM nodes) n JOIN ({_RANKED}) d USING (id) ORDER BY d.score DESC, n.id LIMIT 25")
 def o3_top_ranked(spark, sf_dir):
-    return g.top_ranked(t.nodes(spark, sf_dir), _by_degree(spark, sf_dir), 25, ("namespace", "file")).select("id", "type", "score")
+    return g.top_ranked(t.nodes(spark, sf_dir), _ranks(spark, sf_dir), 25).select("id", "type")
 
 
-@query(f"{REC}, moves AS (SELECT DISTINCT sourceId AS src, targetId AS dst FROM edges WHERE type = 'uses' AND sourceId <> targetId AND sourceId < 'p:12' AND targetId < 'p:12'), walk(a, b) AS (SELECT src, dst FROM moves UNION SELECT w.a, m.dst FROM walk w JOIN moves m ON m.src = w.b) SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM walk x JOIN walk y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a")
+@query()
 def g17_strongly_connected(spark, sf_dir):
-    moves = g.arcs(t.edges(spark, sf_dir), ["uses"]).where("src < 'p:12' AND dst < 'p:12'")
-    return g.strongly_connected(moves)
+    return g.strongly_connected(g.arcs(t.edges(spark, sf_dir), ["uses"]))
 
 
-_DEAD = f"{WITH}, dead AS (SELECT n.id, n.filePath, CASE WHEN regexp_matches(lower(n.filePath), '(^|/)(tests?|__tests__|spec)(/|$)|[._](test|spec)[.]') THEN 'low' WHEN n.visibility IN ('private', 'protected') THEN 'definite' WHEN n.isExported THEN 'possible' ELSE 'definite' END AS confidence FROM nodes n WHERE n.type IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.type = 'calls' AND e.targetId = n.id))"
+_DEAD = f"{WITH}, dead AS (SELECT n.id, n.filePath, CASE WHEN regexp_matches(lower(n.filePath), '{g.TEST_FILES}') THEN 'low_confidence' WHEN n.isExported THEN 'possibly_dead' WHEN n.visibility IN ('private', 'protected') OR NOT regexp_matches(lower(n.filePath), '{g.ENTRY_FILES}') THEN 'definitely_dead' ELSE 'possibly_dead' END AS confidence FROM nodes n WHERE n.type IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.type = 'calls' AND e.targetId = n.id))"
 
 
 @query(f"{_DEAD} SELECT id, filePath, confidence FROM dead")

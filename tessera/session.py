@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder that spark.checkpoint.dir names (a temporary one where unset) and cut its lineage."""
+    """Materialise df in the folder that spark.checkpoint.dir names and cut its lineage. Where it is unset, a temporary
+    folder serves on a local master; on a cluster, whose executors wouldn't see it, that is an error."""
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
