@@ -115,7 +115,11 @@ class _Stemmer:
         return w[:-1] if self._double(w) and w[-1] == "l" and self._measure(w) > 1 else w
 
 
-stem = lru_cache(100_000)(_Stemmer())
+_stemmed = lru_cache(100_000)(_Stemmer())
+
+
+def stem(word: str) -> str:
+    return _stemmed(word)
 
 
 @F.pandas_udf(T.StringType())
