@@ -1,4 +1,4 @@
-"""Connected components of a large edge list, by contraction; nothing but counts reaches the driver."""
+"""Connected components of a large edge list, by hooking and halving labels; nothing but counts reaches the driver."""
 
 from __future__ import annotations
 
@@ -11,26 +11,20 @@ from .common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges (a, b): label is the least node of its component.
 
-    In each round every node points to its least neighbour (or itself), pointers are followed to their ends by
-    doubling, and the edges between the ends go on. Ends are local minima, so rounds are few; each is checkpointed.
+    Each round a node takes the least label among its neighbours, and so does the node that its label names; labels are
+    replaced by their own labels. Trees of labels thus hook onto others and halve their height, so rounds are few; each
+    is one checkpointed job.
     """
-    edges = edges.where("a <> b")
-    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    live = cut(edges.select(both.alias("e")).select("e.*").distinct())
-    labels = None
-    while not live.isEmpty():
-        point = cut(live.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
-        while True:  # two steps at a time
-            step, again = (point.select(F.col("node").alias(x), F.col("to").alias(y)) for x, y in (("to", "second"), ("second", "third")))
-            further = cut(point.join(step, "to").join(again, "second").select("node", "second", "third"))
-            point = further.select("node", F.col("third").alias("to"))
-            if further.where("second <> third").isEmpty():
-                break
-        if labels is None:
-            labels = point.select("node", F.col("to").alias("label"))
-        else:
-            step = point.select(F.col("node").alias("label"), "to")
-            labels = cut(labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-        ends_a, ends_b = (point.select(F.col("node").alias(x), F.col("to").alias(f"{x}2")) for x in "ab")
-        live = cut(live.join(ends_a, "a").join(ends_b, "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
-    return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0) if labels is None else labels
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = cut(edges.where("a <> b").select(ends.alias("e")).select("e.*").distinct())
+    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
+    while True:
+        la, lb = (label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+        seen = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("lb").alias("near")), F.struct(F.col("la").alias("node"), F.col("lb").alias("near"))))
+        hop = both.join(la, "a").join(lb, "b").select(seen.alias("s")).select("s.*").groupBy("node").agg(F.min("near").alias("near"))
+        jump = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        step = label.join(hop, "node", "left").join(jump, "label", "left")
+        step = cut(step.select("node", F.least("label", F.coalesce("near", "label"), F.coalesce("far", "label")).alias("new"), "label"))
+        label = step.select("node", F.col("new").alias("label"))
+        if step.where("new <> label").isEmpty():
+            return label
