@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,8 +33,53 @@ def cargo_toml(files: DataFrame) -> DataFrame:
     return _by_line(files, "Cargo.toml", "^([A-Za-z0-9_-]+)\\s*=\\s*(?:\"|\\{\\s*version\\s*=\\s*\")([0-9^~=<>*][^\"]*)\"").where("name NOT IN ('version', 'edition')")
 
 
+def composer_json(files: DataFrame) -> DataFrame:
+    parts = [F.from_json(F.get_json_object("text", f"$.{k}"), "map<string,string>") for k in ("require", "require-dev")]
+    entries = F.concat(*(F.map_entries(F.coalesce(p, F.create_map().cast("map<string,string>"))) for p in parts))
+    return files.where(F.col("path").endswith("composer.json")).select("path", F.explode(entries).alias("e")).select("path", F.col("e.key").alias("name"), F.col("e.value").alias("version"))
+
+
+def gemfile(files: DataFrame) -> DataFrame:
+    return _by_line(files, "Gemfile", "^\\s*gem\\s+['\"]([^'\"]+)['\"](?:\\s*,\\s*['\"]([^'\"]+)['\"])?")
+
+
+def pyproject_toml(files: DataFrame) -> DataFrame:
+    """Quoted requirements of a list, and name = "version" lines of poetry's sections."""
+    return _by_line(files, "pyproject.toml", "^\\s*['\"]([A-Za-z0-9._-]+)\\s*(?:\\[[^\\]]*\\])?\\s*[=<>~!]=?\\s*([^'\";,]+)").unionAll(
+        _by_line(files, "pyproject.toml", "^([A-Za-z0-9_-]+)\\s*=\\s*['\"]([\\^~>=<]*[0-9][^'\"]*)['\"]").where("name NOT IN ('version', 'python', 'requires-python')")
+    )
+
+
+def pom_xml(files: DataFrame) -> DataFrame:
+    parts = F.regexp_extract_all("text", F.lit("(?s)<dependency>(.*?)</dependency>"), F.lit(1))
+    rows = files.where(F.col("path").endswith("pom.xml")).select("path", F.explode(parts).alias("d"))
+    tag = lambda t: F.regexp_extract("d", f"<{t}>\\s*([^<\\s]+)", 1)
+    return rows.select("path", F.concat_ws(":", tag("groupId"), tag("artifactId")).alias("name"), F.nullif(tag("version"), F.lit("")).alias("version"))
+
+
+MANIFESTS = (package_json, requirements_txt, go_mod, cargo_toml, composer_json, gemfile, pyproject_toml, pom_xml)
+
+
 def dependencies(files: DataFrame) -> DataFrame:
-    return package_json(files).unionAll(requirements_txt(files)).unionAll(go_mod(files)).unionAll(cargo_toml(files))
+    """(path, name, version) of all manifests among files (path, text)."""
+    return reduce(DataFrame.unionAll, (m(files) for m in MANIFESTS))
+
+
+# --- shared files and exports
+
+
+def write_json(rows: DataFrame, path: str, order: list[str]) -> None:
+    """Rows as JSON lines in order, in one file where they fit: what two sides share."""
+    rows.orderBy(*order).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def memories_json(memories: DataFrame) -> DataFrame:
+    """(id, json) of notes."""
+    return memories.select("id", F.to_json(F.struct(*memories.columns)).alias("json"))
 
 
 def decisions_markdown(decisions: DataFrame) -> DataFrame:

@@ -36,6 +36,14 @@ DECLARATIONS = {
     "java": [("class", r"^\s*(?:(?:public|private|protected|abstract|final|static)\s+)*class\s+(\w+)"), ("interface", r"^\s*(?:public\s+)?interface\s+(\w+)"), ("enum", r"^\s*(?:public\s+)?enum\s+(\w+)"), ("method", r"^\s+(?:(?:public|private|protected|static|final)\s+)+[\w<>\[\], ]+\s+(\w+)\s*\(")],
     "ruby": [("class", r"^\s*class\s+(\w+)"), ("module", r"^\s*module\s+(\w+)"), ("method", r"^\s*def\s+(?:self\.)?(\w+)")],
     "php": [("class", r"^\s*(?:abstract\s+|final\s+)?class\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|protected|static)\s+)*function\s+(\w+)")],
+    "swift": [("class", r"^\s*(?:(?:public|private|open|final|internal)\s+)*(?:class|struct|actor)\s+(\w+)"), ("interface", r"^\s*(?:public\s+)?protocol\s+(\w+)"), ("enum", r"^\s*(?:public\s+)?enum\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|static|override|open)\s+)*func\s+(\w+)")],
+    "c": [("class", r"^\s*(?:typedef\s+)?(?:struct|union)\s+(\w+)\s*\{"), ("enum", r"^\s*(?:typedef\s+)?enum\s+(\w+)"), ("function", r"^(?:static\s+|inline\s+|extern\s+)*[A-Za-z_][\w\s*]*?[\s*](\w+)\s*\([^;]*\)\s*\{"), ("constant", r"^#define\s+(\w+)")],
+    "cpp": [("class", r"^\s*(?:class|struct)\s+(\w+)(?![\w\s]*;)"), ("namespace", r"^\s*namespace\s+(\w+)"), ("enum", r"^\s*enum\s+(?:class\s+)?(\w+)"), ("function", r"^(?:static\s+|inline\s+|virtual\s+)*[A-Za-z_][\w:<>,\s*&]*?[\s*&](\w+)\s*\([^;]*\)[^;]*\{")],
+    "lua": [("function", r"^\s*(?:local\s+)?function\s+([\w.:]+)")], "shell": [("function", r"^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{")], "r": [("function", r"^\s*([\w.]+)\s*(?:<-|=)\s*function\s*\(")],
+    "elixir": [("module", r"^\s*defmodule\s+([\w.]+)"), ("function", r"^\s*defp?\s+(\w+)")], "julia": [("function", r"^\s*function\s+(\w+)"), ("class", r"^\s*(?:mutable\s+)?struct\s+(\w+)"), ("module", r"^\s*module\s+(\w+)")],
+    "haskell": [("class", r"^(?:data|newtype)\s+(\w+)"), ("interface", r"^class\s+(?:.*=>\s*)?(\w+)"), ("function", r"^([a-z]\w*)\s*::")], "dart": [("class", r"^\s*(?:abstract\s+)?class\s+(\w+)"), ("enum", r"^\s*enum\s+(\w+)"), ("function", r"^(?:[\w<>?]+\s+)(\w+)\s*\([^;]*\)\s*(?:async\s*)?\{")],
+    "sql": [("class", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:temp\w*\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?([\w.]+)"), ("function", r"(?i)^\s*create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+([\w.]+)")], "protobuf": [("class", r"^\s*message\s+(\w+)"), ("interface", r"^\s*service\s+(\w+)"), ("enum", r"^\s*enum\s+(\w+)"), ("method", r"^\s*rpc\s+(\w+)")],
+    "zig": [("function", r"^\s*(?:pub\s+)?fn\s+(\w+)"), ("class", r"^\s*(?:pub\s+)?const\s+(\w+)\s*=\s*struct")],
 }
 DECLARATIONS["javascript"] = DECLARATIONS["vue"] = DECLARATIONS["typescript"]
 DECLARATIONS["csharp"] = DECLARATIONS["kotlin"] = DECLARATIONS["scala"] = DECLARATIONS["java"]
@@ -59,14 +67,63 @@ def language_of(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table(LANGUAGES), F.regexp_extract(base, "[.]([^.]+)$", 1)), F.try_element_at(table(BASENAMES), base))
 
 
-def scan(spark: SparkSession, root: str, ignored: tuple[str, ...] = (), max_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """(path, size, modified, language, text) of supported, not empty, not too large files under root."""
+def ignore_rule(line: str, folder: str) -> tuple[bool, str] | None:
+    """(keeps, pattern of paths) of a line of an ignore file in a folder: ! keeps again, a slash binds to the folder."""
+    line = line.rstrip()
+    if not line or line.startswith("#"):
+        return None
+    keeps = line.startswith("!")
+    glob = line.removeprefix("!")
+    bound = "/" in glob.rstrip("/")
+    body = glob_pattern(glob.strip("/"))[1:-1]
+    at = re.sub("^file:/+", "", folder)  # readers write local paths with one slash or three
+    return keeps, ("^file:/+" if folder.startswith("file:") else "^") + re.escape(at) + "/" + ("" if bound else "(?:.*/)?") + body + ("/.*$" if glob.endswith("/") else "(?:/.*)?$")
+
+
+def ignored(spark: SparkSession, root: str, nested: int = 8) -> Column:
+    """Whether a path is ignored by the ignore files below root: that of the root and up to `nested` others, the last rule
+    that fits a path counts. Their few lines are read on the driver."""
+    out = F.lit(False)
+    for folder, text in _ignore_files(spark, root, nested):
+        for rule in filter(None, (ignore_rule(x, folder) for x in text.split("\n"))):
+            out = F.when(F.col("path").rlike(rule[1]), F.lit(not rule[0])).otherwise(out)
+    return out
+
+
+def _ignore_files(spark: SparkSession, root: str, nested: int) -> list[tuple[str, str]]:
+    """(folder, text) of ignore files, the root's first. Spark's readers pass over hidden files, so its file system reads them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(conf)
+    found = [s.getPath() for depth in range(4) for s in fs.globStatus(path(root.rstrip("/") + "/*" * depth + "/.gitignore")) or ()]
+    out = []
+    for p in found[: nested + 1]:
+        stream = fs.open(p)
+        out.append((p.getParent().toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        stream.close()
+    return out
+
+
+def project_of(path: Column, roots: list[str]) -> Column:
+    """The longest of the roots that a path lies below."""
+    by_length = sorted((r.rstrip("/") for r in roots), key=len, reverse=True)
+    out = F.lit(None).cast("string")
+    for r in reversed(by_length):
+        out = F.when(F.startswith(path, F.lit(r + "/")), r).otherwise(out)
+    return out
+
+
+def scan(spark: SparkSession, root: str, globs: tuple[str, ...] = (), max_size: int = MAX_FILE_SIZE, ignore_files: bool = True) -> DataFrame:
+    """(path, size, modified, language, text) of supported, not empty, not too large files under root that no ignore file
+    and none of the globs leaves out."""
     meta = F.col("_metadata")
     files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
     files = files.select(meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["file_modification_time"].alias("modified"), F.col("value").alias("text"))
     files = files.where((F.col("size") > 0) & (F.col("size") <= max_size) & ~F.col("path").rlike("/(" + "|".join(map(re.escape, SKIPPED)) + ")/"))
-    for glob in ignored:
+    for glob in globs:
         files = files.where(~F.col("path").rlike(glob_pattern("**/" + glob)))
+    if ignore_files:
+        files = files.where(~ignored(spark, root))
     return files.withColumn("language", language_of(F.col("path"))).where("language IS NOT NULL").select("path", "size", "modified", "language", "text")
 
 
@@ -100,7 +157,9 @@ def python_symbols(text: str) -> list[tuple]:
 
 
 def _end_line(lines: list[str], start: int) -> int:
-    """Where the braces that open at a declaration are closed again; the line itself, if none opens."""
+    """Where the braces that open at a declaration are closed again; the line itself, if none opens or it ends a statement."""
+    if lines[start].rstrip().endswith(";") and lines[start].count("{") == lines[start].count("}"):
+        return start + 1
     depth, opened = 0, False
     for i in range(start, len(lines)):
         depth += lines[i].count("{") - lines[i].count("}")
@@ -169,16 +228,18 @@ def contains_edges(nodes: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("_o", "_f").alias("sourceId"), F.col("id").alias("targetId"), F.lit("contains").alias("type")).distinct()
 
 
+def _modules(pattern: str, groups) -> Column:
+    """What a file's text imports, by a pattern of several groups of which one is there."""
+    return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda h: F.coalesce(*(F.nullif(F.regexp_extract(h, pattern, g), F.lit("")) for g in groups)))
+
+
 def import_edges(files: DataFrame, nodes: DataFrame) -> DataFrame:
     """(path, module, target): what a file imports, and the file that this is, where a file of the tree fits."""
-    out = None
-    for language, pattern in IMPORTS.items():
-        hits = F.regexp_extract_all("text", F.lit("(?m)" + pattern), F.lit(0))
-        rows = files.where(F.col("language") == language).select("path", F.explode(hits).alias("hit"))
-        groups = [F.nullif(F.regexp_extract("hit", "(?m)" + pattern, g + 1), F.lit("")) for g in range(re.compile(pattern).groups)]
-        rows = rows.select("path", F.coalesce(*groups).alias("module"))
-        out = rows if out is None else out.unionAll(rows)
-    out = out.where("module IS NOT NULL").distinct()
+    modules = F.array().cast("array<string>")
+    for language, pattern in IMPORTS.items():  # one pass over the files: each has one language
+        whole, groups = "(?m)" + pattern, range(1, re.compile(pattern).groups + 1)
+        modules = F.when(F.col("language") == language, _modules(whole, groups)).otherwise(modules)
+    out = files.select("path", F.explode(modules).alias("module")).where("module IS NOT NULL").distinct()
     folder = F.regexp_replace("path", "/[^/]*$", "")
     plain = F.regexp_replace(F.regexp_replace("module", "^[.]/", ""), "[.](js|ts|jsx|tsx|py)$", "")
     tail = F.when(F.contains("module", F.lit("/")) | F.startswith("module", F.lit(".")), plain).otherwise(F.translate("module", ".", "/"))

@@ -17,26 +17,22 @@ def next_state(state: str, kind: str) -> str:
     return "modified" if state == "deleted" and kind == "created" else kind
 
 
-def _fold(idle_ms: int):
-    def fold(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()  # nothing happened to the path for long: its last update stands
-            return
-        now, seen = state.get if state.exists else ("", 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        for kind in rows["kind"]:
-            now, seen = next_state(now, kind), seen + 1
+def _fold(key, batches, state: GroupState):
+    now, seen = state.get if state.exists else ("", 0)
+    rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+    for kind in rows["kind"]:
+        now, seen = next_state(now, kind), seen + 1
+    if now == "" and seen:  # created and deleted again: nothing is left to remember
+        state.remove()
+    else:
         state.update((now, seen))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"path": [key[0]], "state": [now], "n": [seen]})
+    yield pd.DataFrame({"path": [key[0]], "state": [now], "n": [seen]})
 
-    return fold
 
-
-def collapse_stream(events: DataFrame, idle_ms: int = 7 * 86_400_000) -> DataFrame:
+def collapse_stream(events: DataFrame) -> DataFrame:
     """(path, state, n) updates of a stream of (path, ts, id, kind): each path's events so far as one. State is a word and a
-    number for each path, and goes after `idle_ms` without an event; a later event starts anew."""
-    return events.groupBy("path").applyInPandasWithState(_fold(idle_ms), "path string, state string, n long", "state string, n long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    number for each path that there is something to say of; it goes when the path's events cancel out. n counts since then."""
+    return events.groupBy("path").applyInPandasWithState(_fold, "path string, state string, n long", "state string, n long", "update", GroupStateTimeout.NoTimeout)
 
 
 def activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -123,11 +123,19 @@ def test_source_tree(spark, tmp_path):
     (tmp_path / "pkg" / "app.ts").write_text("import { a } from './lib';\nexport class App {\n  private run(x: number) {\n    return start(x);\n  }\n}\nexport async function start(x) {\n  return x;\n}\n")
     (tmp_path / "package.json").write_text(json.dumps({"dependencies": {"left": "^1.0"}, "devDependencies": {"right": "2"}}))
     (tmp_path / "empty.py").write_text("")
+    (tmp_path / ".gitignore").write_text("# left out\n*.gen.py\n/top.py\nlogs/\n!keep.gen.py\n")
+    (tmp_path / "pkg" / ".gitignore").write_text("own.py\n")
+    (tmp_path / "pkg" / "logs").mkdir()
+    for gone in ("a.gen.py", "top.py", "pkg/own.py", "pkg/logs/l.py"):
+        (tmp_path / gone).write_text("def left_out():\n    pass\n")
+    for kept in ("keep.gen.py", "pkg/top.py", "own.py"):
+        (tmp_path / kept).write_text("def stays():\n    pass\n")
     nodes, edges = tree.index(spark, str(tmp_path))
     nodes, edges = nodes.cache(), edges.cache()
     names = {(r.name, r.type): r for r in nodes.collect()}
     assert {("helper", "function"), ("Shop", "class"), ("_sell", "method"), ("__init__", "constructor"), ("RATE", "constant"), ("App", "class"), ("start", "function"), ("run", "method")} <= set(names)
-    assert not any(n == "no" for n, _ in names) and names["_sell", "method"].isAsync and names["run", "method"].visibility == "private"
+    assert not any(n in ("no", "left_out") for n, _ in names) and sum(r.name == "stays" for r in nodes.collect()) == 3
+    assert names["_sell", "method"].isAsync and names["run", "method"].visibility == "private"
     by_id = {r.id: r.name for r in nodes.collect()}
     got = {(by_id.get(r.sourceId), by_id.get(r.targetId, r.targetId), r.type) for r in edges.collect()}
     assert {("_sell", "helper", "calls"), ("__init__", "tax", "calls"), ("run", "start", "calls"), ("Shop", "Base", "inherits"), ("Shop", "_sell", "contains"), ("shop.py", "util.py", "imports"), ("shop.py", "os", "imports"), ("app.ts", "./lib", "imports")} <= got
