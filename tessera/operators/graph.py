@@ -72,6 +72,21 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, types=D
     return reach(arcs(edges, types, reverse=True), seeds, max_depth).where("depth > 0")
 
 
+def first_reached(reached: DataFrame, limit: int = 500) -> DataFrame:
+    """At most `limit` reached nodes of each seed, the nearest first, then by id: a cap with an order."""
+    near = Window.partitionBy("seed").orderBy("depth", "id")
+    return reached.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= limit).drop("_r")
+
+
+def rank_key(nodes: DataFrame, edges: DataFrame, compat: bool = False) -> DataFrame:
+    """(key): what ranks of a graph are kept under. It changes with any edge; with compat only with the numbers of both."""
+    n = nodes.agg(F.count("*").alias("n"))
+    h = F.xxhash64("sourceId", "targetId", "type")
+    m = edges.agg(F.count("*").alias("m"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum(h % 1_000_003), F.lit(0)).alias("s"))  # one row each
+    parts = [F.col("n"), F.col("m")] + ([] if compat else [F.col("x"), F.col("s")])
+    return n.join(m, F.lit(True)).select(F.concat_ws(":", *(p.cast("string") for p in parts)).alias("key"))
+
+
 def trace(edges: DataFrame, seeds: DataFrame, forward: bool = True, max_depth: int = 10, types=DEPENDENCY_TYPES) -> DataFrame:
     return reach(arcs(edges, types, reverse=not forward), seeds, max_depth).where("depth > 0")
 

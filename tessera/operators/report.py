@@ -315,3 +315,18 @@ def quality_rollup(metrics: DataFrame) -> DataFrame:
     """One row: functions, mean complexity and health to a tenth, and how many are at each risk."""
     tenth = lambda c: F.floor(F.avg(c) * 10 + 0.5) / 10
     return metrics.agg(F.count("*").alias("n"), tenth("cyclomatic").alias("cyclomatic"), tenth("health").alias("health"), *(F.count_if(F.col("risk") == r).alias(r) for r in ("low", "medium", "high", "critical")))
+
+
+# --- smells of files
+
+
+def file_smells(nodes: DataFrame, edges: DataFrame, most_functions: int = 15, most_lines: int = 300) -> DataFrame:
+    """(filePath, smell): large files by functions or lines, files without exports, and orphans, which no edge joins to
+    another file."""
+    one = nodes.groupBy("filePath").agg(F.count_if(F.col("type").isin(*CALLABLE)).alias("n"), F.max("endLine").alias("lines"), F.max(F.col("isExported").cast("int")).alias("e"))
+    a, b = (nodes.select(F.col("id").alias(x), F.col("filePath").alias(f)) for x, f in (("sourceId", "_from"), ("targetId", "_to")))
+    across = edges.select("sourceId", "targetId").join(a, "sourceId").join(b, "targetId").where("_from <> _to").select("_from", "_to").distinct()
+    joined = across.select(F.col("_from").alias("filePath")).union(across.select("_to")).distinct()
+    orphans = one.join(joined, "filePath", "left_anti").select("filePath", F.lit("orphan").alias("smell"))
+    marks = F.filter(F.array(F.when((F.col("n") > most_functions) | (F.col("lines") > most_lines), "large"), F.when(F.col("e") == 0, "no exports")), lambda x: x.isNotNull())
+    return orphans.unionAll(one.select("filePath", F.explode(marks).alias("smell")))

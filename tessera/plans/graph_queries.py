@@ -198,3 +198,20 @@ def a1_graph_stats(spark, sf_dir):
     n, e = t.nodes(spark, sf_dir), t.edges(spark, sf_dir)
     one = lambda df, what, c: df.groupBy(F.lit(what).alias("what"), F.col(c).alias("name")).agg(F.count("*").alias("n"))
     return one(n, "node", "type").unionAll(one(e, "edge", "type")).unionAll(one(n, "language", "language"))
+
+
+@query(f"SELECT id, depth FROM ({_recursive(_DEPENDS, 'c:1', 3)}) ORDER BY depth, id LIMIT 40")
+def o9_nearest_reached(spark, sf_dir):
+    return g.first_reached(g.blast_radius(t.edges(spark, sf_dir), _seed(spark, "c:1"), 3), 40).select("id", "depth")
+
+
+@query(f"{WITH} SELECT (SELECT count(*) FROM nodes) || ':' || (SELECT count(*) FROM edges) AS key")
+def g12_rank_key(spark, sf_dir):
+    return g.rank_key(t.nodes(spark, sf_dir), t.edges(spark, sf_dir), compat=True)
+
+
+@query(f"{WITH}, f AS (SELECT filePath, count(*) FILTER (type IN ('function', 'method')) AS n, max(endLine) AS l, max(isExported::INT) AS e FROM nodes GROUP BY filePath), x AS (SELECT a.filePath AS p, b.filePath AS q FROM edges e JOIN nodes a ON a.id = e.sourceId JOIN nodes b ON b.id = e.targetId WHERE e.type = 'imports' AND a.filePath <> b.filePath) SELECT filePath, 'large' AS smell FROM f WHERE n > 15 OR l > 300 UNION ALL SELECT filePath, 'no exports' FROM f WHERE e = 0 UNION ALL SELECT filePath, 'orphan' FROM f WHERE filePath NOT IN (SELECT p FROM x UNION SELECT q FROM x)")
+def g18_file_smells(spark, sf_dir):
+    from tessera.operators import report
+
+    return report.file_smells(t.nodes(spark, sf_dir), t.edges(spark, sf_dir).where("type = 'imports'"))
