@@ -384,3 +384,63 @@ def k7_context_package(spark, sf_dir):
     files = t.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("order"), F.col("source").alias("path"), "text")
     info = {"name": "test", "description": "Tables as a graph", "stack": ["spark"], "conventions": ["lower case"]}
     return budget.package(spark, info, symbols=lines, files=files).select("tier", "section", "tokens", "budget")
+
+
+# --- planted rows with the expected ones
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _rows_sql(rows, columns: str) -> str:
+    one = lambda x: "NULL" if x is None else _sql_text(x) if isinstance(x, str) else str(x)
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") AS v({columns})"
+
+
+_FORMS = [
+    ("build_log", "moderate", "=== Errors & Warnings ===\nwarning: unused x\nerror: no such file"), ("build_log", "aggressive", "=== Errors ===\nerror: no such file"),
+    ("test_output", "moderate", "=== Failures (1) ===\nFAIL b.test.ts\n  Expected 1\n  Received 2\n\n=== Summary ===\nTests: 1 failed, 1 passed"),
+    ("stack_trace", "moderate", "Error: no\n    at f (/src/a.js:1:2)\n    ... 2 framework frames\n    at f (/src/a.js:1:2)"), ("stack_trace", "aggressive", "Error: no\n    at f (/src/a.js:1:2)\n    ... 2 framework frames"),
+    ("markdown", "moderate", "# Title\n\nSome *text* with a link.\n\n### Deep"), ("markdown", "aggressive", "# Title\n\nSome text with .\n\n## Deep"),
+    ("diff", "moderate", "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,4 +1,4 @@\n  ... 1 unchanged lines\n two\n three\n-four\n+FOUR\n  ... 1 unchanged lines\n six\n seven"),
+    ("config_file", "aggressive", "[Config structure — 4 entries]\n[main]\nkey: <string>\nflag: <boolean>\nport: <number>"), ("source_code", "aggressive", "import os\nfunction f(a) { ... }\nexport class A {\n  run() { ... }\n}"),
+    ("json_data", "aggressive", '{\n  "a": [\n    1\n    // ... 3 more items (schema same as above)\n  ],\n  "b": {\n    "c": { d }\n  },\n  "e": "text"\n}'), ("plain_text", "aggressive", "Just words.\n\nA second paragraph."),
+]
+
+
+@query(_rows_sql(_FORMS, "kind, level, text"))
+def k2_sample_forms(spark, sf_dir):
+    from tessera.operators import compress
+    from tessera.plans.text_queries import SAMPLES
+
+    wanted = spark.createDataFrame([(k, x) for k, x, _ in _FORMS], "kind string, level string")
+    d = spark.createDataFrame(list(SAMPLES.items()), "kind string, text string").join(wanted, "kind")
+    text_ = F.when(F.col("level") == "moderate", compress.compress(F.col("text"), F.col("kind"), "moderate")).otherwise(compress.compress(F.col("text"), F.col("kind"), "aggressive"))
+    return d.select("kind", "level", text_.alias("text"))
+
+
+def _small_graph(spark):
+    n = [("a", "function", "run", "m.run", "/x.py", 3, "def run()", "Runs it.\nMore.", "service"), ("b", "function", "save", "save", "/x.py", 1, "def save()", None, "database"), ("c", "function", "deep", "deep", "/y.py", 1, "def deep()" + "x" * 400, None, "util"), ("f", "file", "x.py", "/x.py", "/x.py", 1, "", None, "service")]
+    e = [("a", "b", "calls"), ("a", "c", "uses"), ("b", "a", "calls"), ("a", "f", "contains")]
+    nodes = spark.createDataFrame(n, "id string, type string, name string, qualifiedName string, filePath string, startLine int, signature string, docComment string, layer string")
+    return nodes, spark.createDataFrame(e, "sourceId string, targetId string, type string")
+
+
+@query(_rows_sql([(0, "\n// /x.py"), (1, "def save()"), (2, "  /** Runs it. */\n  def run()"), (3, "\n// /y.py")], "place, line"))
+def o6_planted_map(spark, sf_dir):
+    return report.repo_map(_small_graph(spark)[0], spark.createDataFrame([("a", 0.5), ("b", 0.2), ("c", 0.3)], "id string, score double"), 60)
+
+
+@query(_rows_sql([("a", 0, "a", "processes in run()", None, "high"), ("a", 1, "b", "queries database in save()", "DB result", "high"), ("a", 2, "c", "uses helper deep()", None, "high"), ("b", 0, "b", "queries database in save()", "DB result", "high"), ("b", 1, "a", "processes in run()", None, "high"), ("b", 2, "c", "uses helper deep()", None, "high")], "seed, step, id, action, produces, risk"))
+def g14_planted_flows(spark, sf_dir):
+    nodes, edges = _small_graph(spark)
+    steps = flow.trace(nodes, edges, spark.createDataFrame([("a",), ("b",)], "id string"))
+    return steps.join(flow.flow_summary(steps).select("seed", "risk"), "seed").select("seed", "step", "id", "action", "produces", "risk")
+
+
+@query("SELECT 2::BIGINT AS places, 1::BIGINT AS docs, 12::BIGINT AS lines, 3::BIGINT AS n")
+def q5_planted_clones(spark, sf_dir):
+    block = "\n".join(f"line {i}" for i in range(8))
+    found = quality.clone_groups(spark.createDataFrame([(1, block + "\n" + block)], "doc int, text string"), 6)
+    return found.groupBy("places", "docs", "lines").agg(F.count("*").alias("n"))
