@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 
 #: About 150 bytes an entry.
-MAX_WORDS, MAX_STEMS = 500_000, 750_000
+MAX_WORDS, MAX_STEMS = 600_000, 900_000
 
 JOINED = 500
 
