@@ -55,6 +55,14 @@ def duplicates(memories: DataFrame, threshold: float = 0.8, classes: bool = Fals
     return similar_pairs(docs, terms, threshold, classes)
 
 
+def merged(old: dict[str, Column], new: dict[str, Column]) -> dict[str, Column]:
+    """Two notes (content, tags, files, importance) as one: the longer text, the old one's if they are of one length, all
+    tags and files, and an importance of 0.05 above the greater one."""
+    both = {x: F.array_union(*(F.coalesce(side[x], F.array()) for side in (old, new))) for x in ("tags", "files")}
+    content = F.when(F.length(new["content"]) > F.length(old["content"]), new["content"]).otherwise(F.coalesce(old["content"], new["content"]))
+    return {"content": content, **both, "importance": F.least(F.lit(1.0), F.greatest(old["importance"], new["importance"]) + 0.05)}
+
+
 def created(notes: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Notes (id, category, content, importance, tags, files) created in order of id, alike ones as one.
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import budget, compress, context, flow, graph, memory, quality, report, search, store, text
 from tessera.plans import text_queries
+from tessera.plans.registry import ORACLES
 
 
 def rows(df):
@@ -137,6 +138,19 @@ def test_notes_merge_and_decisions_conflict(spark):
         memory.taught(df, "nonsense", "x")
 
 
+def test_two_notes_merge_and_tags_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    note = lambda n: {x: F.col(f"{x}{n}") for x in ("content", "tags", "files", "importance")}
+    pairs = spark.createDataFrame([("abc", ["x", "y"], None, 0.4, "abd", ["y", "z"], ["f"], 0.9), ("ab", None, ["f"], 0.98, "abc", ["q"], ["f"], None), (None, [], [], 0.1, "a", ["q", "q"], [], 0.1)], ", ".join(f"content{n} string, tags{n} array<string>, files{n} array<string>, importance{n} double" for n in (1, 2)))
+    got = pairs.select(*(c.alias(k) for k, c in memory.merged(note(1), note(2)).items())).collect()
+    assert [(r.content, r.tags, r.files, round(r.importance, 6)) for r in got] == [("abc", ["x", "y", "z"], ["f"], 0.95), ("abc", ["q"], ["f"], 1.0), ("a", ["q"], [], 0.15)]
+    odd = [(1, "en", "Src1"), (2, None, "b"), (3, None, None), (4, "", "A"), (5, "b", "b"), (6, "de", None), (None, "x,y", "Ba")]
+    spark.createDataFrame([(i, "a text", *x) for i, *x in odd], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(ORACLES["u6_tag_union"].replace("documents", f"read_parquet('{tmp_path}/documents.parquet/*.parquet')")).fetchall()
+    assert sorted(map(tuple, text_queries.u6_tag_union(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
 # --- graph and reports
 
 
