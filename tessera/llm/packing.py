@@ -63,7 +63,7 @@ def _table(cols: list, names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
-def _local(path: str, end_id: int, capacity: int):
+def _local(path: str, end_id: int, capacity: int, remembered: tuple[int, int] | tuple[()]):
     names = [x.split()[0] for x in _PIECES.split(", ")]
     end = np.array([end_id], "<u4").tobytes()
 
@@ -74,7 +74,7 @@ def _local(path: str, end_id: int, capacity: int):
         return _table([*cols, bins + first, at, fill[bins]], names, _TYPES), len(fill)
 
     def run(batches):
-        encode = encoder(path).encode
+        encode = encoder(path, *remembered).encode
         first, rows = TaskContext.get().partitionId() << 33, []
         for batch in batches:
             ids_col = column_of(batch, "doc_id")
@@ -114,15 +114,16 @@ def _merge(capacity: int):
     return run
 
 
-def pieces_of(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY, remembered: tuple[int, int] | tuple[()] = ()) -> DataFrame:
     """Pieces with their place in the bins of their own partition."""
     path = tokenizer or tokenizer_path()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_local(path, end_id, capacity), _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_local(path, end_id, capacity, remembered), _PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY, slack: int = SLACK, items: int = ITEMS) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of every document."""
-    pieces = cut(pieces_of(docs, tokenizer, end_id, capacity))
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY, slack: int = SLACK, items: int = ITEMS, remembered: tuple[int, int] | tuple[()] = ()) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of every document. remembered: how many
+    words and stems a worker keeps the ids of, which takes memory and saves time."""
+    pieces = cut(pieces_of(docs, tokenizer, end_id, capacity, remembered))
     rest = pieces.where((F.col("at") == 0) & (F.col("fill") < capacity - slack)).select("bin", "fill")
     left = rest.count()
     width, where = None, None

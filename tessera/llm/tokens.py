@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: About 150 bytes an entry.
+#: Words and stems that are remembered, if not asked for otherwise. About 150 bytes an entry.
 MAX_WORDS, MAX_STEMS = 600_000, 900_000
 
 JOINED = 500
@@ -34,10 +34,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordEncoder:
     """Encodes texts by words. Only for tokenizers that drop white space before splitting (see `encoder`)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_words: int | None = None, max_stems: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.max_words, self.max_stems = max_words or MAX_WORDS, max_stems or MAX_STEMS
         spec = json.load(open(path, encoding="utf-8"))
         self.whole = Tokenizer.from_str(json.dumps(spec))
         end = spec["model"]["end_of_word_suffix"]
@@ -71,9 +72,9 @@ class WordEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         known, stems = self.words, self.stems
-        if len(known) + len(words) > MAX_WORDS:
+        if len(known) + len(words) > self.max_words:
             known.clear()
-        if len(stems) + len(words) > MAX_STEMS:
+        if len(stems) + len(words) > self.max_stems:
             stems.clear()
         odd, later, new, marks = [], [], set(), set()
         get = stems.get
@@ -148,8 +149,8 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder | TextEncoder:
-    """One for each worker process and file."""
+def encoder(path: str, max_words: int | None = None, max_stems: int | None = None) -> WordEncoder | TextEncoder:
+    """One for each worker process, file and size."""
     spec = json.load(open(path, encoding="utf-8"))
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
     normal = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -158,4 +159,4 @@ def encoder(path: str) -> WordEncoder | TextEncoder:
         spec["model"].get("end_of_word_suffix") and normal == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split"
         and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "") and r"[\p{L}]+" in first["pattern"]["Regex"]
     )
-    return WordEncoder(path) if by_words else TextEncoder(path)
+    return WordEncoder(path, max_words, max_stems) if by_words else TextEncoder(path)

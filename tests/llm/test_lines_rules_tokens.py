@@ -9,7 +9,7 @@ from llm_fixtures import ODD, docs, prose
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, packing, quality_rules, token_histogram
-from tessera.llm.tokens import TextEncoder, encoder, tokenizer_path
+from tessera.llm.tokens import TextEncoder, WordEncoder, encoder, tokenizer_path
 
 
 def lines_by_brute_force(rows):
@@ -137,6 +137,27 @@ def test_best_fit_takes_the_tightest_room():
     assert sorted(fill.tolist()) == [10, 10] and bins[0] == bins[2] and at[2] == 6
 
 
+def test_small_encoder_tables_stay_small_and_pack_alike(spark):
+    small = WordEncoder(tokenizer_path(), 400, 500)
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}x." for k in range(150)).encode() for i in range(40)]
+    for text in texts:  # 6000 words
+        assert small.encode([text]) == TextEncoder(tokenizer_path()).encode([text])
+        assert len(small.words) <= 400 and len(small.stems) <= 501
+    df = docs(spark, [*ODD, *((100 + i, t.decode()) for i, t in enumerate(texts))])
+    rows = lambda *a: sorted(map(tuple, packing.pieces_of(df, remembered=a).select("doc_id", "piece", "start", "length", "ids_crc32").collect()), key=str)
+    assert rows(400, 500) == rows()
+
+
+def test_the_pipeline_packs_with_small_tables(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked = []
+    made = packing._local
+    monkeypatch.setattr(packing, "_local", lambda *a: asked.append(a[-1]) or made(*a))
+    corpus_pipeline.pack(spark, docs(spark, ODD), "")
+    assert sum(asked[0]) <= 600_000  # 1,500,000 took an executor over 3000 MB
+
+
 def test_histogram_and_its_answers(spark):
     rows = [(i, t) for i, t, *_ in ODD] + [(100 + k, prose(k, k)) for k in range(70)]
     lengths = [len(x) // 4 for x in TextEncoder(tokenizer_path()).encode([(t or "").encode() for _, t in rows])]
