@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, fresh, partitions
+from .common import column_of, fresh, partitions, slices
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Lines that a map task holds before it settles them.
@@ -75,7 +75,7 @@ def _local(min_chars: int, min_docs: int, chunk: int):
 
     def run(batches):
         held, n_held = {}, 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text, tk in zip(column_of(batch, "doc_id"), column_of(batch, "text", "binary"), column_of(batch, "tk"), strict=True):
                 n, keys = keys_of(text, min_chars)
                 for key, pos in keys.items():
@@ -171,7 +171,7 @@ def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     at, columns = joined.columns.index("text"), docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             maps = column_of(batch, bitmap)
             if any(m is not None for m in maps):
                 texts = column_of(batch, "text", "binary")
@@ -188,7 +188,7 @@ def line_digests(docs: DataFrame, **options) -> DataFrame:
     joined, _, bitmap = _with_bitmaps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), **options)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text, m in zip(column_of(batch, "doc_id"), column_of(batch, "text", "binary"), column_of(batch, bitmap), strict=True):
                 n, dropped, left = kept_lines(text or b"", m)

@@ -77,10 +77,9 @@ def _local(path: str, end_id: int, capacity: int, remembered: tuple[int, int] |
         encode = encoder(path, *remembered).encode
         first, rows = TaskContext.get().partitionId() << 33, []
         for batch in batches:
-            ids_col = column_of(batch, "doc_id")
-            texts = column_of(batch, "text", "binary")
-            for lo in range(0, len(texts), 512):
-                for doc, ids in zip(ids_col[lo : lo + 512], encode([x or b"" for x in texts[lo : lo + 512]]), strict=True):
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                for doc, ids in zip(column_of(part, "doc_id"), encode([x or b"" for x in column_of(part, "text", "binary")]), strict=True):
                     ids += end
                     n = len(ids) // 4
                     for k, start in enumerate(range(0, n, capacity)):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_of, cut, fresh
+from .common import column_of, cut, fresh, slices
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_text_lines", "n_distinct")
 _SYMBOLS, _UPPER, _MARKS = b"#*$%&|<>", bytes(range(65, 91)), b"!?"
@@ -57,7 +57,7 @@ def with_features(docs: DataFrame, prefix: str = "") -> tuple[DataFrame, dict[st
     schema = docs.select("*", *(F.lit(0).cast("long").alias(x) for x in names.values())).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [features_of(x or b"") for x in column_of(batch, "text", "binary")]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in cols)], [*batch.schema.names, *names.values()])

@@ -37,6 +37,7 @@ class WordEncoder:
     def __init__(self, path: str, max_words: int | None = None, max_stems: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.max_words, self.max_stems = max_words or MAX_WORDS, max_stems or MAX_STEMS
         spec = json.load(open(path, encoding="utf-8"))
@@ -45,10 +46,9 @@ class WordEncoder:
         self.ends = np.zeros(self.whole.get_vocab_size() + 1, bool)
         for token, i in spec["model"]["vocab"].items():
             self.ends[i] = token.endswith(end)
-        split, to_bytes = {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        bare = spec | {"normalizer": None, "added_tokens": []}
-        self.bare = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": split}))  # for ASCII
-        self.bytes_ = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, to_bytes]}}))
+        self.bare, self.bytes_ = Tokenizer(self.whole.model), Tokenizer(self.whole.model)  # one model for all three
+        self.bare.pre_tokenizer = WhitespaceSplit()  # for ASCII
+        self.bytes_.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 

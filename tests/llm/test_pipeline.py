@@ -1,8 +1,12 @@
 import random
 
+import pyarrow as pa
+import pytest
 from llm_fixtures import docs, prose
 
 import corpus_pipeline
+from tessera.llm import line_dedup, near_dedup
+from tessera.llm.tokens import encoder, tokenizer_path
 
 
 def test_each_stage_takes_effect(spark, tmp_path):
@@ -35,3 +39,15 @@ def test_near_dedup_links_at_four_fifths(spark):
     assert 0.8 <= len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]) < 0.85
     df = docs(spark, [(1, " ".join(words)), (2, " ".join(copy)), (3, prose(78, 104))])
     assert {r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()} == {1, 3}
+
+
+@pytest.mark.parametrize("work", [near_dedup._sketch, line_dedup._local(20, 3, 1000)])
+def test_a_worker_drops_what_packing_remembers(work):
+    """In the pipeline the workers that packed go on to other stages, with all they hold."""
+    encoder(tokenizer_path(), *corpus_pipeline.REMEMBERED).encode([b"some words"])
+    texts = [prose(i, 8) for i in range(2500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(2500), pa.int64()), "text": texts, "tk": pa.array([0] * 2500, pa.int64())})
+    out = list(work(iter([batch])))
+    assert encoder.cache_info().currsize == 0
+    if work is near_dedup._sketch:
+        assert [i for b in out for i in b.column(0).to_pylist()] == list(range(2500)) and max(b.num_rows for b in out) <= 1000
