@@ -148,6 +148,9 @@ class Index:
         postings = spark.read.parquet(f"{path}/postings")
         return cls(postings, spark.read.parquet(f"{path}/lengths"), [c for c in postings.columns if c not in ("doc", "term")], stemmed)
 
+    def scores(self, terms: list[str], weights: dict[str, float] | None = None, mode: str = "all") -> DataFrame:
+        return ranked(self, terms, weights, mode)
+
     def replace(self, other: Index) -> Index:
         """With the documents of `other` in place of those with the same doc."""
         ids = other.lengths.select("doc")
@@ -223,14 +226,6 @@ def snippet(text: Column, terms: list[str], size: int = 40, marks: tuple[str, st
     return F.concat(F.when(first > 0, "...").otherwise(""), F.array_join(part, " "), F.when(F.size(w) > first + size, "...").otherwise(""))
 
 
-def search_content(files: DataFrame, ix: Index, query: str, limit: int = 200) -> DataFrame:
-    """(doc, score, snippet) of files (doc, text) that hold all words of a query, the best first. Texts are read for the
-    `limit` best documents only."""
-    terms = camel_words(query)
-    best = ranked(ix, terms).orderBy(F.desc("score"), "doc").limit(limit)
-    return best.join(files.select("doc", snippet(F.col("text"), terms).alias("snippet")), "doc").orderBy(F.desc("score"), "doc")
-
-
 # --- symbols
 
 
@@ -243,23 +238,35 @@ def _holds(column: str, q: str) -> Column:
     return F.coalesce(F.contains(F.lower(column), F.lit(q)), F.lit(False))
 
 
-def search_symbols(nodes: DataFrame, ix: Index, query: str, limit: int = 40, compat: bool = False) -> DataFrame:
+def search_symbols(nodes: DataFrame, ix, query: str, limit: int = 40, compat: bool = False, grams=None) -> DataFrame:
     """(id, name, bonus, score): nodes that match all words of the query or hold it as a text, by bonus, score and name.
 
     The bonus is 0 for the name itself, 1 where the name holds the query, 2 for the qualified name, 3 for the signature
     or a match of words, 4 else. Where nothing is found, nodes that hold any word of the query, by the first such word.
+    ix is an index of words, as it was made or in blocks. With stored trigrams of the nodes' texts only nodes that either
+    of them names are looked at.
     """
     q = query.strip().lower()
-    text_hit = reduce(lambda a, b: a | b, (_holds(c, q) for c in ("name", "qualifiedName", "signature", "docComment") if c in nodes.columns))
-    by_words = ranked(ix, camel_words(query), SYMBOL_WEIGHTS_COMPAT if compat else SYMBOL_WEIGHTS).select(F.col("doc").alias("id"), "score")
-    both = nodes.join(by_words, "id", "left").where(text_hit | F.col("score").isNotNull())
+    fields = [c for c in ("name", "qualifiedName", "signature", "docComment") if c in nodes.columns]
+    text_hit = reduce(lambda a, b: a | b, (_holds(c, q) for c in fields))
+    by_words = ix.scores(camel_words(query), SYMBOL_WEIGHTS_COMPAT if compat else SYMBOL_WEIGHTS).select(F.col("doc").alias("id"), "score")
+    held = grams.candidates(q) if grams else None
+    if held is None:
+        both = nodes.join(by_words, "id", "left")
+    else:
+        named = held.select(F.col("doc").alias("id"), F.lit(None).cast("double").alias("score")).unionAll(by_words).groupBy("id").agg(F.max("score").alias("score"))
+        both = nodes.join(named, "id")
+    both = both.where(text_hit | F.col("score").isNotNull())
     bonus = F.when(F.col("name") == query.strip(), 0).when(_holds("name", q), 1).when(_holds("qualifiedName", q), 2).when(_holds("signature", q) | F.col("score").isNotNull(), 3).otherwise(4)
-    found = both.select("id", "name", bonus.alias("bonus"), F.coalesce("score", F.lit(0.0)).alias("score")).orderBy("bonus", F.desc("score"), "name", "id").limit(limit)
+    found = cut(both.select("id", "name", bonus.alias("bonus"), F.coalesce("score", F.lit(0.0)).alias("score")).orderBy("bonus", F.desc("score"), "name", "id").limit(limit))
     if not found.isEmpty():
         return found
     some = [w for w in camel_words(query) if len(w) >= 2]
     if not some:
         return found
+    each = [grams.candidates(w) for w in some] if grams else [None]
+    if all(e is not None for e in each):
+        nodes = nodes.join(reduce(DataFrame.unionAll, each).distinct().withColumnRenamed("doc", "id"), "id", "left_semi")
     at = reduce(lambda c, kv: c.when(_holds("name", kv[1]) | _holds("qualifiedName", kv[1]) | _holds("signature", kv[1]), kv[0]), enumerate(some), F.when(F.lit(False), 0))
     fuzzy = nodes.withColumn("_at", at).where("_at IS NOT NULL").orderBy("_at", "name", "id").limit(limit)
     return fuzzy.select("id", "name", F.lit(5).alias("bonus"), F.lit(0.0).alias("score"))
@@ -315,12 +322,12 @@ def with_rank(found: DataFrame, *order: Column) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # of a limited list
 
 
-def smart_search(nodes: DataFrame, edges: DataFrame, ix: Index, query: str, semantic: DataFrame | None = None, mode: str = "hybrid", limit: int = 10, most: int = 8) -> DataFrame:
+def smart_search(nodes: DataFrame, edges: DataFrame, ix, query: str, semantic: DataFrame | None = None, mode: str = "hybrid", limit: int = 10, most: int = 8, grams=None) -> DataFrame:
     """(id, list, rank, name, type, filePath, startLine, signature, callers, n_callers, callees, n_callees): keyword hits,
     then semantic ones (doc, score) that are not among them; names of at most `most` callers and callees each."""
     parts = []
     if mode != "semantic":
-        parts.append(with_rank(search_symbols(nodes, ix, query, limit), F.col("bonus"), F.desc("score"), F.col("name"), F.col("id")).select("id", "rank"))
+        parts.append(with_rank(search_symbols(nodes, ix, query, limit, grams=grams), F.col("bonus"), F.desc("score"), F.col("name"), F.col("id")).select("id", "rank"))
     if mode != "keyword" and semantic is not None:
         parts.append(with_rank(semantic.orderBy(F.desc("score"), "doc").limit(limit), F.desc("score"), F.col("doc")).select(F.col("doc").alias("id"), "rank"))
     hits = merged(parts[0], parts[-1], "id", limit)  # a list is merged with itself where it is the only one

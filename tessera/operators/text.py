@@ -86,14 +86,6 @@ def field_bm25(docs: DataFrame, fields: dict[str, float], terms: list[str]) -> D
     return total.groupBy("doc").agg(F.sum("score").alias("score"))
 
 
-def search_ladder(nodes: DataFrame, query: str, limit: int = 40) -> DataFrame:
-    """Nodes whose name, qualified name or signature holds the query, equal names first, then by name."""
-    q = query.lower()
-    has = lambda c: F.contains(F.lower(c), F.lit(q))
-    rung = F.when(F.lower("name") == q, 0).when(has("name"), 1).when(has("qualifiedName"), 2).when(has("signature"), 3)
-    return nodes.withColumn("rung", rung).where(F.col("rung").isNotNull()).orderBy("rung", "name", "id").limit(limit)
-
-
 def find_file(files: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """(filePath, score): 100 for the base name itself, 80 for its start, 60 where the path holds the query."""
     q, base = query.lower(), F.lower(F.element_at(F.split("filePath", "/"), -1))
@@ -120,18 +112,23 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def grep(docs: DataFrame, pattern: str, context: int = 0, invert: bool = False, whole_word: bool = False, ignore_case: bool = False) -> DataFrame:
-    """(doc, line_no, line, n_matches[, before, after]) of matching lines; context lines come joined by newlines."""
+    """(doc, line_no, line, n_matches[, before, after]) of matching lines; context lines come joined by newlines. Only the
+    places of matching lines leave a document's array, each with its own slice of it."""
     p = ("(?i)" if ignore_case else "") + (f"\\b(?:{pattern})\\b" if whole_word else pattern)
-    if not context:  # within each document's own array: no shuffle
-        rows = lines(docs)
-    else:
-        arr = F.split("text", "\n", -1)
-        part = lambda a, b: F.array_join(F.slice("_all", a, b), "\n")
-        rows = docs.select("doc", arr.alias("_all")).select("doc", "_all", F.posexplode("_all").alias("_i", "line")).withColumn("line_no", F.col("_i") + 1)
-        first = F.greatest(F.lit(1), F.col("line_no") - context)
-        rows = rows.withColumns({"before": part(first, F.col("line_no") - first), "after": part(F.col("line_no") + 1, F.lit(context))}).drop("_all", "_i")
-    hit = F.col("line").rlike(p)
-    return rows.where(~hit if invert else hit).withColumn("n_matches", F.regexp_count("line", F.lit(p)))
+    wanted = (lambda line: ~line.rlike(p)) if invert else (lambda line: line.rlike(p))
+    if not context:
+        rows = lines(docs).where(wanted(F.col("line")))
+        return rows.withColumn("n_matches", F.regexp_count("line", F.lit(p)))
+    line = lambda i: F.get(F.col("_all"), i)
+    joined = lambda first, n: F.array_join(F.slice("_all", first, n), "\n")
+
+    def hit(i):
+        first = F.greatest(F.lit(1), i + 1 - context)
+        return F.struct((i + 1).alias("line_no"), line(i).alias("line"), joined(first, i + 1 - first).alias("before"), joined(i + 2, F.lit(context)).alias("after"))
+
+    places = F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: wanted(line(i)))
+    rows = docs.where("text IS NOT NULL").select("doc", F.split("text", "\n", -1).alias("_all")).select("doc", F.explode(F.transform(places, hit)).alias("_x"))
+    return rows.select("doc", "_x.line_no", "_x.line", F.regexp_count("_x.line", F.lit(p)).alias("n_matches"), "_x.before", "_x.after")
 
 
 def cosine_top_k(vectors: DataFrame, query_id: int, k: int = 10) -> DataFrame:
@@ -143,12 +140,6 @@ def cosine_top_k(vectors: DataFrame, query_id: int, k: int = 10) -> DataFrame:
     return rows.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def hybrid(first: DataFrame, second: DataFrame, key: str, limit: int) -> DataFrame:
-    """Rows (key, rank) of the first list, then those of the second that it lacks."""
-    both = first.select(key, F.lit(0).alias("list"), "rank").unionAll(second.select(key, F.lit(1).alias("list"), "rank"))
-    return both.groupBy(key).agg(F.min(F.struct("list", "rank")).alias("_at")).select(key, "_at.*").orderBy("list", "rank", key).limit(limit)
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two word arrays as sets."""
     n = F.size(F.array_union(a, b))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import testgraph as t
-from tessera.operators import search, text
+from tessera.operators import search, stored, text
 from tessera.plans.registry import query
+from tessera.session import stored as once
 
 _U = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 _A = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
@@ -29,6 +30,17 @@ def _documents(spark, sf_dir):
     return t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "lang", "source")
 
 
+def _content_blocks(spark, sf_dir):
+    """The content index in blocks, written by the first query that reads it."""
+    save = lambda path: stored.save_blocks(search.content_index(_documents(spark, sf_dir)), path)
+    return stored.Blocks.load(spark, once(spark, sf_dir, "content", save))
+
+
+def _document_grams(spark, sf_dir):
+    save = lambda path: stored.save_trigrams(_documents(spark, sf_dir), ["text"], path)
+    return stored.Trigrams.load(spark, once(spark, sf_dir, "grams", save))
+
+
 _DOCS = "docs AS (SELECT doc_id AS doc, left(text, 51200) AS text FROM documents)"
 
 
@@ -48,8 +60,7 @@ p AS (SELECT *, greatest(0, coalesce(list_position(list_transform(w, lambda x: {
 SELECT doc, round(score, 6) AS score, CASE WHEN skip_n > 0 THEN '...' ELSE '' END || array_to_string(list_transform(w[skip_n + 1 : skip_n + 40], lambda x: CASE WHEN {_SNIP} THEN '>>>' || x || '<<<' ELSE x END), ' ') || CASE WHEN len(w) > skip_n + 40 THEN '...' ELSE '' END AS snippet
 FROM p ORDER BY score DESC, doc LIMIT 200""")
 def t4_content_search(spark, sf_dir):
-    d = _documents(spark, sf_dir)
-    return search.search_content(d, search.content_index(d), "allRights").select("doc", F.round("score", 6).alias("score"), "snippet")
+    return stored.search_content(_documents(spark, sf_dir), _content_blocks(spark, sf_dir), "allRights").select("doc", F.round("score", 6).alias("score"), "snippet")
 
 
 def _counts(mode: str, terms: list[str]) -> str:
@@ -69,8 +80,9 @@ _NOTES = "notes AS (SELECT doc_id AS doc, text, source, lang FROM documents JOIN
 @query(f"WITH {_NOTES}, {_ranked_sql('notes', {'content': 'text', 'category': 'source', 'tags': 'lang'}, ['license', 'en'], search.NOTE_WEIGHTS, 'any')} SELECT doc, round(score, 6) AS score FROM ranked")
 def t5_note_search(spark, sf_dir):
     notes = _documents(spark, sf_dir).join(t.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("doc")), "doc")
-    ix = search.index(notes, {"content": search.unicode_words(F.col("text")), "category": search.unicode_words(F.col("source")), "tags": search.unicode_words(F.col("lang"))})
-    return search.ranked(ix, ["license", "en"], search.NOTE_WEIGHTS, "any").select("doc", F.round("score", 6).alias("score"))
+    fields = {"content": search.unicode_words(F.col("text")), "category": search.unicode_words(F.col("source")), "tags": search.unicode_words(F.col("lang"))}
+    path = once(spark, sf_dir, "notes", lambda path: stored.save_blocks(search.index(notes, fields), path))
+    return stored.scored(stored.Blocks.load(spark, path), ["license", "en"], search.NOTE_WEIGHTS, "any").select("doc", F.round("score", 6).alias("score"))
 
 
 _DECISIONS = "dec AS (SELECT conv_id * 1000 + turn AS doc, role, text FROM conversations)"
@@ -104,22 +116,32 @@ def _symbol_index(spark, sf_dir):
     return search.symbol_index(t.nodes(spark, sf_dir), stemmed=False)
 
 
+def _symbol_blocks(spark, sf_dir):
+    return stored.Blocks.load(spark, once(spark, sf_dir, "symbols", lambda path: stored.save_blocks(_symbol_index(spark, sf_dir), path)))
+
+
+def _symbol_grams(spark, sf_dir):
+    save = lambda path: stored.save_trigrams(t.nodes(spark, sf_dir).withColumnRenamed("id", "doc"), ["name", "qualifiedName", "signature"], path)
+    return stored.Trigrams.load(spark, once(spark, sf_dir, "symbol-grams", save))
+
+
 @query(_symbols_sql(["customer", "000000007"], "customer#000000007", "Customer#000000007", 40))
 def t1_symbol_search(spark, sf_dir):
-    return search.search_symbols(t.nodes(spark, sf_dir), _symbol_index(spark, sf_dir), "Customer#000000007").select("id", "bonus", F.round("score", 6).alias("score"))
+    return search.search_symbols(t.nodes(spark, sf_dir), _symbol_blocks(spark, sf_dir), "Customer#000000007", grams=_symbol_grams(spark, sf_dir)).select("id", "bonus", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {t.CTES} SELECT id FROM nodes WHERE contains(lower(name), 'zzz') OR contains(lower(qualifiedName), 'zzz') OR contains(lower(signature), 'zzz') OR contains(lower(name), 'asia') OR contains(lower(qualifiedName), 'asia') OR contains(lower(signature), 'asia') ORDER BY name, id LIMIT 40")
 def t1_fuzzy_search(spark, sf_dir):
-    return search.search_symbols(t.nodes(spark, sf_dir), _symbol_index(spark, sf_dir), "zzz asia").select("id")
+    return search.search_symbols(t.nodes(spark, sf_dir), _symbol_blocks(spark, sf_dir), "zzz asia", grams=_symbol_grams(spark, sf_dir)).select("id")
 
 
 @query(f"WITH {t.CTES}, nd AS (SELECT id AS doc, name, qualifiedName, signature FROM nodes), {_ranked_sql('nd', _FIELDS, ['go', 'lib'], {}, 'all')} SELECT doc AS id, r.doc IS NOT NULL AS by_words, contains(lower(nd.qualifiedName), '.go') AS by_text FROM nd LEFT JOIN ranked r USING (doc) WHERE r.doc IS NOT NULL OR contains(lower(nd.qualifiedName), '.go')")
 def u1_words_or_text(spark, sf_dir):
-    nodes = t.nodes(spark, sf_dir)
-    hits = search.matches(_symbol_index(spark, sf_dir), ["go", "lib"]).select(F.col("doc").alias("id")).distinct().withColumn("by_words", F.lit(True))
-    both = nodes.select("id", F.contains(F.lower("qualifiedName"), F.lit(".go")).alias("by_text")).join(hits, "id", "left").na.fill(False, ["by_words"])
-    return both.where("by_words OR by_text").select("id", "by_words", "by_text")
+    nodes = t.nodes(spark, sf_dir).withColumnRenamed("id", "doc")
+    by_words = stored.scored(_symbol_blocks(spark, sf_dir), ["go", "lib"]).select(F.col("doc").alias("id"), F.lit(1).alias("words"), F.lit(0).alias("text"))
+    by_text = stored.containing(_symbol_grams(spark, sf_dir), nodes, ["qualifiedName"], ".go").select(F.col("doc").alias("id"), F.lit(0), F.lit(1))
+    both = by_words.unionAll(by_text).groupBy("id").agg(F.max("words").alias("words"), F.max("text").alias("text"))
+    return both.select("id", (F.col("words") == 1).alias("by_words"), (F.col("text") == 1).alias("by_text"))
 
 
 @query(f"WITH {t.CTES} SELECT id, md5(concat_ws(' ', name, name, name, qualifiedName, qualifiedName, signature, '', regexp_replace(filePath, '[/\\\\]', ' ', 'g'))) AS text FROM nodes")
@@ -169,7 +191,7 @@ _SMART = _symbols_sql(["order77"], "order77", "order77", 5)
 SELECT r.id, coalesce((SELECT count(*) FROM g WHERE g.id = r.id), 0)::BIGINT AS n_callers, coalesce((SELECT array_to_string((list_sort(list_distinct(list(name))))[1:8], ', ') FROM g WHERE g.id = r.id), '') AS callers FROM r""")
 def t13_smart_search(spark, sf_dir):
     nodes, edges = t.nodes(spark, sf_dir), t.edges(spark, sf_dir)
-    return search.smart_search(nodes, edges, _symbol_index(spark, sf_dir), "order77", mode="keyword", limit=5).select("id", "n_callers", "callers")
+    return search.smart_search(nodes, edges, _symbol_blocks(spark, sf_dir), "order77", mode="keyword", limit=5, grams=_symbol_grams(spark, sf_dir)).select("id", "n_callers", "callers")
 
 
 @query(f"WITH {t.CTES}, a AS (SELECT id, 0 AS list FROM (SELECT id FROM nodes WHERE name = 'order1') UNION ALL (SELECT id, 1 FROM (SELECT id, name FROM nodes WHERE contains(lower(name), 'asia') ORDER BY name, id LIMIT 10))) SELECT id, min(list)::INTEGER AS list FROM a GROUP BY id ORDER BY list, id LIMIT 20")
@@ -209,3 +231,38 @@ def t3_words(spark, sf_dir):
 @query("SELECT p_partkey AS doc, array_to_string(list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p_type || p_brand, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([0-9]+)', ' \\1 ', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: length(x) >= 2), ' ') AS words FROM part")
 def t8_code_tokens(spark, sf_dir):
     return t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc"), F.array_join(text.code_tokens(F.concat("p_type", "p_brand")), " ").alias("words"))
+
+
+# --- through stored structures
+
+_TOP = f"WITH {_DOCS}, {_ranked_sql('docs', {'text': 'text'}, ['the', 'license'], {}, 'any', _A)} SELECT doc, round(score, 6) AS score FROM ranked ORDER BY score DESC, doc LIMIT 25"
+
+
+@query(_TOP.replace("SELECT doc, round(score, 6) AS score FROM ranked ORDER BY score DESC", "SELECT doc, round(score, 6) AS score FROM ranked ORDER BY ranked.score DESC"))
+def t2_best_of_blocks(spark, sf_dir):
+    return stored.top_k(_content_blocks(spark, sf_dir), ["the", "license"], 25, mode="any").select("doc", F.round("score", 6).alias("score"))
+
+
+_LINE = "l AS (SELECT doc_id AS doc, generate_subscripts(a, 1) AS line_no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL))"
+
+
+@query(f"WITH {_LINE} SELECT doc, line_no::INTEGER AS line_no, line, len(regexp_extract_all(line, '(?:MIT|Apache) License'))::INTEGER AS n_matches FROM l WHERE regexp_matches(line, '(?:MIT|Apache) License')")
+def p12_grep_by_trigrams(spark, sf_dir):
+    return stored.grep(_document_grams(spark, sf_dir), _documents(spark, sf_dir), "(?:MIT|Apache) License")
+
+
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"SELECT doc_id AS doc, md5(text) AS text FROM documents WHERE contains({_FOLD.format('text')}, 'mit license')")
+def p2_contains_by_trigrams(spark, sf_dir):
+    return stored.containing(_document_grams(spark, sf_dir), _documents(spark, sf_dir), ["text"], "MIT License").select("doc", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query()
+def t3_stemmed_search(spark, sf_dir):
+    """Notes by the stems of their words; tests stem all words of a table by hand."""
+    notes = _documents(spark, sf_dir).select("doc", F.col("text").alias("content"), F.col("source").alias("category"), F.array("lang").alias("tags"))
+    path = once(spark, sf_dir, "stems", lambda path: stored.save_blocks(search.note_index(notes), path))
+    ix = stored.Blocks.load(spark, path, stemmed=True)
+    return stored.top_k(ix, ["licensing", "permissions", "granted"], 50, search.NOTE_WEIGHTS, "any").select("doc", F.round("score", 6).alias("score"))

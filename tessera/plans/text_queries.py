@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import testgraph as t
-from tessera.operators import changes, compress, context, memory, quality, search, text
+from tessera.operators import changes, compress, context, memory, quality, search, stored, text
 from tessera.plans.registry import query
+from tessera.session import cut
+from tessera.session import stored as once
 
 
 def _docs(spark, sf_dir):
@@ -239,18 +241,20 @@ def _typed(spark, sf_dir):
     return both.unionAll(spark.createDataFrame([("samples", x) for x in SAMPLES.values()], "tab string, text string"))
 
 
-_RX = lambda p: f"regexp_matches(t, '(?m){p}')"
-_TYPE_SQL = f"""CASE WHEN t IS NULL OR t = '' THEN 'plain_text' WHEN starts_with(t, 'diff --git') OR starts_with(t, '--- a/') OR starts_with(t, '+++ b/') OR regexp_matches(t, '^@@\\s+-\\d') THEN 'diff'
-WHEN {_RX('^[ \t]*at\\s+\\S.*[(].*:\\d+:\\d+[)]')} OR {_RX('^\\s+at \\S.*[.]java:\\d+[)]')} OR {_RX('^[ \t]*File ".+", line \\d')} OR {_RX('^Traceback [(]most recent call last[)]')} OR {_RX('panic:.*goroutine')} THEN 'stack_trace'
-WHEN {_RX('^(PASS|FAIL|ok|not ok|Tests:|Test Suite|RUN|\u2713|\u2717|\u2718|\u25cf)')} OR {_RX('[0-9] (passing|failing|passed|failed)')} OR {_RX('(PASSED|FAILED|ERROR)[ \t]+\\[')} OR {_RX('^===+[ \t]*(FAILURES|ERRORS)[ \t]*===')} THEN 'test_output'
-WHEN regexp_matches(t, '(?mi)^(error|warning|note)[ \t]*:') OR {_RX('^\\[\\d\\d:\\d\\d:\\d\\d\\]')} OR {_RX('^(BUILD|COMPILE)[ \t]+(SUCCEEDED|FAILED)')} OR {_RX('^>[ \t]+(tsc|npm|yarn|pnpm|make|cmake|gradle|cargo|go[ \t]+build)')} OR {_RX('error TS[0-9]+:')} THEN 'build_log'
-WHEN left(t, 1) || right(t, 1) IN ('{{}}', '[]') AND json_valid(t) THEN 'json_data'
-WHEN {_RX('^\\[[A-Za-z0-9_.-]+\\][ \t]*$')} OR {_RX('^[A-Za-z0-9_][A-Za-z0-9_.-]*[ \t]*[:=]')} THEN 'config_file'
-WHEN {_RX('^#{1,6}[ \t]+\\S')} OR {_RX('^([*]{3,}|-{3,})$')} THEN 'markdown'
-WHEN {_RX('^(import|export|from|require|use|using|package|module|function|class|interface|type|enum|const|let|var|def|fn|pub|func|public|private|protected|static|abstract|async)\\s')} OR {_RX('[{{}};][ \t]*$')} OR {_RX('^[ \t]*(//|#|/[*]|[*]|""")')} THEN 'source_code' ELSE 'plain_text' END"""
+def _type_sql() -> str:
+    out = "CASE WHEN t IS NULL OR t = '' THEN 'plain_text'"
+    for name, signs in context.CONTENT_SIGNS.items():
+        flags = "" if name == "diff" else "(?m)"
+        tests = " OR ".join("regexp_matches(t, '{}')".format((flags + x).replace("'", "''")) for x in signs)
+        out += f" WHEN {tests or _JSON_SQL} THEN '{name}'"
+    return out + " ELSE 'plain_text' END"
 
 
-@query(f"SELECT tab, {_TYPE_SQL} AS content_type, count(*) AS n FROM (SELECT tab, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT 'documents' AS tab, text FROM documents UNION ALL SELECT 'pages', html FROM pages UNION ALL SELECT * FROM (VALUES {_SAMPLE_SQL}) AS v(a, b))) GROUP BY ALL".replace("^#{1,6}", "^#{1,6}"))
+_JSON_SQL = "left(t, 1) || right(t, 1) IN ('{}', '[]') AND json_valid(t)"
+_TYPE_SQL = _type_sql()
+
+
+@query(f"SELECT tab, {_TYPE_SQL} AS content_type, count(*) AS n FROM (SELECT tab, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT 'documents' AS tab, text FROM documents UNION ALL SELECT 'pages', html FROM pages UNION ALL SELECT * FROM (VALUES {_SAMPLE_SQL}) AS v(a, b))) GROUP BY ALL")
 def k1_content_types(spark, sf_dir):
     return _typed(spark, sf_dir).groupBy("tab", context.content_type(F.col("text")).alias("content_type")).agg(F.count("*").alias("n"))
 
@@ -338,7 +342,8 @@ _TEXT = "tok AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(l
 def m5_recall(spark, sf_dir):
     m = _memories(spark, sf_dir)
     texts = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text").join(m.select(F.col("id").alias("doc")), "doc")
-    ranks = search.ranked(search.index(texts, {"text": text.words(F.col("text"))}), ["the"], mode="any")
+    path = once(spark, sf_dir, "memories", lambda path: stored.save_blocks(search.index(texts, {"text": text.words(F.col("text"))}), path))
+    ranks = cut(stored.scored(stored.Blocks.load(spark, path), ["the"], mode="any"))
     most = ranks.agg(F.greatest(F.lit(1.0), F.max("score")).alias("_most"))  # one row
     scored = m.join(ranks.withColumnRenamed("doc", "id"), "id", "left").join(F.broadcast(most), F.lit(True)).withColumn("_text", F.coalesce("score", F.lit(0.0)) / F.col("_most")).drop("score")
     return memory.recall(scored, F.col("_text"), F.col("importance"), F.col("days"), 50).select("id", F.round("score", 6).alias("score"))

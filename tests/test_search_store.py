@@ -89,15 +89,15 @@ def test_every_type_is_told_and_shortened(spark):
 
 
 def test_signs_of_types_one_by_one(spark):
+    """A text of each pattern is of its type."""
     lines = {
-        "hunk": "@@ -1,2 +1 @@", "frame of a quoted file": 'x\n  File "a.py", line 3', "panic": "panic: boom goroutine 1", "count of results": "12 passed", "verdict before a bracket": "FAILED [ 10%]", "banner": "=== FAILURES ===",
-        "mark first": "✓ works", "clock first": "[10:20:30] x", "result first": "BUILD FAILED", "command after a prompt": "> npm test", "numbered compiler error": "x error TS12: y", "section": "[a.b]", "key and value": "a.b: c",
-        "rule": "x y\n---", "takes or gives names": "use strict", "declares": "fn main", "modifier": "static x", "ends a statement or block": "x y;", "comment": "  // x y",
+        "diff": ["diff --git a b", "--- a/x", "+++ b/x", "@@ -1,2 +1 @@"], "stack_trace": ["x\n at f (a.js:1:2)", 'x\n  File "a.py", line 3', "x\n at f(A.java:3)", "Traceback (most recent call last)", "panic: boom goroutine 1"],
+        "test_output": ["ok 1", "12 passed", "RUNS a", "✓ works", "x FAILED [ 10%]", "=== FAILURES ==="], "build_log": ["Note: x", "[10:20:30] x", "> npm test", "BUILD FAILED", "x error TS12: y"], "json_data": ['{"a": [1]}'],
+        "config_file": ["[a.b]", "a.b: c", "kind: x"], "markdown": ["## x", "x y\n---"], "source_code": ["use strict", "fn main", "static x", "x y;", "  // x y"], "plain_text": ["x y", "", "{a}"],
     }
-    for name, line in lines.items():
-        (kind,) = [k for k, signs in context.SIGNS.items() if signs and name in signs]
-        x = spark.createDataFrame([(line,)], "t string").select(context.content_type(F.col("t")).alias("k")).first().k
-        assert (name, x) == (name, kind)
+    cases = [(kind, line) for kind, some in lines.items() for line in some]
+    got = spark.createDataFrame(cases, "kind string, t string").select("kind", "t", context.content_type(F.col("t")).alias("k")).collect()
+    assert [(r.kind, r.t) for r in got if r.k != r.kind] == []
 
 
 # --- snapshots
