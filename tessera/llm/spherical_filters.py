@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import column_of, cut, slices
 from .graph import components
-from .near_dedup import groups
 from .topk_search import valid
 
 CODES, WORDS, LIMIT, FEWEST, LEAST_WIDTH, SEED = 16, 160, 3.6, 24, 64, 12
@@ -132,13 +131,12 @@ def _decode(width: int, limit: float, fewest: int, n: int, words: int):
     return run
 
 
-def _earlier(filters: list[list[int]], now: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _earlier(filters: list[np.ndarray], now: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Which pairs of left and right (indices of filters) have a filter before `now` in common."""
     used = np.unique(np.concatenate([left, right]))
     at = np.full(len(filters), -1)
     at[used] = np.arange(len(used))
-    lists = [np.array(filters[k], np.int64) for k in used]
-    lists = [x[x < now] for x in lists]
+    lists = [filters[k][filters[k] < now] for k in used]
     names, column = np.unique(np.concatenate([*lists, np.empty(0, np.int64)]), return_inverse=True)
     has = np.zeros((len(used), len(names)), np.float32)
     has[np.repeat(np.arange(len(used)), [len(x) for x in lists]), column] = 1
@@ -157,27 +155,65 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _compare(percent: float):
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column of lists as their values, and where each one ends."""
+    column = batch.column(name)
+    return column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _arrays(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
+    """A batch's keys (a row each), nodes, weights, blocks, unit vectors and lists of filters."""
+    values, ends = _lists(batch, "embedding")
+    lengths = np.diff(ends, prepend=0)
+    x = np.zeros((batch.num_rows, width))
+    x[np.arange(width) < lengths[:, None]] = values
+    filters, ends = _lists(batch, "filters")
+    each = np.empty(batch.num_rows, object)
+    each[:] = np.split(filters, ends[:-1])
+    keys = np.stack([_numbers(batch, c) for c in ("filter", "i", "j")], 1).astype(np.int64)
+    return [keys, _numbers(batch, "node"), _numbers(batch, "weight"), _numbers(batch, "own"), units(x), each]
+
+
+def _groups(batches, width: int):
+    """The arrays of each run of rows with equal keys, over the borders of batches."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = _arrays(batch, width)
+        now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        starts = np.flatnonzero((now[0][1:] != now[0][:-1]).any(1)) + 1
+        for lo, hi in zip([0, *starts[:-1].tolist()], starts.tolist(), strict=True) if len(starts) else ():
+            yield [x[lo:hi] for x in now]
+        held = [x[starts[-1] if len(starts) else 0 :] for x in now]
+    if held is not None:
+        yield held
+
+
+def _compare(percent: float, width: int):
     """Nodes of two blocks of a filter (or of one): links that no earlier filter counts, and an edge to a node of its component."""
 
     def run(batches):
-        for (now, i, j), rows in groups(batches, ["filter", "i", "j"], ["node", "weight", "own", "filters", "embedding"]):
-            own = np.array([r[2] for r in rows])
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            if not len(left) or not len(right) or (i == j and len(left) < 2):
-                continue
-            unit = units(_matrix([r[4] for r in rows], max(len(r[4]) for r in rows)))
-            hit = unit[left] @ unit[right].T >= percent / 100
+        for keys, nodes, weight, own, unit, filters in _groups(batches, width):
+            now, i, j = keys[0].tolist()
             if i == j:
+                left = right = np.arange(len(nodes))
+                hit = unit @ unit.T >= percent / 100
                 np.fill_diagonal(hit, False)
+            else:
+                left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+                hit = unit[left] @ unit[right].T >= percent / 100
             if not hit.any():
                 continue
-            nodes, weight = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
             a, b = np.nonzero(hit)
-            root = _roots(len(rows), np.concatenate([left[a], right[b]]), np.concatenate([right[b], left[a]]))
+            root = _roots(len(nodes), np.concatenate([left[a], right[b]]), np.concatenate([right[b], left[a]]))
             some, other = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
-            fresh = hit[np.ix_(some, other)] & ~_earlier([r[3] for r in rows], now, left[some], right[other])
-            links = np.zeros(len(rows), np.int64)
+            fresh = hit[np.ix_(some, other)] & ~_earlier(filters, now, left[some], right[other])
+            links = np.zeros(len(nodes), np.int64)
             links[left[some]] += fresh @ weight[right[other]]
             if i != j:
                 links[right[other]] += fresh.T @ weight[left[some]]
@@ -198,10 +234,9 @@ def distinct(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return all_rows.drop("embedding"), cut(same.withColumn("node", F.monotonically_increasing_id()))
 
 
-def candidates(nodes: DataFrame, limit: float = LIMIT, fewest: int = FEWEST, block: int = BLOCK, codes: int = CODES, words: int = WORDS) -> DataFrame:
+def candidates(nodes: DataFrame, width: int, limit: float = LIMIT, fewest: int = FEWEST, block: int = BLOCK, codes: int = CODES, words: int = WORDS) -> DataFrame:
     """(filter, i, j, node, weight, own, filters, embedding): nodes of each two blocks of each filter that catches several,
     dealt and sorted. own is a node's block."""
-    width = _width(nodes.agg(F.max(F.size("embedding"))).first()[0] or 1)
     lists = cut(nodes.select("node", "embedding").mapInArrow(_decode(width, limit, fewest, codes, words), _DECODED))
     caught = lists.select("node", F.explode("filters").alias("filter"))
     sizes = caught.groupBy("filter").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
@@ -216,7 +251,8 @@ def near_vectors(vectors: DataFrame, percent: float = 90, **options) -> DataFram
     """(vec_id, n_links, component_id, kept) of each row: the other vectors with a cosine of `percent` hundredths or more,
     the smallest vec_id that such links reach, and whether it is the row's own."""
     all_rows, nodes = distinct(vectors)
-    found = cut(candidates(nodes, **options).mapInArrow(_compare(percent), _LINKS))
+    width = _width(nodes.agg(F.max(F.size("embedding"))).first()[0] or 1)
+    found = cut(candidates(nodes, width, **options).mapInArrow(_compare(percent, width), _LINKS))
     labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = cut(nodes.select("node", "k1", "k2", "weight", "least").join(links, "node").join(labels, "node"))
