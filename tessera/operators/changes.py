@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,19 +58,12 @@ def collapse(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def followed(state: str, kind: str) -> str:
-    """next_state of Python values."""
+    """The state after a change of some kind."""
     if state == "created" and kind in ("deleted", "modified"):
         return "" if kind == "deleted" else "created"
     return "modified" if state == "deleted" and kind == "created" else kind
 
 
-def next_state(state: Column, kind: Column) -> Column:
-    return (
-        F.when((state == "created") & (kind == "deleted"), "").when((state == "created") & (kind == "modified"), "created")
-        .when((state == "deleted") & (kind == "created"), "modified").otherwise(kind)
-    )
-
-
 def changes_since(log: DataFrame, since: str) -> DataFrame:
     """(file, n, symbols) strictly after a time."""
     return log.where(F.col("ts") > F.lit(since).cast("timestamp")).groupBy("file").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("symbol")), ",").alias("symbols"))
@@ -90,6 +85,23 @@ def hotspots(log: DataFrame, half: float = 0.6, least: float = 0.0) -> DataFrame
     return counts.join(F.broadcast(most), F.lit(True)).select("file", "n", (half * F.col("n") / F.col("_n") + (1 - half) * F.col("symbols") / F.col("_s")).alias("score")).where(F.col("score") >= least)
 
 
+def totals(log: DataFrame, most: int = 10) -> DataFrame:
+    """(section, name, n, added, removed, files, place) of a log (file, session, kind, added, removed): the total, one row a
+    kind of change, and the `most` files and sessions with the most changes. Lines that nobody counted are none."""
+    sums = [F.count("*").alias("n"), F.coalesce(F.sum("added"), F.lit(0)).alias("added"), F.coalesce(F.sum("removed"), F.lit(0)).alias("removed"), F.count_distinct("file").alias("files")]
+    columns = ["section", "name", "n", "added", "removed", "files", "place"]
+    first = lambda df: df.withColumn("place", F.lit(1))
+
+    def leading(key: str) -> DataFrame:
+        best = log.groupBy(F.col(key).alias("name")).agg(*sums).orderBy(F.desc("n"), "name").limit(most)
+        return best.withColumn("section", F.lit(key)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "name")))  # of `most` rows
+
+    whole = first(log.agg(*sums).withColumns({"section": F.lit("total"), "name": F.lit(None)}))
+    kinds = first(log.groupBy(F.concat(F.lit("kind "), "kind").alias("section")).agg(*sums).withColumn("name", F.lit(None)))
+    parts = [whole, kinds, leading("file"), leading("session")]
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+
+
 def pruned(log: DataFrame, now: str, keep: int, days: int) -> DataFrame:
     """The log without rows older than `days`, and of the rest only the newest `keep`."""
     fresh = log.where(F.col("ts") >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))

@@ -107,22 +107,6 @@ def impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     return out.withColumn("risk", risk(F.col("affected"), 20, 5))
 
 
-def shortest_paths(moves: DataFrame, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(a, b, length, path) for pairs (a, b) that are connected within max_depth moves; ties by the least predecessor."""
-    pairs = pairs.distinct()
-    start = pairs.select(F.col("a"), F.col("a").alias("id")).distinct()
-    seen = cut(start.select("a", "id", F.lit(0).alias("depth"), F.array("id").alias("path")))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(moves, F.col("id") == F.col("src")).groupBy("a", F.col("dst").alias("next")).agg(F.min("path").alias("path"))
-        step = step.select("a", F.col("next").alias("id"), F.lit(depth).alias("depth"), F.concat("path", F.array("next")).alias("path"))
-        frontier = cut(step.join(seen.select("a", "id"), ["a", "id"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return pairs.join(seen.select("a", F.col("id").alias("b"), F.col("depth").alias("length"), "path"), ["a", "b"])
-
-
 def weighted(edges: DataFrame) -> DataFrame:
     """(src, dst, w): total weight by type between two different nodes."""
     w = reduce(lambda c, kv: c.when(F.col("type") == kv[0], kv[1]), EDGE_WEIGHTS.items(), F.when(F.lit(False), 0.0)).otherwise(DEFAULT_EDGE_WEIGHT)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.model import CATEGORY_IMPORTANCE
-from tessera.operators.text import jaccard, similar_pairs, words
-from tessera.session import cut
+from tessera.operators.alike import similar_classes
+from tessera.operators.text import words
 
 RATE, BOOST, RECENCY_DAYS, WEIGHTS = 0.95, 0.1, 30.0, (0.5, 0.3, 0.2)
 
@@ -46,13 +46,19 @@ def prunable(memories: DataFrame, capacity: int, threshold: float) -> DataFrame:
     return memories.where(F.col("importance") < threshold).orderBy("importance", "id").limit(max(0, n - capacity))
 
 
-def duplicates(memories: DataFrame, threshold: float = 0.8, classes: bool = False) -> DataFrame:
-    """Pairs of notes (id, content[, category]) with alike words; within a category, where there is one."""
+def _note_words(memories: DataFrame) -> tuple[DataFrame, Column]:
+    """Notes (doc, content[, category]), and their words; those of different categories have nothing in common."""
     docs = memories.select(F.col("id").alias("doc"), "content", *(["category"] if "category" in memories.columns else []))
     terms = words(F.col("content"))
-    if "category" in memories.columns:  # words of different categories have nothing in common
+    if "category" in memories.columns:
         terms = F.transform(terms, lambda w: F.concat_ws(":", F.coalesce("category", F.lit("")), w))
-    return similar_pairs(docs, terms, threshold, classes)
+    return docs, terms
+
+
+def duplicates(memories: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(id, n_links, class_id) of notes (id, content[, category]): the others with alike words, within a category where there
+    is one, and the least id that such links reach."""
+    return similar_classes(*_note_words(memories), threshold).withColumnRenamed("doc", "id")
 
 
 def merged(old: dict[str, Column], new: dict[str, Column]) -> dict[str, Column]:
@@ -72,9 +78,7 @@ def created(notes: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     text = F.when(F.length("content") > 50_000, F.concat(F.substring("content", 1, 50_000), F.lit("... [truncated]"))).otherwise(F.col("content"))
     full = notes.withColumn("content", text).withColumn("tags", F.slice("tags", 1, 50)).withColumn("importance", F.coalesce("importance", default_importance(F.col("category"))))
-    pairs = duplicates(full, threshold, classes=True).select("a", "b")
-    label = cut(connected(pairs))
-    rows = full.join(label, "id", "left").withColumn("_to", F.coalesce("label", "id"))
+    rows = full.join(duplicates(full, threshold).select("id", F.col("class_id").alias("_to")), "id")
     longest = F.max_by("content", F.struct(F.length("content"), -F.col("id")))
     boost = F.least(F.lit(1.0), F.max("importance") + (F.count("*") - 1) * (0.05 + BOOST))
     out = rows.groupBy(F.col("_to").alias("id")).agg(
@@ -84,56 +88,6 @@ def created(notes: DataFrame, threshold: float = 0.8) -> DataFrame:
     return out
 
 
-def connected(pairs: DataFrame) -> DataFrame:
-    """(id, label): nodes of pairs (a, b) with the least node of their component, by labels that are halved each round."""
-    edges = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    label = cut(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
-    while True:
-        near = edges.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        jump = label.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        step = label.join(jump, "label", "left").join(near, "id").select("id", F.least("near", F.coalesce("far", "label")).alias("new"), "label")
-        step = cut(step)
-        label = step.select("id", F.col("new").alias("label"))
-        if step.where("new <> label").isEmpty():
-            return label
-
-
-def conflicts(decisions: DataFrame, threshold: float = 0.3, classes: bool = False) -> DataFrame:
-    """(a, b, score) of active decisions: 0.6 of the words' similarity and 0.4 of the tags'.
-
-    With no likeness of tags the words' must be at least threshold / 0.6, and with the most at least (threshold - 0.4) /
-    0.6; so pairs whose tags have nothing in common come from the prefix filter on words, and pairs with a common tag are
-    compared within equal tag sets first. Decisions of equal words and tags are one until then; `classes` leaves them so,
-    with each one beside the least of its kind.
-    """
-    active = decisions.where("status = 'active'").select("id", F.array_sort(F.array_distinct(words(F.concat_ws(" ", "title", "description")))).alias("w"), F.array_sort(F.array_distinct(F.transform("tags", F.lower))).alias("g"))
-    active = cut(active.withColumn("h", F.sha2(F.to_json(F.struct("w", "g")), 256)))
-    one = cut(active.groupBy("h").agg(F.min("id").alias("id"), F.first("w").alias("w"), F.first("g").alias("g")))
-    pairs = None
-    for low in (threshold / 0.6 - 1e-9, (threshold - 0.4) / 0.6 - 1e-9):  # a little less, as shares are rounded
-        if low > 1:
-            continue
-        if low <= 0:  # tags alone may be enough
-            marks = one.select("id", F.explode("g").alias("m"))
-            found = marks.select(F.col("id").alias("a"), "m").join(marks.select(F.col("id").alias("b"), "m"), "m").where("a < b").select("a", "b")
-        else:
-            keyed = one.select(F.col("id").alias("doc"), "w", "g")
-            found = similar_pairs(keyed, F.col("w"), low, classes=False).select("a", "b")
-        pairs = found if pairs is None else pairs.unionAll(found)
-    pairs = pairs.distinct()
-    left, right = (one.select(F.col("id").alias(x), F.col("w").alias(f"w{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
-    score = 0.6 * jaccard(F.col("wa"), F.col("wb")) + 0.4 * jaccard(F.col("ga"), F.col("gb"))
-    found = cut(pairs.join(left, "a").join(right, "b").select("a", "b", score.alias("score")).where(F.col("score") >= threshold))
-    itself = one.select(F.col("id").alias("a"), F.col("id").alias("b"), (0.6 * jaccard(F.col("w"), F.col("w")) + 0.4 * jaccard(F.col("g"), F.col("g"))).alias("score")).where(F.col("score") >= threshold)
-    members = active.select("id", "h").join(one.select("h", F.col("id").alias("least")), "h").select("id", "least")
-    if classes:
-        same = members.where("id <> least").join(itself, F.col("least") == F.col("a")).select("a", F.col("id").alias("b"), "score")
-        return found.unionAll(same)
-    x, y = (members.select(F.col("least").alias(s), F.col("id").alias(f"{s}2")) for s in "ab")
-    spread = found.unionAll(itself).join(x, "a").join(y, "b").where("a <> b OR a2 < b2")
-    return spread.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"), "score")
-
-
 # --- decisions
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import graph
+from tessera.operators import graph, intervals
 from tessera.operators.context import quarter_tokens
 from tessera.session import cut
 
@@ -295,9 +295,7 @@ def snippet_lines(nodes: DataFrame, lines: DataFrame, name: str, around: int = 3
 
 def containing(nodes: DataFrame, points: DataFrame) -> DataFrame:
     """(path, line_no, id) of points (path, line_no): the innermost symbol around each."""
-    spans = nodes.where("type <> 'file'").select(F.col("filePath").alias("path"), "id", "startLine", "endLine")
-    inside = points.join(spans, "path").where("line_no BETWEEN startLine AND endLine")
-    return inside.groupBy("path", "line_no").agg(F.min(F.struct(F.col("endLine") - F.col("startLine"), "id")).alias("x")).select("path", "line_no", "x.id")
+    return intervals.innermost(nodes.where("type <> 'file'").select(F.col("filePath").alias("path"), "id", "startLine", "endLine"), points)
 
 
 def function_metrics(nodes: DataFrame, texts: DataFrame, limit: int | None = None) -> DataFrame:

@@ -146,31 +146,26 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / n)
 
 
-def similar_pairs(docs: DataFrame, tokens: Column, threshold: float, classes: bool = False) -> DataFrame:
-    """(a, b, similarity) of docs (doc, ...) with a < b, by a prefix filter: similar sets share one of their rarest tokens.
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of distinct sets (doc, w), a < b, by a prefix filter: similar sets share one of their rarest tokens.
 
     The prefix of a set of n words in a global order holds n - ceil(threshold n) + 1 of them; pairs without a common
-    prefix word cannot reach the threshold, so the join is exact. Equal sets are one set until then. With `classes` the
-    pairs are those between the least documents of equal sets, and of each document with the least one of its own set;
-    without, equal sets are spread out to all pairs again.
+    prefix word cannot reach the threshold, so the join is exact.
     """
-    sets = docs.select("doc", F.array_sort(F.array_distinct(tokens)).alias("w")).where(F.size("w") > 0).select("doc", F.sha2(F.array_join("w", " "), 256).alias("h"), "w")
-    sets = cut(sets)
-    one = cut(sets.groupBy("h").agg(F.min("doc").alias("doc"), F.first("w").alias("w")))
-    rare = one.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    ranked = one.select("doc", F.explode("w").alias("t")).join(rare, "t")
+    rare = sets.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    ranked = sets.select("doc", F.explode("w").alias("t")).join(rare, "t")
     n = F.count("*").over(Window.partitionBy("doc"))
     at = F.row_number().over(Window.partitionBy("doc").orderBy("df", "t"))
     prefix = ranked.select("doc", "t", n.alias("n"), at.alias("at")).where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
     a, b = prefix.select(F.col("doc").alias("a"), "t", F.col("n").alias("na")), prefix.select(F.col("doc").alias("b"), "t", F.col("n").alias("nb"))
     length_ok = (F.col("na") >= F.lit(threshold) * F.col("nb")) & (F.col("nb") >= F.lit(threshold) * F.col("na"))
     pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & length_ok).select("a", "b").distinct()
-    left, right = one.select(F.col("doc").alias("a"), F.col("w").alias("wa")), one.select(F.col("doc").alias("b"), F.col("w").alias("wb"))
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
-    members = sets.select("doc", "h").join(one.select("h", F.col("doc").alias("least")), "h").select("doc", "least")
-    if classes:
-        return found.unionAll(members.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"), F.lit(1.0).alias("similarity")))
-    all_ = found.unionAll(one.select(F.col("doc").alias("a"), F.col("doc").alias("b"), F.lit(1.0).alias("similarity")))
-    x, y = (members.select(F.col("least").alias(s), F.col("doc").alias(f"{s}2")) for s in "ab")
-    spread = all_.join(x, "a").join(y, "b").where("a <> b OR a2 < b2")
-    return spread.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"), "similarity")
+    left, right = sets.select(F.col("doc").alias("a"), F.col("w").alias("wa")), sets.select(F.col("doc").alias("b"), F.col("w").alias("wb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def token_sets(docs: DataFrame, tokens: Column) -> tuple[DataFrame, DataFrame]:
+    """(doc, h) of docs with tokens, h naming their set, and (h, doc, w, copies) of the distinct sets, by their least doc."""
+    sets = docs.select("doc", F.array_sort(F.array_distinct(tokens)).alias("w")).where(F.size("w") > 0)
+    sets = cut(sets.select("doc", F.sha2(F.array_join("w", " "), 256).alias("h"), "w"))
+    return sets.select("doc", "h"), cut(sets.groupBy("h").agg(F.min("doc").alias("doc"), F.first("w").alias("w"), F.count("*").alias("copies")))

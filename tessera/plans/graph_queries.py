@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import testgraph as t
 from tessera.operators import graph as g
+from tessera.operators import paths
 from tessera.plans import cypher
 from tessera.plans.registry import query
 
@@ -86,10 +87,16 @@ def g8_impact(spark, sf_dir):
     return g.impact(t.edges(spark, sf_dir), _seed(spark, "o:3"), 2)
 
 
-@query(f"{REC}, moves AS (SELECT sourceId AS src, targetId AS dst FROM edges WHERE type = 'uses'), walk(id, depth) AS (SELECT 'p:1', 0 UNION SELECT m.dst, w.depth + 1 FROM walk w JOIN moves m ON m.src = w.id WHERE w.depth < 4) SELECT 'p:1' AS a, id AS b, min(depth)::INTEGER AS length FROM walk WHERE id IN ('p:1', 'p:2', 'p:3', 'p:50', 'p:100', 'p:150') GROUP BY id")
+_PAIRS = ("p:1", "p:2", "p:3", "p:50", "p:100", "p:150")
+
+
+@query(f"""{REC}, moves AS (SELECT DISTINCT sourceId AS src, targetId AS dst FROM edges WHERE type = 'uses'),
+walk(id, length, path) AS (SELECT 'p:1', 0, ['p:1'] UNION ALL SELECT dst, length + 1, min(list_append(path, dst)) FROM walk JOIN moves ON src = id WHERE length < 4 GROUP BY dst, length)
+SELECT 'p:1' AS a, id AS b, min(length)::INTEGER AS length, array_to_string(min_by(path, length), ' ') AS path FROM walk WHERE id IN {_PAIRS} GROUP BY id""")
 def g5_shortest_path(spark, sf_dir):
-    pairs = _seed(spark, "p:1", "p:2", "p:3", "p:50", "p:100", "p:150").select(F.lit("p:1").alias("a"), F.col("id").alias("b"))
-    return g.shortest_paths(g.arcs(t.edges(spark, sf_dir), ["uses"]), pairs, 4).select("a", "b", "length")
+    """The paths themselves; of several shortest ones the least."""
+    pairs = _seed(spark, *_PAIRS).select(F.lit("p:1").alias("a"), F.col("id").alias("b"))
+    return paths.shortest_paths(g.arcs(t.edges(spark, sf_dir), ["uses"]), pairs, 4).select("a", "b", "length", F.array_join("path", " ").alias("path"))
 
 
 def _rank_sql(rounds: int, jump: str) -> str:
@@ -137,11 +144,28 @@ def o3_top_ranked(spark, sf_dir):
     return g.top_ranked(t.nodes(spark, sf_dir), _ranks(spark, sf_dir), 25).select("id", "type")
 
 
-@query()
+@query(f"""{REC}, m AS (SELECT DISTINCT sourceId AS src, targetId AS dst FROM edges WHERE type = 'uses' AND sourceId <> targetId),
+reach AS (SELECT src AS a, dst AS b FROM m UNION SELECT a, dst FROM reach JOIN m ON src = b),
+mutual AS (SELECT x.a AS id, x.b AS other FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a)
+SELECT id, component FROM (SELECT id, least(id, min(other)) AS component, count(*) FILTER (other <> id) AS n FROM mutual GROUP BY id) WHERE n > 0""")
 def g17_strongly_connected(spark, sf_dir):
     return g.strongly_connected(g.arcs(t.edges(spark, sf_dir), ["uses"]))
 
 
+_LONGEST_CYCLE = 4
+
+
+@query(f"""{REC}, m AS (SELECT DISTINCT sourceId AS src, targetId AS dst FROM edges WHERE type = 'uses' AND sourceId <> targetId),
+walk(least, id, length, path) AS (SELECT src, dst, 1, [src, dst] FROM m WHERE dst > src UNION ALL SELECT least, dst, length + 1, min(list_append(path, dst)) FROM walk JOIN m ON src = id WHERE length < {_LONGEST_CYCLE - 1} AND dst > least GROUP BY least, dst, length),
+closed AS (SELECT least, length + 1 AS length, min(path) AS cycle FROM walk JOIN m ON src = id AND dst = least GROUP BY least, length),
+first AS (SELECT least, min(length) AS length, min_by(cycle, length) AS cycle FROM closed GROUP BY least)
+SELECT min_by(least, cycle) AS least, min(length)::INTEGER AS length, array_to_string(min(cycle), ' ') AS cycle FROM first GROUP BY list_sort(cycle)""")
+def g17_cycles(spark, sf_dir):
+    """Of each symbol the shortest cycle of uses in which it is the least, up to a length."""
+    moves = g.arcs(t.edges(spark, sf_dir), ["uses"])
+    return paths.cycles(moves, _LONGEST_CYCLE, g.strongly_connected(moves)).select("least", "length", F.array_join("cycle", " ").alias("cycle"))
+
+
 _DEAD = f"{WITH}, dead AS (SELECT n.id, n.filePath, CASE WHEN regexp_matches(lower(n.filePath), '{g.TEST_FILES}') THEN 'low_confidence' WHEN n.isExported THEN 'possibly_dead' WHEN n.visibility IN ('private', 'protected') OR NOT regexp_matches(lower(n.filePath), '{g.ENTRY_FILES}') THEN 'definitely_dead' ELSE 'possibly_dead' END AS confidence FROM nodes n WHERE n.type IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.type = 'calls' AND e.targetId = n.id))"
 
 

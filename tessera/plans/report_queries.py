@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import testgraph as t
-from tessera.operators import budget, context, flow, graph, quality, report, text
+from tessera.operators import budget, context, flow, graph, intervals, quality, report, text
 from tessera.plans.registry import query
 
 WITH = f"WITH {t.CTES}"
@@ -150,9 +150,9 @@ def g9_explain(spark, sf_dir):
     return out.select("section", "n")
 
 
-@query(f"{WITH}, d AS (SELECT id, count(*) AS total FROM (SELECT sourceId AS id FROM edges UNION ALL SELECT targetId FROM edges) GROUP BY id), top AS (SELECT id FROM d WHERE id IN (SELECT id FROM nodes) ORDER BY total DESC, id LIMIT 40) SELECT sourceId, targetId, type FROM edges WHERE sourceId IN (SELECT id FROM top) AND targetId IN (SELECT id FROM top)")
+@query(f"{WITH}, d AS (SELECT id, count(*) AS total FROM (SELECT sourceId AS id FROM edges UNION ALL SELECT targetId FROM edges) GROUP BY id), top AS (SELECT id FROM d WHERE id IN (SELECT id FROM nodes) ORDER BY total DESC, id LIMIT 400) SELECT sourceId, targetId, type FROM edges WHERE sourceId IN (SELECT id FROM top) AND targetId IN (SELECT id FROM top)")
 def g20_important_nodes(spark, sf_dir):
-    return report.important(*_graph(spark, sf_dir), 40)[1].select("sourceId", "targetId", "type")
+    return report.important(*_graph(spark, sf_dir), 400)[1].select("sourceId", "targetId", "type")
 
 
 @query(f"WITH p AS (SELECT DISTINCT {_URL} AS path, length(html) AS size FROM pages), r AS (SELECT string_split(substring(path, 2), '/') AS p, size FROM p WHERE path <> '') SELECT p[1] AS name, len(p) > 1 AS is_folder, count(DISTINCT p[2]) AS children, sum(size)::BIGINT AS size FROM r GROUP BY ALL")
@@ -189,6 +189,21 @@ def j12_containing_symbol(spark, sf_dir):
     return report.containing(_code_nodes(spark, sf_dir), _lines(spark, sf_dir).select(F.col("doc").alias("path"), "line_no"))
 
 
+@query(f"WITH {t.CTES}, pt AS (SELECT DISTINCT filePath AS path, startLine AS line_no FROM nodes) SELECT path, line_no::INTEGER AS line_no, min_by(s.id, {{'size': endLine - startLine, 'id': s.id}}) AS id FROM pt JOIN nodes s ON s.filePath = path AND line_no BETWEEN startLine AND endLine GROUP BY path, line_no")
+def j12_innermost_of_starts(spark, sf_dir):
+    """The innermost symbol around each line at which a symbol of its file begins; symbols overlap in any way."""
+    nodes = t.nodes(spark, sf_dir)
+    return report.containing(nodes, nodes.select(F.col("filePath").alias("path"), F.col("startLine").alias("line_no")))
+
+
+@query(f"WITH {_LINES}, {_SPANS} SELECT doc AS path, line_no::INTEGER AS line_no, md5(line) AS line, doc || ':' || CASE WHEN line_no IN (2, 3) THEN 'inner' WHEN line_no <= 5 THEN 'outer' WHEN line_no <= 40 THEN 'later' END AS id FROM ln WHERE line_no BETWEEN 3 AND 52")
+def s15_read_lines(spark, sf_dir):
+    """Fifty lines from the third on of every document, with the innermost symbol around each."""
+    spans = _code_nodes(spark, sf_dir).select(F.col("filePath").alias("path"), "id", "startLine", "endLine")
+    lines = _lines(spark, sf_dir).withColumnRenamed("doc", "path")
+    return intervals.read_lines(lines, spans, 3, 50).select("path", "line_no", F.md5(F.col("line").cast("binary")).alias("line"), "id")
+
+
 def _metrics_sql(base: str) -> str:
     """CTE `met` (doc, loc, cyclomatic, cognitive, nesting) of CTE base (doc, text): a fold over lines."""
     has = lambda p: f"regexp_matches(s, '{p}')::INTEGER"
@@ -266,12 +281,6 @@ def q6_halstead(spark, sf_dir):
     return quality.halstead(p).withColumns({c: F.round(c, 4) for c in ("volume", "difficulty")})
 
 
-@query()
-def q5_clone_groups(spark, sf_dir):
-    d = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return quality.clone_groups(d, limit=20).select("window", "places", "docs", "lines")
-
-
 _NORM = "n AS (SELECT doc_id AS doc, list_filter(list_transform(string_split(text, chr(10)), lambda x: lower(trim(x, ' '))), lambda x: NOT regexp_matches(x, '^(//|#|[*])|^[{}();]*$')) AS l FROM documents WHERE text IS NOT NULL)"
 
 
@@ -280,6 +289,14 @@ def a15_clone_share(spark, sf_dir):
     return quality.clone_share(t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
+@query(f'''WITH {_NORM}, p AS (SELECT doc, i, md5(array_to_string(l[i : i + 5], chr(10))) AS "window" FROM (SELECT doc, l, unnest(range(1, len(l) - 4)) AS i FROM n WHERE len(l) >= 6)),
+f AS (SELECT "window", doc, list_reduce(list(i ORDER BY i), lambda s, i: CASE WHEN len(s) > 0 AND i < list_last(s) + 6 THEN s ELSE list_append(s, i) END, []::BIGINT[]) AS kept FROM p WHERE "window" IN (SELECT "window" FROM p GROUP BY "window" HAVING count(*) >= 2) GROUP BY "window", doc)
+SELECT "window", sum(len(kept))::BIGINT AS places, count(*) AS docs, (6 * sum(len(kept)))::BIGINT AS lines FROM f GROUP BY "window" HAVING sum(len(kept)) >= 2 ORDER BY places DESC, "window" LIMIT 20''')
+def q5_clone_groups(spark, sf_dir):
+    d = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return quality.clone_groups(d, limit=20).select("window", "places", "docs", "lines")
+
+
 # --- flows
 
 _FLOW_LAYER = "CASE type WHEN 'module' THEN 'route' WHEN 'namespace' THEN 'controller' WHEN 'class' THEN 'ui_component' WHEN 'function' THEN 'service' WHEN 'method' THEN 'database' ELSE 'api_call' END"
@@ -306,7 +323,22 @@ def g14_trace_flow(spark, sf_dir):
     return flow.trace(_layered(spark, sf_dir), t.edges(spark, sf_dir), seed, 2).select("step", "id")
 
 
-@query()
+def _flow_sql(seeds: str, depth: int, most: int = 50) -> str:
+    """CTEs up to `seen` (seed, id, step): all seeds' steps, depth by depth."""
+    out = f"mv AS (SELECT e.sourceId AS src, e.targetId AS dst, min((e.type <> 'calls')::INTEGER) AS k FROM edges e JOIN nodes n ON n.id = e.targetId WHERE e.type = 'calls' OR n.type <> 'file' GROUP BY ALL), f0 AS (SELECT id AS seed, id, 0 AS step FROM ({seeds})), a0 AS (SELECT * FROM f0)"
+    for d in range(1, depth + 1):
+        out += f""", x{d} AS (SELECT f.seed, m.dst AS id, min({{'s': f.step, 'k': m.k}}) AS origin FROM f{d - 1} f JOIN mv m ON m.src = f.id WHERE NOT EXISTS (SELECT 1 FROM a{d - 1} a WHERE a.seed = f.seed AND a.id = m.dst) GROUP BY f.seed, m.dst),
+f{d} AS (SELECT seed, id, (n + r - 1)::INTEGER AS step FROM (SELECT x.*, n, row_number() OVER (PARTITION BY x.seed ORDER BY origin, id) AS r FROM x{d} x JOIN (SELECT seed, count(*) AS n FROM a{d - 1} GROUP BY seed) c ON c.seed = x.seed) WHERE n < {most} AND n + r <= {most}),
+a{d} AS (SELECT * FROM a{d - 1} UNION ALL SELECT * FROM f{d})"""
+    return f"{out}, seen AS (SELECT * FROM a{depth})"
+
+
+_EFFECT = "layer IN ('database', 'state_update', 'api_call')"
+
+
+@query(f"""WITH {t.CTES}, {_flow_sql("SELECT id FROM nodes WHERE type = 'module'", 4)}, s AS (SELECT seen.seed, n.filePath, {_FLOW_LAYER.replace('type', 'n.type')} AS layer FROM seen JOIN nodes n ON n.id = seen.id),
+o AS (SELECT seed, count(*) AS n_steps, count(DISTINCT filePath) AS n_files, count(*) FILTER ({_EFFECT}) AS n_effects, bool_or(layer = 'database') AS db, bool_or(layer = 'api_call') AS api FROM s GROUP BY seed)
+SELECT seed, n_steps, n_files, n_effects, CASE WHEN db THEN CASE WHEN n_files > 5 THEN 'critical' ELSE 'high' END WHEN api AND n_files > 3 THEN 'high' WHEN api OR n_files > 3 THEN 'medium' ELSE 'low' END AS risk FROM o""")
 def g14_flow_risk(spark, sf_dir):
     nodes = _layered(spark, sf_dir)
     return flow.flow_summary(flow.trace(nodes, t.edges(spark, sf_dir), nodes.where("type = 'module'").select("id"), 4))
@@ -362,10 +394,35 @@ def k3_minimal_ratio(spark, sf_dir):
     return short.select("doc", F.length("t").alias("chars"), budget.ratio(context.quarter_tokens(F.col("text")), context.quarter_tokens(F.col("t"))).alias("ratio"))
 
 
-@query("SELECT doc_id AS doc, true AS fits, coalesce(length(text), 0) > 0 AS some FROM documents WHERE text IS NOT NULL")
+def _estimate_sql(x: str) -> str:
+    n = lambda p: f"len(regexp_extract_all({x}, '{p}'))"
+    chunks = n("[A-Za-z0-9_]+|[^[:space:]A-Za-z0-9_]")
+    total = f"floor({chunks} * 1.3::DOUBLE + {n(context.COSTLY_MARKS.replace(chr(39), chr(39) * 2))} * 0.15::DOUBLE + {n('[^[:ascii:]]')} * 0.5::DOUBLE + 0.5::DOUBLE)"
+    return f"CASE WHEN {x} = '' THEN 0 WHEN length({x}) <= 4 THEN 1 WHEN {chunks} = 0 THEN 0 ELSE greatest(1, {total}) END"
+
+
+def _truncated_sql(tokens: int) -> str:
+    """SQL of (doc, text): texts cut at the last good place in the second half of what has room, and shrunk until they fit."""
+    places = []
+    for p in budget.CUTS:
+        size = 1 if p in (r"\n", r"\s") else 2
+        end = "length(h) - length(list_last(string_split(h, chr(10) || chr(10))))" if p == r"\n\n" else f"length(regexp_extract(h, '(?s)^.*{p}'))"
+        places.append(f"CASE WHEN {end} - {size} > chars / 2 THEN {end} END")
+    tail = "chr(10) || '... [truncated]'"
+    shrunk = "list_reduce(range(5), lambda l, i: list_append(l, floor(list_last(l) * 0.85::DOUBLE)::BIGINT), [first_end])"
+    return f"""WITH d AS (SELECT doc_id AS doc, text AS s, {_estimate_sql('text')} AS have FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, CASE WHEN have = 0 THEN 0 ELSE floor((({tokens} - {budget.estimate(budget.TAIL)}) * length(s))::DOUBLE / have * 0.95::DOUBLE)::BIGINT END AS chars FROM d),
+e AS (SELECT *, left(s, chars) AS h FROM c), f AS (SELECT *, coalesce({', '.join(places)}, chars)::BIGINT AS first_end FROM e),
+o AS (SELECT doc, s, have, chars, unnest(range(1, 7)) AS k, unnest({shrunk}) AS stop FROM f),
+t AS (SELECT *, regexp_replace(left(s, stop), '\\s+$', '') || {tail} AS x FROM o),
+w AS (SELECT doc, any_value(s) AS s, any_value(have) AS have, any_value(chars) AS chars, coalesce(min_by(x, k) FILTER ({_estimate_sql('x')} <= {tokens} OR stop <= 10), max_by(x, k)) AS x FROM t GROUP BY doc)
+SELECT doc, md5(CASE WHEN have <= {tokens} THEN s WHEN chars <= 0 THEN {tail} ELSE x END) AS text FROM w"""
+
+
+@query(_truncated_sql(200))
 def k5_truncated(spark, sf_dir):
     d = t.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
-    return d.select("doc", (context.estimate_tokens(budget.truncated(F.col("text"), 200)) <= 200).alias("fits"), (F.length("text") > 0).alias("some"))
+    return d.select("doc", F.md5(budget.truncated(F.col("text"), 200).cast("binary")).alias("text"))
 
 
 @query("SELECT * FROM (VALUES ('graphResults', 'Graph Results', 12000::BIGINT, 10080::BIGINT, 0::BIGINT), ('changeSummary', 'Change Summary', 100, 110, 10), ('memoryRetrieval', 'Memory Retrieval', 8000, 8000, 0), ('fileContent', 'File Content', 700, 770, 70), ('total', 'Total', 20800, 50000, 29200)) AS v(component, label, used, budget, remaining)")

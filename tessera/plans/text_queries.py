@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import testgraph as t
-from tessera.operators import changes, compress, context, memory, quality, search, stored, text
+from tessera.operators import alike, changes, compress, context, memory, quality, search, stored, text
 from tessera.plans.registry import query
 from tessera.session import cut
 from tessera.session import stored as once
@@ -314,19 +314,25 @@ def a17_security_grade(spark, sf_dir):
 
 # --- notes and decisions
 
-_PW = f"w AS (SELECT p_partkey AS id, list_distinct({_W.format("p_name || ' ' || p_type")}) AS w, [lower(p_brand)] AS g FROM part)"
+_CLASSES = """reach AS (SELECT id AS root, id FROM n WHERE NOT EXISTS (SELECT 1 FROM links WHERE links.a = n.id AND links.b < n.id) UNION SELECT root, b FROM reach JOIN links ON links.a = reach.id)
+SELECT n.id, count(links.b) AS n_links, any_value(c.class_id) AS class_id FROM n LEFT JOIN links ON links.a = n.id JOIN (SELECT id, min(root) AS class_id FROM reach GROUP BY id) c ON c.id = n.id GROUP BY n.id"""
 
 
-@query(f"WITH {_PW} SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM w a JOIN w b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.8")
+@query(f"""WITH RECURSIVE n AS (SELECT doc_id AS id, list_distinct({_W.format('text')}) AS w FROM documents), tk AS (SELECT id, len(w) AS n, unnest(w) AS x FROM n),
+links AS MATERIALIZED (SELECT p.id AS a, q.id AS b FROM tk p JOIN tk q ON p.x = q.x AND p.id <> q.id GROUP BY p.id, q.id, p.n, q.n HAVING count(*) / (p.n + q.n - count(*)) >= 0.8), {_CLASSES}""")
 def m1_duplicates(spark, sf_dir):
-    c = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("content"))
-    return memory.duplicates(c, 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Documents as notes: how many others have alike words, and their class."""
+    return memory.duplicates(t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), 0.8)
 
 
-@query(f"WITH {_PW}, p AS (SELECT a.id AS a, b.id AS b, 0.6 * len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) + 0.4 * len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) AS score FROM w a JOIN w b ON a.id < b.id) SELECT a, b, round(score, 6) AS score FROM p WHERE score >= 0.55")
+_PW = f"n AS (SELECT p_partkey AS id, list_distinct({_W.format("p_name || ' ' || p_type")}) AS w, list_distinct([lower(p_brand), lower(concat('size ', p_size))]) AS g FROM part)"
+
+
+@query(f"""WITH RECURSIVE {_PW}, links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id WHERE 0.6::DOUBLE * (len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))) + 0.4::DOUBLE * (len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))) >= 0.3::DOUBLE), {_CLASSES}""")
 def d1_conflicts(spark, sf_dir):
-    d = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("active").alias("status"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.array("p_brand").alias("tags"))
-    return memory.conflicts(d, 0.55).select("a", "b", F.round("score", 6).alias("score"))
+    """Parts as decisions, tagged by brand and size."""
+    d = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("active").alias("status"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.array("p_brand", F.concat(F.lit("size "), F.col("p_size").cast("string"))).alias("tags"))
+    return alike.conflict_classes(d, 0.3)
 
 
 @query("SELECT conv_id, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, md5(max_by(text, turn)) AS last FROM conversations GROUP BY conv_id")
@@ -371,3 +377,17 @@ def u6_tag_union(spark, sf_dir):
 def p8_path_globs(spark, sf_dir):
     p = t.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://[^/]+(/.*)$", 1).alias("path"))
     return p.select("path", F.col("path").rlike(text.glob_pattern("/*/**")).alias("deep"), F.col("path").rlike(text.glob_pattern("**.html")).alias("html"))
+
+
+# --- totals of changes
+
+_TOTALS = f"c AS (SELECT event_id AS id, user_id AS file, event_id % 97 AS session, {_KIND_SQL} AS kind, (value * 100)::BIGINT AS added, event_id % 7 AS removed FROM events)"
+
+
+@query(f"""WITH {_TOTALS}, x AS (SELECT 'total' AS section, NULL::BIGINT AS name, count(*) AS n, coalesce(sum(added), 0)::BIGINT AS added, coalesce(sum(removed), 0)::BIGINT AS removed, count(DISTINCT file) AS files, 1 AS place FROM c
+UNION ALL SELECT 'file', file, count(*), sum(added)::BIGINT, sum(removed)::BIGINT, 1, row_number() OVER (ORDER BY count(*) DESC, file) FROM c GROUP BY file
+UNION ALL SELECT 'session', session, count(*), sum(added)::BIGINT, sum(removed)::BIGINT, count(DISTINCT file), row_number() OVER (ORDER BY count(*) DESC, session) FROM c GROUP BY session
+UNION ALL SELECT 'kind ' || kind, NULL, count(*), sum(added)::BIGINT, sum(removed)::BIGINT, count(DISTINCT file), 1 FROM c GROUP BY kind) SELECT section, name, n, added, removed, files, place::INTEGER AS place FROM x WHERE place <= 10""")
+def a9_change_totals(spark, sf_dir):
+    log = _events(spark, sf_dir).select(F.col("user_id").alias("file"), (F.col("event_id") % 97).alias("session"), _kind().alias("kind"), F.round(F.col("value") * 100).cast("long").alias("added"), (F.col("event_id") % 7).alias("removed"))
+    return changes.totals(log)

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import changes, context, graph, memory, quality, text
+from tessera.operators import changes, context, graph, memory, paths, quality, text
 from tessera.plans import cypher
 from tessera.sources import manifests, tree
 from tessera.streaming import events
@@ -32,7 +32,7 @@ def test_reachability(spark, m1):
     assert {r.id for r in graph.blast_radius(m1[1], seed("a")).collect()} == {"b", "c"}
     assert {(r.id, r.depth) for r in graph.blast_radius(m1[1], seed("d"), 2).collect()} == {("a", 1), ("c", 2)}
     pairs = spark.createDataFrame([("a", "d"), ("d", "a"), ("e", "e")], "a string, b string")
-    got = graph.shortest_paths(graph.arcs(m1[1], ["calls", "imports"]), pairs).collect()
+    got = paths.shortest_paths(graph.arcs(m1[1], ["calls", "imports"]), pairs).collect()
     assert {(r.a, r.b, tuple(r.path)) for r in got} == {("a", "d", ("a", "d")), ("e", "e", ("e",))}
     assert {r.id for r in graph.dead_code(*m1).collect()} == {"e"}
     assert {(r.id, r.component) for r in graph.strongly_connected(graph.arcs(m1[1], ["calls"])).collect()} == {(x, "a") for x in "abc"}
@@ -148,7 +148,7 @@ def test_similar_pairs_are_all_found(spark):
 
     rng = random.Random(2)
     sets = [(i, rng.sample("abcdefghij", rng.randrange(1, 8))) for i in range(80)]
-    got = {(r.a, r.b) for r in text.similar_pairs(spark.createDataFrame(sets, "doc int, w array<string>"), F.col("w"), 0.6).collect()}
+    got = {(r.a, r.b) for r in text.prefix_pairs(spark.createDataFrame(sets, "doc int, w array<string>"), 0.6).collect()}
     assert got == {(i, j) for i, a in sets for j, b in sets if i < j and len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.6}
 
 
