@@ -93,7 +93,7 @@ def test_signs_of_types_one_by_one(spark):
     lines = {
         "diff": ["diff --git a b", "--- a/x", "+++ b/x", "@@ -1,2 +1 @@"], "stack_trace": ["x\n at f (a.js:1:2)", 'x\n  File "a.py", line 3', "x\n at f(A.java:3)", "Traceback (most recent call last)", "panic: boom goroutine 1"],
         "test_output": ["ok 1", "12 passed", "RUNS a", "✓ works", "x FAILED [ 10%]", "=== FAILURES ==="], "build_log": ["Note: x", "[10:20:30] x", "> npm test", "BUILD FAILED", "x error TS12: y"], "json_data": ['{"a": [1]}'],
-        "config_file": ["[a.b]", "a.b: c", "kind: x"], "markdown": ["## x", "x y\n---"], "source_code": ["use strict", "fn main", "static x", "x y;", "  // x y"], "plain_text": ["x y", "", "{a}"],
+        "config_file": ["[a.b]", "a.b: c", "kind: x"], "markdown": ["## x", "x y\n---"], "source_code": ["use strict", "fn main", "static x", "x y;", "  // x y"], "plain_text": ["x y", "", "(a)"],
     }
     cases = [(kind, line) for kind, some in lines.items() for line in some]
     got = spark.createDataFrame(cases, "kind string, t string").select("kind", "t", context.content_type(F.col("t")).alias("k")).collect()
