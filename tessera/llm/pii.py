@@ -19,7 +19,7 @@ doc_ids are fine, each row is returned. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, cut
@@ -74,15 +74,30 @@ def _found(text: Column, kind: str) -> tuple[Column, Column]:
 
 
 def _placed(matches: str, gaps: str) -> str:
-    """array<struct<m, start, end>> of matches, in code points. Ends are summed up in blocks of matches, then over blocks."""
+    """array<struct<m, start, end>> of matches, in code points. Ends are summed up in blocks of matches, then over blocks, and
+    the blocks put together once."""
     lengths = f"zip_with(transform(slice({gaps}, 1, size({matches})), g -> length(g)), transform({matches}, m -> length(m)), (g, n) -> g + n)"
-    blocks = f"transform(sequence(0, (size({matches}) - 1) div {BLOCK}), b -> slice({lengths}, b * {BLOCK} + 1, {BLOCK}))"
-    ends = "struct(0 AS at, array() :: array<int> AS ends)"
-    inner = f"transform({blocks}, x -> aggregate(x, {ends}, (s, n) -> struct(s.at + n AS at, array_append(s.ends, s.at + n) AS ends)))"
-    outer = f"aggregate({inner}, {ends}, (s, i) -> struct(s.at + i.at AS at, concat(s.ends, transform(i.ends, e -> e + s.at)) AS ends), s -> s.ends)"
+    blocks = f"transform(array({lengths}), l -> transform(sequence(0, (size(l) - 1) div {BLOCK}), b -> slice(l, b * {BLOCK} + 1, {BLOCK})))[0]"
+    sums = "struct(0 AS at, array() :: array<int> AS ends)"
+    inner = f"transform({blocks}, x -> aggregate(x, {sums}, (s, n) -> struct(s.at + n AS at, array_append(s.ends, s.at + n) AS ends)))"
+    starts = f"aggregate(inner, {sums}, (s, i) -> struct(s.at + i.at AS at, array_append(s.ends, s.at) AS ends), s -> s.ends)"
+    outer = f"transform(array({inner}), inner -> flatten(zip_with(inner, {starts}, (i, at) -> transform(i.ends, e -> e + at))))[0]"
     return f"CASE WHEN size({matches}) = 0 THEN array() ELSE zip_with({matches}, {outer}, (m, e) -> struct(m, e - length(m) AS start, e AS end)) END"
 
 
+def _first_after(spans: str, place: str) -> str:
+    """Number of the first of a kind's spans (in order, apart from each other) that ends after a place, by halving."""
+    middle = "int((s.lo + s.hi) div 2)"
+    step = f"CASE WHEN s.lo >= s.hi THEN s WHEN get({spans}, {middle}).end > {place} THEN struct(s.lo AS lo, {middle} AS hi) ELSE struct({middle} + 1 AS lo, s.hi AS hi) END"
+    return f"aggregate(sequence(1, length(bin(size({spans})))), struct(0 AS lo, size({spans}) AS hi), (s, n) -> {step}, s -> s.lo)"
+
+
+def _kind_of(start: str, end: str) -> str:
+    """The kind of the first base span that a word overlaps, or -1; x holds each kind's spans."""
+    each = (f"transform(array(get(x.{k}_b, {_first_after(f'x.{k}_b', start)})), b -> CASE WHEN b.start < {end} THEN struct(b.start AS at, {i} AS kind) END)[0]" for i, k in enumerate(KINDS))
+    return f"coalesce(array_min(array({', '.join(each)})).kind, -1)"
+
+
 def _last_word(gap: str) -> str:
     blanks = r"\t\n\u000b\f\r"
     return f"substring_index(rtrim(translate({gap}, '{blanks}', '     ')), ' ', -1)"
@@ -99,10 +114,16 @@ def annotated(docs: DataFrame) -> DataFrame:
     around = [F.expr(f"transform({k}_g, g -> {_last_word('g')})").alias(f"{k}_left") for k in right]
     around += [F.expr(f"transform({k}_g, g -> regexp_extract(g, r'{p}', 1))").alias(f"{k}_right") for k, p in right.items()]
     d = d.select("row", "doc_id", *(F.col(f"{k}_m") for k in kinds), *around, *(F.expr(_placed(f"{k}_m", f"{k}_g")).alias(f"{k}_p") for k in kinds))
-    base = [F.expr(f"transform(filter({k}_p, p -> {_passes(k).replace('m,', 'p.m,').replace('(m', '(p.m')}), p -> struct(p.start AS start, {i} AS kind, p.end AS end, p.m AS m))") for i, k in enumerate(KINDS)]
+    own = {f"{k}_b": F.expr(f"filter({k}_p, p -> {_passes(k).replace('m,', 'p.m,').replace('(m', '(p.m')})") for k in KINDS}
+    d = d.withColumns(own)
+    base = [F.expr(f"transform({k}_b, p -> struct(p.start AS start, {i} AS kind, p.end AS end, p.m AS m))") for i, k in enumerate(KINDS)]
     d = d.withColumn("base", F.array_sort(F.concat(*base)))
-    kind = "coalesce(get(filter(base, b -> b.start < w.end AND b.end > w.start), 0).kind, -1)"
-    words = [f"transform({k}_p, (w, i) -> struct(w.start AS start, w.end AS end, w.m AS m, lower(get({k}_left, i)) AS left, lower(get({k}_right, i + 1)) AS right, {kind} AS kind))" for k in ("word", "run")]
+    kind, bound = _kind_of("w.start", "w.end"), ", ".join(f"{k}_b AS {k}_b" for k in KINDS)
+    # what each word looks up is bound once: an array named within the lambda could be made anew for every word
+    words = [
+        f"transform(array(struct({k}_p AS p, {k}_left AS l, {k}_right AS r, {bound})), x -> transform(x.p, (w, i) -> struct(w.start AS start, w.end AS end, w.m AS m, lower(get(x.l, i)) AS left, lower(get(x.r, i + 1)) AS right, {kind} AS kind)))[0]"
+        for k in ("word", "run")
+    ]
     return d.select("row", "doc_id", "base", F.concat(*map(F.expr, words)).alias("words"))
 
 
@@ -151,11 +172,13 @@ def spans(docs: DataFrame, **options) -> DataFrame:
     rows = cut(annotated(docs))
     found = candidates(rows)
     new = cut(discover(found, **options))
-    hits = found.where("kind < 0").drop("kind", "side").join(new, ["instance", "pattern"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("more"))
+    at = found.where("kind < 0").drop("kind", "side").join(new, ["instance", "pattern"]).groupBy("row", "start", "end").agg(F.collect_set("kind").alias("kinds"))
+    before = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = at.withColumn("upto", F.max("end").over(before)).where("upto IS NULL OR upto < end")  # not a run's last group
+    hits = whole.select("row", "start", F.explode("kinds").alias("kind"), "end").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("more"))
     slim = rows.select("row", "doc_id", F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"))).alias("base"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    whole = F.expr("filter(more, x -> NOT exists(more, y -> y.start <= x.start AND y.end >= x.end AND y.end - y.start > x.end - x.start))")  # not a run's last group
-    return slim.join(hits.withColumn("more", whole), "row", "left").withColumn("more", F.coalesce("more", none))
+    return slim.join(hits, "row", "left").withColumn("more", F.coalesce("more", none))
 
 
 def written(spans_: Column) -> Column:
@@ -169,4 +192,4 @@ def digests(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered) of each row; counts are of base spans."""
     s = spans(docs, **options)
     counts = [F.expr(f"size(filter(base, b -> b.kind = {i}))").cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return s.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.array_union("base", "more")).alias("spans"), F.size("more").cast("long").alias("n_discovered"))
+    return s.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "more")).alias("spans"), F.size("more").cast("long").alias("n_discovered"))

@@ -106,3 +106,19 @@ def test_many_matches_have_their_places(spark):
     text = " ".join(f"a{i}@b.c" for i in range(700))
     (r,) = pii.digests(docs(spark, [(1, text)])).collect()
     assert r.n_email == 700 and r.base_sha256 == hashlib.sha256(base(text)[0].encode()).hexdigest()
+
+
+def test_a_text_of_a_hundred_thousand_matches(spark):
+    """Work grows as the matches, not with their square: each kind's spans, words and lookups in one text of 3.5 MB."""
+    import time
+
+    n = 100_000
+    text = " ".join(f"mail user{i}@ex{i % 97}.example.com now" for i in range(n))
+    df = docs(spark, [(1, text), (2, "user1@ex1.example.com")])
+    start = time.time()
+    got = {r.doc_id: r for r in pii.digests(df).collect()}
+    assert time.time() - start < 60
+    assert (got[1].n_email, got[2].n_email) == (n, 1)
+    spans = got[1].spans.split(",")
+    at = text.index("user99999@")
+    assert spans[-1] == f"email:{at}:{text.index(' ', at)}" and len(spans) == n
