@@ -1,7 +1,8 @@
 """Snapshots of the graph and its changes: replace, delete and clean up; change records, deltas and diffs.
 
 A snapshot is a pair of tables. Every operation gives the next snapshot as a plan (anti-joins and unions); `publish` writes
-one beside the last and then moves a pointer, so readers see whole snapshots only.
+one beside the last and then adds its name to a list, so readers see whole snapshots only. Tables of which few files change
+are kept in buckets (snapshots.py).
 """
 
 from __future__ import annotations
@@ -72,15 +73,16 @@ def by_ids(nodes: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """Writes a snapshot's tables below root/version, then the pointer root/current, through Spark's own writers."""
+    """Writes a snapshot's tables below root/version, then appends its name to root/versions: rows there are only added, so
+    a reader always finds one, and one that is whole."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{root}/versions")
 
 
 def current(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables nodes and edges of the snapshot that the pointer names."""
-    version = spark.read.parquet(f"{root}/current").first().version
+    """The tables nodes and edges of the snapshot that was published last."""
+    version = spark.read.schema("version string, at timestamp").parquet(f"{root}/versions").agg(F.max_by("version", "at")).first()[0]
     return {name: spark.read.parquet(f"{root}/{version}/{name}") for name in ("nodes", "edges")}
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import graph_queries, report_queries, rule_queries, search_queries, source_queries, store_queries, text_queries  # noqa: F401
+from tessera.plans import graph_queries, report_queries, rule_queries, search_queries, source_queries, store_queries, stream_queries, text_queries  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 
