@@ -33,19 +33,20 @@ def collapse(events: DataFrame, keys: list[str]) -> DataFrame:
     n = len(keys)
 
     def run(batches):
-        key, head, ends = None, None, None
+        key, head, ends, steps = None, None, None, {}  # steps: what an event makes of a segment's ends
         for batch in batches:
             cols, out = [c.to_pylist() for c in batch.columns], []
             for row in zip(*cols, strict=True):
                 if head is None or row[:n] != key:
                     if head is not None:
-                        out.append((*head, list(ends.items())))
-                    key, head, ends = row[:n], row[: n + 2], {k: k for k in KINDS}
-                ends = {k: followed(s, row[-1]) for k, s in ends.items()}
+                        out.append((*head, list(zip(KINDS, ends, strict=True))))
+                    key, head, ends = row[:n], row[: n + 2], KINDS
+                step = (ends, row[-1])
+                ends = steps[step] if step in steps else steps.setdefault(step, tuple(followed(s, row[-1]) for s in ends))
             yield _segments(out, batch)
             last = batch
         if head is not None:
-            yield _segments([(*head, list(ends.items()))], last)
+            yield _segments([(*head, list(zip(KINDS, ends, strict=True)))], last)
 
     def _segments(out, batch):
         cols = list(zip(*out, strict=True)) if out else [[]] * (n + 3)
@@ -77,6 +78,13 @@ def sessions(events: DataFrame, user: str, ts: str, gap_hours: float) -> DataFra
     return events.withColumn("_new", fresh).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
 
 
+def close_out(log: DataFrame, key: str, order: str = "turn") -> DataFrame:
+    """(key, n, roles, last) of a session's records (role, text) when it closes: how many, who took part, and a digest of
+    the last one."""
+    roles = F.array_join(F.array_sort(F.collect_set("role")), ",")
+    return log.groupBy(key).agg(F.count("*").alias("n"), roles.alias("roles"), F.md5(F.max_by("text", order).cast("binary")).alias("last"))
+
+
 def hotspots(log: DataFrame, half: float = 0.6, least: float = 0.0) -> DataFrame:
     """(file, n, score) of at least `least`: share of the largest count and of the largest number of symbols, weighted half
     and 1 - half."""

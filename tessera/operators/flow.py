@@ -75,6 +75,20 @@ def trace(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int =
     return steps.select("seed", "step", "depth", "id", "name", "filePath", "layer", action.alias("action"), F.coalesce(return_type, _mapped(F.col("layer"), PRODUCTS, F.lit(None).cast("string"))).alias("produces"))
 
 
+def inline_calls(nodes: DataFrame, edges: DataFrame, bodies: DataFrame, most: int = 10) -> DataFrame:
+    """Edges (sourceId, targetId, type) that no index has: of callables without callees, those siblings in the file that their
+    body (id, text) names before a parenthesis; the `most` first by id of each (a feature). Names of a body meet the
+    names of its file, so no body is searched for each sibling. Add them to edges before a trace."""
+    busy = edges.where("type = 'calls'").select(F.col("sourceId").alias("id")).distinct()
+    quiet = nodes.where(F.col("type").isin("function", "method", "class")).select("id", "filePath").join(busy, "id", "left_anti")
+    called = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1)))
+    named = quiet.join(bodies.select("id", called.alias("c")), "id").select("id", "filePath", F.explode("c").alias("name"))
+    siblings = nodes.where(F.col("type").isin("function", "method")).select("filePath", "name", F.col("id").alias("other"))
+    hits = named.join(siblings, ["filePath", "name"]).where("id <> other")
+    first = F.row_number().over(Window.partitionBy("id").orderBy("other"))
+    return hits.withColumn("_r", first).where(F.col("_r") <= most).select(F.col("id").alias("sourceId"), F.col("other").alias("targetId"), F.lit("calls").alias("type"))
+
+
 def flow_summary(steps: DataFrame) -> DataFrame:
     """(seed, n_steps, n_files, n_effects, risk) of traces: writing to a database is high, critical beyond five files; a
     call of an interface is medium, high beyond three files; more than three files are medium."""

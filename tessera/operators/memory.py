@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.model import CATEGORY_IMPORTANCE
 from tessera.operators.alike import similar_classes
+from tessera.operators.store import upsert
 from tessera.operators.text import words
 
 RATE, BOOST, RECENCY_DAYS, WEIGHTS = 0.95, 0.1, 30.0, (0.5, 0.3, 0.2)
@@ -88,6 +89,11 @@ def created(notes: DataFrame, threshold: float = 0.8) -> DataFrame:
     return out
 
 
+def fact_counts(facts: DataFrame, kind: str, session: str) -> DataFrame:
+    """(kind, n, sessions, chars) of facts (kind, session, text)."""
+    return facts.groupBy(kind).agg(F.count("*").alias("n"), F.countDistinct(session).alias("sessions"), F.sum(F.length("text")).alias("chars"))
+
+
 # --- decisions
 
 
@@ -210,6 +216,51 @@ def listed(rules: DataFrame, kind: str | None = None) -> DataFrame:
 # --- sessions
 
 
+def briefing(session: DataFrame, facts: DataFrame, changes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(session, section, n, text): of each session (session), its facts (session, kind, at, text) by kind, the files that
+    changed in it (session, path, ..) and the decisions (session, title) taken."""
+    def by(df: DataFrame, section: Column, text: Column, order: Column) -> DataFrame:
+        rows = df.join(session.select("session"), "session", "left_semi").select("session", section.alias("section"), order.alias("o"), text.alias("t"))
+        return rows.groupBy("session", "section").agg(F.count("*").alias("n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_set(F.struct("o", "t"))), 1, 20), lambda x: x["t"]), "; ").alias("text"))
+
+    return by(facts, F.col("kind"), F.substring("text", 1, 80), F.col("at").cast("string")).unionAll(by(changes, F.lit("files"), F.col("path"), F.col("path"))).unionAll(by(decisions, F.lit("decisions"), F.col("title"), F.col("title")))
+
+
+def memory_stats(memories: DataFrame) -> DataFrame:
+    """(category, n, mean importance, first, last, accesses), a row for each category and one for all (category null)."""
+    return memories.groupingSets([[F.col("category")], []], F.col("category")).agg(F.count("*").alias("n"), F.avg("importance").alias("importance"), F.min("created_at").alias("first"), F.max("created_at").alias("last"), F.coalesce(F.sum("access_count"), F.lit(0)).alias("accesses"))
+
+
+def taught(rules: DataFrame, kind: str, name: str, pattern: str | None = None, weight: int = 3, target: str | None = None) -> DataFrame:
+    """Rules (kind, name, pattern, target, weight, used) with one more, or with a new form of it. Patterns must compile."""
+    import re
+
+    if kind not in RULE_KINDS:
+        raise ValueError(f"no such kind of rule: {kind}")
+    if pattern is not None:
+        re.compile(pattern)
+    row = rules.sparkSession.createDataFrame([(kind, name, pattern, target, max(1, min(5, weight)), 0)], "kind string, name string, pattern string, target string, weight int, used long")
+    return upsert(rules, row, ["kind", "name"], F.col("used"))
+
+
+def forgotten(rules: DataFrame, name: str) -> DataFrame:
+    return rules.where(F.col("name") != name)
+
+
+def touched(rules: DataFrame, uses: DataFrame) -> DataFrame:
+    """Rules with their uses (name) counted."""
+    n = uses.groupBy("name").agg(F.count("*").alias("_n"))
+    return rules.join(n, "name", "left").withColumn("used", F.col("used") + F.coalesce("_n", F.lit(0))).drop("_n").select(*rules.columns)
+
+
+def listed(rules: DataFrame, kind: str | None = None) -> DataFrame:
+    rules = rules if kind is None else rules.where(F.col("kind") == kind)
+    return rules.orderBy(F.desc("used"), "kind", "name")
+
+
+# --- sessions
+
+
 def briefing(session: DataFrame, facts: DataFrame, changes: DataFrame, decisions: DataFrame) -> DataFrame:
     """(session, section, n, text): of each session (session), its facts (session, kind, at, text) by kind, the files that
     changed in it (session, path, ..) and the decisions (session, title) taken."""

@@ -34,9 +34,15 @@ LAYER_SIGNALS = (
 )
 
 
+def any_of(rules) -> str:
+    """One pattern that the lines of all rules (severity, rule, pattern) match."""
+    return "|".join(f"(?i:{p.removeprefix('(?i)')})" if p.startswith("(?i)") else f"(?:{p})" for _, _, p in rules)
+
+
 def security_hits(lines: DataFrame, rules=SECURITY_RULES) -> DataFrame:
-    """(doc, line_no, rule, severity): each rule at most once a line; lines that are comments don't count."""
-    code = lines.where(~F.trim("line").rlike("^(//|#|[*])"))
+    """(doc, line_no, rule, severity): each rule at most once a line; lines that are comments don't count. Every line is
+    looked at once, by a test of all rules together first."""
+    code = lines.where(F.col("line").rlike(any_of(rules)) & ~F.trim("line").rlike("^(//|#|[*])"))
     found = F.filter(F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for s, r, p in rules)), lambda x: x.isNotNull())
     return code.select("doc", "line_no", F.explode(found).alias("x")).select("doc", "line_no", "x.*")
 
@@ -146,8 +152,7 @@ def redacted(secret: Column) -> Column:
 def secrets(lines: DataFrame, rules=SECRETS, most: int = 5) -> DataFrame:
     """(doc, line_no, rule, severity, value): secrets of lines (doc, line_no, line) without placeholders, redacted; the first
     `most` of a rule in a document. Every line is looked at once, by a cheap test of all rules together first."""
-    any_ = "|".join(f"(?:{p.removeprefix('(?i)') if not p.startswith('(?i)') else '(?i:' + p[4:] + ')'})" for _, _, p in rules)
-    some = lines.where(F.col("line").rlike(any_) & ~F.col("line").rlike(PLACEHOLDERS))
+    some = lines.where(F.col("line").rlike(any_of(rules)) & ~F.col("line").rlike(PLACEHOLDERS))
     hits = F.flatten(F.array(*(F.transform(F.regexp_extract_all("line", F.lit(p), F.lit(0)), _named_hit(r, s)) for s, r, p in rules)))
     found = some.select("doc", "line_no", F.posexplode(hits).alias("at", "x")).select("doc", "line_no", "at", "x.*")
     first = F.row_number().over(Window.partitionBy("doc", "rule").orderBy("line_no", "at"))

@@ -140,10 +140,22 @@ def naming(nodes: DataFrame) -> DataFrame:
     return n.join(F.broadcast(total), F.lit(True)).select("convention", "n", _round2(F.col("n") / F.col("_t")).alias("share"))
 
 
-def data_flow(relations: DataFrame, entries: DataFrame, limit: int = 10) -> DataFrame:
-    """(source, target, n) of module relations (source, target, n) that start in a module with an entry point."""
-    first = entries.select(top_folder(F.col("filePath")).alias("source")).distinct()
-    return relations.join(first, "source", "left_semi").orderBy(F.desc("n"), "source", "target").limit(limit)
+def language_patterns(nodes: DataFrame) -> DataFrame:
+    """(language, n, share, async_ratio, static_ratio, exported_ratio, test_ratio) of symbols by language."""
+    ratio = lambda c: F.round(F.avg(c.cast("int")), 6)
+    counts = nodes.groupBy("language").agg(
+        F.count("*").alias("n"), ratio(F.col("isAsync")).alias("async_ratio"), ratio(F.col("isStatic")).alias("static_ratio"),
+        ratio(F.col("isExported")).alias("exported_ratio"), ratio(F.contains("filePath", F.lit("/test/"))).alias("test_ratio"),
+    )
+    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))  # a row a language
+
+
+def code_patterns(nodes: DataFrame) -> DataFrame:
+    """(pattern, n) of all symbols: kinds of visibility, and whether classes or functions prevail."""
+    seen = nodes.groupBy(F.concat(F.lit("visibility "), F.coalesce("visibility", F.lit("unknown"))).alias("pattern")).agg(F.count("*").alias("n"))
+    sums = nodes.agg(F.count_if(F.col("type") == "class").alias("c"), F.count_if(F.col("type").isin("function", "method")).alias("f"))
+    style = sums.select(F.when(F.col("c") > F.col("f"), "class heavy").when(F.col("f") > 3 * F.col("c"), "function heavy").otherwise("mixed").alias("pattern"), (F.col("c") + F.col("f")).alias("n"))
+    return seen.unionAll(style)
 
 
 # --- digests
@@ -157,12 +169,21 @@ def symbol_list(nodes: DataFrame, most: int = 15) -> DataFrame:
     return rows.select("filePath", path_layer(F.col("filePath")).alias("layer"), F.concat(text, F.when(F.size("x") > most, F.concat(F.lit(" +"), (F.size("x") - most).cast("string"))).otherwise("")).alias("symbols"))
 
 
-def file_map(nodes: DataFrame, most: int = 15) -> DataFrame:
-    """(folder, lines): one text a folder, its files in order, each with its layer and symbols."""
+def folder_lines(nodes: DataFrame, most: int = 15) -> DataFrame:
+    """(folder, at, line): a line a file, with its layer and symbols, in order within the folder."""
     rows = symbol_list(nodes, most).withColumn("folder", F.regexp_replace("filePath", "/[^/]*$", ""))
     tag = F.when(F.col("layer") != "unknown", F.concat(F.lit("["), "layer", F.lit("] "))).otherwise("")
     line = F.concat(F.lit("  "), tag, base_name(F.col("filePath")), F.when(F.col("symbols") != "", F.concat(F.lit(": "), "symbols")).otherwise(""))
-    return rows.groupBy("folder").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    return rows.select("folder", F.col("filePath").alias("at"), line.alias("line"))
+
+
+def digest(nodes: DataFrame, budget: int, most: int = 15) -> DataFrame:
+    """(folder, at, line, used): each folder's files as far as its budget of tokens reaches, cut from the bottom. The first
+    line is the folder with its number of files."""
+    files = folder_lines(nodes, most)
+    heads = files.groupBy("folder").agg(F.count("*").alias("n")).select("folder", F.lit("").alias("at"), F.concat("folder", F.lit("/ ("), F.col("n").cast("string"), F.lit(" files)")).alias("line"))
+    upto = Window.partitionBy("folder").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return heads.unionAll(files).withColumn("used", F.sum(quarter_tokens(F.col("line")) + 1).over(upto)).where(F.col("used") <= budget)
 
 
 def layer_line(nodes: DataFrame) -> DataFrame:
@@ -181,12 +202,6 @@ def skeleton(nodes: DataFrame, path: str) -> DataFrame:
     return rows.select("startLine", "id", F.concat(F.repeat(F.lit("  "), F.col("d")), "signature").alias("line")).orderBy("startLine", "id").drop("id")
 
 
-def within_lines(sections: DataFrame, budget: int) -> DataFrame:
-    """Lines (section, at, line) as far as the budget of tokens reaches, in order of section and place: cut from the bottom."""
-    used = F.sum(quarter_tokens(F.col("line")) + 1).over(Window.orderBy("section", "at").rowsBetween(Window.unboundedPreceding, 0))  # of a report, whose sections are limited
-    return sections.withColumn("used", used).where(F.col("used") <= budget)
-
-
 def verify_digest(nodes: DataFrame, claims: DataFrame) -> DataFrame:
     """(path, name, state) of claims (path, name, line): exact, moved, or missing."""
     known = nodes.select(F.col("filePath").alias("path"), "name", F.col("startLine").alias("_l"))

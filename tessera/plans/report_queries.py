@@ -87,6 +87,20 @@ def q15_symbol_list(spark, sf_dir):
     return report.symbol_list(t.nodes(spark, sf_dir))
 
 
+_FILE_LINES = f"""f AS (SELECT filePath, list_sort(list(struct_pack(a := startLine, b := name, c := id))) AS x FROM nodes GROUP BY filePath), y AS (SELECT regexp_replace(filePath, '/[^/]*$', '') AS folder, filePath AS "path", {_LAYER.format('filePath')} AS layer, array_to_string(list_transform(x[1:15], lambda s: s.b || ':' || s.a), ' ') || CASE WHEN len(x) > 15 THEN ' +' || (len(x) - 15) ELSE '' END AS symbols FROM f),
+ls AS (SELECT folder, "path", '  ' || CASE WHEN layer <> 'unknown' THEN '[' || layer || '] ' ELSE '' END || string_split("path", '/')[-1] || CASE WHEN symbols <> '' THEN ': ' || symbols ELSE '' END AS line FROM y UNION ALL SELECT folder, '', folder || '/ (' || count(*) || ' files)' FROM y GROUP BY folder)"""
+
+
+@query(f"""{WITH}, {_FILE_LINES} SELECT folder, "path" AS "at", line, used::BIGINT AS used FROM (SELECT *, sum(ceil(length(line) / 4) + 1) OVER (PARTITION BY folder ORDER BY "path" ROWS UNBOUNDED PRECEDING) AS used FROM ls) WHERE used <= 400""")
+def q14_digest_within_budget(spark, sf_dir):
+    return report.digest(t.nodes(spark, sf_dir), 400)
+
+
+@query(f"{WITH} SELECT 'visibility ' || visibility AS pattern, count(*) AS n FROM nodes GROUP BY visibility UNION ALL SELECT CASE WHEN c > f THEN 'class heavy' WHEN f > 3 * c THEN 'function heavy' ELSE 'mixed' END, c + f FROM (SELECT count(*) FILTER (type = 'class') AS c, count(*) FILTER (type IN ('function', 'method')) AS f FROM nodes)")
+def a6_code_patterns(spark, sf_dir):
+    return report.code_patterns(t.nodes(spark, sf_dir))
+
+
 @query(f"{WITH}, l AS (SELECT {_LAYER.format('filePath')} AS l, count(DISTINCT filePath) AS n FROM nodes GROUP BY 1) SELECT 'LAYERS: ' || string_agg(l || '(' || n || ')', ' ' ORDER BY n DESC, l) AS line FROM l")
 def q15_layer_line(spark, sf_dir):
     return report.layer_line(t.nodes(spark, sf_dir))
@@ -501,3 +515,20 @@ def q5_planted_clones(spark, sf_dir):
     block = "\n".join(f"line {i}" for i in range(8))
     found = quality.clone_groups(spark.createDataFrame([(1, block + "\n" + block)], "doc int, text string"), 6)
     return found.groupBy("places", "docs", "lines").agg(F.count("*").alias("n"))
+
+
+# --- inline calls
+
+_SIBLINGS = ("track", "var", "margin", "unused")
+
+
+@query(f"""WITH p AS (SELECT 'page ' || page_id AS id, html FROM pages), s AS (SELECT unnest({list(_SIBLINGS)!r}) AS name), h AS (SELECT id AS "from", id || ' ' || name AS "to" FROM p, s WHERE regexp_matches(html, '\\b' || name || '\\s*\\('))
+SELECT * FROM h""")
+def g14_inline_calls(spark, sf_dir):
+    """Pages without callees, whose scripts name siblings of the page in the form of a call."""
+    pages = t.table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("id"), F.col("html").alias("text"))
+    names = F.explode(F.array(*map(F.lit, _SIBLINGS)))
+    own = pages.select("id", F.col("id").alias("filePath"), F.lit("page").alias("name"), F.lit("function").alias("type"))
+    others = pages.select(F.col("id").alias("filePath"), names.alias("name")).select(F.concat_ws(" ", "filePath", "name").alias("id"), "filePath", "name", F.lit("function").alias("type"))
+    none = spark.createDataFrame([], "sourceId string, targetId string, type string")
+    return flow.inline_calls(own.unionAll(others), none, pages).select(F.col("sourceId").alias("from"), F.col("targetId").alias("to"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import testgraph as t
-from tessera.operators import alike, changes, compress, context, memory, quality, search, stored, text
+from tessera.operators import alike, changes, compress, context, memory, quality, report, search, stored, text
 from tessera.plans.registry import query
 from tessera.session import cut
 from tessera.session import stored as once
@@ -164,8 +164,7 @@ def k8_freshness(spark, sf_dir):
 
 @query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS sessions, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY role")
 def n1_session_facts(spark, sf_dir):
-    c = t.table(spark, sf_dir, "conversations")
-    return c.groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("sessions"), F.sum(F.length("text")).alias("chars"))
+    return memory.fact_counts(t.table(spark, sf_dir, "conversations"), "role", "conv_id")
 
 
 _MEM = "m AS (SELECT d.doc_id AS id, CASE l.quality WHEN 1 THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END AS importance, (d.doc_id % 60)::DOUBLE AS days, d.n_chars FROM documents d JOIN labels l USING (doc_id))"
@@ -210,18 +209,7 @@ def q6_comment_density(spark, sf_dir):
 
 @query(f"WITH {t.CTES} SELECT language, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(isAsync::INT), 6) AS async_ratio, round(avg(isStatic::INT), 6) AS static_ratio, round(avg(isExported::INT), 6) AS exported_ratio, round(avg(regexp_matches(filePath, '/test/')::INT), 6) AS test_ratio FROM nodes GROUP BY language")
 def a3_language_share(spark, sf_dir):
-    total = F.sum(F.count("*")).over(_everything())
-    ratio = lambda c: F.round(F.avg(c.cast("int")), 6)
-    return t.nodes(spark, sf_dir).groupBy("language").agg(
-        F.count("*").alias("n"), F.round(F.count("*") / total, 6).alias("share"), ratio(F.col("isAsync")).alias("async_ratio"), ratio(F.col("isStatic")).alias("static_ratio"),
-        ratio(F.col("isExported")).alias("exported_ratio"), ratio(F.contains("filePath", F.lit("/test/"))).alias("test_ratio"),
-    )
-
-
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
+    return report.language_patterns(t.nodes(spark, sf_dir))
 
 
 # --- content types and compression
@@ -337,8 +325,7 @@ def d1_conflicts(spark, sf_dir):
 
 @query("SELECT conv_id, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, md5(max_by(text, turn)) AS last FROM conversations GROUP BY conv_id")
 def a10_session_close_out(spark, sf_dir):
-    c = t.table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.md5(F.max_by("text", "turn").cast("binary")).alias("last"))
+    return changes.close_out(t.table(spark, sf_dir, "conversations"), "conv_id")
 
 
 _TEXT = "tok AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS term FROM documents JOIN labels USING (doc_id)), ln AS (SELECT m.id, count(tok.id) AS n FROM m LEFT JOIN tok USING (id) GROUP BY m.id), tf AS (SELECT id, count(*) AS f FROM tok WHERE term = 'the' GROUP BY id), st AS (SELECT count(*) AS total, avg(n) AS av, (SELECT count(*) FROM tf) AS df FROM ln), sc AS (SELECT id, greatest(1e-6, ln((total - df + 0.5) / (df + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / av)) AS s FROM tf JOIN ln USING (id), st)"
