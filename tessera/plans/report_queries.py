@@ -48,9 +48,12 @@ def q11_path_layers(spark, sf_dir):
 _FILES = ["/a/index.ts", "/a/src/main.go", "/a/App.vue", "/a/x.ts", "/b/cmd/tool/x.go", "/b/Routes.py", "/b/api/v1/users.js", "/b/mod.rs", "/index.html"]
 
 
-@query("SELECT * FROM (VALUES ('/a/App.vue', 'app'), ('/a/index.ts', 'main'), ('/a/src/main.go', 'main'), ('/b/Routes.py', 'routing'), ('/b/api/v1/users.js', 'api'), ('/b/cmd/tool/x.go', 'cli'), ('/b/mod.rs', 'module')) AS v(filePath, kind)")
+@query("SELECT * FROM (VALUES ('/a/App.vue', 'app'), ('/a/index.ts', 'main'), ('/a/src/main.go', 'main'), ('/b/Routes.py', 'routing'), ('/b/api/v1/users.js', 'api'), ('/b/cmd/tool/x.go', 'cli'), ('/b/mod.rs', 'module')) AS v(filePath, kind)"
+       + " UNION ALL SELECT '/s' || s_suppkey || '/' || ['main.go', 'mod.rs', 'x.txt'][1 + s_suppkey::INTEGER % 3], ['main', 'module', ''][1 + s_suppkey::INTEGER % 3] FROM supplier WHERE s_suppkey % 3 < 2")
 def q12_entry_points(spark, sf_dir):
-    return report.entry_points(spark.createDataFrame([(x,) for x in _FILES], "filePath string"))
+    name = F.get(F.array(*map(F.lit, ("main.go", "mod.rs", "x.txt"))), (F.col("s_suppkey") % 3).cast("int"))
+    own = t.table(spark, sf_dir, "supplier").select(F.concat(F.lit("/s"), F.col("s_suppkey").cast("string"), F.lit("/"), name))
+    return report.entry_points(spark.createDataFrame([(x,) for x in _FILES], "filePath string").unionAll(own))
 
 
 @query(f"{WITH} SELECT 'languages' AS section, language AS name, count(*) AS n FROM nodes GROUP BY language UNION ALL SELECT 'packages', regexp_replace(filePath, '/[^/]*$', ''), count(*) FROM nodes GROUP BY 2 UNION ALL SELECT 'tests', 'ratio', floor(count(DISTINCT filePath) FILTER (regexp_matches(lower(filePath), '{graph.TEST_FILES}')) / count(DISTINCT filePath) FILTER (NOT regexp_matches(lower(filePath), '{graph.TEST_FILES}')) * 100 + 0.5)::BIGINT FROM nodes")
@@ -77,9 +80,11 @@ def q13_abstractions(spark, sf_dir):
     return report.abstractions(n.withColumn("filePath", F.when(F.col("type") == "class", "/test/1-URGENT.py").otherwise(F.col("filePath"))))
 
 
-@query("SELECT * FROM (VALUES ('camelCase', 2::BIGINT, 0.4::DOUBLE), ('kebab-case', 1, 0.2), ('PascalCase', 1, 0.2), ('snake_case', 1, 0.2)) AS v(convention, n, share)")
+@query("WITH n AS (SELECT count(*) + 5 AS t, count(*) FILTER (p_partkey % 2 = 0) AS a, count(*) FILTER (p_partkey % 2 = 1) AS b FROM part) SELECT convention, c AS n, floor(c / t * 100 + 0.5) / 100 AS share FROM (SELECT t, unnest(['camelCase', 'kebab-case', 'PascalCase', 'snake_case']) AS convention, unnest([2, 1, 1 + b, 1 + a]) AS c FROM n)")
 def q13_naming(spark, sf_dir):
-    return report.naming(spark.createDataFrame([("/a/userStore.ts",), ("/b/main.go",), ("/a/my-file.css",), ("/a/Shop.java",), ("/a/my_mod.py",)], "filePath string"))
+    planted = spark.createDataFrame([("/a/userStore.ts",), ("/b/main.go",), ("/a/my-file.css",), ("/a/Shop.java",), ("/a/my_mod.py",)], "filePath string")
+    own = F.concat(F.lit("/k"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "/my_mod.py").otherwise("/Shop.java"))
+    return report.naming(planted.unionAll(t.table(spark, sf_dir, "part").select(own)))
 
 
 @query(f"{WITH}, f AS (SELECT filePath, list_sort(list(struct_pack(a := startLine, b := name, c := id))) AS x FROM nodes GROUP BY filePath) SELECT filePath, {_LAYER.format('filePath')} AS layer, array_to_string(list_transform(x[1:15], lambda s: s.b || ':' || s.a), ' ') || CASE WHEN len(x) > 15 THEN ' +' || (len(x) - 15) ELSE '' END AS symbols FROM f")
@@ -284,9 +289,14 @@ def q7_secrets(spark, sf_dir):
 DETECT = ["app.get('/users', list)", "@app.route('/login')", "@GetMapping(\"/x\")", "const r = await fetch('/api/v1')", "requests.post(\"http://h/y\")", "db.run('SELECT a, b FROM users WHERE x')", "User.findOne({id})", "router.use(auth.check)", "nothing here"]
 
 
-@query("SELECT * FROM (VALUES (1, 'route', 'call', 'GET', '/users'), (2, 'route', 'flask', 'APP', '/login'), (3, 'route', 'decorator', 'GET', '/x'), (4, 'api_call', 'fetch', 'FETCH', '/api/v1'), (5, 'api_call', 'client', 'POST', 'http://h/y'), (6, 'db_query', 'sql', 'SELECT', 'users'), (7, 'db_query', 'model', 'USER', 'findOne'), (8, 'middleware', 'use', 'ROUTER', 'auth.check')) AS v(line_no, kind, form, name, target)")
+@query("SELECT * FROM (VALUES (1, 'route', 'call', 'GET', '/users'), (2, 'route', 'flask', 'APP', '/login'), (3, 'route', 'decorator', 'GET', '/x'), (4, 'api_call', 'fetch', 'FETCH', '/api/v1'), (5, 'api_call', 'client', 'POST', 'http://h/y'), (6, 'db_query', 'sql', 'SELECT', 'users'), (7, 'db_query', 'model', 'USER', 'findOne'), (8, 'middleware', 'use', 'ROUTER', 'auth.check')) AS v(line_no, kind, form, name, target)"
+       + " UNION ALL SELECT (100 + 2 * p_partkey + i)::INTEGER, [k, d][1], f, m, g || p_partkey FROM part, (VALUES (0, 'route', '', 'call', 'GET', '/p/'), (1, 'api_call', '', 'client', 'POST', 'http://h/p')) AS u(i, k, d, f, m, g)")
 def q8_detectors(spark, sf_dir):
-    return quality.detected(spark.createDataFrame([("x", i + 1, s) for i, s in enumerate(DETECT)], "doc string, line_no int, line string")).drop("doc")
+    planted = spark.createDataFrame([("x", i + 1, s) for i, s in enumerate(DETECT)], "doc string, line_no int, line string")
+    key = F.col("p_partkey").cast("string")
+    two = F.array(F.concat(F.lit("app.get('/p/"), key, F.lit("', show)")), F.concat(F.lit("  r = requests.post('http://h/p"), key, F.lit("')")))
+    own = t.table(spark, sf_dir, "part").select("p_partkey", F.posexplode(two).alias("i", "line")).select(F.lit("part"), (100 + 2 * F.col("p_partkey") + F.col("i")).cast("int"), "line")
+    return quality.detected(planted.unionAll(own)).drop("doc")
 
 
 @query("WITH b AS (SELECT page_id AS doc, regexp_extract_all(html, '[-+*/%=<>!&|^~?:;,.(){}\\[\\]]') AS o, regexp_extract_all(html, '[A-Za-z_]\\w*|[0-9]+') AS n FROM pages), c AS (SELECT doc, len(o) AS operators, len(n) AS operands, len(list_distinct(o)) AS d, len(list_distinct(n)) AS e FROM b) SELECT doc, operators::INTEGER AS operators, operands::INTEGER AS operands, round(CASE WHEN d + e > 0 THEN (operators + operands) * log2(d + e) ELSE 0 END, 4) AS volume, round(CASE WHEN e > 0 THEN d / 2 * operands / e ELSE 0 END, 4) AS difficulty FROM c")
@@ -366,15 +376,24 @@ def g15_layer_overview(spark, sf_dir):
 _NAMES = [("a", "function", "handleClick", "f(e)"), ("b", "method", "onLoad", ""), ("c", "function", "get users", ""), ("d", "route", "GET /x", ""), ("e", "component", "Card", ""), ("f", "function", "fetchUser", ""), ("g", "function", "plain", "(req, res)"), ("h", "method", "save", ""), ("i", "function", "validateForm", ""), ("j", "hook", "useIt", ""), ("k", "function", "other", "(db)"), ("l", "class", "Thing", "")]
 
 
-@query("SELECT * FROM (VALUES ('a', 'event_handler'), ('b', 'event_handler'), ('c', 'service'), ('d', 'route'), ('e', 'ui_component'), ('f', 'api_call'), ('g', 'controller'), ('h', 'database'), ('i', 'validator'), ('j', 'state_update'), ('k', 'repository'), ('l', 'service')) AS v(id, layer)")
+def _named(spark, sf_dir):
+    """Planted symbols, and one of three names for each customer."""
+    planted = spark.createDataFrame([(*x, "/src/s.ts") for x in _NAMES], "id string, type string, name string, signature string, filePath string")
+    key = F.col("c_custkey").cast("string")
+    name = F.concat(F.get(F.array(*map(F.lit, ("handleC", "validateC", "plain"))), (F.col("c_custkey") % 3).cast("int")), key)
+    return planted.unionAll(t.table(spark, sf_dir, "customer").select(F.concat(F.lit("z"), F.lpad(key, 9, "0")), F.lit("function"), name, F.lit("f()"), F.lit("/src/s.ts")))
+
+
+@query("SELECT * FROM (VALUES ('a', 'event_handler'), ('b', 'event_handler'), ('c', 'service'), ('d', 'route'), ('e', 'ui_component'), ('f', 'api_call'), ('g', 'controller'), ('h', 'database'), ('i', 'validator'), ('j', 'state_update'), ('k', 'repository'), ('l', 'service')) AS v(id, layer)"
+       + " UNION ALL SELECT 'z' || lpad(c_custkey::VARCHAR, 9, '0'), ['event_handler', 'validator', 'service'][1 + c_custkey::INTEGER % 3] FROM customer")
 def q10_symbol_layers(spark, sf_dir):
-    n = spark.createDataFrame([(*x, "/src/s.ts") for x in _NAMES], "id string, type string, name string, signature string, filePath string")
+    n = _named(spark, sf_dir)
     return flow.with_layers(n, spark.createDataFrame([("/src/s.ts", "service")], "path string, layer string")).select("id", "layer")
 
 
-@query("SELECT * FROM (VALUES ('component', 'e'), ('handler', 'a'), ('handler', 'b'), ('route', 'c'), ('route', 'd')) AS v(kind, id)")
+@query("""SELECT * FROM (VALUES ('component', 'e'), ('route', 'c'), ('route', 'd')) AS v(kind, id) UNION ALL (SELECT 'handler', id FROM (SELECT unnest(['a', 'b']) AS id UNION ALL SELECT 'z' || lpad(c_custkey::VARCHAR, 9, '0') FROM customer WHERE c_custkey % 3 = 0) ORDER BY id LIMIT 30)""")
 def g15_flow_starts(spark, sf_dir):
-    n = spark.createDataFrame([(*x, "/src/s.ts") for x in _NAMES], "id string, type string, name string, signature string, filePath string")
+    n = _named(spark, sf_dir)
     n = flow.with_layers(n, spark.createDataFrame([("/src/s.ts", "service")], "path string, layer string"))
     out = None
     for k in ("component", "handler", "route"):
@@ -480,13 +499,16 @@ _FORMS = [
 ]
 
 
-@query(_rows_sql(_FORMS, "kind, level, text"))
+@query(_rows_sql(_FORMS, "kind, level, text")
+       + " UNION ALL SELECT 'plain_text', 'aggressive', 'Part ' || p_partkey || ' is here.' || chr(10) || chr(10) || 'A second paragraph.' FROM part")
 def k2_sample_forms(spark, sf_dir):
     from tessera.operators import compress
     from tessera.plans.text_queries import SAMPLES
 
     wanted = spark.createDataFrame([(k, x) for k, x, _ in _FORMS], "kind string, level string")
     d = spark.createDataFrame(list(SAMPLES.items()), "kind string, text string").join(wanted, "kind")
+    own = F.concat(F.lit("Part "), F.col("p_partkey").cast("string"), F.lit(" is here. And more words.\n\nA second paragraph. It goes on."))
+    d = d.unionByName(t.table(spark, sf_dir, "part").select(F.lit("plain_text").alias("kind"), own.alias("text"), F.lit("aggressive").alias("level")))
     text_ = F.when(F.col("level") == "moderate", compress.compress(F.col("text"), F.col("kind"), "moderate")).otherwise(compress.compress(F.col("text"), F.col("kind"), "aggressive"))
     return d.select("kind", "level", text_.alias("text"))
 
@@ -503,17 +525,26 @@ def o6_planted_map(spark, sf_dir):
     return report.repo_map(_small_graph(spark)[0], spark.createDataFrame([("a", 0.5), ("b", 0.2), ("c", 0.3)], "id string, score double"), 60)
 
 
-@query(_rows_sql([("a", 0, "a", "processes in run()", None, "high"), ("a", 1, "b", "queries database in save()", "DB result", "high"), ("a", 2, "c", "uses helper deep()", None, "high"), ("b", 0, "b", "queries database in save()", "DB result", "high"), ("b", 1, "a", "processes in run()", None, "high"), ("b", 2, "c", "uses helper deep()", None, "high")], "seed, step, id, action, produces, risk"))
+_FLOW_ROWS = [("a", 0, "a", "processes in run()", None, "high"), ("a", 1, "b", "queries database in save()", "DB result", "high"), ("a", 2, "c", "uses helper deep()", None, "high"), ("b", 0, "b", "queries database in save()", "DB result", "high"), ("b", 1, "a", "processes in run()", None, "high"), ("b", 2, "c", "uses helper deep()", None, "high")]
+
+
+@query(f"WITH r AS ({_rows_sql(_FLOW_ROWS, 'seed, step, id, action, produces, risk')}), k AS (SELECT '' AS k UNION ALL SELECT s_suppkey::VARCHAR FROM supplier) SELECT seed || k AS seed, step, id || k AS id, action, produces, risk FROM r, k")
 def g14_planted_flows(spark, sf_dir):
     nodes, edges = _small_graph(spark)
-    steps = flow.trace(nodes, edges, spark.createDataFrame([("a",), ("b",)], "id string"))
+    marks = t.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("_k")).unionAll(spark.createDataFrame([("",)], "_k string"))
+    own = lambda df, *columns: marks.join(F.broadcast(df), F.lit(True)).withColumns({c: F.concat(c, "_k") for c in columns}).drop("_k")  # noqa: E731  a copy of four rows for each supplier
+    nodes, edges = own(nodes, "id", "filePath"), own(edges, "sourceId", "targetId")
+    steps = flow.trace(nodes, edges, nodes.where("name IN ('run', 'save')").select("id"))
     return steps.join(flow.flow_summary(steps).select("seed", "risk"), "seed").select("seed", "step", "id", "action", "produces", "risk")
 
 
-@query("SELECT 2::BIGINT AS places, 1::BIGINT AS docs, 12::BIGINT AS lines, 3::BIGINT AS n")
+@query("""SELECT 2::BIGINT AS places, 1::BIGINT AS docs, 12::BIGINT AS lines, 3 + 3 * (SELECT count(*) FROM part) AS n""")
 def q5_planted_clones(spark, sf_dir):
     block = "\n".join(f"line {i}" for i in range(8))
-    found = quality.clone_groups(spark.createDataFrame([(1, block + "\n" + block)], "doc int, text string"), 6)
+    key = F.col("p_partkey").cast("string")
+    lines = F.array(*(F.concat(F.lit(f"part {i} of "), key) for i in range(8)))
+    own = t.table(spark, sf_dir, "part").select((1 + F.col("p_partkey")).cast("int"), F.array_join(F.concat(lines, lines), "\n"))
+    found = quality.clone_groups(spark.createDataFrame([(-1, block + "\n" + block)], "doc int, text string").unionAll(own), 6)
     return found.groupBy("places", "docs", "lines").agg(F.count("*").alias("n"))
 
 

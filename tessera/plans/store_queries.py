@@ -122,16 +122,23 @@ def c11_relative_times(spark, sf_dir):
 _STAT = [("3\t1\tsrc/a.py", "staged"), ("2\t0\tsrc/a.py", "not staged"), ("10\t0\tsrc/new.py", "staged"), ("1\t1\tsrc/{old => new}/b.py", "staged"), ("0\t0\tx.py => y.py", "staged"), ("-\t-\timg/{ => sub}/p.png", "staged"), ("0\t7\tsrc/c.py", "not staged"), ("no stat", "staged")]
 
 
-@query("SELECT * FROM (VALUES ('src/a.py', NULL, 'modified', 'Modified (+5, -1 lines)', 5::BIGINT, 1::BIGINT), ('src/new.py', NULL, 'created', 'Created (+10 lines)', 10, 0), ('src/new/b.py', 'src/old/b.py', 'renamed', 'Renamed from src/old/b.py (+1, -1 lines)', 1, 1), ('y.py', 'x.py', 'renamed', 'Renamed from x.py (+0, -0 lines)', 0, 0), ('sub}/p.png', 'img/{', 'renamed', 'Renamed from img/{ (+0, -0 lines)', 0, 0), ('src/c.py', NULL, 'modified', 'Modified (+0, -7 lines)', 0, 7)) AS v(path, oldPath, changeType, summary, linesAdded, linesRemoved)")
+@query("SELECT * FROM (VALUES ('src/a.py', NULL, 'modified', 'Modified (+5, -1 lines)', 5::BIGINT, 1::BIGINT), ('src/new.py', NULL, 'created', 'Created (+10 lines)', 10, 0), ('src/new/b.py', 'src/old/b.py', 'renamed', 'Renamed from src/old/b.py (+1, -1 lines)', 1, 1), ('y.py', 'x.py', 'renamed', 'Renamed from x.py (+0, -0 lines)', 0, 0), ('sub}/p.png', 'img/{', 'renamed', 'Renamed from img/{ (+0, -0 lines)', 0, 0), ('src/c.py', NULL, 'modified', 'Modified (+0, -7 lines)', 0, 7)) AS v(path, oldPath, changeType, summary, linesAdded, linesRemoved)"
+       + " UNION ALL SELECT 'lib/p' || p_partkey || '.py', NULL, 'modified', 'Modified (+' || (a + b) || ', -' || (d + b) || ' lines)', a + b, d + b FROM (SELECT p_partkey, 1 + p_partkey % 9 AS a, 1 + p_partkey % 4 AS d, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS b FROM part)")
 def c10_merged_diffs(spark, sf_dir):
-    lines = spark.createDataFrame(_STAT, "line string, part string")
+    lines, key = spark.createDataFrame(_STAT, "line string, part string"), F.col("p_partkey")
+    stat = lambda a, d: F.concat_ws("\t", a.cast("string"), d.cast("string"), F.concat(F.lit("lib/p"), key.cast("string"), F.lit(".py")))
+    part = t.table(spark, sf_dir, "part")
+    lines = lines.unionAll(part.select(stat(1 + key % 9, 1 + key % 4), F.lit("staged"))).unionAll(part.where(key % 2 == 0).select(stat(F.lit(1), F.lit(1)), F.lit("not staged")))
     return store.file_changes(store.merged_diffs(store.numstat(lines.where("part = 'staged'")), store.numstat(lines.where("part <> 'staged'"))))
 
 
-@query("SELECT * FROM (VALUES ('a1', 'Ann', '2024-01-02T03:04:05+00:00', 'Fix tabs\tand more'), ('b2', 'Bo', '2024-01-03T00:00:00+00:00', 'Add')) AS v(hash, author, date, subject)")
+@query("SELECT * FROM (VALUES ('a1', 'Ann', '2024-01-02T03:04:05+00:00', 'Fix tabs\tand more'), ('b2', 'Bo', '2024-01-03T00:00:00+00:00', 'Add')) AS v(hash, author, date, subject)"
+       + " UNION ALL SELECT 'h' || event_id, 'user ' || user_id, '2024-01-01T00:00:00+00:00', event_type || chr(9) || event_id FROM events")
 def s19_git_log(spark, sf_dir):
     lines = [("a1\tAnn\t2024-01-02T03:04:05+00:00\tFix tabs\tand more",), ("b2\tBo\t2024-01-03T00:00:00+00:00\tAdd",), ("broken",)]
-    return store.log_entries(spark.createDataFrame(lines, "line string"))
+    as_text = lambda c: F.col(c).cast("string")
+    own = t.table(spark, sf_dir, "events").select(F.concat_ws("\t", F.concat(F.lit("h"), as_text("event_id")), F.concat(F.lit("user "), as_text("user_id")), F.lit("2024-01-01T00:00:00+00:00"), "event_type", as_text("event_id")))
+    return store.log_entries(spark.createDataFrame(lines, "line string").unionAll(own))
 
 
 _MARKS = "o AS (SELECT DISTINCT user_id::VARCHAR AS path, event_type AS name FROM events WHERE day(ts) <= 4), w AS (SELECT DISTINCT user_id::VARCHAR AS path, event_type AS name FROM events WHERE day(ts) >= 27)"
@@ -167,10 +174,13 @@ def c7_undrained_buffer(spark, sf_dir):
     return store.undrained(e, 9_000, 5_000).select("id")
 
 
-@query("SELECT * FROM (VALUES ('a', 'fresh')) AS v(key, text)")
+@query("WITH e AS (SELECT event_id, event_type, ts FROM events WHERE user_id = 7) SELECT '7' AS key, event_type || event_id AS text FROM e WHERE epoch_us((SELECT max(ts) FROM e)) + 120000000 - epoch_us(ts) < 300000000")
 def c5_digest_cache(spark, sf_dir):
-    rows = spark.createDataFrame([("a", "2024-01-01 00:03:00", "fresh"), ("a", "2023-12-31 23:00:00", "old"), ("b", "2024-01-01 00:04:00", "other")], "key string, made string, text string").withColumn("made", F.col("made").cast("timestamp"))
-    return store.cached_digest(rows, "a", F.lit("2024-01-01 00:05:00").cast("timestamp")).select("key", "text")
+    """A user's events as digests, two minutes after the last one."""
+    e = t.table(spark, sf_dir, "events")
+    last = e.where("user_id = 7").agg(F.max("ts")).first()[0]
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("made"), F.concat("event_type", F.col("event_id").cast("string")).alias("text"))
+    return store.cached_digest(rows, "7", F.lit(last).cast("timestamp") + F.expr("INTERVAL 2 MINUTES")).select("key", "text")
 
 
 _W = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> '')))"
@@ -241,12 +251,17 @@ def b1_sync_memories(spark, sf_dir):
     return memory.synced("memory", n.where("id % 3 <> 1 AND id % 5 <> 0"), n.where("id % 7 <> 0"))[1]
 
 
-@query("SELECT * FROM (VALUES ('alias', 'auth', 'login', NULL, 3, 7::BIGINT), ('layer', 'svc', NULL, 'svc/', 5, 2), ('convention', 'names', NULL, NULL, 1, 0)) AS v(kind, name, target, pattern, weight, used)")
+@query("SELECT * FROM (VALUES ('alias', 'auth', 'login', NULL, 3, 7::BIGINT), ('layer', 'svc', NULL, 'svc/', 5, 2), ('convention', 'names', NULL, NULL, 1, 0)) AS v(kind, name, target, pattern, weight, used)"
+       + " UNION ALL SELECT 'layer', 'lang ' || lang, 'locale', lang, 2, count(*) FROM documents GROUP BY lang")
 def r1_learned_rules(spark, sf_dir):
     rules = spark.createDataFrame([("alias", "old", None, "x", 3, 9), ("alias", "auth", None, "signin", 3, 5)], "kind string, name string, pattern string, target string, weight int, used long")
     rules = memory.taught(rules, "layer", "svc", "svc/", 9)
     rules = memory.taught(memory.taught(rules, "convention", "names", weight=-4), "alias", "auth", target="login")
-    uses = spark.createDataFrame([("svc",)] * 2 + [("auth",)] * 7, "name string")
+    docs = t.table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("lang "), F.col("lang"))
+    own = docs.select("lang").distinct().select(F.lit("layer").alias("kind"), name.alias("name"), F.col("lang").alias("pattern"), F.lit("locale").alias("target"), F.lit(2).alias("weight"), F.lit(0).cast("long").alias("used"))
+    rules = rules.unionByName(own)
+    uses = spark.createDataFrame([("svc",)] * 2 + [("auth",)] * 7, "name string").unionAll(docs.select(name))
     return memory.listed(memory.touched(memory.forgotten(rules, "old"), uses)).select("kind", "name", "target", "pattern", "weight", "used")
 
 

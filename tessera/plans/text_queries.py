@@ -347,10 +347,14 @@ def m2_access_boost(spark, sf_dir):
     return t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), memory.accessed(F.col("p_size") / 50).alias("importance"))
 
 
-@query("SELECT * FROM (VALUES ('architecture', 0.9::DOUBLE), ('todo', 0.5), ('gotcha', 0.85), ('other', 0.5)) AS v(category, importance)")
+_CATEGORIES = ("architecture", "todo", "gotcha", "other", "workflow", "preference")
+
+
+@query(f"SELECT p_partkey AS id, c AS category, CASE c WHEN 'architecture' THEN 0.9::DOUBLE WHEN 'gotcha' THEN 0.85 WHEN 'workflow' THEN 0.7 WHEN 'preference' THEN 0.55 ELSE 0.5 END AS importance FROM (SELECT p_partkey, {list(_CATEGORIES)!r}[1 + p_partkey::INTEGER % {len(_CATEGORIES)}] AS c FROM part)")
 def m6_category_defaults(spark, sf_dir):
-    d = spark.createDataFrame([("architecture",), ("todo",), ("gotcha",), ("other",)], "category string")
-    return d.select("category", memory.default_importance(F.col("category")).alias("importance"))
+    category = F.get(F.array(*map(F.lit, _CATEGORIES)), (F.col("p_partkey") % len(_CATEGORIES)).cast("int"))
+    d = t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), category.alias("category"))
+    return d.withColumn("importance", memory.default_importance(F.col("category")))
 
 
 @query("SELECT doc_id AS id, array_to_string(list_sort(list_distinct([lang, source, lower(source)])), ',') AS tags FROM documents")
