@@ -11,6 +11,10 @@ from tessera.model import DEFAULT_EDGE_WEIGHT, DEPENDENCY_TYPES, EDGE_WEIGHTS
 from tessera.session import cut
 
 
+#: Levels of a search after which what it has seen is written as one table, so that plans stay short.
+MERGED = 16
+
+
 def of_types(edges: DataFrame, types) -> DataFrame:
     return edges.where(F.col("type").isin(*types))
 
@@ -56,6 +60,8 @@ def reach(moves: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % MERGED == 0:
+            seen = cut(seen.repartition("seed", "id"))
     return seen
 
 
