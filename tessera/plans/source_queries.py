@@ -147,3 +147,16 @@ def s2_project_roots(spark, sf_dir):
     own = F.concat(F.lit("/n"), F.col("s_nationkey").cast("string"), F.lit("/x/"), F.col("s_suppkey").cast("string"), F.lit(".py"))
     d = d.unionAll(t.table(spark, sf_dir, "supplier").select(own))
     return d.select("path", tree.project_of(F.col("path"), ["/a", "/a/b", *(f"/n{i}" for i in range(5))]).alias("root"))
+
+
+@query("""WITH n AS (SELECT DISTINCT s_nationkey AS n FROM supplier) SELECT '/n' || n AS root, 'framework' AS kind, 'Flask' AS name FROM n WHERE n % 3 = 0 UNION ALL SELECT '/n' || n, 'build tool', 'Docker' FROM n WHERE n % 2 = 0
+UNION ALL SELECT '/n' || n, 'framework', 'Next.js' FROM n WHERE n % 5 = 0 UNION ALL SELECT '/p', 'build tool', unnest(['Go Modules', 'Cargo', 'Maven']) UNION ALL SELECT '/p', 'framework', unnest(['Ruby on Rails', 'Flask'])""")
+def q13_frameworks(spark, sf_dir):
+    """Folders of nations with marks by number, and the planted manifests."""
+    nation = F.col("s_nationkey").cast("string")
+    key = t.table(spark, sf_dir, "supplier").select("s_nationkey").distinct()
+    own = key.select(F.concat(F.lit("/n"), nation, F.lit("/requirements.txt")).alias("path"), F.when(F.col("s_nationkey") % 3 == 0, "flask==2\nother").otherwise("other==1").alias("text"))
+    texts = spark.createDataFrame(MANIFESTS, "path string, text string").unionAll(own)
+    mark = lambda every, name: key.where(F.col("s_nationkey") % every == 0).select(F.concat(F.lit("/n"), nation, F.lit(f"/{name}")).alias("path"))
+    paths = texts.select("path").unionAll(mark(2, "Dockerfile")).unionAll(mark(5, "next.config.js"))
+    return manifests.tools_of(paths, manifests.dependencies(texts))

@@ -86,3 +86,52 @@ def decisions_markdown(decisions: DataFrame) -> DataFrame:
     """(id, markdown): a section for each decision."""
     tags = F.when(F.size("tags") > 0, F.concat(F.lit("\nTags: "), F.array_join("tags", ", "))).otherwise("")
     return decisions.select("id", F.concat(F.lit("## "), "title", F.lit("\nStatus: "), "status", F.lit("\n\n"), "description", tags).alias("markdown"))
+
+
+# Frameworks and build tools, each with the files and the dependencies that mark it.
+MARKS = (
+    ("framework", "Next.js", ("next.config.js", "next.config.ts", "next.config.mjs"), ("next",)),
+    ("framework", "Nuxt.js", ("nuxt.config.ts", "nuxt.config.js"), ("nuxt",)),
+    ("framework", "Angular", ("angular.json",), ("@angular/core",)),
+    ("framework", "Vite", ("vite.config.ts", "vite.config.js"), ("vite",)),
+    ("framework", "React", (), ("react", "react-dom")),
+    ("framework", "Vue.js", (), ("vue",)),
+    ("framework", "Svelte", (), ("svelte",)),
+    ("framework", "Express.js", (), ("express",)),
+    ("framework", "Fastify", (), ("fastify",)),
+    ("framework", "Koa", (), ("koa",)),
+    ("framework", "NestJS", (), ("nestjs", "@nestjs/core")),
+    ("framework", "Electron", (), ("electron",)),
+    ("framework", "Django", (), ("django",)),
+    ("framework", "Flask", (), ("flask",)),
+    ("framework", "FastAPI", (), ("fastapi",)),
+    ("framework", "Ruby on Rails", ("Gemfile",), ("rails",)),
+    ("framework", "Spring Boot", (), ("spring-boot", "spring-core")),
+    ("framework", "WPF", (), ("wpf", "WindowsBase")),
+    ("framework", "Xamarin", (), ("Xamarin.Forms",)),
+    ("framework", ".NET MAUI", (), ("MAUI", "Microsoft.Maui")),
+    ("build tool", "Webpack", ("webpack.config.js", "webpack.config.ts"), ()),
+    ("build tool", "Rollup", ("rollup.config.js", "rollup.config.ts"), ()),
+    ("build tool", "esbuild", ("esbuild.config.js",), ()),
+    ("build tool", "TypeScript", ("tsconfig.json",), ()),
+    ("build tool", "Babel", ("babel.config.js", ".babelrc"), ()),
+    ("build tool", "Make", ("Makefile",), ()),
+    ("build tool", "CMake", ("CMakeLists.txt",), ()),
+    ("build tool", "Gradle", ("build.gradle", "build.gradle.kts"), ()),
+    ("build tool", "Maven", ("pom.xml",), ()),
+    ("build tool", "Cargo", ("Cargo.toml",), ()),
+    ("build tool", "Go Modules", ("go.mod",), ()),
+    ("build tool", "Docker", ("Dockerfile",), ()),
+    ("build tool", "Docker Compose", ("docker-compose.yml", "docker-compose.yaml"), ()),
+)
+
+
+def tools_of(paths: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(root, kind, name): frameworks and build tools of each folder, by its files (path) and by what its manifests (path,
+    name) depend on. The marks are a small table that joins by name."""
+    spark = paths.sparkSession
+    marks = spark.createDataFrame([(k, n, f"file:{x}") for k, n, files, _ in MARKS for x in files] + [(k, n, f"dep:{x}") for k, n, _, deps in MARKS for x in deps], "kind string, name string, mark string")
+    root = F.regexp_replace("path", "/[^/]*$", "")
+    files = paths.select(root.alias("root"), F.concat(F.lit("file:"), F.element_at(F.split("path", "/"), -1)).alias("mark"))
+    needs = dependencies.select(root.alias("root"), F.concat(F.lit("dep:"), "name").alias("mark"))
+    return files.unionAll(needs).join(F.broadcast(marks), "mark").select("root", "kind", "name").distinct()
