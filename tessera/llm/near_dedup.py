@@ -4,7 +4,7 @@ A document is the set of its distinct 5-word shingles. Documents with equal sets
 digest, so copies cost nothing further. The rest get 128 minima: bands of five give bucket keys, and the low four bits
 of each minimum, packed to 64 bytes, give the similarity estimate, corrected for chance agreement. Inside a bucket,
 a search over the not yet reached members (never all pairs) yields a spanning forest of pairs whose estimate is high
-enough. Components of these edges are candidate groups; each is confirmed on full shingle sets in blocks of about
+enough; a large bucket is searched in pairs of blocks, so no task holds more than two. Components of these edges are candidate groups; each is confirmed on full shingle sets in blocks of about
 `block` members, every pair of blocks in one small task, again as a spanning forest of exact links. Components of the
 exact links are the result.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_of, cut, fresh, slices
@@ -31,6 +31,8 @@ MINIMA, ROWS, BANDS, BITS = 128, 5, 25, 4
 MARGIN = 5.5
 #: Members and shingles of a block of a candidate group.
 BLOCK, BLOCK_SHINGLES = 100, 200_000
+#: Members of a block of a band's bucket.
+BUCKET = 1024
 
 _SKETCH = "doc_id long, n_shingles long, digest binary, bits binary, bands array<long>"
 _EDGES = "a binary, b binary"
@@ -155,7 +157,7 @@ def _sketch(batches):
 def _bucket_forest(least: float):
     def run(batches):
         pairs = []
-        for _, rows in groups(batches, ["key"], ["digest", "bits"]):
+        for _, rows in groups(batches, ["key", "i", "j"], ["digest", "bits"]):
             sig = np.frombuffer(b"".join(r[1] for r in rows), np.uint64).reshape(len(rows), -1)
             pairs += [(rows[i][0], rows[j][0]) for i, j in forest(len(rows), lambda i, rest: estimates(sig[i], sig[rest]) >= least)]
             if len(pairs) > 20_000:
@@ -211,11 +213,16 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, _SKETCH)
 
 
-def candidate_edges(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of digests: a spanning forest of each bucket's pairs with a high enough estimate."""
+def candidate_edges(nodes: DataFrame, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
+    """(a, b) of digests: spanning forests of the pairs of each band's buckets with a high enough estimate. A large bucket
+    is compared in pairs of blocks, each in a task of its own; together their forests hold every pair's ends in one tree."""
     rows = nodes.select("digest", F.explode("bands").alias("key"))
-    shared = rows.select("digest", "key", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1").select("digest", "key")
-    full = shared.join(nodes.select("digest", "bits"), "digest").repartition("key").sortWithinPartitions("key", "digest")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / bucket).cast("int").alias("blocks"))
+    shared = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    others = F.expr("CASE WHEN blocks = 1 THEN array(0) ELSE filter(sequence(0, blocks - 1), x -> x <> own) END")
+    shared = shared.select("digest", "key", "own", F.explode(others).alias("other"))
+    shared = shared.select("digest", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    full = shared.join(nodes.select("digest", "bits"), "digest").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "digest")
     return full.mapInArrow(_bucket_forest(least_estimate(percent)), _EDGES)
 
 

@@ -88,3 +88,24 @@ def test_contraction_finds_components(spark):
     loops = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: v for k, v in parent.items() if k not in loops}
+
+
+def test_a_large_bucket_in_blocks_has_the_same_components(spark):
+    """Candidates of a bucket that is compared in pairs of blocks fall into the same components as in one block."""
+    from tessera.llm.graph import components
+
+    base = prose(3, 90).split()
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(0, 3)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, prose(50 + i, 60)) for i in range(30)]
+    nodes = near_dedup.sketches(docs(spark, rows)).where("n_shingles > 0").dropDuplicates(["digest"])
+    found = []
+    for bucket in (1024, 40, 7):
+        label = components(near_dedup.candidate_edges(nodes, bucket=bucket)).collect()
+        found.append(sorted((bytes(r.node), bytes(r.label)) for r in label))
+    assert found[0] and found[0] == found[1] == found[2]
