@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.model import round_half_up
+
 # Fixed values: (severity, rule, pattern) of line rules for insecure code.
 SECURITY_RULES = (
     ("critical", "hardcoded_password", r"""(?i)password\s*=\s*['"][^'"]+['"]"""),
@@ -200,3 +202,51 @@ def clone_groups(docs: DataFrame, size: int = 6, limit: int | None = None) -> Da
     firsts = repeated.groupBy("window", "doc").agg(kept.alias("k"))
     out = firsts.groupBy("window").agg(F.sum(F.size("k")).alias("places"), F.count("*").alias("docs")).where("places >= 2").withColumn("lines", F.col("places") * size).orderBy(F.desc("places"), "window")
     return out if limit is None else out.limit(limit)
+
+
+# --- scores
+
+# What a function, a file or a module may have at most; what the overall score weighs; grades by score.
+LIMITS = {"cyclomatic": 10, "cognitive": 15, "loc": 30, "params": 4, "nesting": 3, "file_lines": 300, "file_functions": 15, "fan_out": 8}
+SCORE_WEIGHTS = {"cyclomatic": 0.12, "cognitive": 0.12, "maintainability": 0.12, "modularity": 0.10, "coupling": 0.10, "security": 0.15, "documentation": 0.08, "duplication": 0.06, "solid": 0.08, "stability": 0.07}
+SCORE_GRADES = ((90, "A"), (80, "A-"), (70, "B+"), (60, "B"), (50, "C+"), (40, "C"), (30, "D"))
+
+
+def scores(functions: DataFrame, files: DataFrame, findings: DataFrame, shares: DataFrame) -> DataFrame:
+    """One row of scores from 0 to 100: cyclomatic, cognitive, maintainability, modularity, coupling, stability, security,
+    documentation, duplication, solid, health, debt (a ratio in percent), and overall with its grade.
+
+    Of functions (cyclomatic, cognitive, loc, params, nesting, risk), files (lines, functions, fan_out, instability),
+    findings (severity) and shares (documentation, duplication in percent, one row). Each part is one aggregate; a mean
+    and every excess over its limit cost points.
+    """
+    over = lambda c, limit: F.count_if(F.col(c) > LIMITS[limit])
+    mean = lambda c, default=0.0: F.coalesce(F.avg(c), F.lit(default))
+    f = functions.agg(
+        F.count("*").alias("n"), mean("cyclomatic").alias("cc"), over("cyclomatic", "cyclomatic").alias("cc_over"), mean("cognitive").alias("cog"), over("cognitive", "cognitive").alias("cog_over"),
+        (4 * over("loc", "loc") + 5 * over("params", "params") + 5 * over("nesting", "nesting")).alias("size_cost"), F.count_if(F.col("params") > 5).alias("wide"), F.count_if(F.col("risk") != "low").alias("risky"),
+    )
+    g = files.agg(
+        (8 * over("lines", "file_lines") + 6 * over("functions", "file_functions")).alias("file_cost"), mean("fan_out").alias("out"), over("fan_out", "fan_out").alias("out_over"),
+        mean("instability", 0.5).alias("inst"), F.count_if((F.col("functions") > 20) | (F.col("lines") > 400)).alias("many_duties"),
+    )
+    s = findings.agg(F.count("*").alias("found"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "warning").alias("warning"))
+    row = f.join(g, F.lit(True)).join(s, F.lit(True)).join(shares, F.lit(True))  # one row each
+    left = lambda cost: F.greatest(F.lit(0.0), 100 - cost)
+    c = F.col
+    parts = {
+        "cyclomatic": left(5 * c("cc") + 3 * c("cc_over")), "cognitive": left(4 * c("cog") + 3 * c("cog_over")), "maintainability": left(c("size_cost")), "modularity": left(c("file_cost")),
+        "coupling": left(3 * c("out") + 8 * c("out_over")), "security": left(20 * c("critical") + 5 * c("warning")), "documentation": c("documentation"), "duplication": left(5 * c("duplication")),
+        "solid": left(8 * c("many_duties") + 4 * c("wide")), "stability": round_half_up(left(60 * F.abs(c("inst") - 0.5))),
+    }
+    row = row.select("n", "risky", "found", *(v.cast("double").alias(k) for k, v in parts.items()))
+    health = 0.3 * c("cyclomatic") + 0.3 * c("cognitive") + 0.25 * c("maintainability") + 0.15 * c("modularity")
+    debt = F.when(c("n") > 0, round_half_up(100 * 15 * (c("risky") + c("found")) / (30 * c("n")))).otherwise(0)
+    overall = None
+    for name, weight in SCORE_WEIGHTS.items():
+        overall = c(name) * weight if overall is None else overall + c(name) * weight
+    row = row.withColumns({"health": round_half_up(health), "debt": debt.cast("long"), "overall": round_half_up(overall)})
+    grade = F.lit("F")
+    for least, name in reversed(SCORE_GRADES):
+        grade = F.when(c("overall") >= least, name).otherwise(grade)
+    return row.select(*(round_half_up(c(k)).cast("long").alias(k) for k in parts), c("health").cast("long").alias("health"), "debt", c("overall").cast("long").alias("overall"), grade.alias("grade"))

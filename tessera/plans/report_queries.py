@@ -563,3 +563,34 @@ def g14_inline_calls(spark, sf_dir):
     others = pages.select(F.col("id").alias("filePath"), names.alias("name")).select(F.concat_ws(" ", "filePath", "name").alias("id"), "filePath", "name", F.lit("function").alias("type"))
     none = spark.createDataFrame([], "sourceId string, targetId string, type string")
     return flow.inline_calls(own.unionAll(others), none, pages).select(F.col("sourceId").alias("from"), F.col("targetId").alias("to"))
+
+
+# --- scores
+
+_SCORE_PARTS = f"""fn AS (SELECT *, {_RISK} AS risk FROM (SELECT *, {_HEALTH} AS health FROM met)),
+x AS (SELECT DISTINCT a.filePath AS s, b.filePath AS d FROM edges e JOIN nodes a ON a.id = e.sourceId JOIN nodes b ON b.id = e.targetId WHERE a.filePath <> b.filePath),
+fl AS (SELECT n.filePath, max(endLine) AS lines, count(*) FILTER (type IN ('function', 'method')) AS functions, coalesce(any_value(ce), 0) AS fan_out, CASE WHEN coalesce(any_value(ce), 0) + coalesce(any_value(ca), 0) > 0 THEN coalesce(any_value(ce), 0) / (coalesce(any_value(ce), 0) + coalesce(any_value(ca), 0)) ELSE 0.5 END AS instability
+       FROM nodes n LEFT JOIN (SELECT s, count(*) AS ce FROM x GROUP BY s) ON s = n.filePath LEFT JOIN (SELECT d, count(*) AS ca FROM x GROUP BY d) ON d = n.filePath GROUP BY n.filePath),
+f AS (SELECT count(*) AS n, avg(cyclomatic) AS cc, count(*) FILTER (cyclomatic > 10) AS cco, avg(cognitive) AS cog, count(*) FILTER (cognitive > 15) AS cogo, 4 * count(*) FILTER (loc > 30) + 5 * count(*) FILTER (nesting > 3) AS size_cost, count(*) FILTER (risk <> 'low') AS risky FROM fn),
+g AS (SELECT 8 * count(*) FILTER (lines > 300) + 6 * count(*) FILTER (functions > 15) AS file_cost, avg(fan_out) AS o, count(*) FILTER (fan_out > 8) AS oo, avg(instability) AS inst, count(*) FILTER (functions > 20 OR lines > 400) AS duties FROM fl),
+se AS (SELECT count(*) FILTER (toxic = 1 OR quality = 0) AS found, count(*) FILTER (toxic = 1) AS critical, count(*) FILTER (toxic = 0 AND quality = 0) AS warning FROM labels),
+sh AS (SELECT floor(100 * avg(isExported::INT)) AS documentation, floor(100 * avg(isStatic::INT)) AS duplication FROM nodes),
+p AS (SELECT n, risky, found, greatest(0, 100 - 5 * cc - 3 * cco) AS cyclomatic, greatest(0, 100 - 4 * cog - 3 * cogo) AS cognitive, greatest(0, 100 - size_cost)::DOUBLE AS maintainability, greatest(0, 100 - file_cost)::DOUBLE AS modularity, greatest(0, 100 - 3 * o - 8 * oo) AS coupling,
+  greatest(0, 100 - 20 * critical - 5 * warning)::DOUBLE AS security, documentation, greatest(0, 100 - 5 * duplication) AS duplication, greatest(0, 100 - 8 * duties)::DOUBLE AS solid, floor(greatest(0, 100 - 60 * abs(inst - 0.5)) + 0.5) AS stability FROM f, g, se, sh),
+o AS (SELECT *, floor(0.12::DOUBLE * cyclomatic + 0.12::DOUBLE * cognitive + 0.12::DOUBLE * maintainability + 0.10::DOUBLE * modularity + 0.10::DOUBLE * coupling + 0.15::DOUBLE * security + 0.08::DOUBLE * documentation + 0.06::DOUBLE * duplication + 0.08::DOUBLE * solid + 0.07::DOUBLE * stability + 0.5) AS overall,
+  floor(0.3::DOUBLE * cyclomatic + 0.3::DOUBLE * cognitive + 0.25::DOUBLE * maintainability + 0.15::DOUBLE * modularity + 0.5) AS health, floor(100 * 15 * (risky + found) / (30 * n) + 0.5) AS debt FROM p)"""
+_SCORE_NAMES = ("cyclomatic", "cognitive", "maintainability", "modularity", "coupling", "security", "documentation", "duplication", "solid", "stability")
+
+
+@query(f"WITH RECURSIVE {t.CTES}, {_METRIC_BASE}, {_metrics_sql('base')}, {_SCORE_PARTS} SELECT " + ", ".join(f"floor({x} + 0.5)::BIGINT AS {x}" for x in _SCORE_NAMES)
+       + ", health::BIGINT AS health, debt::BIGINT AS debt, overall::BIGINT AS overall, CASE WHEN overall >= 90 THEN 'A' WHEN overall >= 80 THEN 'A-' WHEN overall >= 70 THEN 'B+' WHEN overall >= 60 THEN 'B' WHEN overall >= 50 THEN 'C+' WHEN overall >= 40 THEN 'C' WHEN overall >= 30 THEN 'D' ELSE 'F' END AS grade FROM o")
+def q6_scores(spark, sf_dir):
+    """Texts as functions, files of the symbol graph, and labels as findings."""
+    nodes, edges = _graph(spark, sf_dir)
+    functions = quality.health(quality.complexity(_metric_texts(spark, sf_dir))).withColumn("params", F.lit(0))
+    coupled = graph.instability(edges, nodes.select("id", F.col("filePath").alias("module"))).select(F.col("module").alias("filePath"), F.col("ce").alias("fan_out"), "instability")
+    files = nodes.groupBy("filePath").agg(F.max("endLine").alias("lines"), F.count_if(F.col("type").isin("function", "method")).alias("functions")).join(coupled, "filePath")
+    severity = F.when(F.col("toxic") == 1, "critical").when(F.col("quality") == 0, "warning")
+    findings = t.table(spark, sf_dir, "labels").select(severity.alias("severity")).where("severity IS NOT NULL")
+    share = lambda c: F.floor(100 * F.avg(F.col(c).cast("int")))
+    return quality.scores(functions, files, findings, nodes.agg(share("isExported").alias("documentation"), share("isStatic").alias("duplication")))
