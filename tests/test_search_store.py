@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import budget, compress, context, flow, graph, memory, quality, report, search, store, text
+from tessera.operators import alike, budget, compress, context, flow, graph, memory, quality, report, search, store, text
 from tessera.plans import text_queries
 from tessera.plans.registry import ORACLES
 
@@ -193,8 +193,7 @@ def test_hot_keys_fold_in_segments(spark):
     assert got == {k: s for k, s in (("hot", state), ("cold", "modified")) if s}
 
 
-def test_similar_pairs_of_equal_sets(spark):
+def test_classes_of_equal_sets(spark):
     docs = spark.createDataFrame([(i, ["a", "b", "c"]) for i in range(5)] + [(9, ["a", "b", "c", "d"]), (10, ["z"])], "doc int, w array<string>")
-    got = {(r.a, r.b) for r in text.similar_pairs(docs, F.col("w"), 0.7).collect()}
-    assert got == {(i, j) for i in range(5) for j in range(5) if i < j} | {(i, 9) for i in range(5)}
-    assert {(r.a, r.b) for r in text.similar_pairs(docs, F.col("w"), 0.7, classes=True).collect()} == {(0, i) for i in range(1, 5)} | {(0, 9)}
+    got = {r.doc: (r.n_links, r.class_id) for r in alike.similar_classes(docs, F.col("w"), 0.7).collect()}
+    assert got == {**{i: (5, 0) for i in (0, 1, 2, 3, 4, 9)}, 10: (0, 10)}
