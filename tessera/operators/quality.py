@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.model import round_half_up
+from tessera.operators.text import plain_borders
 
 # Fixed values: (severity, rule, pattern) of line rules for insecure code.
 SECURITY_RULES = (
@@ -43,7 +44,8 @@ def any_of(rules) -> str:
 
 def security_hits(lines: DataFrame, rules=SECURITY_RULES) -> DataFrame:
     """(doc, line_no, rule, severity): each rule at most once a line; lines that are comments don't count. Every line is
-    looked at once, by a test of all rules together first."""
+    looked at once, by a test of all rules together first. Words end where ASCII letters, digits and _ do."""
+    rules = [(s, r, plain_borders(p)) for s, r, p in rules]
     code = lines.where(F.col("line").rlike(any_of(rules)) & ~F.trim("line").rlike("^(//|#|[*])"))
     found = F.filter(F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for s, r, p in rules)), lambda x: x.isNotNull())
     return code.select("doc", "line_no", F.explode(found).alias("x")).select("doc", "line_no", "x.*")
