@@ -65,10 +65,10 @@ def c1_change_log_of_a_stream(spark, sf_dir):
 def s11_incremental_snapshot(spark, sf_dir):
     """Pages as files: all are written, then one in fifty is replaced and one in fifty deleted; only their buckets are written anew."""
     p = t.table(spark, sf_dir, "pages")
-    rows = p.select(F.col("url").alias("path"), F.md5(F.col("html").cast("binary")).alias("hash"))
+    rows = p.select("page_id", F.col("url").alias("path"), F.md5(F.col("html").cast("binary")).alias("hash"))
     root = _folder(spark, "files")
-    snapshots.replace(rows, rows, root)
-    changed = p.where("page_id % 50 IN (3, 4)").select(F.col("url").alias("path"))
-    new = p.where("page_id % 50 = 3").select(F.col("url").alias("path"), F.md5(F.col("url").cast("binary")).alias("hash"))
-    snapshots.replace(new, changed, root)
-    return snapshots.read(spark, root, rows.schema)
+    snapshots.replace(rows, rows, root, key="page_id")  # several pages may be of one url
+    changed = p.where("page_id % 50 IN (3, 4)").select("page_id")
+    new = p.where("page_id % 50 = 3").select("page_id", F.col("url").alias("path"), F.md5(F.col("url").cast("binary")).alias("hash"))
+    snapshots.replace(new, changed, root, key="page_id")
+    return snapshots.read(spark, root, rows.schema).select("path", "hash")

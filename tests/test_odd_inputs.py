@@ -1,6 +1,12 @@
 """Odd inputs and larger tables on which queries once differed from their SQL or grew out of bounds."""
 
-from tessera.operators import quality, text
+import hashlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import memory, quality, text
 
 
 def test_words_of_security_rules_end_at_other_letters(spark):
@@ -9,3 +15,19 @@ def test_words_of_security_rules_end_at_other_letters(spark):
     assert sorted(r.line_no for r in quality.security_hits(rows).where("rule = 'weak_crypto'").collect()) == [0, 1, 2, 5]
     docs = spark.createDataFrame([(1, "\n".join(lines))], "doc long, text string")
     assert sorted(r.line_no for r in text.grep(docs, "DES", whole_word=True).collect()) == [1, 2]
+
+
+def test_rounded_scores_of_notes_go_by_id(spark):
+    notes = spark.createDataFrame([(2, 0.5000000002), (1, 0.5), (3, 0.9)], "id long, importance double")
+    got = memory.recall(notes, F.lit(0.0), F.col("importance"), F.lit(0.0), 2, digits=6).collect()
+    assert [(r.id, r.score) for r in got] == [(3, pytest.approx(0.47)), (1, pytest.approx(0.35))]
+
+
+def test_pages_of_one_url_are_files_of_their_own(spark, tmp_path):
+    from tessera.plans import stream_queries
+
+    pages = [(3, "u3", "a"), (4, "twice", "b"), (5, "twice", "c"), (6, "again", "d"), (53, "again", "e")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = stream_queries.s11_incremental_snapshot(spark, str(tmp_path)).collect()
+    h = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert Counter(map(tuple, got)) == Counter([("u3", h("u3")), ("twice", h("c")), ("again", h("d")), ("again", h("again"))])
