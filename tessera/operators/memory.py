@@ -34,10 +34,12 @@ def accessed(importance: Column) -> Column:
     return F.least(F.lit(1.0), importance + BOOST)
 
 
-def recall(memories: DataFrame, text_score: Column, importance: Column, days: Column, limit: int, compat: bool = False) -> DataFrame:
-    """memories by weighted text match, importance and recency. compat: a better text match counts for less."""
+def recall(memories: DataFrame, text_score: Column, importance: Column, days: Column, limit: int, compat: bool = False, digits: int | None = None) -> DataFrame:
+    """memories by weighted text match, importance and recency. compat: a better text match counts for less. digits: scores
+    are rounded to so many before they are put in order, so that those that are equal then go by id."""
     text = 1 - text_score if compat else text_score
     score = WEIGHTS[0] * text + WEIGHTS[1] * importance + WEIGHTS[2] * F.exp(-days / RECENCY_DAYS)
+    score = score if digits is None else F.round(score, digits)
     return memories.withColumn("score", score).orderBy(F.desc("score"), "id").limit(limit)
 
 
