@@ -122,9 +122,10 @@ def abstractions(nodes: DataFrame, limit: int = 10) -> DataFrame:
     """(kind, name, filePath, methods): public classes by their methods (within their lines), then interfaces and functions."""
     open_ = nodes.where("isExported OR visibility = 'public'")
     classes = open_.where("type = 'class'").select("id", "name", "filePath", F.col("startLine").alias("_a"), F.col("endLine").alias("_b"))
-    methods = nodes.where("type = 'method'").select("filePath", F.col("startLine").alias("_s"), F.col("endLine").alias("_e"))
-    inside = classes.join(methods, "filePath").where("_s >= _a AND _e <= _b").groupBy("id").agg(F.count("*").alias("methods"))
-    top = classes.join(inside, "id", "left").na.fill(0, ["methods"]).orderBy(F.desc("methods"), "name", "id").limit(limit)
+    methods = nodes.where("type = 'method'").groupBy("filePath", F.col("startLine").alias("_s"), F.col("endLine").alias("_e")).agg(F.count("*").alias("_n"))
+    spans = classes.select("filePath", "_a", "_b").distinct()  # symbols of equal lines are counted together
+    inside = spans.join(methods, "filePath").where("_s >= _a AND _e <= _b").groupBy("filePath", "_a", "_b").agg(F.sum("_n").alias("methods"))
+    top = classes.join(inside, ["filePath", "_a", "_b"], "left").na.fill(0, ["methods"]).orderBy(F.desc("methods"), "name", "id").limit(limit)
     out = top.select(F.lit("class").alias("kind"), "name", "filePath", "methods")
     for kind in ("interface", "function"):
         out = out.unionAll(open_.where(F.col("type") == kind).orderBy("name", "id").limit(limit).select(F.lit(kind), "name", "filePath", F.lit(0).cast("long")))
@@ -196,9 +197,11 @@ def layer_line(nodes: DataFrame) -> DataFrame:
 def skeleton(nodes: DataFrame, path: str) -> DataFrame:
     """(startLine, line) of a file's symbols: signatures by line, indented below the symbol that holds them."""
     mine = nodes.where((F.col("filePath") == path) & (F.col("type") != "file")).select("id", "startLine", "endLine", "signature")
-    around = mine.select(F.col("id").alias("_o"), F.col("startLine").alias("_a"), F.col("endLine").alias("_b"))
-    depth = mine.join(around, (F.col("_a") <= F.col("startLine")) & (F.col("_b") >= F.col("endLine")) & (F.col("_b") - F.col("_a") > F.col("endLine") - F.col("startLine"))).groupBy("id").agg(F.count("*").cast("int").alias("d"))
-    rows = mine.join(depth, "id", "left").na.fill(0, ["d"])
+    spans = cut(mine.groupBy("startLine", "endLine").agg(F.count("*").alias("n")))  # symbols of equal lines are equally deep
+    around = spans.select(F.col("startLine").alias("_a"), F.col("endLine").alias("_b"), F.col("n").alias("_n"))
+    wider = (F.col("_a") <= F.col("startLine")) & (F.col("_b") >= F.col("endLine")) & (F.col("_b") - F.col("_a") > F.col("endLine") - F.col("startLine"))
+    depth = spans.join(around, wider).groupBy("startLine", "endLine").agg(F.sum("_n").cast("int").alias("d"))
+    rows = mine.join(depth, ["startLine", "endLine"], "left").na.fill(0, ["d"])
     return rows.select("startLine", "id", F.concat(F.repeat(F.lit("  "), F.col("d")), "signature").alias("line")).orderBy("startLine", "id").drop("id")
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import memory, quality, text
+from tessera.operators import memory, quality, report, text
 
 
 def test_words_of_security_rules_end_at_other_letters(spark):
@@ -31,3 +31,15 @@ def test_pages_of_one_url_are_files_of_their_own(spark, tmp_path):
     got = stream_queries.s11_incremental_snapshot(spark, str(tmp_path)).collect()
     h = lambda x: hashlib.md5(x.encode()).hexdigest()
     assert Counter(map(tuple, got)) == Counter([("u3", h("u3")), ("twice", h("c")), ("again", h("d")), ("again", h("again"))])
+
+
+def test_many_symbols_of_equal_lines(spark):
+    """80,000 classes and as many methods of one file: their pairs, 6.4 thousand million of them, are never made."""
+    n = spark.range(160_000).select(
+        F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id"), F.when(F.col("id") % 2 == 0, "class").otherwise("method").alias("type"), F.lit("/a.py").alias("filePath"), F.lit(True).alias("isExported"), F.lit("public").alias("visibility"),
+        (F.col("id") / 2 % 9).cast("int").alias("startLine"), (F.col("id") / 2 % 9 + 3).cast("int").alias("endLine"), F.lit("s").alias("signature"),
+    ).withColumn("name", F.col("id"))
+    rows = [r.asDict() for r in report.abstractions(n, 1).where("kind = 'class'").collect()]
+    assert rows == [{"kind": "class", "name": "n000000", "filePath": "/a.py", "methods": 8889}]
+    wide = n.withColumn("endLine", F.when(F.col("id") == "n000000", 99).otherwise(F.col("endLine")))
+    assert Counter(r.line for r in report.skeleton(wide, "/a.py").collect()) == {"s": 1, "  s": 159_999}
