@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import memory, quality, report, text
+from tessera.operators import alike, memory, quality, report, text
 
 
 def test_words_of_security_rules_end_at_other_letters(spark):
@@ -43,3 +43,11 @@ def test_many_symbols_of_equal_lines(spark):
     assert rows == [{"kind": "class", "name": "n000000", "filePath": "/a.py", "methods": 8889}]
     wide = n.withColumn("endLine", F.when(F.col("id") == "n000000", 99).otherwise(F.col("endLine")))
     assert Counter(r.line for r in report.skeleton(wide, "/a.py").collect()) == {"s": 1, "  s": 159_999}
+
+
+def test_conflicts_go_by_groups(spark):
+    """100 word sets with each of 100 tag sets, all alike enough together only: 50 million pairs, of which none is made."""
+    i = F.col("id")
+    d = spark.range(10_000).select("id", F.lit("active").alias("status"), F.concat(F.lit("common x"), (i % 100).cast("string")).alias("title"), F.lit("").alias("description"), F.array(F.lit("all"), F.concat(F.lit("t"), F.floor(i / 100).cast("string"))).alias("tags"))
+    got = alike.conflict_classes(d, 0.3).groupBy("n_links", "class_id").count().collect()
+    assert [tuple(r) for r in got] == [(9999, 0, 10_000)]
