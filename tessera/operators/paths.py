@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
+#: Keys of meeting paths that are broadcast at most.
+MOST_KEYS = 2_000_000
+
 
 def _start(pairs: DataFrame, end: str) -> DataFrame:
     return cut(pairs.select(F.col(end).alias("seed")).distinct().select("seed", F.col("seed").alias("id"), F.array("seed").alias("path")))
@@ -51,30 +54,55 @@ def shortest_paths(moves: DataFrame, pairs: DataFrame, max_depth: int = 10) -> D
     return found
 
 
+def _held(front: DataFrame, keys: DataFrame) -> DataFrame:
+    """The least path to each node of a frontier, of those whose keys are named."""
+    rows = front.withColumn("k", F.xxhash64("start", "id")).join(keys, "k", "left_semi")
+    return rows.groupBy("start", "id").agg(F.min("path").alias("path"))
+
+
+def _closed(front: DataFrame, back: DataFrame, length: int) -> DataFrame:
+    """(least, length, cycle) where a start's two frontiers meet. Paths stay where they are until a hash of start and node tells
+    which can meet: only that is shuffled for all of them."""
+    key = lambda side: side.select(F.xxhash64("start", "id").alias("k"))
+    keys = cut(key(front).join(key(back), "k", "left_semi").distinct())
+    keys = F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
+    tails = _held(back, keys).withColumnRenamed("path", "tail")
+    whole = F.concat("path", F.slice("tail", F.lit(2), F.size("tail")))
+    met = _held(front, keys).join(tails, ["start", "id"]).groupBy(F.col("start").alias("least")).agg(F.min(whole).alias("cycle"))
+    return cut(met.select("least", F.lit(length).alias("length"), "cycle"))
+
+
 def cycles(moves: DataFrame, max_length: int = 10, members: DataFrame | None = None) -> DataFrame:
     """(least, length, cycle): for each node that is the least of a cycle of moves (src, dst), a shortest cycle of at most
     max_length moves whose other nodes are all greater, and of these the least one; each set of members once.
 
-    A frontier (start, node) keeps the least path through greater nodes only; a move back to the start closes a cycle, and
-    that start is done. members (id, component), if given, are strongly connected components: moves between them are on no cycle.
+    Frontiers (start, node) go out through greater nodes along the moves and against them in turn, and meet, so each goes half the
+    length. The last step of either isn't stored but made again where it is read. members (id, component), if given, are
+    strongly connected components: moves between them are on no cycle.
     """
     m = moves.where("src <> dst").select("src", "dst").distinct()
     if members is not None:
         a, b = (members.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}")) for x in ("src", "dst"))
         m = m.join(a, "src").join(b, "dst").where("c_src = c_dst").select("src", "dst")
     m = cut(m.repartition("src"))
-    front = cut(m.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("id"), F.array("src", "dst").alias("path")))
-    found = front.limit(0).select(F.col("start").alias("least"), F.lit(0).alias("length"), F.col("path").alias("cycle"))
-    for length in range(2, max_length + 1):
-        step = front.join(m, F.col("id") == F.col("src"))
-        closed = cut(step.where("dst = start").groupBy(F.col("start").alias("least")).agg(F.min("path").alias("cycle")).select("least", F.lit(length).alias("length"), "cycle"))
-        found = found.unionByName(closed)
-        if length == max_length:
-            break
-        on = step.where("dst > start").select("start", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        on = on.join(closed.select(F.col("least").alias("start")), "start", "left_anti")
-        front = cut(on.groupBy("start", "id").agg(F.min("path").alias("path")))
-        if front.isEmpty():
-            break
+    ends = {False: m, True: cut(m.repartition("dst"))}
+    sides = {
+        False: m.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("id"), F.array("src", "dst").alias("path")),
+        True: ends[True].where("src > dst").select(F.col("dst").alias("start"), F.col("src").alias("id"), F.array("src").alias("path")),
+    }
+    found = _closed(sides[False], sides[True], 2) if max_length >= 2 else sides[False].limit(0).select(F.col("start").alias("least"), F.lit(0).alias("length"), F.col("path").alias("cycle"))
+    for length in range(3, max_length + 1):
+        back = length % 2 == 0
+        side = sides[back]
+        if length > 4:  # what goes further is stored, without starts that are done
+            side = side.join(found.select(F.col("least").alias("start")), "start", "left_anti")
+            side = cut(side.groupBy("start", "id").agg(F.min("path").alias("path")))
+            if side.isEmpty():
+                break
+        here, there = ("dst", "src") if back else ("src", "dst")
+        path = F.concat(F.array(there), "path") if back else F.concat("path", F.array(there))
+        sides[back] = side.join(ends[back], side["id"] == ends[back][here]).where(F.col(there) > F.col("start")).select("start", F.col(there).alias("id"), path.alias("path"))
+        found = found.unionByName(_closed(sides[False], sides[True], length))
+    first = found.groupBy("least").agg(F.min("length").alias("length"), F.min_by("cycle", "length").alias("cycle"))
     once = Window.partitionBy(F.array_sort("cycle")).orderBy("cycle")
-    return found.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+    return first.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")

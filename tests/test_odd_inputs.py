@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import alike, memory, quality, report, text
+from tessera.operators import alike, memory, paths, quality, report, text
 
 
 def test_words_of_security_rules_end_at_other_letters(spark):
@@ -51,3 +51,14 @@ def test_conflicts_go_by_groups(spark):
     d = spark.range(10_000).select("id", F.lit("active").alias("status"), F.concat(F.lit("common x"), (i % 100).cast("string")).alias("title"), F.lit("").alias("description"), F.array(F.lit("all"), F.concat(F.lit("t"), F.floor(i / 100).cast("string"))).alias("tags"))
     got = alike.conflict_classes(d, 0.3).groupBy("n_links", "class_id").count().collect()
     assert [tuple(r) for r in got] == [(9999, 0, 10_000)]
+
+
+def test_cycles_shuffle_no_paths_that_do_not_meet(spark):
+    """4,000 symbols with 20 moves each: half a million paths of two moves, some millions of three."""
+    name = lambda c: F.concat(F.lit("n"), F.lpad(c.cast("string"), 5, "0"))
+    m = spark.range(80_000).select(name(F.col("id") % 4000).alias("src"), name(F.pmod(F.xxhash64("id"), F.lit(4000))).alias("dst"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+    before = written()
+    assert paths.cycles(m, 4).count() > 1000
+    assert written() - before < 30_000_000
