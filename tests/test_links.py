@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import alike, graph, intervals, memory, paths
+from tessera.operators import alike, graph, intervals, memory, paths, text
 from tessera.operators.text import words
 
 
@@ -141,3 +141,16 @@ def test_cycles_equal_all_simple_ones(spark):
             want[key] = min(want.get(key, c), c)
         for members in (None, graph.strongly_connected(m)):
             assert sorted(tuple(r.cycle) for r in paths.cycles(m, most, members).collect()) == sorted(want.values())
+
+
+def test_pairs_that_cannot_be_similar_are_not_sent_on(spark, monkeypatch):
+    """Sets that share their rarest words and nothing else are dropped where they meet; similar ones all stay."""
+    rng = random.Random(5)
+    sets = [(i, [f"g{i // 20}_{k}" for k in range(5)] + rng.sample([f"w{k}" for k in range(400)], 95)) for i in range(200)]
+    sets += [(1000 + i, w[: 100 - i % 15] + [f"x{i}_{k}" for k in range(i % 5)]) for i, (_, w) in enumerate(sets[:60])]
+    want = {(a, b): len(set(v) & set(w)) / len(set(v) | set(w)) for a, v in sets for b, w in sets if a < b}
+    want = {k: x for k, x in want.items() if x >= 0.8}
+    sent, confirmed = [], text._confirmed
+    monkeypatch.setattr(text, "_confirmed", lambda pairs, *rest: (sent.append(pairs.count()), confirmed(pairs, *rest))[1])
+    got = {(r.a, r.b): r.similarity for r in text.prefix_pairs(spark.createDataFrame(sets, "doc long, w array<string>"), 0.8).collect()}
+    assert got == want and len(want) >= 50 and sent[0] <= 2 * len(want)
