@@ -132,12 +132,15 @@ def _stems(terms: pd.Series) -> pd.Series:
 
 @dataclass
 class Index:
-    """postings (doc, term, <field>..) and lengths (doc, n): tokens of a document over all fields."""
+    """postings (doc, term, <field>..) and lengths (doc, n): tokens of a document over all fields. docs and tokens (an array
+    for each field) are what it was made of."""
 
     postings: DataFrame
     lengths: DataFrame
     fields: list[str]
     stemmed: bool = False
+    docs: DataFrame | None = None
+    tokens: dict[str, Column] | None = None
 
     def save(self, path: str) -> None:
         self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
@@ -172,7 +175,7 @@ def index(docs: DataFrame, fields: dict[str, Column], stemmed: bool = False) ->
     if stemmed:
         known = postings.select("term").distinct().select("term", _stems("term").alias("_stem"))
         postings = postings.join(known, "term").groupBy("doc", F.col("_stem").alias("term")).agg(*(F.sum(f).alias(f) for f in fields))
-    return Index(postings, lengths, list(fields), stemmed)
+    return Index(postings, lengths, list(fields), stemmed, docs, fields)
 
 
 def content_index(files: DataFrame, chars: int = CONTENT_CHARS) -> Index:
@@ -231,7 +234,7 @@ def snippet(text: Column, terms: list[str], size: int = 40, marks: tuple[str, st
 
 def symbol_index(nodes: DataFrame, stemmed: bool = True) -> Index:
     fields = {f: unicode_words(F.col(f)) for f in SYMBOL_WEIGHTS if f in nodes.columns}
-    return index(nodes.withColumnRenamed("id", "doc"), fields, stemmed)
+    return index(nodes.select(F.col("id").alias("doc"), *fields), fields, stemmed)
 
 
 def _holds(column: str, q: str) -> Column:

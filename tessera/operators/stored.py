@@ -7,8 +7,8 @@ others, and its first look reads the bounds only, not the arrays. A search for t
 of what their bounds allow, scores them exactly, and ends when the k-th best score so far is more than any shard left
 could give.
 
-Trigrams are pairs (gram, doc) in order of the gram. A document that holds a text holds all of its trigrams; those that
-hold its rarest ones are candidates, and are looked at. A regular expression goes by the literals that it requires.
+Trigrams are lists of the documents of a batch that hold them, in order of the gram. A document that holds a text holds all
+of its trigrams; those that hold its rarest ones are candidates, and are looked at. A regular expression goes by the literals that it requires.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from tessera.session import cut
 
 #: Documents of one shard, about, and the shards that the first round of a search scores.
 SHARD, FIRST = 4096, 4
+#: Tokens of one shard, about, and places that documents are dealt to by length.
+TOKENS, PLACES = 2_000_000, 200
 
 
 def _sum(columns) -> Column:
@@ -55,19 +60,71 @@ class Blocks:
         return cls(blocks, spark.read.parquet(f"{path}/stats"), fields, stemmed)
 
 
+def _blocks_of_tokens(docs: pa.Array, ns: np.ndarray, tokens: list[pa.ListArray], shard: int, stemmed: bool) -> list[pa.Array]:
+    """term, shard, n, n_min, each field's greatest count, docs, ns, each field's counts: what each word has in one shard."""
+    m, k = len(docs), len(tokens)
+    words = pa.concat_arrays([t.flatten() for t in tokens]).dictionary_encode()
+    names, codes = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    if stemmed:
+        names, codes_of = np.unique(np.array([stem(w) for w in names.to_pylist()], object).astype(str), return_inverse=True)
+        names, codes = pa.array(names.tolist(), pa.string()), codes_of[codes]
+    owner = np.concatenate([np.repeat(np.arange(m), t.value_lengths().fill_null(0).to_numpy()) for t in tokens])
+    field = np.repeat(np.arange(k), [len(t.flatten()) for t in tokens])
+    every = np.sort((codes * m + owner) * k + field)
+    new = np.flatnonzero(np.diff(every, prepend=-1))
+    held, times = every[new], np.diff(np.append(new, len(every)))
+    pair = held // k
+    first = np.diff(pair, prepend=-1) != 0
+    place = np.cumsum(first) - 1
+    counts = np.zeros((k, int(first.sum())), np.int64)
+    counts[held % k, place] = times
+    code, doc = pair[first] // m, pair[first] % m
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    ends = pa.array(np.append(starts, len(code)), pa.int32())
+    listed = lambda x: pa.ListArray.from_arrays(ends, x)
+    return [
+        names.take(pa.array(code[starts])), pa.array(np.full(len(starts), shard)), pa.array(np.diff(np.append(starts, len(code)))), pa.array(np.minimum.reduceat(ns[doc], starts)),
+        *(pa.array(np.maximum.reduceat(c, starts)) for c in counts), listed(docs.take(pa.array(doc))), listed(pa.array(ns[doc])), *(listed(pa.array(c)) for c in counts),
+    ]
+
+
+def _in_blocks(size: int, stemmed: bool, names: list[str]):
+    """Blocks of rows (doc, n, tokens of each field) in order of n: shards are runs of `size` rows, or fewer of long ones."""
+
+    def run(batches):
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ns, lo = batch.column(1).to_numpy().astype(np.int64), 0
+            sums = np.cumsum(ns)
+            while lo < len(ns):
+                hi = min(lo + size, max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + TOKENS, "right"))))
+                some = batch.slice(lo, hi - lo)
+                if ns[lo:hi].any():
+                    yield pa.RecordBatch.from_arrays(_blocks_of_tokens(some.column(0), ns[lo:hi], some.columns[2:], at, stemmed), names)
+                lo, at = hi, at + 1
+
+    return run
+
+
 def save_blocks(ix: Index, path: str, shard: int = SHARD) -> None:
-    """Writes an index in blocks."""
-    lengths = cut(ix.lengths)
-    shards = max(1, -(-lengths.count() // shard))
-    dealt = cut(lengths.repartitionByRange(shards, "n", "doc").withColumn("shard", F.spark_partition_id()))
-    rows = ix.postings.join(dealt, "doc").groupBy("term", "shard")
-    each = F.array_sort(F.collect_list(F.struct("doc", F.col("n").alias("dl"), *ix.fields))).alias("x")  # a shard's documents at most
-    blocks = rows.agg(F.count("*").alias("n"), F.min("n").alias("n_min"), *(F.max(f).alias(f"{f}_max") for f in ix.fields), each)
-    arrays = [F.col("x.doc").alias("docs"), F.col("x.dl").alias("ns"), *(F.col(f"x.{f}").alias(f) for f in ix.fields)]
-    blocks.select("term", "shard", "n", "n_min", *(f"{f}_max" for f in ix.fields), *arrays).repartitionByRange("term", "shard").sortWithinPartitions("term", "shard").write.parquet(f"{path}/blocks")
-    filled = F.col("n") > 0
-    stats = lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("avg"), F.count_if(filled).alias("filled"), F.avg(F.when(filled, F.col("n"))).alias("avg_filled"))
-    stats.coalesce(1).write.parquet(f"{path}/stats")
+    """Writes an index in blocks. Texts are spread, as one row group may have all of them, and then dealt by length, as
+    quantiles of it part them; what each word has in a shard is counted where the shard lies, so no token leaves its task."""
+    docs = cut(ix.docs.repartition("doc"))
+    n = _sum(F.size(F.coalesce(c, F.array().cast("array<string>"))) for c in ix.tokens.values()).cast("long")
+    sized = docs.withColumn("_n", n)
+    filled, n = F.col("_n") > 0, F.col("_n")
+    quantiles = F.percentile_approx("_n", [i / PLACES for i in range(1, PLACES)], 10 * PLACES).alias("bounds")
+    stats = cut(sized.agg(F.count("*").alias("docs"), F.avg(n).alias("avg"), F.count_if(filled).alias("filled"), F.avg(F.when(filled, n)).alias("avg_filled"), quantiles))
+    stats.drop("bounds").coalesce(1).write.parquet(f"{path}/stats")
+    found = stats.first()
+    places = min(PLACES, max(ix.docs.sparkSession.sparkContext.defaultParallelism, found.docs // shard))
+    bounds = F.array(*(F.lit(found.bounds[i * PLACES // places - 1]) for i in range(1, places) if found.bounds)).cast("array<long>")
+    under, upto = F.size(F.filter(bounds, lambda b: b < n)), F.size(F.filter(bounds, lambda b: b <= n))  # those of one length are dealt to all places that it fills
+    dealt = sized.where(filled).repartitionById(places, (under + F.pmod(F.xxhash64("doc"), upto - under + 1)).cast("int")).sortWithinPartitions("_n", "doc")
+    fields, kind = list(ix.tokens), dict(ix.docs.dtypes)["doc"]
+    kinds = [("term", "string"), ("shard", "long"), ("n", "long"), ("n_min", "long"), *((f"{f}_max", "long") for f in fields), ("docs", f"array<{kind}>"), ("ns", "array<long>"), *((f, "array<long>") for f in fields)]
+    blocks = dealt.select("doc", "_n", *(c.alias(f) for f, c in ix.tokens.items())).mapInArrow(_in_blocks(shard, ix.stemmed, [x for x, _ in kinds]), ", ".join(f"{x} {t}" for x, t in kinds))
+    blocks.sortWithinPartitions("term", "shard").write.parquet(f"{path}/blocks")
 
 
 def _idf(kind: str, n: Column, df: Column) -> Column:
@@ -192,26 +249,56 @@ def grams_of(literal: str) -> list[str]:
     return [g for g in dict.fromkeys(x[i : i + GRAM] for i in range(len(x) - GRAM + 1)) if not set(g) & set("σς")]
 
 
-def _three(chars: Column):
-    return lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2))
+#: Characters of texts whose trigrams are listed together, and parts that a frequent trigram's lists are dealt to.
+TOGETHER, PARTS = 2_000_000, 16
+
+
+def _grams_of_texts(texts: list[str], owner: np.ndarray, docs: pa.Array) -> pa.RecordBatch:
+    """The distinct trigrams of some texts, each with the docs (`owner` of each text) that hold it."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    used = np.zeros(0x110000, bool)
+    used[codes] = True
+    letters = np.flatnonzero(used)
+    rank = np.zeros(0x110000, np.int64)
+    rank[letters] = np.arange(len(letters))
+    x, n, row = rank[codes], len(letters), np.repeat(np.arange(len(texts)), sizes)
+    whole = row[: -GRAM + 1] == row[GRAM - 1 :]  # within one text
+    grams = ((x[:-2] * n + x[1:-1]) * n + x[2:])[whole]
+    held = np.sort(grams * len(docs) + owner[row[: -GRAM + 1][whole]])
+    held = held[np.diff(held, prepend=-1) != 0]
+    gram, doc = held // len(docs), held % len(docs)
+    starts = np.flatnonzero(np.diff(gram, prepend=-1))
+    first = gram[starts]
+    names = [chr(a) + chr(b) + chr(c) for a, b, c in zip(letters[first // (n * n)].tolist(), letters[first // n % n].tolist(), letters[first % n].tolist(), strict=True)]
+    ends = np.append(starts, len(gram))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), docs.take(pa.array(doc)))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.diff(ends)), lists], ["gram", "n", "docs"])
+
+
+def _listed(batches):
+    for batch in batches:
+        docs, columns = batch.column(0), [c.to_pylist() for c in batch.columns[1:]]
+        size, at = np.cumsum([sum(len(x) for x in row if x) for row in zip(*columns, strict=True)]), 0
+        while at < len(docs):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + TOGETHER, "right")))
+            some = [(x, k - at) for c in columns for k, x in enumerate(c[at:end], at) if x and len(x) >= GRAM]
+            if some:
+                yield _grams_of_texts([x for x, _ in some], np.array([k for _, k in some]), docs.slice(at, end - at))
+            at = end
 
 
 def save_trigrams(docs: DataFrame, columns: list[str], path: str) -> None:
-    """Writes the distinct trigrams of docs (doc, columns), over all columns together."""
-    found = None
-    for c in columns:
-        rows = docs.select("doc", F.split(F.lower(F.col(c).cast("string")), "").alias("c")).where(F.size("c") >= GRAM)
-        grams = F.transform(F.sequence(F.lit(0), F.size("c") - GRAM), _three(F.col("c")))
-        one = rows.select("doc", F.explode(F.array_distinct(grams)).alias("gram"))
-        found = one if found is None else found.unionAll(one)
-    if len(columns) > 1:
-        found = found.distinct()
-    found.repartitionByRange("gram", "doc").sortWithinPartitions("gram", "doc").write.parquet(path)
+    """Writes the distinct trigrams of docs (doc, columns), over all columns together: rows (gram, n, docs), each with the
+    docs of one batch that hold the gram. Only these lists are shuffled, once, and lie in order of the gram in each file."""
+    texts = docs.select("doc", *(F.make_valid_utf8(F.lower(F.col(c).cast("string"))) for c in columns))
+    found = texts.mapInArrow(_listed, f"gram string, n long, docs array<{dict(docs.dtypes)['doc']}>").withColumn("part", F.spark_partition_id() % PARTS)
+    found.repartition("gram", "part").drop("part").sortWithinPartitions("gram").write.parquet(path)
 
 
 @dataclass
 class Trigrams:
-    """rows (gram, doc), read from where they were written."""
+    """rows (gram, n, docs), read from where they were written."""
 
     rows: DataFrame
 
@@ -225,12 +312,13 @@ class Trigrams:
         if not grams:
             return None
         some = self.rows.where(F.col("gram").isin(grams))
-        counts = {r.gram: r.n for r in some.groupBy("gram").agg(F.count("*").alias("n")).collect()}  # a row a trigram of the literal
+        counts = {r.gram: r.n for r in some.groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a row a trigram of the literal
         if len(counts) < len(grams):
-            return self.rows.select("doc").limit(0)
+            return self.rows.select(F.explode("docs").alias("doc")).limit(0)
         rarest = sorted(grams, key=lambda g: (counts[g], g))[:RAREST]
-        held = self.rows.where(F.col("gram").isin(rarest)).groupBy("doc").agg(F.count("*").alias("n"))
-        return held.where(F.col("n") == len(rarest)).select("doc")
+        mark = F.element_at(F.create_map(*(F.lit(x) for i, g in enumerate(rarest) for x in (g, 1 << i))), F.col("gram"))
+        held = self.rows.where(F.col("gram").isin(rarest)).select(F.explode("docs").alias("doc"), mark.alias("mark"))
+        return held.groupBy("doc").agg(F.bit_or("mark").alias("marks")).where(F.col("marks") == (1 << len(rarest)) - 1).select("doc")
 
     def candidates_of(self, pattern: str) -> DataFrame | None:
         """(doc) of documents that may match a regular expression; None if it requires no literal that is long enough."""

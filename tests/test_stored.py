@@ -98,3 +98,24 @@ def test_stemmed_blocks_equal_stems_by_hand(spark, tmp_path):
     idf = max(1e-6, math.log((4 - 2 + 0.5) / (2 + 0.5)))
     part = lambda f, dl: idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avg))
     assert got == pytest.approx({1: part(10, n[1]), 2: part(20, n[2])})
+
+
+def test_trigrams_lie_in_lists(docs, spark, tmp_path):
+    """A gram has a row a batch, not a row a document, and the lists hold each document once for all columns."""
+    stored.save_trigrams(docs, ["text", "title"], f"{tmp_path}/g")
+    held = spark.read.parquet(f"{tmp_path}/g")
+    want = {(r.doc, x.lower()[i : i + 3]) for r in docs.collect() for x in (r.text, r.title) if x and "Σ" not in x for i in range(len(x) - 2)}
+    got = [(r.doc, r.gram) for r in held.select(F.explode("docs").alias("doc"), "gram").collect()]
+    assert len(got) == len(set(got)) and {g for g in got if not set(g[1]) & set("σς")} >= want
+    assert held.count() <= len({g for _, g in got}) * 4 < len(got)
+
+
+def test_blocks_are_made_without_a_shuffle_of_tokens(docs, spark, tmp_path):
+    """Postings of the plain index, a row for each document and word, are not read."""
+    ix = search.index(docs, {"text": text.words(F.col("text"))})
+    want = {(r.doc, r.term, r.text) for r in ix.postings.collect()}
+    ix.postings = ix.lengths = None
+    stored.save_blocks(ix, str(tmp_path), 20)
+    blocks = stored.Blocks.load(spark, str(tmp_path)).blocks
+    got = [(r.d, r.term, r.c) for r in blocks.select("term", F.explode(F.arrays_zip("docs", "text")).alias("x")).select("term", F.col("x.docs").alias("d"), F.col("x.text").alias("c")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
