@@ -37,9 +37,12 @@ def c6_bursts_of_a_stream(spark, sf_dir):
     e = t.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), kind.alias("kind"))
     end = e.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts")).select(F.lit("the end").alias("path"), "ts", F.lit(-1).cast("long").alias("id"), F.lit("created").alias("kind"))
     root = _folder(spark, "bursts")
-    stream = bursts.replayed([*_thirds(e), end], f"{root}/in")
-    out = bursts.bursts(stream, _QUIET_HOURS * 3_600_000)
-    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    def run(stream):
+        out = bursts.bursts(stream, _QUIET_HOURS * 3_600_000).writeStream.format("parquet").option("path", f"{root}/out")
+        return out.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+
+    bursts.replay([*_thirds(e), end], f"{root}/in", run)
     rows = spark.read.schema(bursts.BURST).parquet(f"{root}/out").where("path <> 'the end'")
     return rows.select("path", "state", "n", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
 

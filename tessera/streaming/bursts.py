@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,7 +21,8 @@ BURST = "path string, state string, n long, first timestamp, last timestamp"
 
 
 class Bursts(StatefulProcessor):
-    """Folds a path's events (ts, id, kind) until none has come for `quiet` milliseconds of event time."""
+    """Folds a path's events (us, id, kind) until none has come for `quiet` milliseconds of event time. What comes out is
+    plain rows, as most bursts are of an event or two. A burst's timer is known from its last event, so timers aren't listed."""
 
     def __init__(self, quiet: int):
         self.quiet = quiet
@@ -31,35 +31,28 @@ class Bursts(StatefulProcessor):
         self.handle = handle
         self.burst = handle.getValueState("burst", "state string, n long, first long, last long")
 
-    def _out(self, path: str, burst) -> pd.DataFrame:
-        state, n, first, last = burst
-        stamps = [pd.to_datetime([x], unit="us") for x in (first, last)]
-        return pd.DataFrame({"path": [path], "state": [state], "n": [n], "first": stamps[0], "last": stamps[1]})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        burst = self.burst.get() if self.burst.exists() else None
-        events = pd.concat(list(rows)).sort_values(["ts", "id"])
-        micros = (events["ts"].astype("datetime64[us]").astype("int64")).tolist()
-        past = timerValues.getCurrentWatermarkInMs() * 1000
-        for at, kind in zip(micros, events["kind"], strict=True):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        burst = before = self.burst.get()
+        past, quiet = timerValues.getCurrentWatermarkInMs() * 1000, self.quiet * 1000
+        for at, _, kind in sorted((r["us"], r["id"], r["kind"]) for r in rows):
             if at < past:
                 continue
-            if burst is not None and at - burst[3] >= self.quiet * 1000:  # the timer would have come between them
-                yield self._out(key[0], burst)
+            if burst is not None and at - burst[3] >= quiet:  # the timer would have come between them
+                yield Row(path=key[0], state=burst[0], n=burst[1], first=burst[2], last=burst[3])
                 burst = None
             burst = (kind, 1, at, at) if burst is None else (followed(burst[0], kind), burst[1] + 1, min(burst[2], at), max(burst[3], at))
-        if burst is None:
+        if burst is None or burst is before:
             return
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if before is not None:
+            self.handle.deleteTimer(before[3] // 1000 + self.quiet)
         self.burst.update(burst)
         self.handle.registerTimer(burst[3] // 1000 + self.quiet)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.burst.exists():
-            burst = self.burst.get()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        burst = self.burst.get()
+        if burst is not None:
             self.burst.clear()
-            yield self._out(key[0], burst)
+            yield Row(path=key[0], state=burst[0], n=burst[1], first=burst[2], last=burst[3])
 
     def close(self) -> None:
         pass
@@ -70,8 +63,9 @@ def bursts(events: DataFrame, quiet_ms: int, late: str = "1 hour") -> DataFrame:
     State '' means that nothing came of it. Events older than the watermark are dropped (a policy of ours); others that come
     late join the burst that lasts."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    timed = events.withWatermark("ts", late).groupBy("path")
-    return timed.transformWithStateInPandas(Bursts(quiet_ms), BURST, "Append", "EventTime")
+    timed = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts")).groupBy("path")
+    out = timed.transformWithState(Bursts(quiet_ms), BURST.replace("timestamp", "long"), "Append", "EventTime")
+    return out.select("path", "state", "n", F.timestamp_micros("first").alias("first"), F.timestamp_micros("last").alias("last"))
 
 
 # --- change log
@@ -122,3 +116,12 @@ def replayed(parts: list[DataFrame], root: str) -> DataFrame:
         part.coalesce(1).write.parquet(f"{root}/part={k}")
     spark = parts[0].sparkSession
     return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/part=*")
+
+
+def replay(parts: list[DataFrame], root: str, run) -> None:
+    """Tables of one schema as a stream that brings one of them a batch, however many files it has: each is written, then
+    `run(stream)` starts the stream, which goes on from its checkpoint to the end of what is there."""
+    spark = parts[0].sparkSession
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{root}/part={k}")
+        run(spark.readStream.schema(parts[0].schema).parquet(f"{root}/part=*")).awaitTermination()

@@ -38,6 +38,21 @@ def test_bursts_end_when_they_are_quiet(spark, tmp_path):
     assert progress[-1].stateOperators[0].numRowsTotal <= 4  # of all paths only the last one's burst and timer are left
 
 
+def test_parts_of_many_files_are_batches(spark, tmp_path):
+    """A part is written and read by many tasks; each is a batch, and a path's bursts within one come out as rows."""
+    rows = [[(f"p{i}", at(1000 * k + 20 * j + i % 3), 100 * k + j, "modified") for i in range(40) for j in range(5)] for k in range(2)]
+    parts = [spark.createDataFrame(r, EVENT).repartition(6) for r in [*rows, [("end", at(9000), 0, "created")]]]
+
+    def run(stream):
+        out = bursts.bursts(stream, 10 * 60_000, "5 minutes").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+        return out.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+
+    bursts.replay(parts, f"{tmp_path}/in", run)
+    assert len([n for n in os.listdir(f"{tmp_path}/in/part=0") if n.endswith(".parquet")]) > 1
+    got = spark.read.schema(bursts.BURST).parquet(f"{tmp_path}/out").where("path <> 'end'").collect()
+    assert sorted((r.path, r["first"], r["last"], r.n) for r in got) == sorted((r[0], r[1], r[1], 1) for part in rows for r in part)
+
+
 def test_activity_and_sessions_in_windows(spark, tmp_path):
     parts = [[("a", at(0), 1, "x"), ("a", at(30), 2, "x"), ("b", at(70), 3, "y")], [("a", at(900), 4, "x")], [("z", at(9000), 5, "x")]]
     stream = bursts.replayed([spark.createDataFrame(p, EVENT) for p in parts], f"{tmp_path}/in")
