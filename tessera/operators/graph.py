@@ -29,29 +29,34 @@ def callees(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
     return nodes.join(hit, "id")
 
 
+def _ways(edges: DataFrame, types, reverse: bool = False) -> DataFrame:
+    """arcs, with repeats where edges of several types or rows are alike."""
+    a, b = ("targetId", "sourceId") if reverse else ("sourceId", "targetId")
+    return of_types(edges, types).select(F.col(a).alias("src"), F.col(b).alias("dst"))
+
+
 def arcs(edges: DataFrame, types, reverse: bool = False) -> DataFrame:
     """(src, dst) along the edges of some types, or against them."""
-    a, b = ("targetId", "sourceId") if reverse else ("sourceId", "targetId")
-    return of_types(edges, types).select(F.col(a).alias("src"), F.col(b).alias("dst")).distinct()
+    return _ways(edges, types, reverse).distinct()
 
 
 def down(edges: DataFrame) -> DataFrame:
-    """contains along, inherits and implements against."""
-    return arcs(edges, ["contains"]).union(arcs(edges, ["inherits", "implements"], reverse=True))
+    """contains along, inherits and implements against; what walks them drops repeats."""
+    return _ways(edges, ["contains"]).union(_ways(edges, ["inherits", "implements"], reverse=True))
 
 
 def up(edges: DataFrame) -> DataFrame:
-    return arcs(edges, ["contains"], reverse=True).union(arcs(edges, ["inherits", "implements"]))
+    return _ways(edges, ["contains"], reverse=True).union(_ways(edges, ["inherits", "implements"]))
 
 
 def reach(moves: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(seed, id, depth) of all nodes within max_depth moves (src, dst) of each seed (id), at their least depth.
 
     A frontier goes out one move at a time; nodes seen before are dropped by an anti-join, so cycles end. The moves are made
-    once, dealt by their source, so that a step shuffles its frontier only.
+    once, dealt by their source, where repeats are dropped, so that a step shuffles its frontier only.
     """
     if max_depth > 1:
-        moves = cut(moves.repartition("src"))
+        moves = cut(moves.repartition("src").distinct())
     seen = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct())
     frontier = seen
     for depth in range(1, max_depth + 1):
@@ -75,7 +80,7 @@ def ancestors(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFr
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = 5, types=DEPENDENCY_TYPES) -> DataFrame:
     """What depends on the seeds, against the dependency edges; a seed isn't in its own radius."""
-    return reach(arcs(edges, types, reverse=True), seeds, max_depth).where("depth > 0")
+    return reach(_ways(edges, types, reverse=True), seeds, max_depth).where("depth > 0")
 
 
 def first_reached(reached: DataFrame, limit: int = 500) -> DataFrame:
@@ -94,7 +99,7 @@ def rank_key(nodes: DataFrame, edges: DataFrame, compat: bool = False) -> DataFr
 
 
 def trace(edges: DataFrame, seeds: DataFrame, forward: bool = True, max_depth: int = 10, types=DEPENDENCY_TYPES) -> DataFrame:
-    return reach(arcs(edges, types, reverse=not forward), seeds, max_depth).where("depth > 0")
+    return reach(_ways(edges, types, reverse=not forward), seeds, max_depth).where("depth > 0")
 
 
 def layered_impact(edges: DataFrame, seeds: DataFrame, max_depth: int = 6) -> DataFrame:
@@ -270,11 +275,11 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def orphan_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with an end that is no node."""
-    ids = nodes.select("id")
-    no_source = edges.join(ids.withColumnRenamed("id", "sourceId"), "sourceId", "left_anti").select("sourceId", "targetId", "type")
-    no_target = edges.join(ids.withColumnRenamed("id", "targetId"), "targetId", "left_anti").select("sourceId", "targetId", "type")
-    return no_source.union(no_target).distinct()
+    """Edges with an end that is no node. Both ends are looked up for the same rows, so edges are made once."""
+    ids = nodes.select("id").distinct()
+    source, target = (ids.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")) for end in ("sourceId", "targetId"))
+    both = edges.select("sourceId", "targetId", "type").join(source, "sourceId", "left").join(target, "targetId", "left")
+    return both.where("_sourceId IS NULL OR _targetId IS NULL").select("sourceId", "targetId", "type").distinct()
 
 
 def god_functions(nodes: DataFrame, edges: DataFrame, fan_out: int = 8, total: int = 12) -> DataFrame:
