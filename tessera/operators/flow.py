@@ -27,6 +27,8 @@ PRODUCTS = {"database": "DB result", "api_call": "API response", "state_update":
 EFFECTS = {"database": "DB", "state_update": "State", "api_call": "API"}
 HANDLER = "^(handle|on)[A-Z]|_(Click|Loaded|Closing|Closed|Changed|SelectionChanged|KeyDown|KeyUp|MouseDown|MouseUp|DragEnter|Drop|Checked|Unchecked|GotFocus|LostFocus|TextChanged)$"
 HTTP_NAME = r"(?i)\b(get|post|put|delete|patch)\b"
+#: Steps that are broadcast at most.
+MOST_BROADCAST = 200_000
 MOST_STEPS, MOST_DEPTH, MOST_FLOWS, MOST_COMPONENTS = 50, 10, 30, 20
 
 
@@ -48,21 +50,29 @@ def with_layers(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return nodes.join(known, "filePath", "left").withColumn("layer", symbol_layer(nodes, F.col("_file"))).drop("_file")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows, which are cut, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+
 def trace(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = MOST_DEPTH, most: int = MOST_STEPS) -> DataFrame:
     """(seed, step, depth, id, name, filePath, layer, action, produces): what happens from each seed (id) on, breadth first.
 
     From a node the flow goes to its callees, then along its other edges to nodes that aren't files. Steps of a depth are in
     order of the step that they come from, callees first, then by id; `most` steps a seed are taken (a feature). All seeds go
-    at once, a depth a round; nodes have `layer`.
+    at once, a depth a round; nodes have `layer`. Moves are made once; what is a node is asked of reached ids only.
     """
-    out = edges.select(F.col("sourceId").alias("src"), F.col("targetId").alias("dst"), (F.col("type") != "calls").cast("int").alias("kind"))
-    ends = nodes.select(F.col("id").alias("dst"), (F.col("type") == "file").alias("_file"))
-    moves = out.join(ends, "dst").where("kind = 0 OR NOT _file").groupBy("src", "dst").agg(F.min("kind").alias("kind"))
+    moves = edges.select(F.col("sourceId").alias("src"), F.col("targetId").alias("dst"), (F.col("type") != "calls").cast("int").alias("kind"))
+    moves = cut(moves.repartition("src").groupBy("src", "dst").agg(F.min("kind").alias("kind")))
+    ends = nodes.select("id", (F.col("type") == "file").alias("_file"))
     seen = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"), F.lit(0).alias("step")).distinct())
-    front = seen
+    front, at = seen, F.struct("step", "kind")
     for depth in range(1, max_depth + 1):
-        step = front.join(moves, F.col("id") == F.col("src")).groupBy("seed", F.col("dst").alias("id")).agg(F.min(F.struct("step", "kind")).alias("at"))
-        new = step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").join(seen.groupBy("seed").agg(F.count("*").cast("int").alias("_n")), "seed").where(F.col("_n") < most)
+        hits = _few(front).join(moves, F.col("id") == F.col("src")).groupBy("seed", F.col("dst").alias("id")).agg(F.min(at).alias("at"), F.min(F.when(F.col("kind") == 0, at)).alias("call"))
+        hits = cut(hits.join(_few(seen.select("seed", "id")), ["seed", "id"], "left_anti"))
+        step = ends.join(_few(hits), "id").select("seed", "id", F.when(~F.col("_file"), F.col("at")).otherwise(F.col("call")).alias("at"))
+        step = step.where("at IS NOT NULL").groupBy("seed", "id").agg(F.min("at").alias("at"))
+        new = step.join(seen.groupBy("seed").agg(F.count("*").cast("int").alias("_n")), "seed").where(F.col("_n") < most)
         order = Window.partitionBy("seed").orderBy("at", "id")
         front = new.withColumn("_r", F.row_number().over(order)).where(F.col("_n") + F.col("_r") <= most)
         front = cut(front.select("seed", "id", F.lit(depth).alias("depth"), (F.col("_n") + F.col("_r") - 1).cast("int").alias("step")))
@@ -70,7 +80,7 @@ def trace(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int =
             break
         seen = cut(seen.unionByName(front))
     return_type = F.nullif("returnType", F.lit("void")) if "returnType" in nodes.columns else F.lit(None).cast("string")
-    steps = seen.join(nodes, "id")
+    steps = nodes.join(_few(seen), "id")
     action = F.concat(_mapped(F.col("layer"), VERBS, F.lit("executes")), F.lit(" "), F.col("name"), F.lit("()"))
     return steps.select("seed", "step", "depth", "id", "name", "filePath", "layer", action.alias("action"), F.coalesce(return_type, _mapped(F.col("layer"), PRODUCTS, F.lit(None).cast("string"))).alias("produces"))
 

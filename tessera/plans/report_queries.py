@@ -344,7 +344,7 @@ SELECT 0 AS step, 'r:1' AS id UNION ALL SELECT step::INTEGER, id FROM s1x UNION
 @query(_G14)
 def g14_trace_flow(spark, sf_dir):
     seed = spark.createDataFrame([("r:1",)], "id string")
-    return flow.trace(_layered(spark, sf_dir), t.edges(spark, sf_dir), seed, 2).select("step", "id")
+    return flow.trace(_layered(spark, sf_dir), t.edges(spark, sf_dir, repeats=True), seed, 2).select("step", "id")
 
 
 def _flow_sql(seeds: str, depth: int, most: int = 50) -> str:
@@ -365,7 +365,7 @@ o AS (SELECT seed, count(*) AS n_steps, count(DISTINCT filePath) AS n_files, cou
 SELECT seed, n_steps, n_files, n_effects, CASE WHEN db THEN CASE WHEN n_files > 5 THEN 'critical' ELSE 'high' END WHEN api AND n_files > 3 THEN 'high' WHEN api OR n_files > 3 THEN 'medium' ELSE 'low' END AS risk FROM o""")
 def g14_flow_risk(spark, sf_dir):
     nodes = _layered(spark, sf_dir)
-    return flow.flow_summary(flow.trace(nodes, t.edges(spark, sf_dir), nodes.where("type = 'module'").select("id"), 4))
+    return flow.flow_summary(flow.trace(nodes, t.edges(spark, sf_dir, repeats=True), nodes.where("type = 'module'").select("id"), 4))
 
 
 @query(f"{WITH} SELECT layer, count(DISTINCT filePath) AS files, count(*) FILTER (type IN ('function', 'method', 'class')) AS symbols, coalesce(array_to_string((list_sort(list_distinct(list(name) FILTER (type IN ('function', 'method', 'class')))))[1:15], ','), '') AS keys FROM (SELECT *, {_FLOW_LAYER} AS layer FROM nodes) GROUP BY layer")
