@@ -212,11 +212,16 @@ def verify_digest(nodes: DataFrame, claims: DataFrame) -> DataFrame:
     return best.select("path", "name", F.when(F.col("d").isNull(), "missing").when(F.col("d") == 0, "exact").otherwise("moved").alias("state"))
 
 
+#: Parts of a file's entries of one cost, each of which names its first ones.
+_SALTS = 256
+
+
 def repo_map(nodes: DataFrame, ranks: DataFrame, budget: int) -> DataFrame:
     """(place, line): a map within a budget of tokens, files by their best symbol, symbols by line with the first line of
     a short comment. An entry that doesn't fit is passed over; the first file heading that doesn't fit ends the map.
 
-    Only files that can be reached take part: each heading costs a token at least.
+    Only files that can be reached take part: each heading costs a token at least. What is used only grows, so of all entries of
+    one cost the first ones are taken, and no more than the budget holds: only those, and each file's first, meet in one task.
     """
     best = nodes.where("type <> 'file'").join(ranks, "id")
     files = best.groupBy("filePath").agg(F.max("score").alias("top")).orderBy(F.desc("top"), "filePath").limit(budget)
@@ -224,7 +229,15 @@ def repo_map(nodes: DataFrame, ranks: DataFrame, budget: int) -> DataFrame:
     first = F.trim(F.get(head, F.lit(0)))
     entry = F.concat(F.when((first != "") & (F.length(first) <= 80), F.concat(F.lit("  /** "), first, F.lit(" */\n"))).otherwise(""), F.when(F.contains("qualifiedName", F.lit(".")), "  ").otherwise(""), F.col("signature"))
     rows = best.join(F.broadcast(files), "filePath").select("top", "filePath", "startLine", "id", entry.alias("entry"))
-    rows = rows.repartition(1).sortWithinPartitions(F.desc("top"), "filePath", "startLine", "id")  # at most `budget` files
+    places = [F.desc("top"), "filePath", "startLine", "id"]
+    cost = F.ceil(F.length(F.coalesce("entry", F.lit(""))) / 4).cast("long")
+    rows = rows.withColumn("_cost", F.least(cost, F.lit(budget + 1).cast("long"))).withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)))
+    for parts in (["filePath", "_cost", "_salt"], ["filePath", "_cost"], ["_cost"]):  # of a file and a salt, of a file, of all
+        nth = F.row_number().over(Window.partitionBy(*parts).orderBy(*places))
+        first = F.col("_nth") == 1 if "filePath" in parts else F.row_number().over(Window.partitionBy("filePath").orderBy(*places)) == 1
+        rows = rows.withColumn("_nth", nth).withColumn("_first", first)
+        rows = rows.where((F.col("_cost") == 0) | F.col("_first") | (F.col("_nth") * F.col("_cost") <= budget))
+    rows = rows.select("top", "filePath", "startLine", "id", "entry").repartition(1).sortWithinPartitions(*places)
 
     def run(batches):
         used, place, file, over = 0, 0, None, False

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import testgraph as t
-from tessera.operators import flow, graph
+from tessera.operators import compress, flow, graph, report
 
 EDGES = "sourceId string, targetId string, type string"
 
@@ -60,3 +60,37 @@ def test_a_trace_makes_its_moves_once(spark):
     nodes = spark.createDataFrame([(x, "function", x, "/x", "util") for x in "abcd"], "id string, type string, name string, filePath string, layer string")
     assert flow.trace(nodes, edges, nodes.where(F.col("id") == "a").select("id")).count() == 4
     assert reads.value == 1
+
+
+def test_a_map_of_many_symbols_sends_few_to_one_task(spark):
+    """Of 20,000 symbols in 7 files those that the budget can hold go on; the map is what a walk through all of them gives."""
+    sizes = (3, 9, 40, 41, 200, 0, 5000)
+    rows = [(f"s{i:05}", "function", f"f{i}", "q", f"/f{i * 7919 % 7}", i * 31 % 1009, None if i % 4001 == 7 else chr(97 + i % 26) * sizes[i * i % 7]) for i in range(20_000)]
+    nodes = spark.createDataFrame(rows, "id string, type string, name string, qualifiedName string, filePath string, startLine int, signature string").repartition(8)
+    ranks = spark.createDataFrame([(r[0], float(int(r[0][1:]) % 5003)) for r in rows], "id string, score double")
+    top = {}
+    for r in rows:
+        top[r[4]] = max(top.get(r[4], 0.0), float(int(r[0][1:]) % 5003))
+    for budget in (2, 40, 701):
+        used, file, want = 0, None, []
+        for r in sorted(rows, key=lambda r: (-top[r[4]], r[4], r[5], r[0])):
+            if r[4] != file:
+                file, head = r[4], f"\n// {r[4]}"
+                if used + -(-len(head) // 4) > budget:
+                    break
+                used += -(-len(head) // 4)
+                want.append(head)
+            if used + -(-len(r[6] or "") // 4) <= budget:
+                used += -(-len(r[6] or "") // 4)
+                want.append(r[6] or "")
+        out = report.repo_map(nodes, ranks, budget)
+        assert [r.line for r in out.orderBy("place").collect()] == want
+        assert plan_of(out).count("row_number") >= 3
+
+
+def test_lengths_of_forms_are_those_of_their_texts(spark):
+    texts = [("diff", "diff --git a b\n x\n+y\n z\n w\n v\n-q"), ("plain_text", "One. Two.\n\né\U0001f600 three. Four."), ("json_data", '{"a": [1, 2, 3, 4]}'), ("plain_text", ""), ("plain_text", None), ("nothing", " \n ")]
+    d = spark.createDataFrame(texts, "kind string, text string")
+    levels = ("minimal", "moderate", "aggressive")
+    whole = [F.length(compress.compress(F.col("text"), F.col("kind"), x)).cast("long").alias(x) for x in levels]
+    assert d.select(compress.lengths(F.col("text"), F.col("kind"), levels).alias("n")).select("n.*").collect() == d.select(*whole).collect()
