@@ -63,6 +63,10 @@ def security_grade(hits: DataFrame) -> DataFrame:
     return out.withColumn("grade", grade)
 
 
+#: What line_metrics counts, each in one pattern.
+COUNTED = "[?{}]|&&|[|][|]|(?<![A-Za-z0-9_])(?:if|elif|for|foreach|while|do|case|catch|except|and|or)(?![A-Za-z0-9_])"
+
+
 def line_metrics(line: Column) -> Column:
     """struct(cc, flat, open, close): what a line adds to cyclomatic complexity, to cognitive complexity besides
     nesting, and its braces. Comments and empty lines add nothing."""
@@ -81,10 +85,12 @@ def line_metrics(line: Column) -> Column:
 
 def complexity(docs: DataFrame) -> DataFrame:
     """(doc, loc, cyclomatic, cognitive, nesting) of docs (doc, text), folded over each text's lines within its row."""
-    rows = docs.select("doc", F.transform(F.split("text", "\n", -1), line_metrics).alias("m"))
+    lines = F.split("text", "\n", -1)
+    some = F.filter(lines, lambda x: x.rlike(COUNTED))  # the others add nothing
+    rows = docs.select("doc", F.size(lines).alias("loc"), F.transform(some, line_metrics).alias("m"))
     start = "struct(1 AS cyc, 0 AS cog, 0 AS nest, 0 AS deepest)"
     step = "struct(s.cyc + x.cc AS cyc, s.cog + x.branch * (greatest(0, s.nest - x.close) + 1) + x.flat AS cog, greatest(0, s.nest - x.close) + x.open AS nest, greatest(s.deepest, greatest(0, s.nest - x.close) + x.open) AS deepest)"
-    return rows.select("doc", F.size("m").alias("loc"), F.expr(f"aggregate(m, {start}, (s, x) -> {step})").alias("c")).select("doc", "loc", F.col("c.cyc").alias("cyclomatic"), F.col("c.cog").alias("cognitive"), F.col("c.deepest").alias("nesting"))
+    return rows.select("doc", "loc", F.expr(f"aggregate(m, {start}, (s, x) -> {step})").alias("c")).select("doc", "loc", F.col("c.cyc").alias("cyclomatic"), F.col("c.cog").alias("cognitive"), F.col("c.deepest").alias("nesting"))
 
 
 def health(m: DataFrame, params: Column | None = None) -> DataFrame:

@@ -247,7 +247,8 @@ _CODE_SQL = ", ".join("('c{}', {})".format(i, "'" + c.replace("'", "''").replace
 def _metric_texts(spark, sf_dir):
     pages = t.table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("doc"), F.col("html").alias("text"))
     docs = t.table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc"), "text")
-    return pages.unionAll(docs).unionAll(spark.createDataFrame([(f"c{i}", c) for i, c in enumerate(CODE)], "doc string, text string"))
+    own = spark.createDataFrame([(f"c{i}", c) for i, c in enumerate(CODE)], "doc string, text string")
+    return pages.unionAll(docs).unionAll(own).repartition("doc")  # a file may be one row group, whatever its size: one task
 
 
 _METRIC_BASE = f"base AS (SELECT 'p' || page_id AS doc, html AS text FROM pages UNION ALL SELECT 'd' || doc_id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT * FROM (VALUES {_CODE_SQL}) AS v(a, b))"
@@ -586,7 +587,7 @@ _SCORE_NAMES = ("cyclomatic", "cognitive", "maintainability", "modularity", "cou
        + ", health::BIGINT AS health, debt::BIGINT AS debt, overall::BIGINT AS overall, CASE WHEN overall >= 90 THEN 'A' WHEN overall >= 80 THEN 'A-' WHEN overall >= 70 THEN 'B+' WHEN overall >= 60 THEN 'B' WHEN overall >= 50 THEN 'C+' WHEN overall >= 40 THEN 'C' WHEN overall >= 30 THEN 'D' ELSE 'F' END AS grade FROM o")
 def q6_scores(spark, sf_dir):
     """Texts as functions, files of the symbol graph, and labels as findings."""
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = t.nodes(spark, sf_dir), t.edges(spark, sf_dir, repeats=True)
     functions = quality.health(quality.complexity(_metric_texts(spark, sf_dir))).withColumn("params", F.lit(0))
     coupled = graph.instability(edges, nodes.select("id", F.col("filePath").alias("module"))).select(F.col("module").alias("filePath"), F.col("ce").alias("fan_out"), "instability")
     files = nodes.groupBy("filePath").agg(F.max("endLine").alias("lines"), F.count_if(F.col("type").isin("function", "method")).alias("functions")).join(coupled, "filePath")
