@@ -170,41 +170,65 @@ def table_of_contents(nodes: DataFrame, ranks: DataFrame, per_file: int = 10) ->
 def strongly_connected(moves: DataFrame) -> DataFrame:
     """(id, component): strongly connected components of more than one node, named by their least node.
 
-    Colouring: the least node that reaches each node is its colour; what reaches a colour's own node within the colour
-    is its component. Found components and nodes that can't be in one leave the graph, and it starts again.
+    Colouring: the least number that reaches each node is its colour; what reaches a colour's own node within the colour
+    is its component. Found components and nodes that can't be in one leave the graph, and it starts again. Nodes get
+    numbers, which are shuffled and sorted faster than names, and only what is new since the last step goes on.
     """
-    live = cut(moves.where("src <> dst").distinct())
+    moves = cut(moves.where("src <> dst"))
+    names = cut(_both_ways(moves).select("id", F.monotonically_increasing_id().alias("n")))
+    a, b = (names.select(F.col("id").alias(x), F.col("n").alias(f"_{x}")) for x in ("src", "dst"))
+    live = cut(moves.join(a, "src").join(b, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")))
     found = None
     while True:
+        ids = _both_ways(live)
         while True:  # nodes without an edge in or out can't be in a cycle
-            ends = live.select(F.col("src").alias("id")).distinct().intersect(live.select(F.col("dst").alias("id")).distinct())
-            kept = cut(live.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-            done = kept.count() == live.count()
-            live = kept
-            if done:
+            ids = cut(ids)
+            bad = _ends(live, "src").union(_ends(live, "dst")).join(ids, "id", "left_anti")
+            if bad.isEmpty():
                 break
+            live = cut(_within(live, ids))
+            ids = _both_ways(live)
         if live.isEmpty():
             break
-        ids = live.select(F.col("src").alias("id")).union(live.select(F.col("dst").alias("id"))).distinct()
-        colour = cut(ids.withColumn("colour", F.col("id")))
+        colour = cut(ids.withColumn("colour", F.col("id")).withColumn("new", F.lit(True)))
         while True:
-            less = live.join(colour.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
-            new = cut(colour.join(less, "id", "left").select("id", F.least("colour", F.coalesce("c", "colour")).alias("colour"), F.col("colour").alias("was")))
-            same = new.where("colour <> was").isEmpty()
-            colour = new.drop("was")
-            if same:
+            less = live.join(colour.where("new").select(F.col("id").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
+            colour = cut(colour.join(less, "id", "left").select("id", F.least("colour", "c").alias("colour"), F.coalesce(F.col("c") < F.col("colour"), F.lit(False)).alias("new")))
+            if colour.where("new").isEmpty():
                 break
         c_src, c_dst = (colour.select(F.col("id").alias(x), F.col("colour").alias(f"c_{x}")) for x in ("src", "dst"))
-        back = cut(live.join(c_src, "src").join(c_dst, "dst").where("c_src = c_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "c_src"))
-        members = reach(back.select("src", "dst"), colour.where("id = colour").select("id"), 1_000_000).select("id", F.col("seed").alias("component"))
-        members = cut(members)
-        found = members if found is None else found.union(members)
-        gone = members.select("id")
-        live = cut(live.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+        back = cut(live.join(c_src, "src").join(c_dst, "dst").where("c_src = c_dst").select("src", "dst"))
+        members = cut(colour.select("id", "colour", (F.col("id") == F.col("colour")).alias("seen"), (F.col("id") == F.col("colour")).alias("new")))
+        while True:
+            reached = back.join(members.where("new").select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"), F.lit(True).alias("_r")).distinct()
+            members = cut(members.join(reached, "id", "left").select("id", "colour", (F.col("seen") | F.col("_r").isNotNull()).alias("seen"), (~F.col("seen") & F.col("_r").isNotNull()).alias("new")))
+            if members.where("new").isEmpty():
+                break
+        whole = members.where("seen").select("id", F.col("colour").alias("component"))
+        found = whole if found is None else found.union(whole)
+        rest = members.where("NOT seen").select("id")
+        if rest.isEmpty():
+            break
+        live = cut(_within(live, rest))
     if found is None:
         return moves.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
-    many = found.groupBy("component").agg(F.count("*").alias("_n"), F.min("id").alias("_least")).where("_n > 1")
-    return found.join(many, "component").select("id", F.col("_least").alias("component"))
+    named = found.join(names.select(F.col("n").alias("id"), F.col("id").alias("_name")), "id")
+    many = named.groupBy("component").agg(F.count("*").alias("_n"), F.min("_name").alias("_least")).where("_n > 1")
+    return named.join(many, "component").select(F.col("_name").alias("id"), F.col("_least").alias("component"))
+
+
+def _ends(moves: DataFrame, end: str) -> DataFrame:
+    return moves.select(F.col(end).alias("id")).distinct()
+
+
+def _both_ways(moves: DataFrame) -> DataFrame:
+    """(id) of nodes that edges leave and enter."""
+    return _ends(moves, "src").join(_ends(moves, "dst"), "id", "left_semi")
+
+
+def _within(moves: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges between some nodes."""
+    return moves.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
 # Names that frameworks and runtimes call, which makes them entry points; files whose functions are called
