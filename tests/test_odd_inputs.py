@@ -62,3 +62,18 @@ def test_cycles_shuffle_no_paths_that_do_not_meet(spark):
     before = written()
     assert paths.cycles(m, 4).count() > 1000
     assert written() - before < 30_000_000
+
+
+def test_parts_of_one_brand_conflict(spark, tmp_path):
+    """Whatever their size and name; parts of other brands by their words, and parts without a brand too."""
+    import duckdb
+
+    from tessera.plans import catalog
+
+    rows = [(1, "red ring", "Brand#1", "LARGE", 1), (2, "blue bolt", "brand#1", "SMALL", 2), (3, "green nut", "Brand#2", "TINY", 1), (4, "green nut", "Brand#3", "TINY", 7), (5, "odd part", None, "ONE", 3), (6, "odd part", None, "ONE", 4), (7, "lone pin", "Brand#4", "FLAT", 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["d1_conflicts"](spark, str(tmp_path)).select("id", "n_links", "class_id").collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 5), (7, 0, 7)]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+        assert sorted(db.execute(f"SELECT id, n_links, class_id FROM ({catalog.oracle_sql()['d1_conflicts']})").fetchall()) == got
