@@ -77,3 +77,11 @@ def test_parts_of_one_brand_conflict(spark, tmp_path):
     with duckdb.connect() as db:
         db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
         assert sorted(db.execute(f"SELECT id, n_links, class_id FROM ({catalog.oracle_sql()['d1_conflicts']})").fetchall()) == got
+
+
+def test_sets_of_long_words_are_small_on_disk(spark):
+    """Sets are written as 8 bytes a word, however long the words are."""
+    long = F.expr("transform(sequence(1, 50), i -> concat(repeat('x', 200), id, '-', i))")
+    sets, one = text.token_sets(spark.range(100).select(F.col("id").alias("doc"), long.alias("w")), F.col("w"))
+    assert one.select(F.sum(F.size("w"))).first()[0] == 5000 and sets.count() == 100
+    assert one.select(F.max(F.length(F.to_json(F.struct("w"))))).first()[0] < 50 * 22
